@@ -84,3 +84,87 @@ def q_training_pairs(spark, d):
     """J3 + P9: the flagship gold table."""
     return FE.training_pairs(FX.users(spark, d), FX.posts(spark, d), FX.interactions(spark, d),
                              FX.post_media(spark, d))
+
+
+# --- staging and data quality ----------------------------------------------------
+from feedlake.operators import staging as ST  # noqa: E402
+from feedlake.sources import staging as SS  # noqa: E402
+
+
+@register("staging_clean_users")
+def q_staging_clean_users(spark, d):
+    """P1, P2 on the all-text users staging table."""
+    return ST.clean_users(SS.staging_users(spark, d))
+
+
+@register("staging_clean_posts")
+def q_staging_clean_posts(spark, d):
+    """P1, P2 on the all-text posts staging table."""
+    return ST.clean_posts(SS.staging_posts(spark, d)).drop("body_text")
+
+
+@register("staging_clean_comments")
+def q_staging_clean_comments(spark, d):
+    """P1, P2 on the all-text comments staging table."""
+    return ST.clean_comments(SS.staging_comments(spark, d)).drop("body_text")
+
+
+@register("staging_clean_interactions")
+def q_staging_clean_interactions(spark, d):
+    """P1, P2 on the all-text interactions staging table."""
+    return ST.clean_interactions(SS.staging_interactions(spark, d))
+
+
+@register("staging_post_media")
+def q_staging_post_media(spark, d):
+    """Image rows derived from staged posts, with surrogate keys."""
+    return ST.derive_post_media(SS.staging_posts(spark, d))
+
+
+@register("dq_violations")
+def q_dq_violations(spark, d):
+    """Every constraint violation of the core tables."""
+    return ST.quality_report(FX.users(spark, d), FX.posts(spark, d), FX.post_media(spark, d),
+                             FX.comments(spark, d), FX.interactions(spark, d))
+
+
+# --- CDC -------------------------------------------------------------------------
+from feedlake import schemas as S  # noqa: E402
+from feedlake.operators import cdc as CDC  # noqa: E402
+from feedlake.session import scratch_path  # noqa: E402
+from feedlake.sources import bronze as BR  # noqa: E402
+
+CDC_META = ["op", "event_ts", "event_ts_ms", "source_ts_ms", "schema_name", "table_name", "topic_name",
+            "object_date", "object_hour", "is_delete"]
+
+
+def landed_orders(spark, d, layout):
+    """Write the orders change events in a layout; return the normalized read."""
+    root = scratch_path(spark, "bronze")
+    BR.write_bronze(BR.order_change_events(spark, d), root, layout, "orders")
+    raw = BR.load_raw_events(spark, root, "orders", layout, S.ORDER_ROW_SCHEMA)
+    return CDC.normalize_events(raw)
+
+
+@register("cdc_normalize")
+def q_cdc_normalize(spark, d):
+    """S2-S4, S9 layout, C1-C4: every landed change event, normalized."""
+    ev = landed_orders(spark, d, "topics")
+    return ev.select(*CDC_META, F.col("payload.o_orderkey").alias("o_orderkey"),
+                     F.col("payload.o_orderstatus").alias("o_orderstatus"))
+
+
+@register("cdc_current_state")
+def q_cdc_current_state(spark, d):
+    """S8 raw layout, D4, C5, C6, W1: current orders after r/u/d events."""
+    ev = landed_orders(spark, d, "raw-cdc")
+    return CDC.current_state(ev, "orders").drop("_object_name")
+
+
+@register("cdc_event_union")
+def q_cdc_event_union(spark, d):
+    """Events of two tables and two layouts in one frame."""
+    a = landed_orders(spark, d, "topics")
+    b = landed_orders(spark, d, "bronze").withColumn("op", F.col("op"))
+    u = CDC.union_events([a, b])
+    return u.select(*CDC_META, F.col("payload.o_orderkey").alias("o_orderkey"))

@@ -188,3 +188,149 @@ SELECT user_id, total_interactions, num_views, num_likes, num_comments_interacti
     "interaction_labels": with_fixtures(INTERACTION_LABELS, "interactions"),
     "training_pairs": with_fixtures(TRAINING_PAIRS, "interactions", "users", "posts", "post_media"),
 }
+
+# --- staging -------------------------------------------------------------------
+STAGING_USERS = """
+SELECT CAST(user_id AS VARCHAR) AS user_id, username,
+       CASE WHEN authored_posts_count > 0 AND comments_count > 0 THEN 'both'
+            WHEN authored_posts_count > 0 THEN 'author' ELSE '' END AS user_type,
+       CAST(authored_posts_count AS VARCHAR) AS num_posts, CAST(comments_count AS VARCHAR) AS num_comments,
+       COALESCE(interest_keywords, '') AS interests, COALESCE(CAST(joined_on AS VARCHAR), '') AS created_at
+FROM users"""
+
+STAGING_POSTS = """
+SELECT CAST(p.post_id AS VARCHAR) AS post_id, p.title, CAST(p.author_id AS VARCHAR) AS author_id,
+       COALESCE(p.canonical_url, '') AS url, COALESCE(p.excerpt, '') AS excerpt,
+       COALESCE(p.categories, '') AS categories, COALESCE(p.tags, '') AS tags,
+       COALESCE(p.published_at_raw, '') AS published_at, CAST(p.comments_count AS VARCHAR) AS comments_count,
+       COALESCE(m.source_url, '') AS image_url, COALESCE(m.object_key, '') AS image_path
+FROM posts p LEFT JOIN post_media m ON m.post_id = p.post_id"""
+
+_MEDIA_KEY = "CAST(('0x' || substring(md5(post_id || '|' || image_path), 1, 15)) AS BIGINT)"
+
+DQ = """
+SELECT 'primary_key' AS "check", 'users' AS table_name, CAST(user_id AS VARCHAR) AS key, count(*) AS n_rows
+  FROM users GROUP BY user_id HAVING count(*) > 1
+UNION ALL SELECT 'unique(username)', 'users', username, count(*) FROM users GROUP BY username HAVING count(*) > 1
+UNION ALL SELECT 'primary_key', 'posts', CAST(post_id AS VARCHAR), count(*) FROM posts GROUP BY post_id
+  HAVING count(*) > 1
+UNION ALL SELECT 'primary_key', 'post_media', CAST(media_id AS VARCHAR), count(*) FROM post_media
+  GROUP BY media_id HAVING count(*) > 1
+UNION ALL SELECT 'unique(post_id,object_key)', 'post_media', concat_ws('|', post_id, object_key), count(*)
+  FROM post_media GROUP BY post_id, object_key HAVING count(*) > 1
+UNION ALL SELECT 'primary_key', 'comments', comment_id, count(*) FROM comments GROUP BY comment_id
+  HAVING count(*) > 1
+UNION ALL SELECT 'primary_key', 'interactions', CAST(event_id AS VARCHAR), count(*) FROM interactions
+  GROUP BY event_id HAVING count(*) > 1
+UNION ALL SELECT 'unique_like', 'interactions', concat_ws('|', user_id, post_id, interaction_type), count(*)
+  FROM interactions WHERE interaction_type = 'like' GROUP BY user_id, post_id, interaction_type
+  HAVING count(*) > 1
+UNION ALL SELECT 'fk(author_id->users.user_id)', 'posts', CAST(author_id AS VARCHAR), count(*) FROM posts
+  WHERE author_id IS NOT NULL AND author_id NOT IN (SELECT user_id FROM users WHERE user_id IS NOT NULL)
+  GROUP BY author_id
+UNION ALL SELECT 'fk(post_id->posts.post_id)', 'post_media', CAST(post_id AS VARCHAR), count(*) FROM post_media
+  WHERE post_id IS NOT NULL AND post_id NOT IN (SELECT post_id FROM posts WHERE post_id IS NOT NULL)
+  GROUP BY post_id
+UNION ALL SELECT 'fk(post_id->posts.post_id)', 'comments', CAST(post_id AS VARCHAR), count(*) FROM comments
+  WHERE post_id IS NOT NULL AND post_id NOT IN (SELECT post_id FROM posts WHERE post_id IS NOT NULL)
+  GROUP BY post_id
+UNION ALL SELECT 'fk(user_id->users.user_id)', 'comments', CAST(user_id AS VARCHAR), count(*) FROM comments
+  WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM users WHERE user_id IS NOT NULL)
+  GROUP BY user_id
+UNION ALL SELECT 'fk(user_id->users.user_id)', 'interactions', CAST(user_id AS VARCHAR), count(*)
+  FROM interactions
+  WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM users WHERE user_id IS NOT NULL)
+  GROUP BY user_id
+UNION ALL SELECT 'fk(post_id->posts.post_id)', 'interactions', CAST(post_id AS VARCHAR), count(*)
+  FROM interactions
+  WHERE post_id IS NOT NULL AND post_id NOT IN (SELECT post_id FROM posts WHERE post_id IS NOT NULL)
+  GROUP BY post_id
+UNION ALL SELECT 'check(interaction_type)', 'interactions', interaction_type, count(*) FROM interactions
+  WHERE interaction_type IS NOT NULL
+    AND interaction_type NOT IN ('view', 'like', 'save', 'share', 'comment', 'follow_author')
+  GROUP BY interaction_type
+UNION ALL SELECT 'not_null', t, c, n FROM (
+  SELECT 'users' AS t, 'user_id' AS c, count(*) FILTER (WHERE user_id IS NULL) AS n FROM users
+  UNION ALL SELECT 'users', 'username', count(*) FILTER (WHERE username IS NULL) FROM users
+  UNION ALL SELECT 'posts', 'post_id', count(*) FILTER (WHERE post_id IS NULL) FROM posts
+  UNION ALL SELECT 'posts', 'author_id', count(*) FILTER (WHERE author_id IS NULL) FROM posts
+  UNION ALL SELECT 'posts', 'title', count(*) FILTER (WHERE title IS NULL) FROM posts
+  UNION ALL SELECT 'comments', 'comment_id', count(*) FILTER (WHERE comment_id IS NULL) FROM comments
+  UNION ALL SELECT 'comments', 'post_id', count(*) FILTER (WHERE post_id IS NULL) FROM comments
+  UNION ALL SELECT 'comments', 'user_id', count(*) FILTER (WHERE user_id IS NULL) FROM comments
+  UNION ALL SELECT 'interactions', 'event_id', count(*) FILTER (WHERE event_id IS NULL) FROM interactions
+  UNION ALL SELECT 'interactions', 'user_id', count(*) FILTER (WHERE user_id IS NULL) FROM interactions
+  UNION ALL SELECT 'interactions', 'post_id', count(*) FILTER (WHERE post_id IS NULL) FROM interactions
+  UNION ALL SELECT 'interactions', 'interaction_type', count(*) FILTER (WHERE interaction_type IS NULL)
+    FROM interactions) WHERE n > 0"""
+
+SQL.update({
+    "staging_clean_users": with_fixtures(f"""
+SELECT user_id, username, COALESCE(NULLIF(user_type, ''), 'commenter') AS account_type,
+       COALESCE(TRY_CAST(NULLIF(num_posts, '') AS INTEGER), 0) AS authored_posts_count,
+       COALESCE(TRY_CAST(NULLIF(num_comments, '') AS INTEGER), 0) AS comments_count,
+       NULLIF(interests, '') AS interest_keywords, TRY_CAST(NULLIF(created_at, '') AS DATE) AS joined_on
+FROM ({STAGING_USERS}) su
+WHERE NULLIF(user_id, '') IS NOT NULL AND NULLIF(username, '') IS NOT NULL""", "users"),
+    "staging_clean_posts": with_fixtures(f"""
+SELECT post_id, author_id, COALESCE(NULLIF(title, ''), '(untitled post)') AS title,
+       NULLIF(url, '') AS canonical_url, NULLIF(excerpt, '') AS excerpt, NULLIF(categories, '') AS categories,
+       NULLIF(tags, '') AS tags, NULLIF(published_at, '') AS published_at_raw,
+       COALESCE(TRY_CAST(NULLIF(comments_count, '') AS INTEGER), 0) AS comments_count
+FROM ({STAGING_POSTS}) sp
+WHERE NULLIF(post_id, '') IS NOT NULL AND NULLIF(author_id, '') IS NOT NULL""", "posts", "post_media"),
+    "staging_clean_comments": with_fixtures("""
+SELECT comment_id, CAST(post_id AS VARCHAR) AS post_id, CAST(user_id AS VARCHAR) AS user_id,
+       parent_comment_id, commented_at_raw
+FROM comments""", "comments"),
+    "staging_clean_interactions": with_fixtures("""
+SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
+       CAST(post_id AS VARCHAR) AS post_id, interaction_type, occurred_at_raw, session_id, device_type,
+       source_surface, dwell_time_seconds
+FROM interactions""", "interactions"),
+    "staging_post_media": with_fixtures(f"""
+SELECT {_MEDIA_KEY} AS media_id, post_id, 'image' AS media_type, NULLIF(image_url, '') AS source_url,
+       image_path AS object_key, 'minio' AS storage_provider, 1 AS display_order
+FROM ({STAGING_POSTS}) sp
+WHERE NULLIF(post_id, '') IS NOT NULL AND NULLIF(image_path, '') IS NOT NULL""", "posts", "post_media"),
+    "dq_violations": with_fixtures(DQ, *ALL_FIXTURES),
+})
+
+# --- CDC ---------------------------------------------------------------------
+ORDER_EVENTS = """
+o AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus AS st,
+             CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'F' END AS new_st, o_totalprice,
+             strftime(o_orderdate, '%Y-%m-%d') AS od, o_orderpriority, epoch_ms(o_orderdate) AS ts0 FROM orders),
+ev AS (SELECT k, 0 AS step, 'r' AS op, st AS status FROM o
+       UNION ALL SELECT k, 1, 'u', new_st FROM o WHERE k % 5 = 0
+       UNION ALL SELECT k, 2, 'd', CASE WHEN k % 5 = 0 THEN new_st ELSE st END FROM o WHERE k % 11 = 0)"""
+
+
+def _normalized(topic: str) -> str:
+    return f"""
+SELECT ev.op, epoch_ms(o.ts0 + ev.step * 1000) AS event_ts, o.ts0 + ev.step * 1000 AS event_ts_ms,
+       o.ts0 + ev.step * 1000 AS source_ts_ms, 'public' AS schema_name, 'orders' AS table_name,
+       '{topic}' AS topic_name, '2024-06-01' AS object_date, lpad(CAST(o.k % 24 AS VARCHAR), 2, '0') AS object_hour,
+       ev.op = 'd' AS is_delete, o.k AS o_orderkey, ev.status AS o_orderstatus
+FROM ev JOIN o ON ev.k = o.k"""
+
+
+SQL.update({
+    "cdc_normalize": f"WITH {ORDER_EVENTS}\n{_normalized('postgres.public.orders')}",
+    "cdc_current_state": """
+WITH s AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS step FROM orders)
+SELECT o_orderkey, o_custkey,
+       CASE WHEN step = 1 THEN (CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'F' END) ELSE o_orderstatus END
+         AS o_orderstatus,
+       o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority,
+       CASE WHEN step = 1 THEN 'u' ELSE 'r' END AS op,
+       epoch_ms(epoch_ms(o_orderdate) + step * 1000) AS event_ts, epoch_ms(o_orderdate) + step * 1000 AS event_ts_ms,
+       epoch_ms(o_orderdate) + step * 1000 AS source_ts_ms, 'public' AS schema_name, 'orders' AS table_name,
+       'socialrec_cdc_public_orders' AS topic_name, '2024-06-01' AS object_date,
+       lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') AS object_hour, false AS is_delete
+FROM s WHERE o_orderkey % 11 <> 0""",
+    "cdc_event_union": f"""WITH {ORDER_EVENTS}
+SELECT * EXCLUDE (o_orderstatus) FROM ({_normalized('postgres.public.orders')})
+UNION ALL
+SELECT * EXCLUDE (o_orderstatus) FROM ({_normalized('postgres.public.orders')})""",
+})
