@@ -168,3 +168,85 @@ def q_cdc_event_union(spark, d):
     b = landed_orders(spark, d, "bronze").withColumn("op", F.col("op"))
     u = CDC.union_events([a, b])
     return u.select(*CDC_META, F.col("payload.o_orderkey").alias("o_orderkey"))
+
+
+# --- feed reads --------------------------------------------------------------------
+from feedlake.operators import feed as FD  # noqa: E402
+from feedlake.operators import profile as PR  # noqa: E402
+from feedlake.functions import text as X  # noqa: E402
+
+FEED_OFFSET, FEED_LIMIT, FEED_VIEWER = 10, 20, 7
+
+
+@register("feed_page")
+def q_feed_page(spark, d):
+    """One feed page (offset 10, limit 20) for viewer 7."""
+    return FD.feed_page(FX.posts(spark, d), FX.users(spark, d), FX.post_media(spark, d),
+                        FX.comments(spark, d), FX.interactions(spark, d),
+                        offset=FEED_OFFSET, limit=FEED_LIMIT, viewer_id=FEED_VIEWER)
+
+
+@register("top_comments")
+def q_top_comments(spark, d):
+    """The three newest comments of every post."""
+    return FD.top_comments(FX.comments(spark, d), FX.users(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("post_comments")
+def q_post_comments(spark, d):
+    """L2: the newest 50 comments of every post."""
+    return FD.post_comments(FX.comments(spark, d), FX.users(spark, d)).withColumn("rank",
+                                                                                F.col("rank").cast("long"))
+
+
+# --- profiles --------------------------------------------------------------------
+@register("user_dimension")
+def q_user_dimension(spark, d):
+    """Authors and commenters with counts and type."""
+    return PR.user_dimension(FX.posts(spark, d), FX.comments(spark, d))
+
+
+@register("interest_profile")
+def q_interest_profile(spark, d):
+    """Tag scores per user from comments and interactions."""
+    return PR.interest_profile(FX.posts(spark, d), FX.comments(spark, d), FX.interactions(spark, d))
+
+
+@register("interest_match")
+def q_interest_match(spark, d):
+    """Interest score of every interacted (user, post) pair."""
+    posts, inter = FX.posts(spark, d), FX.interactions(spark, d)
+    pairs = inter.filter(F.col("user_id").isNotNull() & F.col("post_id").isNotNull())
+    prof = PR.interest_profile(posts, FX.comments(spark, d), inter)
+    return PR.interest_match(pairs, prof, posts)
+
+
+@register("interest_keywords")
+def q_interest_keywords(spark, d):
+    """First ten interest words per author/commenter."""
+    return PR.interest_keywords(FX.posts(spark, d), FX.comments(spark, d))
+
+
+# --- scalar functions over whole tables ---------------------------------------------
+@register("hashed_ids")
+def q_hashed_ids(spark, d):
+    """seed and web user ids; name lookup key."""
+    u = FX.users(spark, d)
+    return u.select("user_id", X.make_id("user", "username").alias("seed_user_id"),
+                    X.normalized_user_id("username").alias("web_user_id"),
+                    X.equals_ignore_case("username", F.upper("username")).alias("name_matches_upper"))
+
+
+@register("tag_display")
+def q_tag_display(spark, d):
+    """display chips of every post."""
+    p = FX.posts(spark, d)
+    return p.select("post_id", F.array_join(X.display_tags("tags", "categories"), " ").alias("display_tags"))
+
+
+@register("list_parse")
+def q_list_parse(spark, d):
+    """tolerant keyword-list parse of every user."""
+    u = FX.users(spark, d)
+    kw = X.parse_json_list("interest_keywords")
+    return u.select("user_id", X.join_list(kw, ", ").alias("kw_text"), F.size(kw).alias("kw_count"))

@@ -334,3 +334,113 @@ SELECT * EXCLUDE (o_orderstatus) FROM ({_normalized('postgres.public.orders')})
 UNION ALL
 SELECT * EXCLUDE (o_orderstatus) FROM ({_normalized('postgres.public.orders')})""",
 })
+
+# --- feed --------------------------------------------------------------------
+FEED_PAGE = """
+SELECT *, 10 + count(*) OVER () AS next_offset, count(*) OVER () = 20 AS has_more FROM (
+SELECT p.post_id, p.title, COALESCE(p.body_text, '') AS body_text, COALESCE(p.excerpt, '') AS excerpt,
+       COALESCE(p.tags, '') AS tags, COALESCE(p.categories, '') AS categories,
+       COALESCE(p.published_at_raw, '') AS published_at, COALESCE(p.canonical_url, '') AS canonical_url,
+       u.user_id AS author_id, u.username AS author_username,
+       CASE WHEN pm.object_key IS NOT NULL AND pm.object_key <> '' THEN '/media/' || pm.object_key ELSE '' END
+         AS image_url,
+       COALESCE(cs.comment_count, 0) AS comment_count, COALESCE(ls.like_count, 0) AS like_count,
+       EXISTS (SELECT 1 FROM interactions i WHERE i.post_id = p.post_id AND i.user_id = 7
+               AND i.interaction_type = 'like') AS viewer_has_liked
+FROM posts p
+JOIN users u ON u.user_id = p.author_id
+LEFT JOIN post_media pm ON pm.post_id = p.post_id AND pm.display_order = 1
+LEFT JOIN (SELECT post_id, count(*) AS comment_count FROM comments GROUP BY post_id) cs ON cs.post_id = p.post_id
+LEFT JOIN (SELECT post_id, count(*) AS like_count FROM interactions WHERE interaction_type = 'like'
+           GROUP BY post_id) ls ON ls.post_id = p.post_id
+ORDER BY p.published_at_raw DESC NULLS LAST, p.post_id DESC
+OFFSET 10 LIMIT 20)"""
+
+
+def _newest(n: int) -> str:
+    return f"""
+SELECT * FROM (
+  SELECT c.post_id, c.comment_id, c.user_id, u.username, COALESCE(c.body_text, '') AS body_text,
+         COALESCE(c.commented_at_raw, '') AS commented_at,
+         row_number() OVER (PARTITION BY c.post_id ORDER BY c.commented_at_raw DESC NULLS LAST,
+                            c.comment_id DESC) AS rank
+  FROM comments c JOIN users u ON u.user_id = c.user_id) WHERE rank <= {n}"""
+
+
+_PT = """pt AS (SELECT DISTINCT post_id, unnest(regexp_extract_all(lower(COALESCE(tags, '') || ' '
+              || COALESCE(categories, '')), '[a-zA-Z0-9_+#.-]{3,}')) AS tag FROM posts)"""
+_PROFILE = f"""{_PT},
+sig AS (SELECT user_id, post_id, 5 AS w FROM comments
+        UNION ALL SELECT user_id, post_id, CASE interaction_type WHEN 'like' THEN 2 WHEN 'save' THEN 3
+                                             WHEN 'share' THEN 4 WHEN 'comment' THEN 5 END
+        FROM interactions WHERE interaction_type IN ('like', 'save', 'share', 'comment')),
+prof AS (SELECT s.user_id, pt.tag, CAST(sum(s.w) AS BIGINT) AS score FROM sig s JOIN pt ON pt.post_id = s.post_id
+         GROUP BY s.user_id, pt.tag)"""
+
+_SEGS = """
+cp AS (SELECT DISTINCT user_id, post_id FROM comments),
+segs AS (SELECT author_id AS user_id, 0 AS seg, post_id, tags AS txt FROM posts
+         UNION ALL SELECT author_id, 1, post_id, categories FROM posts
+         UNION ALL SELECT cp.user_id, 2, p.post_id, p.tags FROM cp JOIN posts p ON p.post_id = cp.post_id
+         UNION ALL SELECT cp.user_id, 3, p.post_id, p.categories FROM cp JOIN posts p ON p.post_id = cp.post_id),
+ex AS (SELECT user_id, seg, post_id, regexp_extract_all(lower(txt), '[a-zA-Z0-9_+#.-]{3,}') AS ws FROM segs),
+words AS (SELECT user_id, seg, post_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM ex),
+firsts AS (SELECT user_id, word, seg, post_id, pos FROM (
+             SELECT *, row_number() OVER (PARTITION BY user_id, word ORDER BY seg, post_id, pos) AS r FROM words)
+           WHERE r = 1),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seg, post_id, pos) AS rn
+                       FROM firsts) WHERE rn <= 10),
+people AS (SELECT author_id AS user_id FROM posts UNION SELECT user_id FROM comments)"""
+
+SQL.update({
+    "feed_page": with_fixtures(FEED_PAGE, *ALL_FIXTURES),
+    "top_comments": with_fixtures(_newest(3), "comments", "users"),
+    "post_comments": with_fixtures(_newest(50), "comments", "users"),
+    "user_dimension": with_fixtures("""
+WITH a AS (SELECT author_id AS user_id, count(*) AS num_posts FROM posts GROUP BY 1),
+     w AS (SELECT user_id, count(*) AS num_comments FROM comments GROUP BY 1)
+SELECT COALESCE(a.user_id, w.user_id) AS user_id, COALESCE(num_posts, 0) AS num_posts,
+       COALESCE(num_comments, 0) AS num_comments,
+       CASE WHEN COALESCE(num_posts, 0) > 0 AND COALESCE(num_comments, 0) > 0 THEN 'both'
+            WHEN COALESCE(num_posts, 0) > 0 THEN 'author' ELSE 'commenter' END AS user_type
+FROM a FULL OUTER JOIN w ON a.user_id = w.user_id
+WHERE COALESCE(a.user_id, w.user_id) IS NOT NULL""", "posts", "comments"),
+    "interest_profile": with_fixtures(f"WITH {_PROFILE}\nSELECT * FROM prof", "posts", "comments", "interactions"),
+    "interest_match": with_fixtures(f"""
+WITH {_PROFILE},
+pairs AS (SELECT DISTINCT user_id, post_id FROM interactions WHERE user_id IS NOT NULL AND post_id IS NOT NULL),
+tot AS (SELECT user_id, sum(score) AS total FROM prof GROUP BY user_id),
+m AS (SELECT p.user_id, p.post_id, sum(pr.score) AS s FROM pairs p JOIN pt ON pt.post_id = p.post_id
+      JOIN prof pr ON pr.user_id = p.user_id AND pr.tag = pt.tag GROUP BY p.user_id, p.post_id)
+SELECT pairs.user_id, pairs.post_id,
+       COALESCE(least(m.s / greatest(tot.total, 1), 1.0), 0.0) AS interest_score,
+       least(po.comments_count / 50.0, 1.0) AS post_popularity
+FROM pairs LEFT JOIN m ON m.user_id = pairs.user_id AND m.post_id = pairs.post_id
+LEFT JOIN tot ON tot.user_id = pairs.user_id LEFT JOIN posts po ON po.post_id = pairs.post_id""",
+                                    "posts", "comments", "interactions"),
+    "interest_keywords": with_fixtures(f"""
+WITH {_SEGS}
+SELECT people.user_id, COALESCE('[' || string_agg('"' || top.word || '"', ', ' ORDER BY top.rn) || ']', '[]')
+         AS interests
+FROM people LEFT JOIN top ON top.user_id = people.user_id
+WHERE people.user_id IS NOT NULL
+GROUP BY people.user_id""", "posts", "comments"),
+    "hashed_ids": with_fixtures("""
+SELECT user_id, 'user_' || substring(md5(username), 1, 12) AS seed_user_id,
+       'user_' || substring(md5(lower(regexp_replace(username, '^\\s+|\\s+$', '', 'g'))), 1, 12) AS web_user_id,
+       lower(username) = lower(upper(username)) AS name_matches_upper
+FROM users""", "users"),
+    "tag_display": with_fixtures("""
+SELECT post_id, array_to_string(list_concat(
+         CASE WHEN tags IS NULL OR tags = '' THEN [] ELSE list_filter(list_transform(
+              string_split_regex(tags, '[,|\\s]+'), lambda s: trim(s)), lambda s: length(s) > 2)[1:8] END,
+         CASE WHEN categories IS NULL OR categories = '' THEN [] ELSE list_filter(list_transform(
+              string_split_regex(categories, '[,|\\s]+'), lambda s: trim(s)), lambda s: length(s) > 2)[1:8] END
+       )[1:8], ' ') AS display_tags
+FROM posts""", "posts"),
+    "list_parse": with_fixtures("""
+SELECT user_id, array_to_string(kw, ', ') AS kw_text, len(kw) AS kw_count FROM (
+  SELECT user_id, CASE WHEN json_valid(interest_keywords) AND json_type(interest_keywords) = 'ARRAY'
+                       THEN json_transform(interest_keywords, '["VARCHAR"]') ELSE [] END AS kw FROM users)""",
+                                "users"),
+})
