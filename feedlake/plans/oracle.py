@@ -444,3 +444,51 @@ SELECT user_id, array_to_string(kw, ', ') AS kw_text, len(kw) AS kw_count FROM (
                        THEN json_transform(interest_keywords, '["VARCHAR"]') ELSE [] END AS kw FROM users)""",
                                 "users"),
 })
+
+# --- streaming: the final state equals a batch computation over the same feed --------
+_SI = """si AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id,
+              CASE WHEN event_id % 97 <> 0 THEN CAST(post_id AS VARCHAR) END AS post_id,
+              epoch_ms(TRY_CAST(occurred_at_raw AS TIMESTAMP)) AS ts_ms FROM interactions)"""
+_TREND = "SELECT post_id, CAST(count(*) AS DOUBLE) AS score FROM si WHERE post_id IS NOT NULL GROUP BY post_id"
+_VIEWS = """SELECT user_id, post_id, pos FROM (
+  SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, post_id DESC) - 1 AS pos
+  FROM si WHERE post_id IS NOT NULL) WHERE pos < 100"""
+_META_FIELDS = [("post_id", "CAST(post_id AS VARCHAR)"), ("author_id", "CAST(author_id AS VARCHAR)"),
+                ("title", "COALESCE(title, '')"), ("canonical_url", "COALESCE(canonical_url, '')"),
+                ("body_text", "COALESCE(body_text, '')"), ("excerpt", "COALESCE(excerpt, '')"),
+                ("categories", "COALESCE(categories, '')"), ("tags", "COALESCE(tags, '')"),
+                ("published_at_raw", "COALESCE(published_at_raw, '')"),
+                ("comments_count", "CAST(comments_count AS VARCHAR)")]
+_META = "\nUNION ALL ".join(
+    f"SELECT CAST(post_id AS VARCHAR) AS post_id, '{f}' AS field, {e} AS value FROM posts" for f, e in _META_FIELDS)
+_SCORES = """SELECT CAST(post_id AS VARCHAR) AS post_id, CAST(score AS DOUBLE) AS score FROM (
+  SELECT post_id, CASE WHEN post_id % 7 <> 0 AND pub IS NOT NULL THEN pub
+                       WHEN post_id % 26 <> 0 THEN 1700000000000 + post_id END AS score
+  FROM (SELECT post_id, epoch_ms(CAST(published_at_raw AS TIMESTAMP)) AS pub FROM posts)) WHERE score IS NOT NULL"""
+_OUTCOMES = """SELECT outcome, count(*) AS n FROM (
+  SELECT CASE WHEN event_id % 97 <> 0 THEN 'INTERACTION' ELSE 'IGNORED' END AS outcome FROM interactions
+  UNION ALL SELECT CASE WHEN (post_id % 7 <> 0 AND published_at_raw IS NOT NULL) OR post_id % 26 <> 0
+                        THEN 'POST_WITH_SCORE' ELSE 'POST_WITHOUT_SCORE' END FROM posts
+  UNION ALL SELECT 'IGNORED' FROM orders
+  UNION ALL SELECT 'IGNORED' FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT 'IGNORED' FROM orders WHERE o_orderkey % 11 = 0
+  UNION ALL SELECT 'MALFORMED' FROM pages) GROUP BY outcome"""
+_LANDED = f"""WITH {ORDER_EVENTS},
+r AS (SELECT 'interactions' AS tbl, 'c' AS op, epoch_ms(TRY_CAST(occurred_at_raw AS TIMESTAMP)) AS t FROM interactions
+      UNION ALL SELECT 'posts', 'c', COALESCE(epoch_ms(CAST(published_at_raw AS TIMESTAMP)),
+                                             CASE WHEN post_id % 26 <> 0 THEN 1700000000000 + post_id END) FROM posts
+      UNION ALL SELECT 'orders', ev.op, o.ts0 + ev.step * 1000 FROM ev JOIN o ON ev.k = o.k)
+SELECT 'socialrec_cdc_public_' || tbl AS topic, op, count(*) AS n_records
+FROM r GROUP BY ALL"""
+
+SQL.update({
+    "trending_state": with_fixtures(f"WITH {_SI}\n{_TREND}", "interactions"),
+    "trending_topn": with_fixtures(f"WITH {_SI}\n{_TREND} ORDER BY score DESC, post_id DESC LIMIT 11",
+                                   "interactions"),
+    "recent_views": with_fixtures(f"WITH {_SI}\n{_VIEWS}", "interactions"),
+    "recent_views_read": with_fixtures(f"WITH {_SI}\nSELECT * FROM ({_VIEWS}) WHERE pos < 11", "interactions"),
+    "coldstart_meta": with_fixtures(_META, "posts"),
+    "coldstart_scores": with_fixtures(_SCORES, "posts"),
+    "event_outcomes": with_fixtures(_OUTCOMES, "interactions", "posts"),
+    "raw_landing": with_fixtures(_LANDED, "interactions", "posts"),
+})

@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from feedlake import schemas as S
 
 LAYOUTS = ("topics", "raw-cdc", "bronze")
-TOPIC_PREFIX = "postgres.public."
-RAW_TOPIC_PREFIX = "socialrec_cdc_public_"
+TOPIC_PREFIX = "postgres.public."       # topic sink (S9) topics
+RAW_TOPIC = "socialrec_cdc.public."     # raw lander (S8) topics
 
 
 def topic_name(table: str) -> str:
@@ -37,6 +37,9 @@ def safe_topic(topic: str) -> str:
     return topic.replace(".", "_")
 
 
+RAW_TOPIC_PREFIX = safe_topic(RAW_TOPIC)
+
+
 # S3 -------------------------------------------------------------------------
 def build_input_path(root: str, layout: str, table: str) -> str:
     root = root.rstrip("/")
