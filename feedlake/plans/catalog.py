@@ -328,3 +328,46 @@ def q_raw_landing(spark, d):
     LD.land(text_values(spark, f"{work}/in/drop*"), f"{work}/out", f"{work}/ckpt")
     landed = LD.read_landed(spark, f"{work}/out")
     return landed.groupBy("topic", "op").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+# --- vectors -------------------------------------------------------------------------
+from feedlake.operators import vectors as VE  # noqa: E402
+
+FIXTURE_VECTOR_DIM = 64   # width of the given `embeddings` table
+
+
+@register("user_text")
+def q_user_text(spark, d):
+    """The text a user is encoded from."""
+    return VE.user_text(FX.users(spark, d))
+
+
+@register("post_text")
+def q_post_text(spark, d):
+    """The text a post is encoded from."""
+    return VE.post_text(FX.posts(spark, d))
+
+
+@register("l2_normalize")
+def q_l2_normalize(spark, d):
+    """Unit-length float32 vectors with their original norm."""
+    v = FX.vectors(spark, d)
+    return v.select("id", "label", VE.l2_norm("text_embedding").alias("norm"),
+                    VE.l2_normalize("text_embedding").alias("unit"))
+
+
+@register("embedding_mapping")
+def q_embedding_mapping(spark, d):
+    """Post id -> image flag and image vector (zeros when missing)."""
+    media = FX.post_media(spark, d)
+    pf = (FX.posts(spark, d).select("post_id").join(FE.post_image(media), "post_id", "left")
+          .withColumn("has_image", F.col("object_key").isNotNull()))
+    return VE.image_vectors(pf, media, FX.vectors(spark, d), FIXTURE_VECTOR_DIM)
+
+
+@register("text_encode")
+def q_text_encode(spark, d):
+    """E3 (rows-only): every post's text encoded by the default encoder."""
+    enc = VE.hashing_encoder(VE.post_text(FX.posts(spark, d)))
+    return enc.select("post_id", F.size("text_embedding").alias("dim"),
+                      VE.l2_norm("text_embedding").alias("norm"), "text_embedding")

@@ -492,3 +492,40 @@ SQL.update({
     "event_outcomes": with_fixtures(_OUTCOMES, "interactions", "posts"),
     "raw_landing": with_fixtures(_LANDED, "interactions", "posts"),
 })
+
+# --- vectors -----------------------------------------------------------------
+_F4 = """CASE WHEN {c} IS NULL OR {c} = '' THEN []
+            WHEN json_valid({c}) AND json_type({c}) = 'ARRAY' THEN json_transform({c}, '["VARCHAR"]')
+            ELSE list_filter(list_transform(string_split(trim({c}, '[]'), ''' '''), lambda s: trim(s, ''' "''')),
+                             lambda s: s <> '') END"""
+_NORM = "sqrt(list_reduce(list_transform({v}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), lambda a, b: a + b))"
+_UNIT = ("list_transform({v}, lambda x: CAST(CASE WHEN " + _NORM.format(v="{v}") +
+         " > 0 THEN CAST(x AS DOUBLE) / " + _NORM.format(v="{v}") + " ELSE 0.0 END AS FLOAT))")
+
+SQL.update({
+    "user_text": with_fixtures("""
+SELECT CAST(user_id AS VARCHAR) AS user_id,
+       array_to_string(CASE WHEN json_valid(interest_keywords) AND json_type(interest_keywords) = 'ARRAY'
+                            THEN json_transform(interest_keywords, '["VARCHAR"]') ELSE [] END, ' ') AS text
+FROM users""", "users"),
+    "post_text": with_fixtures(f"""
+SELECT CAST(post_id AS VARCHAR) AS post_id,
+       concat_ws(' ', COALESCE(title, ''), substring(COALESCE(body_text, ''), 1, 512),
+                 array_to_string({_F4.format(c='tags')}, ' '), array_to_string({_F4.format(c='categories')}, ' '))
+         AS text
+FROM posts""", "posts"),
+    "l2_normalize": f"""
+SELECT CAST(vec_id AS VARCHAR) AS id, label, {_NORM.format(v='embedding')} AS norm,
+       {_UNIT.format(v='embedding')} AS unit
+FROM embeddings""",
+    "embedding_mapping": with_fixtures(f"""
+WITH img AS (SELECT post_id, max(object_key) AS object_key FROM post_media GROUP BY post_id),
+pm AS (SELECT p.post_id, img.object_key IS NOT NULL AS has_image, e.embedding AS emb
+       FROM posts p LEFT JOIN img ON img.post_id = p.post_id
+       LEFT JOIN post_media m ON m.post_id = img.post_id AND m.object_key = img.object_key
+       LEFT JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = CAST(m.media_id AS VARCHAR))
+SELECT CAST(post_id AS VARCHAR) AS post_id, has_image,
+       CASE WHEN has_image AND emb IS NOT NULL THEN {_UNIT.format(v='emb')}
+            ELSE list_transform(range(64), lambda i: CAST(0.0 AS FLOAT)) END AS image_embedding
+FROM pm""", "posts", "post_media"),
+})
