@@ -371,3 +371,30 @@ def q_text_encode(spark, d):
     enc = VE.hashing_encoder(VE.post_text(FX.posts(spark, d)))
     return enc.select("post_id", F.size("text_embedding").alias("dim"),
                       VE.l2_norm("text_embedding").alias("norm"), "text_embedding")
+
+
+# --- raw post rows and comment extraction ------------------------------------------------
+from feedlake.operators import comments as CM  # noqa: E402
+from feedlake.sources import raw_posts as RP  # noqa: E402
+
+
+@register("comment_tree")
+def q_comment_tree(spark, d):
+    """N1, N3 (+ N2 through the dispatch), F21: comments of every raw post row."""
+    return CM.comment_rows(RP.raw_posts(spark, d))
+
+
+@register("comment_repr_rows")
+def q_comment_repr_rows(spark, d):
+    """Comments of the rows whose cell is Python-repr text."""
+    raw = RP.raw_posts(spark, d)
+    key = F.coalesce(F.col("url"), F.concat(F.col("title"), F.col("index").cast("string")))
+    keyed = raw.select(X.make_id("post", key).alias("post_id"), "comments").filter(
+        F.try_parse_json("comments").isNull())
+    return CM.comments_from_repr(keyed, "post_id", "comments").select(*CM.COMMENT_COLUMNS)
+
+
+@register("post_rows")
+def q_post_rows(spark, d):
+    """Staging post rows from raw dataset rows."""
+    return CM.post_rows(RP.raw_posts(spark, d))

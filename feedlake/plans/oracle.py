@@ -529,3 +529,65 @@ SELECT CAST(post_id AS VARCHAR) AS post_id, has_image,
             ELSE list_transform(range(64), lambda i: CAST(0.0 AS FLOAT)) END AS image_embedding
 FROM pm""", "posts", "post_media"),
 })
+
+# --- raw posts and comment extraction --------------------------------------------
+_RAW = """
+th AS (SELECT c0.conv_id, c0.turn AS t, c0.text AS x0, c1.text AS x1, c2.text AS x2
+       FROM conversations c0
+       LEFT JOIN conversations c1 ON c1.conv_id = c0.conv_id AND c1.turn = c0.turn + 1
+       LEFT JOIN conversations c2 ON c2.conv_id = c0.conv_id AND c2.turn = c0.turn + 2
+       WHERE c0.turn % 3 = 0),
+raw AS (SELECT th.*, th.t // 3 AS thread, th.conv_id * 1000 + th.t // 3 AS idx,
+               COALESCE(substring(d.text, 1, 40), 'untitled') || ' #' || CAST(th.t // 3 AS VARCHAR) AS title,
+               pg.url, d.text AS content, d.source, d.lang,
+               (th.conv_id + th.t // 3) % 2 = 0 AS is_json
+        FROM th LEFT JOIN documents d ON d.doc_id = th.conv_id LEFT JOIN pages pg ON pg.page_id = th.conv_id),
+keyed AS (SELECT *, 'post_' || substring(md5(COALESCE(url, title || CAST(idx AS VARCHAR))), 1, 12) AS post_id
+          FROM raw)"""
+
+
+def _turn_iso(k: int) -> str:
+    return (f"strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER)) "
+            f"+ to_minutes(CAST((t + {k}) * 7 AS INTEGER)) + to_seconds(CAST((t + {k}) * 5 % 60 AS INTEGER)), "
+            f"'%Y-%m-%dT%H:%M:%S')")
+
+
+def _who(k: int) -> str:
+    return f"'user_' || CAST((conv_id * 7 + t + {k}) % 150 AS VARCHAR)"
+
+
+def _cid(k: int) -> str:
+    return f"'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(t + {k} AS VARCHAR)"
+
+
+_EXPECTED = "\nUNION ALL ".join(
+    f"""SELECT post_id, is_json, {k} AS k, {_who(k)} AS username,
+       {"CASE WHEN is_json THEN post_id || '_2_' || " + _who(k) + " ELSE " + _cid(k) + " END" if k == 2 else _cid(k)}
+         AS raw_id, x{k} AS comment_text, {_turn_iso(k)} AS comment_time,
+       {"''" if k == 0 else _cid(k - 1)} AS parent_comment_id
+FROM keyed WHERE x{k} IS NOT NULL""" for k in range(3))
+
+_COMMENTS_OUT = """SELECT 'comment_' || substring(md5(raw_id), 1, 12) AS comment_id, post_id,
+       'user_' || substring(md5(username), 1, 12) AS user_id, username, comment_text, comment_time,
+       parent_comment_id FROM expected"""
+
+SQL.update({
+    "comment_tree": f"WITH {_RAW},\nexpected AS ({_EXPECTED})\n{_COMMENTS_OUT}",
+    "comment_repr_rows": f"WITH {_RAW},\nexpected AS ({_EXPECTED})\n{_COMMENTS_OUT} WHERE NOT is_json",
+    "post_rows": f"""WITH {_RAW}
+SELECT post_id, title, 'user_' || substring(md5('author_' || CAST(conv_id % 150 AS VARCHAR)), 1, 12) AS author_id,
+       'author_' || CAST(conv_id % 150 AS VARCHAR) AS author, COALESCE(url, '') AS url,
+       COALESCE(content, '') AS content, '' AS excerpt, COALESCE('["' || source || '"]', '') AS categories,
+       COALESCE('["' || lang || '"]', '') AS tags,
+       CASE WHEN thread % 2 = 0
+            THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER)), '%Y-%m-%d')
+            ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER))
+                          + to_minutes(7) + to_seconds(5), '%Y-%m-%d') END AS published_at,
+       CAST((x0 IS NOT NULL)::INT + (x1 IS NOT NULL)::INT + (x2 IS NOT NULL)::INT AS INTEGER) AS comments_count,
+       COALESCE(url, '') AS image_url,
+       CASE WHEN url LIKE 'http%' THEN post_id || '.' ||
+            CASE WHEN lower(string_split(split_part(url, '?', 1), '.')[-1]) IN ('jpg', 'jpeg', 'png', 'webp')
+                 THEN lower(string_split(split_part(url, '?', 1), '.')[-1]) ELSE 'jpg' END
+            ELSE '' END AS image_path
+FROM keyed""",
+})
