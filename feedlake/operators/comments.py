@@ -91,7 +91,10 @@ def flatten_comment_objects(df: DataFrame, post_id: str, comments: str,
                             max_depth: int = MAX_DEPTH) -> DataFrame:
     """One output row per comment object, in depth-first pre-order."""
     cur = with_comment_nodes(df, comments, max_depth)
-    exploded = cur.select("*", F.posexplode("_nodes").alias("_i", "_n")).drop("_nodes")
+    # the outer form: for plain explode Spark infers `size(_nodes) > 0` and
+    # pushes it below the level projections, inlining the whole tree walk
+    exploded = (cur.select("*", F.posexplode_outer("_nodes").alias("_i", "_n")).drop("_nodes")
+                .filter(F.col("_i").isNotNull()))
     i = F.col("_i").cast("string")
     pid = F.col(post_id).cast("string")
     username = F.coalesce(F.col("_n.username"), F.concat(F.lit("anonymous_"), i))

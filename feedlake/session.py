@@ -20,11 +20,6 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.parquet.compression.codec": "snappy",
-    # Nested-column aliasing through Generate rewrites `explode(nodes).field`
-    # into one copy of the (higher-order, interpreted) `nodes` expression per
-    # field; the comment-tree extraction ran 6x slower with it.  Our tables are
-    # flat, so nothing is lost (parquet nested *schema* pruning stays on).
-    "spark.sql.optimizer.expression.nestedPruning.enabled": "false",
 }
 
 
