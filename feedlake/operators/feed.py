@@ -99,8 +99,9 @@ def newest_comments(comments: DataFrame, users: DataFrame, per_post: int,
     comment_id desc), with the commenter's name.  `row_number() <= n` plans a
     partial WindowGroupLimit before the shuffle, so a post with a huge thread
     ships at most n rows per task."""
-    c = comments if post_ids is None else comments.join(F.broadcast(post_ids.select("post_id")),
-                                                        "post_id", "left_semi")
+    # a caller-supplied id list has no size bound here: AQE decides whether
+    # to broadcast it at runtime (feed_with_comments passes its bounded page)
+    c = comments if post_ids is None else comments.join(post_ids.select("post_id"), "post_id", "left_semi")
     named = c.join(users.select("user_id", "username"), "user_id", "inner")
     w = Window.partitionBy("post_id").orderBy(F.col("commented_at_raw").desc_nulls_last(),
                                               F.col("comment_id").desc())
@@ -127,7 +128,8 @@ def feed_with_comments(page: DataFrame, comments: DataFrame, users: DataFrame,
                        limit_per_post: int = S.FEED_COMMENTS_PER_POST) -> DataFrame:
     """The API shape: each page row with its newest comments as an array
     (at most `limit_per_post` per post, so the collect is bounded)."""
-    tc = top_comments(comments, users, page.select("post_id"), limit_per_post)
+    ids = F.broadcast(page.select("post_id"))  # the page: at most FEED_MAX_LIMIT rows
+    tc = top_comments(comments, users, ids, limit_per_post)
     nested = tc.groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct(
         "rank", "comment_id", "user_id", "username", "body_text", "commented_at"))).alias("comments"))
     return page.join(nested, "post_id", "left").withColumn(

@@ -114,24 +114,29 @@ def _relative_object_name(root: str) -> Column:
 
 def load_raw_events(spark: SparkSession, root: str, table: str, layout: str,
                     row_schema: T.StructType) -> DataFrame:
-    """Read one table's change events as envelopes + ``_object_name``."""
+    """Read one table's change events as envelopes + ``_object_name``.
+
+    ``before``/``after`` are read as raw JSON text and parsed with the row
+    schema (C1), so nested objects and JSON-encoded text both load."""
     path = build_input_path(root, layout, table)
+    text_rows = {"before", "after"}
     if layout == "raw-cdc":
-        schema = T.StructType([f if f.name not in ("before", "after") else T.StructField(f.name, row_schema)
-                               for f in S.RAW_RECORD_SCHEMA.fields])
+        schema = S.RAW_RECORD_SCHEMA
     else:
-        schema = S.envelope_schema(row_schema)
+        schema = T.StructType([f if f.name not in text_rows else T.StructField(f.name, T.StringType())
+                               for f in S.envelope_schema(row_schema).fields])
     raw = (spark.read.schema(schema).option("multiLine", "false").option("recursiveFileLookup", "true")
            .json(path).withColumn("_object_name", _relative_object_name(root)))
+    before, after = F.from_json("before", row_schema), F.from_json("after", row_schema)
     if layout == "raw-cdc":
         # The raw record names the event time `event_ts_ms` and carries the
         # source fields flat; map them back onto the envelope.
-        raw = raw.select(
-            "op", F.col("event_ts_ms").alias("ts_ms"), "before", "after",
+        return raw.select(
+            "op", F.col("event_ts_ms").alias("ts_ms"), before.alias("before"), after.alias("after"),
             F.struct(F.col("schema").alias("schema"), F.col("table").alias("table"),
                      F.col("source_ts_ms").alias("ts_ms")).alias("source"),
             "_object_name")
-    return raw
+    return raw.withColumn("before", before).withColumn("after", after)
 
 
 # fixture: orders change events -------------------------------------------------------

@@ -46,8 +46,8 @@ def raw_records(values: DataFrame) -> DataFrame:
         F.try_variant_get(e, "$.source.snapshot", "string").alias("snapshot"),
         F.try_variant_get(e, "$.source.txId", "long").alias("tx_id"),
         F.try_variant_get(e, "$.source.lsn", "long").alias("lsn"),
-        F.to_json(F.try_variant_get(e, "$.before", "variant")).alias("before"),
-        F.to_json(F.try_variant_get(e, "$.after", "variant")).alias("after"),
+        F.try_variant_get(e, "$.before", "variant").alias("before"),
+        F.try_variant_get(e, "$.after", "variant").alias("after"),
         F.date_format(ts, "yyyy-MM-dd").alias("date"),
         F.date_format(ts, "yyyy").alias("year"), F.date_format(ts, "MM").alias("month"),
         F.date_format(ts, "dd").alias("day"), F.date_format(ts, "HH").alias("hour"),
