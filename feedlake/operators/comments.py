@@ -4,9 +4,9 @@ A post's comments arrive as one text cell: a JSON list of comment objects
 with nested ``replies`` (N1), or the Python-repr text of such a list (N2).
 Everything here is a narrow, per-row transformation — no shuffle:
 
-* N1 parses the cell once as VARIANT and expands the tree level by level
-  with higher-order functions (each level is its own projected column), up
-  to ``max_depth``; a deeper tree raises an error instead of losing rows.
+* N1 parses the cell once as VARIANT and walks the tree level by level with
+  one ``aggregate`` (frontier -> children), up to ``max_depth`` levels; a
+  deeper tree raises an error instead of losing rows.
   Nested lists are spliced in place; non-object items are skipped.
   Sorting node paths gives the depth-first pre-order and its running index.
 * N2 runs one regex over the cell (five capture groups, zipped) and decodes
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from feedlake.functions import text as X
 
-MAX_DEPTH = 16
+MAX_DEPTH = 64
 SPLICE_ROUNDS = 2
 
 _VARRAY = T.ArrayType(T.VariantType())
@@ -65,26 +65,40 @@ def _node_fields(node: Column) -> list[Column]:
     return out
 
 
+_STEP_TYPE = T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.IntegerType())),
+                                         T.StructField("node", T.VariantType())]))
+
+
 def with_comment_nodes(df: DataFrame, comments: str, max_depth: int = MAX_DEPTH,
                        out: str = "_nodes") -> DataFrame:
     """Add ``out``: the cell's comment objects as (path, fields) structs in
-    depth-first pre-order (empty unless the cell is JSON)."""
+    depth-first pre-order (empty unless the cell is JSON).
+
+    The walk is one ``aggregate`` over ``sequence(1, max_depth + 1)`` whose
+    state is (frontier, collected): each step collects the frontier and
+    replaces it by its children.  The step is written once, so the plan does
+    not grow with the depth cap; a frontier left after the last step means a
+    deeper tree, which raises instead of dropping comments."""
     root = F.try_parse_json(F.col(comments))
-    cur = df.withColumn("_l0", F.transform(_items(root), lambda x, i: F.struct(
-        F.array(i).alias("path"), x.alias("node"))))
-    for k in range(1, max_depth + 1):
-        prev = f"_l{k - 1}"
-        cur = cur.withColumn(f"_l{k}", F.flatten(F.transform(F.col(prev), lambda p: F.transform(
+    first = F.transform(_items(root), lambda x, i: F.struct(F.array(i).alias("path"), x.alias("node")))
+    init = F.struct(first.cast(_STEP_TYPE).alias("frontier"), F.array().cast(_STEP_TYPE).alias("seen"))
+
+    def step(acc, _):
+        frontier = acc.getField("frontier")
+        children = F.flatten(F.transform(frontier, lambda p: F.transform(
             _children(p.getField("node")), lambda c, j: F.struct(
-                F.concat(p.getField("path"), F.array(j)).alias("path"), c.alias("node"))))))
-    deepest = F.col(f"_l{max_depth}")
-    too_deep = F.exists(deepest, lambda p: F.size(_children(p.getField("node"))) > 0)
-    levels = [F.col(f"_l{k}") for k in range(max_depth + 1)]
-    nodes = F.transform(F.concat(*levels), lambda p: F.struct(p.getField("path").alias("path"),
-                                                               *_node_fields(p.getField("node"))))
+                F.concat(p.getField("path"), F.array(j)).alias("path"), c.alias("node")))))
+        return F.struct(children.cast(_STEP_TYPE).alias("frontier"),
+                        F.concat(acc.getField("seen"), frontier).alias("seen"))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth + 1)), init, step)
+    cur = df.withColumn("_walk", walked)
+    nodes = F.transform(F.col("_walk.seen"), lambda p: F.struct(p.getField("path").alias("path"),
+                                                                 *_node_fields(p.getField("node"))))
+    too_deep = F.size(F.col("_walk.frontier")) > 0
     cur = cur.withColumn(out, F.when(too_deep, F.raise_error(F.lit(
         f"comment tree deeper than {max_depth} levels"))).otherwise(F.array_sort(nodes)))
-    return cur.drop(*[f"_l{k}" for k in range(max_depth + 1)])
+    return cur.drop("_walk")
 
 
 def flatten_comment_objects(df: DataFrame, post_id: str, comments: str,
