@@ -80,10 +80,11 @@ def change_lines(spark: SparkSession, base: str) -> DataFrame:
             .unionByName(order_changes(spark, base)).unionByName(malformed(spark, base)))
 
 
-def land_lines(spark: SparkSession, base: str, folder: str, drops: tuple[int, ...] = (0, 1)) -> list[str]:
+def land_lines(spark: SparkSession, base: str, folder: str, drops: tuple[int, ...] = (0, 1),
+               lines: DataFrame | None = None) -> list[str]:
     """Write the lines as text drops: 0 = arrivals before SPLIT_AT (or
     without a time), 1 = the rest.  Returns the folders written."""
-    lines = change_lines(spark, base)
+    lines = lines if lines is not None else change_lines(spark, base)
     cut = F.unix_millis(F.lit(SPLIT_AT).cast("timestamp"))
     first = F.col("arrival_ms").isNull() | (F.col("arrival_ms") < cut)
     out = []
@@ -92,3 +93,10 @@ def land_lines(spark: SparkSession, base: str, folder: str, drops: tuple[int, ..
         lines.filter(first if i == 0 else ~first).select("value").write.mode("overwrite").text(path)
         out.append(path)
     return out
+
+
+def land_all(spark: SparkSession, base: str, folder: str) -> str:
+    """Write every line as one text drop (one job)."""
+    path = f"{folder.rstrip('/')}/drop0"
+    change_lines(spark, base).select("value").write.mode("overwrite").text(path)
+    return path
