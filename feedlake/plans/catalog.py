@@ -353,12 +353,22 @@ def q_post_text(spark, d):
     return VE.post_text(FX.posts(spark, d))
 
 
+def _vector_summary(col: str, prefix: str):
+    """Exact scalar view of a float vector for the DuckDB check: width, L2
+    norm, sum and first component (all from the float32 values)."""
+    v = F.col(col)
+    return [F.size(v).alias(f"{prefix}_dim"), VE.l2_norm(v).alias(f"{prefix}_norm"),
+            F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).alias(f"{prefix}_sum"),
+            F.element_at(v, 1).cast("double").alias(f"{prefix}_first")]
+
+
 @register("l2_normalize")
 def q_l2_normalize(spark, d):
-    """Unit-length float32 vectors with their original norm."""
+    """Unit-length float32 vectors (shown by width, norm, sum, first value)."""
     v = FX.vectors(spark, d)
-    return v.select("id", "label", VE.l2_norm("text_embedding").alias("norm"),
+    unit = v.select("id", "label", VE.l2_norm("text_embedding").alias("norm"),
                     VE.l2_normalize("text_embedding").alias("unit"))
+    return unit.select("id", "label", "norm", *_vector_summary("unit", "unit"))
 
 
 @register("embedding_mapping")
@@ -367,7 +377,8 @@ def q_embedding_mapping(spark, d):
     media = FX.post_media(spark, d)
     pf = (FX.posts(spark, d).select("post_id").join(FE.post_image(media), "post_id", "left")
           .withColumn("has_image", F.col("object_key").isNotNull()))
-    return VE.image_vectors(pf, media, FX.vectors(spark, d), FIXTURE_VECTOR_DIM)
+    img = VE.image_vectors(pf, media, FX.vectors(spark, d), FIXTURE_VECTOR_DIM)
+    return img.select("post_id", "has_image", *_vector_summary("image_embedding", "image"))
 
 
 @register("text_encode")

@@ -127,7 +127,7 @@ SELECT u.user_id, u.username, u.account_type, u.authored_posts_count, u.comments
        array_to_string(CASE WHEN json_valid(u.interest_keywords) AND json_type(u.interest_keywords) = 'ARRAY'
                             THEN json_transform(u.interest_keywords, '["VARCHAR"]') ELSE [] END, ', ')
          AS interest_kw_text,
-       datediff('day', u.joined_on, DATE '2026-05-18') AS tenure_days,
+       CAST(datediff('day', u.joined_on, DATE '2026-05-18') AS INTEGER) AS tenure_days,
        COALESCE(ua.total_interactions, 0) AS total_interactions, ua.num_views, ua.num_likes,
        ua.num_comments_interaction, ua.num_saves, ua.num_shares, ua.num_follows,
        COALESCE(ua.avg_dwell_time, 0) AS avg_dwell_time, ua.num_unique_posts, ua.num_sessions,
@@ -140,7 +140,7 @@ WITH pa AS ({POST_AGG}), img AS (SELECT post_id, object_key FROM (
        FROM post_media) WHERE rn = 1)
 SELECT p.post_id, p.author_id, p.title, p.canonical_url, p.excerpt, p.categories, p.tags,
        p.published_at_raw, p.comments_count,
-       CASE WHEN p.body_text IS NOT NULL THEN len(string_split(p.body_text, ' ')) END AS body_word_count,
+       CASE WHEN p.body_text IS NOT NULL THEN CAST(len(string_split(p.body_text, ' ')) AS INTEGER) END AS body_word_count,
        {POST_ENG_COLS.replace('pa.post_id, ', '')},
        img.object_key, img.object_key IS NOT NULL AS has_image
 FROM posts p LEFT JOIN pa USING (post_id) LEFT JOIN img USING (post_id)"""
@@ -149,7 +149,7 @@ INTERACTION_LABELS = f"""
 WITH i AS (SELECT *, TRY_CAST(occurred_at_raw AS TIMESTAMP) AS occurred_at, {_LABEL} AS label
            FROM interactions),
 latest AS (SELECT * FROM (SELECT user_id, post_id, event_id, interaction_type,
-                  hour(occurred_at) AS hour_of_day, dayofweek(occurred_at) AS day_of_week,
+                  CAST(hour(occurred_at) AS INTEGER) AS hour_of_day, CAST(dayofweek(occurred_at) AS INTEGER) AS day_of_week,
                   device_type, source_surface, occurred_at,
                   row_number() OVER (PARTITION BY user_id, post_id
                                      ORDER BY occurred_at DESC NULLS LAST, event_id DESC) AS rn
@@ -439,7 +439,7 @@ SELECT post_id, array_to_string(list_concat(
        )[1:8], ' ') AS display_tags
 FROM posts""", "posts"),
     "list_parse": with_fixtures("""
-SELECT user_id, array_to_string(kw, ', ') AS kw_text, len(kw) AS kw_count FROM (
+SELECT user_id, array_to_string(kw, ', ') AS kw_text, CAST(len(kw) AS INTEGER) AS kw_count FROM (
   SELECT user_id, CASE WHEN json_valid(interest_keywords) AND json_type(interest_keywords) = 'ARRAY'
                        THEN json_transform(interest_keywords, '["VARCHAR"]') ELSE [] END AS kw FROM users)""",
                                 "users"),
@@ -499,6 +499,9 @@ _F4 = """CASE WHEN {c} IS NULL OR {c} = '' THEN []
             ELSE list_filter(list_transform(string_split(trim({c}, '[]'), ''' '''), lambda s: trim(s, ''' "''')),
                              lambda s: s <> '') END"""
 _NORM = "sqrt(list_reduce(list_transform({v}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), lambda a, b: a + b))"
+_SUMMARY = ("CAST(len({v}) AS INTEGER) AS {p}_dim, " + _NORM.format(v="{v}") + " AS {p}_norm, "
+            "list_reduce(list_transform({v}, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b) AS {p}_sum, "
+            "CAST({v}[1] AS DOUBLE) AS {p}_first")
 _UNIT = ("list_transform({v}, lambda x: CAST(CASE WHEN " + _NORM.format(v="{v}") +
          " > 0 THEN CAST(x AS DOUBLE) / " + _NORM.format(v="{v}") + " ELSE 0.0 END AS FLOAT))")
 
@@ -515,19 +518,21 @@ SELECT CAST(post_id AS VARCHAR) AS post_id,
          AS text
 FROM posts""", "posts"),
     "l2_normalize": f"""
+SELECT id, label, norm, {_SUMMARY.format(v='unit', p='unit')} FROM (
 SELECT CAST(vec_id AS VARCHAR) AS id, label, {_NORM.format(v='embedding')} AS norm,
        {_UNIT.format(v='embedding')} AS unit
-FROM embeddings""",
+FROM embeddings)""",
     "embedding_mapping": with_fixtures(f"""
 WITH img AS (SELECT post_id, max(object_key) AS object_key FROM post_media GROUP BY post_id),
 pm AS (SELECT p.post_id, img.object_key IS NOT NULL AS has_image, e.embedding AS emb
        FROM posts p LEFT JOIN img ON img.post_id = p.post_id
        LEFT JOIN post_media m ON m.post_id = img.post_id AND m.object_key = img.object_key
        LEFT JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = CAST(m.media_id AS VARCHAR))
+SELECT post_id, has_image, {_SUMMARY.format(v='image_embedding', p='image')} FROM (
 SELECT CAST(post_id AS VARCHAR) AS post_id, has_image,
        CASE WHEN has_image AND emb IS NOT NULL THEN {_UNIT.format(v='emb')}
             ELSE list_transform(range(64), lambda i: CAST(0.0 AS FLOAT)) END AS image_embedding
-FROM pm""", "posts", "post_media"),
+FROM pm)""", "posts", "post_media"),
 })
 
 # --- raw posts and comment extraction --------------------------------------------
