@@ -131,10 +131,11 @@ def not_in_set(df: DataFrame, table: str, col: str, allowed: list[str]) -> DataF
 
 
 def null_required(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
-    parts = [df.filter(F.col(c).isNull()).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
-             .select(F.lit(c).alias("c"), "n") for c in cols]
-    allnull = reduce(DataFrame.unionByName, parts)
-    return _report(allnull, "not_null", table, F.col("c"), F.col("n"))
+    """NOT NULL: one pass counts the nulls of every column, then unpivots."""
+    counts = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols])
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("n"))
+                                              for c in cols])).alias("x")).select("x.c", "x.n")
+    return _report(long.filter(F.col("n") > 0), "not_null", table, F.col("c"), F.col("n"))
 
 
 def quality_report(users: DataFrame, posts: DataFrame, post_media: DataFrame, comments: DataFrame,
