@@ -112,3 +112,14 @@ def interest_keywords(posts: DataFrame, comments: DataFrame, people: DataFrame |
     people = people if people is not None else all_people(posts, comments)
     return people.join(lists.select("user_id", text.alias("interests")), "user_id", "left").select(
         "user_id", F.coalesce(F.col("interests"), F.lit("[]")).alias("interests"))
+
+
+# A12 ------------------------------------------------------------------------
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Row count of each table, one row per table (one aggregate per table,
+    no data moved to the driver)."""
+    from functools import reduce
+
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+             for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -221,6 +221,14 @@ def q_interest_match(spark, d):
     return PR.interest_match(pairs, prof, posts)
 
 
+@register("table_counts")
+def q_table_counts(spark, d):
+    """Row counts of the core tables."""
+    return PR.table_counts({"users": FX.users(spark, d), "posts": FX.posts(spark, d),
+                            "comments": FX.comments(spark, d), "interactions": FX.interactions(spark, d),
+                            "post_media": FX.post_media(spark, d)})
+
+
 @register("interest_keywords")
 def q_interest_keywords(spark, d):
     """First ten interest words per author/commenter."""

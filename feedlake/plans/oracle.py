@@ -596,3 +596,10 @@ SELECT post_id, title, 'user_' || substring(md5('author_' || CAST(conv_id % 150
             ELSE '' END AS image_path
 FROM keyed""",
 })
+
+SQL["table_counts"] = with_fixtures("""
+SELECT 'users' AS table_name, count(*) AS n_rows FROM users
+UNION ALL SELECT 'posts', count(*) FROM posts
+UNION ALL SELECT 'comments', count(*) FROM comments
+UNION ALL SELECT 'interactions', count(*) FROM interactions
+UNION ALL SELECT 'post_media', count(*) FROM post_media""", *ALL_FIXTURES)

@@ -161,6 +161,17 @@ def test_csv_staging_round_trip(spark):
     assert back.first().comment_time is None or back.first().comment_time == ""
 
 
+def test_cascade_prune_and_rejects(spark):
+    """J10 as a batch rule; P2 side output."""
+    from feedlake.operators import staging as ST
+
+    posts = spark.createDataFrame([(1,), (2,)], "post_id long")
+    media = spark.createDataFrame([(10, 1), (11, 3), (12, None)], "media_id long, post_id long")
+    assert sorted(one(ST.cascade_prune(media, "post_id", posts, "post_id"), "media_id")) == [10]
+    staged = spark.createDataFrame([("1", "a"), ("", "b"), ("3", "")], "user_id string, username string")
+    assert sorted(one(ST.rejects(staged, ["user_id", "username"]), "username")) == ["", "b"]
+
+
 # feed --------------------------------------------------------------------------------------
 def test_feed_page_limits_and_viewer(spark):
     assert FD.clamp_limit(None) == 10 and FD.clamp_limit(0) == 1 and FD.clamp_limit(99) == 20
