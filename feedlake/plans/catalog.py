@@ -163,11 +163,17 @@ def q_cdc_current_state(spark, d):
 
 @register("cdc_event_union")
 def q_cdc_event_union(spark, d):
-    """Events of two tables and two layouts in one frame."""
-    a = landed_orders(spark, d, "topics")
-    b = landed_orders(spark, d, "bronze").withColumn("op", F.col("op"))
-    u = CDC.union_events([a, b])
-    return u.select(*CDC_META, F.col("payload.o_orderkey").alias("o_orderkey"))
+    """Orders events (topic-sink layout) and interaction creates
+    (default bronze layout) in one frame; the payload structs are merged."""
+    orders = landed_orders(spark, d, "topics")
+    root = scratch_path(spark, "bronze")
+    ev = BR.interaction_create_events(spark, d)
+    BR.write_bronze(ev, root, "bronze", "interactions")
+    row = ev.schema["after"].dataType
+    inter = CDC.normalize_events(BR.load_raw_events(spark, root, "interactions", "bronze", row))
+    u = CDC.union_events([orders, inter])
+    key = F.coalesce(F.col("payload.o_orderkey"), F.col("payload.event_id"))
+    return u.select(*CDC_META, key.alias("row_key"))
 
 
 # --- feed reads --------------------------------------------------------------------

@@ -329,10 +329,14 @@ SELECT o_orderkey, o_custkey,
        'socialrec_cdc_public_orders' AS topic_name, '2024-06-01' AS object_date,
        lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') AS object_hour, false AS is_delete
 FROM s WHERE o_orderkey % 11 <> 0""",
-    "cdc_event_union": f"""WITH {ORDER_EVENTS}
-SELECT * EXCLUDE (o_orderstatus) FROM ({_normalized('postgres.public.orders')})
+    "cdc_event_union": with_fixtures(f"""WITH {ORDER_EVENTS}
+SELECT * EXCLUDE (o_orderkey, o_orderstatus), o_orderkey AS row_key FROM ({_normalized('postgres.public.orders')})
 UNION ALL
-SELECT * EXCLUDE (o_orderstatus) FROM ({_normalized('postgres.public.orders')})""",
+SELECT 'c' AS op, epoch_ms(t) AS event_ts, t AS event_ts_ms, t AS source_ts_ms, 'public' AS schema_name,
+       'interactions' AS table_name, 'postgres.public.interactions' AS topic_name, '2024-06-01' AS object_date,
+       lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') AS object_hour, false AS is_delete, event_id AS row_key
+FROM (SELECT event_id, (epoch_us(TRY_CAST(occurred_at_raw AS TIMESTAMP)) // 1000) AS t FROM interactions)""",
+                                     "interactions"),
 })
 
 # --- feed --------------------------------------------------------------------
@@ -448,7 +452,7 @@ SELECT user_id, array_to_string(kw, ', ') AS kw_text, CAST(len(kw) AS INTEGER) A
 # --- streaming: the final state equals a batch computation over the same feed --------
 _SI = """si AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id,
               CASE WHEN event_id % 97 <> 0 THEN CAST(post_id AS VARCHAR) END AS post_id,
-              epoch_ms(TRY_CAST(occurred_at_raw AS TIMESTAMP)) AS ts_ms FROM interactions)"""
+              (epoch_us(TRY_CAST(occurred_at_raw AS TIMESTAMP)) // 1000) AS ts_ms FROM interactions)"""
 _TREND = "SELECT post_id, CAST(count(*) AS DOUBLE) AS score FROM si WHERE post_id IS NOT NULL GROUP BY post_id"
 _VIEWS = """SELECT user_id, post_id, pos FROM (
   SELECT user_id, post_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, post_id DESC) - 1 AS pos
@@ -474,7 +478,7 @@ _OUTCOMES = """SELECT outcome, count(*) AS n FROM (
   UNION ALL SELECT 'IGNORED' FROM orders WHERE o_orderkey % 11 = 0
   UNION ALL SELECT 'MALFORMED' FROM pages) GROUP BY outcome"""
 _LANDED = f"""WITH {ORDER_EVENTS},
-r AS (SELECT 'interactions' AS tbl, 'c' AS op, epoch_ms(TRY_CAST(occurred_at_raw AS TIMESTAMP)) AS t FROM interactions
+r AS (SELECT 'interactions' AS tbl, 'c' AS op, (epoch_us(TRY_CAST(occurred_at_raw AS TIMESTAMP)) // 1000) AS t FROM interactions
       UNION ALL SELECT 'posts', 'c', COALESCE(epoch_ms(CAST(published_at_raw AS TIMESTAMP)),
                                              CASE WHEN post_id % 26 <> 0 THEN 1700000000000 + post_id END) FROM posts
       UNION ALL SELECT 'orders', ev.op, o.ts0 + ev.step * 1000 FROM ev JOIN o ON ev.k = o.k)

@@ -187,3 +187,24 @@ def order_change_events(spark: SparkSession, base: str) -> DataFrame:
         .alias("source"),
         F.col("e._step").alias("_step"), F.col("o_orderkey"),
     ).withColumn("landed_ms", landed).drop("_step", "o_orderkey")
+
+
+def interaction_create_events(spark: SparkSession, base: str) -> DataFrame:
+    """Create (c) events of every interaction, landed on the replay day at
+    hour event_id % 24.  Columns as ``order_change_events``."""
+    from feedlake.sources import fixtures as FX
+
+    i = FX.interactions(spark, base)
+    ts = F.unix_millis(F.to_timestamp("occurred_at_raw"))
+    row = F.struct(*[F.col(c) for c in i.columns])
+    landed = F.unix_millis(F.lit(LANDING_BASE).cast("timestamp")) + (F.col("event_id") % 24) * 3_600_000
+    return i.select(
+        F.lit("c").alias("op"), ts.alias("ts_ms"), F.lit(None).cast(row_schema_of(i)).alias("before"),
+        row.alias("after"),
+        F.struct(F.lit("public").alias("schema"), F.lit("interactions").alias("table"), ts.alias("ts_ms"))
+        .alias("source"),
+        landed.alias("landed_ms"))
+
+
+def row_schema_of(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
