@@ -428,3 +428,20 @@ def q_comment_repr_rows(spark, d):
 def q_post_rows(spark, d):
     """Staging post rows from raw dataset rows."""
     return CM.post_rows(RP.raw_posts(spark, d))
+
+
+# --- C8: silver as a stream ---------------------------------------------------------------
+from feedlake.streaming.silver import SilverStream  # noqa: E402
+
+
+@register("cdc_stream_state")
+def q_cdc_stream_state(spark, d):
+    """The orders feed streamed as a snapshot drop (r) then a changes
+    drop (u, d), folded incrementally; equals the batch current state."""
+    work = scratch_path(spark, "silver-stream")
+    lines = CF.order_changes_with_op(spark, d)
+    layer = SilverStream(spark, f"{work}/state", {"orders": S.ORDER_ROW_SCHEMA})
+    for i, ops in enumerate((["r"], ["u", "d"])):
+        lines.filter(F.col("op").isin(*ops)).select("value").write.mode("overwrite").text(f"{work}/in/drop{i}")
+        layer.run(text_values(spark, f"{work}/in/drop*"), f"{work}/ckpt")
+    return layer.state("orders")

@@ -607,3 +607,14 @@ UNION ALL SELECT 'posts', count(*) FROM posts
 UNION ALL SELECT 'comments', count(*) FROM comments
 UNION ALL SELECT 'interactions', count(*) FROM interactions
 UNION ALL SELECT 'post_media', count(*) FROM post_media""", *ALL_FIXTURES)
+
+SQL["cdc_stream_state"] = """
+WITH s AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS step FROM orders)
+SELECT o_orderkey, o_custkey,
+       CASE WHEN step = 1 THEN (CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'F' END) ELSE o_orderstatus END
+         AS o_orderstatus,
+       o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority,
+       CASE WHEN step = 1 THEN 'u' ELSE 'r' END AS op,
+       epoch_ms(o_orderdate) + step * 1000 AS event_ts_ms, epoch_ms(o_orderdate) + step * 1000 AS source_ts_ms,
+       false AS is_delete
+FROM s WHERE o_orderkey % 11 <> 0"""

@@ -100,3 +100,11 @@ def land_all(spark: SparkSession, base: str, folder: str) -> str:
     path = f"{folder.rstrip('/')}/drop0"
     change_lines(spark, base).select("value").write.mode("overwrite").text(path)
     return path
+
+
+def order_changes_with_op(spark: SparkSession, base: str) -> DataFrame:
+    """Orders change lines with their op (for snapshot-then-changes drops)."""
+    ev = order_change_events(spark, base).drop("landed_ms")
+    key = F.coalesce(F.col("after.o_orderkey"), F.col("before.o_orderkey"))
+    env = F.struct("op", "ts_ms", "before", "after", "source")
+    return ev.select(_line(env, key).alias("value"), "op")
