@@ -101,13 +101,11 @@ def with_comment_nodes(df: DataFrame, comments: str, max_depth: int = MAX_DEPTH,
     return cur.drop("_walk")
 
 
-def flatten_comment_objects(df: DataFrame, post_id: str, comments: str,
-                            max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One output row per comment object, in depth-first pre-order."""
-    cur = with_comment_nodes(df, comments, max_depth)
-    # the outer form: for plain explode Spark infers `size(_nodes) > 0` and
-    # pushes it below the level projections, inlining the whole tree walk
-    exploded = (cur.select("*", F.posexplode_outer("_nodes").alias("_i", "_n")).drop("_nodes")
+def _explode_nodes(cur: DataFrame, post_id: str, nodes: str = "_nodes") -> DataFrame:
+    """One output row per node, numbered in node order (the running index)."""
+    # the outer form: for plain explode Spark infers `size(nodes) > 0` and
+    # pushes it below the node projection, inlining the whole tree walk
+    exploded = (cur.select("*", F.posexplode_outer(nodes).alias("_i", "_n")).drop(nodes)
                 .filter(F.col("_i").isNotNull()))
     i = F.col("_i").cast("string")
     pid = F.col(post_id).cast("string")
@@ -124,6 +122,12 @@ def flatten_comment_objects(df: DataFrame, post_id: str, comments: str,
     ).drop("_i", "_n")
 
 
+def flatten_comment_objects(df: DataFrame, post_id: str, comments: str,
+                            max_depth: int = MAX_DEPTH) -> DataFrame:
+    """One output row per comment object, in depth-first pre-order."""
+    return _explode_nodes(with_comment_nodes(df, comments, max_depth), post_id)
+
+
 # N2 -------------------------------------------------------------------------
 # fixed value: the repr-text pattern (five groups: id, author, timestamp args,
 # content, parent), dot matching newlines.  The content group is written with
@@ -151,39 +155,41 @@ def decode_py_literal(col: Column) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
-def comments_from_repr(df: DataFrame, post_id: str, comments: str) -> DataFrame:
-    """One row per regex match, in text order."""
+def repr_nodes(comments: str) -> Column:
+    """N2 as nodes: one struct per regex match, in text order, with the same
+    fields as the tree nodes (an empty id falls back like a missing one)."""
     text = F.col(comments)
     groups = [F.regexp_extract_all(text, F.lit(REPR_PATTERN), g) for g in range(1, 6)]
-    zipped = F.arrays_zip(*groups)
-    cur = df.select("*", F.posexplode(zipped).alias("_i", "_m"))
-    fields = [F.col("_m").getField(str(g)) for g in range(5)]
-    raw_id, author, ts_args, content, parent = fields
-    i = F.col("_i").cast("string")
-    pid = F.col(post_id).cast("string")
-    username = decode_py_literal(author)
-    rid = F.when(raw_id != "", raw_id).otherwise(F.concat_ws("_", pid, i, username))
-    par = F.when(parent.isNull() | (parent == "None"), F.lit("")).otherwise(
-        decode_py_literal(parent.substr(F.lit(2), F.length(parent) - 2)))
-    return cur.select(
-        "*",
-        X.make_id("comment", rid).alias("comment_id"),
-        username.alias("username"),
-        X.make_id("user", username).alias("user_id"),
-        decode_py_literal(content).alias("comment_text"),
-        X.parse_datetime_repr(ts_args).alias("comment_time"),
-        par.alias("parent_comment_id"),
-    ).drop("_i", "_m")
+
+    def node(m, i):
+        raw_id, author, ts_args, content, parent = [m.getField(str(g)) for g in range(5)]
+        par = F.when(parent.isNull() | (parent == "None"), F.lit("")).otherwise(
+            decode_py_literal(parent.substr(F.lit(2), F.length(parent) - 2)))
+        return F.struct(F.array(i).alias("path"), decode_py_literal(author).alias("username"),
+                        F.nullif(raw_id, F.lit("")).alias("raw_id"), decode_py_literal(content).alias("text"),
+                        X.parse_datetime_repr(ts_args).alias("time"), par.alias("parent"))
+
+    return F.transform(F.arrays_zip(*groups), node)
+
+
+def comments_from_repr(df: DataFrame, post_id: str, comments: str) -> DataFrame:
+    """One row per regex match, in text order."""
+    return _explode_nodes(df.withColumn("_nodes", repr_nodes(comments)), post_id)
 
 
 # N3 -------------------------------------------------------------------------
 def extract_comments(df: DataFrame, post_id: str = "post_id", comments: str = "comments") -> DataFrame:
     """JSON cells go through N1, other text through N2, null cells yield
-    nothing.  Output: the input columns + the comment columns."""
-    is_json = F.try_parse_json(F.col(comments)).isNotNull()
-    as_json = flatten_comment_objects(df.filter(is_json), post_id, comments)
-    as_repr = comments_from_repr(df.filter(F.col(comments).isNotNull() & ~is_json), post_id, comments)
-    return as_json.unionByName(as_repr)
+    nothing — decided per row, then one explode (no union, one pass).
+    Output: the input columns + the comment columns."""
+    c = F.col(comments)
+    is_json = F.try_parse_json(c).isNotNull()
+    cur = with_comment_nodes(df, comments, out="_tree")
+    node_type = cur.schema["_tree"].dataType
+    nodes = (F.when(is_json, F.col("_tree"))
+             .when(c.isNotNull(), repr_nodes(comments).cast(node_type))
+             .otherwise(F.array().cast(node_type)))
+    return _explode_nodes(cur.withColumn("_nodes", nodes).drop("_tree"), post_id)
 
 
 def repr_count(comments: str = "comments") -> Column:
