@@ -81,9 +81,12 @@ def q_interaction_labels(spark, d):
 
 @register("training_pairs")
 def q_training_pairs(spark, d):
-    """J3 + P9: the flagship gold table."""
-    return FE.training_pairs(FX.users(spark, d), FX.posts(spark, d), FX.interactions(spark, d),
-                             FX.post_media(spark, d))
+    """J3 + P9: the flagship gold table.  The interaction grain is written
+    once (reliable checkpoint in the shared checkpoint dir) and read by the
+    user, post and label builders."""
+    inter = FX.interactions(spark, d)
+    grain = FE.interaction_grain(inter).checkpoint(eager=True)
+    return FE.training_pairs(FX.users(spark, d), FX.posts(spark, d), inter, FX.post_media(spark, d), grain)
 
 
 # --- staging and data quality ----------------------------------------------------
