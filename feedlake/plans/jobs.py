@@ -10,6 +10,7 @@ written once and read by the user, post and label builders.
     python -m feedlake.plans.jobs embeddings --silver DIR --gold DIR --out OUT
     python -m feedlake.plans.jobs speed --source PATH --state OUT --checkpoint CKPT
     python -m feedlake.plans.jobs land --source PATH --bronze ROOT --checkpoint CKPT
+    python -m feedlake.plans.jobs silver-stream --source PATH --state OUT --checkpoint CKPT --schemas FILE
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlake import schemas as S
@@ -131,6 +131,24 @@ def land_job(spark: SparkSession, values: DataFrame, bronze_root: str, checkpoin
     return LD.land(values, bronze_root, checkpoint, available_now=available_now, flush_seconds=flush_seconds)
 
 
+def silver_stream_job(spark: SparkSession, values: DataFrame, state_root: str, checkpoint: str,
+                      row_schemas: dict[str, T.StructType], available_now: bool = False,
+                      trigger: str = "15 seconds"):
+    """C8 as a stream: change events -> per-table current state (delta logs)."""
+    from feedlake.streaming.silver import SilverStream
+
+    apply_defaults(spark)
+    layer = SilverStream(spark, state_root, row_schemas)
+    return layer, layer.run(values, checkpoint, available_now=available_now, processing_time=trigger)
+
+
+def _load_schemas(path: str) -> dict[str, T.StructType]:
+    import json
+
+    with open(path) as f:
+        return {k: T._parse_datatype_string(v) for k, v in json.load(f).items()}
+
+
 def main(argv: list[str] | None = None) -> None:
     from feedlake.functions.text import parse_topic_list
     from feedlake.streaming.speed import kafka_values, text_values
@@ -150,18 +168,17 @@ def main(argv: list[str] | None = None) -> None:
     e.add_argument("--silver", required=True)
     e.add_argument("--gold", required=True)
     e.add_argument("--out", required=True)
-    for name in ("speed", "land"):
+    for name in ("speed", "land", "silver-stream"):
         p = sub.add_parser(name)
         p.add_argument("--source", required=True, help="text folder, or kafka://host:port/topic1,topic2")
         p.add_argument("--checkpoint", required=True)
-        p.add_argument("--state" if name == "speed" else "--bronze", required=True)
+        p.add_argument("--bronze" if name == "land" else "--state", required=True)
+        if name == "silver-stream":
+            p.add_argument("--schemas", required=True, help="JSON file: table -> row schema (DDL string)")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"feedlake-{a.cmd}").getOrCreate()
     if a.cmd == "silver":
-        import json
-        with open(a.schemas) as f:
-            schemas = {k: T._parse_datatype_string(v) for k, v in json.load(f).items()}
-        silver_stage(spark, a.bronze, a.layout, a.silver, schemas, parse_topic_list(a.tables) or None)
+        silver_stage(spark, a.bronze, a.layout, a.silver, _load_schemas(a.schemas), parse_topic_list(a.tables) or None)
     elif a.cmd == "gold":
         gold_stage(spark, a.silver, a.gold)
     elif a.cmd == "embeddings":
@@ -174,6 +191,8 @@ def main(argv: list[str] | None = None) -> None:
             values = text_values(spark, a.source)
         if a.cmd == "speed":
             _, q = speed_job(spark, values, a.state, a.checkpoint)
+        elif a.cmd == "silver-stream":
+            _, q = silver_stream_job(spark, values, a.state, a.checkpoint, _load_schemas(a.schemas))
         else:
             q = land_job(spark, values, a.bronze, a.checkpoint)
         q.awaitTermination()
