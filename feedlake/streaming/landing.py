@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from feedlake import schemas as S
 from feedlake.sources.bronze import RAW_TOPIC, TOPIC_PREFIX, safe_topic
-from feedlake.streaming import envelope as EN
 
 
 def raw_records(values: DataFrame) -> DataFrame:
