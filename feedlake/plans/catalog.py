@@ -141,11 +141,18 @@ CDC_META = ["op", "event_ts", "event_ts_ms", "source_ts_ms", "schema_name", "tab
             "object_date", "object_hour", "is_delete"]
 
 
+_LANDED: dict[tuple[int, str, str], str] = {}
+
+
 def landed_orders(spark, d, layout):
-    """Write the orders change events in a layout; return the normalized read."""
-    root = scratch_path(spark, "bronze")
-    BR.write_bronze(BR.order_change_events(spark, d), root, layout, "orders")
-    raw = BR.load_raw_events(spark, root, "orders", layout, S.ORDER_ROW_SCHEMA)
+    """Land the orders change events in a layout (once per session and input)
+    and return the normalized read of the files."""
+    key = (id(spark), d, layout)
+    if key not in _LANDED:
+        root = scratch_path(spark, "bronze")
+        BR.write_bronze(BR.order_change_events(spark, d), root, layout, "orders")
+        _LANDED[key] = root
+    raw = BR.load_raw_events(spark, _LANDED[key], "orders", layout, S.ORDER_ROW_SCHEMA)
     return CDC.normalize_events(raw)
 
 
