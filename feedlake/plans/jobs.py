@@ -24,7 +24,7 @@ from feedlake import schemas as S
 from feedlake.operators import cdc as CDC
 from feedlake.operators import features as FE
 from feedlake.operators import vectors as VE
-from feedlake.session import apply_defaults, scratch_path
+from feedlake.session import apply_defaults, scratch_path, size_shuffles
 from feedlake.sources import bronze as BR
 from feedlake.sources.tables import read_silver
 
@@ -46,6 +46,7 @@ def silver_stage(spark: SparkSession, bronze_root: str, layout: str, silver: str
     (C7).  Returns the written paths."""
     apply_defaults(spark)
     tables = tables or list(row_schemas)
+    size_shuffles(spark, [BR.build_input_path(bronze_root, layout, t) for t in tables])
     out, events = {}, []
     for t in tables:
         raw = BR.load_raw_events(spark, bronze_root, t, layout, row_schemas[t])
@@ -67,6 +68,7 @@ def gold_stage(spark: SparkSession, silver: str, gold: str, mode: str = "overwri
     The interaction grain is materialized first (one scan + one shuffle of
     interactions) and every builder reads it back."""
     apply_defaults(spark)
+    size_shuffles(spark, [f"{silver}/{n}" for n in S.CORE_TABLES])
     t = read_silver(spark, silver, S.CORE_TABLES)
     users, posts, media, inter = (FE.strip_metadata(t[n]) for n in ("users", "posts", "post_media", "interactions"))
     grain_path = scratch_path(spark, "gold-grain")

@@ -74,3 +74,31 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     need to delete anything."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "feedlake", *parts, uuid.uuid4().hex])
+
+
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the input folders/files, from the file system."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            total += fs.getContentSummary(path).getLength()
+    return total
+
+
+def size_shuffles(spark: SparkSession, paths: list[str], target_bytes: int = TARGET_PARTITION_BYTES,
+                  floor: int = 200, ceiling: int = 100_000) -> int:
+    """Start with enough shuffle partitions for ~target_bytes each at the
+    measured input size (AQE coalesces small ones at runtime), and split scans
+    and AQE partitions at the same size.  Returns the partition count."""
+    n = max(floor, min(ceiling, -(-input_bytes(spark, paths) // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    return n
