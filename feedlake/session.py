@@ -93,10 +93,12 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
 
 
 def size_shuffles(spark: SparkSession, paths: list[str], target_bytes: int = TARGET_PARTITION_BYTES,
-                  floor: int = 200, ceiling: int = 100_000) -> int:
+                  floor: int | None = None, ceiling: int = 100_000) -> int:
     """Start with enough shuffle partitions for ~target_bytes each at the
-    measured input size (AQE coalesces small ones at runtime), and split scans
-    and AQE partitions at the same size.  Returns the partition count."""
+    measured input size (AQE coalesces small ones at runtime), never fewer
+    than twice the cluster's cores, and split scans and AQE partitions at the
+    same size.  Returns the partition count."""
+    floor = floor if floor is not None else 2 * spark.sparkContext.defaultParallelism
     n = max(floor, min(ceiling, -(-input_bytes(spark, paths) // target_bytes)))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
