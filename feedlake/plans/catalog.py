@@ -9,12 +9,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake import schemas as S
+from feedlake.functions import text as X
+from feedlake.operators import cdc as CDC
+from feedlake.operators import comments as CM
 from feedlake.operators import features as FE
-from feedlake.session import apply_defaults
+from feedlake.operators import feed as FD
+from feedlake.operators import profile as PR
+from feedlake.operators import staging as ST
+from feedlake.operators import vectors as VE
+from feedlake.session import apply_defaults, scratch_path
+from feedlake.sources import bronze as BR
+from feedlake.sources import changefeed as CF
 from feedlake.sources import fixtures as FX
+from feedlake.sources import raw_posts as RP
+from feedlake.sources import staging as SS
+from feedlake.streaming import landing as LD
+from feedlake.streaming.silver import SilverStream
+from feedlake.streaming.speed import SpeedLayer, text_values
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -90,8 +106,6 @@ def q_training_pairs(spark, d):
 
 
 # --- staging and data quality ----------------------------------------------------
-from feedlake.operators import staging as ST  # noqa: E402
-from feedlake.sources import staging as SS  # noqa: E402
 
 
 @register("staging_clean_users")
@@ -132,10 +146,6 @@ def q_dq_violations(spark, d):
 
 
 # --- CDC -------------------------------------------------------------------------
-from feedlake import schemas as S  # noqa: E402
-from feedlake.operators import cdc as CDC  # noqa: E402
-from feedlake.session import scratch_path  # noqa: E402
-from feedlake.sources import bronze as BR  # noqa: E402
 
 CDC_META = ["op", "event_ts", "event_ts_ms", "source_ts_ms", "schema_name", "table_name", "topic_name",
             "object_date", "object_hour", "is_delete"]
@@ -187,9 +197,6 @@ def q_cdc_event_union(spark, d):
 
 
 # --- feed reads --------------------------------------------------------------------
-from feedlake.operators import feed as FD  # noqa: E402
-from feedlake.operators import profile as PR  # noqa: E402
-from feedlake.functions import text as X  # noqa: E402
 
 FEED_OFFSET, FEED_LIMIT, FEED_VIEWER = 10, 20, 7
 
@@ -277,10 +284,6 @@ def q_list_parse(spark, d):
 
 
 # --- streaming: speed layer and raw landing --------------------------------------------
-from feedlake.sources import changefeed as CF  # noqa: E402
-from feedlake.streaming import landing as LD  # noqa: E402
-from feedlake.streaming.speed import SpeedLayer, text_values  # noqa: E402
-from pyspark import StorageLevel  # noqa: E402
 
 _SPEED_RUNS: dict[tuple[int, str], SpeedLayer] = {}
 
@@ -360,7 +363,6 @@ def q_raw_landing(spark, d):
 
 
 # --- vectors -------------------------------------------------------------------------
-from feedlake.operators import vectors as VE  # noqa: E402
 
 FIXTURE_VECTOR_DIM = 64   # width of the given `embeddings` table
 
@@ -414,8 +416,6 @@ def q_text_encode(spark, d):
 
 
 # --- raw post rows and comment extraction ------------------------------------------------
-from feedlake.operators import comments as CM  # noqa: E402
-from feedlake.sources import raw_posts as RP  # noqa: E402
 
 
 @register("comment_tree")
@@ -441,7 +441,6 @@ def q_post_rows(spark, d):
 
 
 # --- C8: silver as a stream ---------------------------------------------------------------
-from feedlake.streaming.silver import SilverStream  # noqa: E402
 
 
 @register("cdc_stream_state")
