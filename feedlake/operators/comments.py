@@ -33,7 +33,7 @@ _FIELDS = {
     "parent": ["parent_id"],
 }
 COMMENT_COLUMNS = ["comment_id", "post_id", "user_id", "username", "comment_text", "comment_time",
-                   "parent_comment_id"]
+                   "parent_comment_id", "parent_comment_key"]
 
 
 # N1 -------------------------------------------------------------------------
@@ -119,6 +119,9 @@ def _explode_nodes(cur: DataFrame, post_id: str, nodes: str = "_nodes") -> DataF
         F.coalesce(F.col("_n.text"), F.lit("")).alias("comment_text"),
         F.coalesce(F.col("_n.time"), F.lit("")).alias("comment_time"),
         F.coalesce(F.col("_n.parent"), F.lit("")).alias("parent_comment_id"),
+        # The parent id hashed like comment ids, so replies join to parents
+        F.when(F.coalesce(F.col("_n.parent"), F.lit("")) != "", X.make_id("comment", F.col("_n.parent")))
+        .otherwise(F.lit("")).alias("parent_comment_key"),
     ).drop("_i", "_n")
 
 

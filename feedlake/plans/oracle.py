@@ -578,7 +578,10 @@ FROM keyed WHERE x{k} IS NOT NULL""" for k in range(3))
 
 _COMMENTS_OUT = """SELECT 'comment_' || substring(md5(raw_id), 1, 12) AS comment_id, post_id,
        'user_' || substring(md5(username), 1, 12) AS user_id, username, comment_text, comment_time,
-       parent_comment_id FROM expected"""
+       parent_comment_id,
+       CASE WHEN parent_comment_id <> '' THEN 'comment_' || substring(md5(parent_comment_id), 1, 12) ELSE '' END
+         AS parent_comment_key
+FROM expected"""
 
 SQL.update({
     "comment_tree": f"WITH {_RAW},\nexpected AS ({_EXPECTED})\n{_COMMENTS_OUT}",

@@ -6,7 +6,8 @@ to each state log (see ``feedlake.streaming.state``).  The query checkpoint
 plus per-batch-id delta folders make a restarted or replayed batch count once.
 
 Ordering ("arrival") inside the state is (micro-batch id, event time,
-post id): later batches win, and inside a batch the event time decides.
+source offset, post id): later batches win; inside a batch the event time
+decides, then the Kafka offset when the source has one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from feedlake import schemas as S
 from feedlake.streaming import envelope as EN
 from feedlake.streaming.state import DeltaLog, latest_by, newest_n, summed
 
-ORDER = ["b", "t", "post_id"]
+ORDER = ["b", "t", "o", "post_id"]
 
 
 def kafka_values(spark: SparkSession, bootstrap: str, topics: list[str]) -> DataFrame:
@@ -51,16 +52,17 @@ class SpeedLayer:
             "recent_views": DeltaLog(spark, state_root, "recent_views",
                                      newest_n(["user_id"], ORDER, recent_views_limit)),
             "coldstart_meta": DeltaLog(spark, state_root, "coldstart_meta",
-                                       latest_by(["post_id", "field"], ["b", "t"])),
+                                       latest_by(["post_id", "field"], ["b", "t", "o"])),
             "coldstart_scores": DeltaLog(spark, state_root, "coldstart_scores",
-                                         latest_by(["post_id"], ["b", "t"])),
+                                         latest_by(["post_id"], ["b", "t", "o"])),
             "outcomes": DeltaLog(spark, state_root, "outcomes", summed(["outcome"], "n")),
             "dead_letter": DeltaLog(spark, state_root, "dead_letter", lambda df: df),
         }
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        ev = EN.parse_envelopes(batch, self.allowed_ops).withColumn("b", F.lit(batch_id).cast("long")) \
-            .withColumn("t", F.col("event_ts_ms"))
+        offset = F.col("offset").cast("long") if "offset" in batch.columns else F.lit(None).cast("long")
+        ev = EN.parse_envelopes(batch.withColumn("o", offset), self.allowed_ops) \
+            .withColumn("b", F.lit(batch_id).cast("long")).withColumn("t", F.col("event_ts_ms"))
         ev = ev.persist(StorageLevel.MEMORY_AND_DISK)  # read by six deltas; freed below
         try:
             inter = ev.filter(F.col("outcome") == EN.INTERACTION)
@@ -70,14 +72,15 @@ class SpeedLayer:
             logs["trending"].append(inter.groupBy("post_id").agg(F.count(F.lit(1)).cast("double").alias("score")),
                                     batch_id)
             # Newest-first list per user, duplicates kept, capped
-            views = inter.select("user_id", "post_id", "b", "t")
+            views = inter.select("user_id", "post_id", "b", "t", "o")
             logs["recent_views"].append(logs["recent_views"].fold(views), batch_id)
             # T4: per-post field map, later values overwrite
-            fields = posts.select("post_id", "b", "t", F.explode(EN.field_map(F.col("after"))).alias("field", "value"))
+            fields = posts.select("post_id", "b", "t", "o",
+                                  F.explode(EN.field_map(F.col("after"))).alias("field", "value"))
             logs["coldstart_meta"].append(logs["coldstart_meta"].fold(fields), batch_id)
             # T5: score = ts_ms else source.ts_ms; only when a time exists
             scores = ev.filter(F.col("outcome") == EN.POST_WITH_SCORE).select(
-                "post_id", F.col("event_ts_ms").cast("double").alias("score"), "b", "t")
+                "post_id", F.col("event_ts_ms").cast("double").alias("score"), "b", "t", "o")
             logs["coldstart_scores"].append(logs["coldstart_scores"].fold(scores), batch_id)
             # Outcome counts and the dead letters
             logs["outcomes"].append(ev.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")), batch_id)

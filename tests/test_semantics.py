@@ -271,3 +271,18 @@ def test_training_pairs_permutation_invariant(spark):
     a = [tuple(r) for r in base.collect()]
     b = [tuple(r) for r in shuffled.collect()]
     assert digest(base.columns, a)[0] == digest(shuffled.columns, b)[0]
+
+
+def test_hashed_parent_joins_to_comment_ids(spark):
+    """Raw parent ids never matched the hashed comment ids; the added
+    parent key does."""
+    from feedlake.sources import raw_posts as RP
+
+    rows = CM.comment_rows(RP.raw_posts(spark, "/root/testdata/sf0.001"))
+    replies = rows.filter(F.col("parent_comment_key") != "")
+    assert replies.count() > 0
+    orphans = replies.join(rows.select(F.col("comment_id").alias("parent_comment_key")), "parent_comment_key",
+                           "left_anti")
+    assert orphans.count() == 0
+    assert rows.join(rows.select(F.col("comment_id").alias("parent_comment_id")), "parent_comment_id",
+                     "left_semi").count() == 0  # the raw ids alone never join
