@@ -326,7 +326,7 @@ SELECT o_orderkey, o_custkey,
        CASE WHEN step = 1 THEN 'u' ELSE 'r' END AS op,
        epoch_ms(epoch_ms(o_orderdate) + step * 1000) AS event_ts, epoch_ms(o_orderdate) + step * 1000 AS event_ts_ms,
        epoch_ms(o_orderdate) + step * 1000 AS source_ts_ms, 'public' AS schema_name, 'orders' AS table_name,
-       'socialrec_cdc_public_orders' AS topic_name, '2024-06-01' AS object_date,
+       'feedlake_cdc_public_orders' AS topic_name, '2024-06-01' AS object_date,
        lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') AS object_hour, false AS is_delete
 FROM s WHERE o_orderkey % 11 <> 0""",
     "cdc_event_union": with_fixtures(f"""WITH {ORDER_EVENTS}
@@ -482,7 +482,7 @@ r AS (SELECT 'interactions' AS tbl, 'c' AS op, (epoch_us(TRY_CAST(occurred_at_ra
       UNION ALL SELECT 'posts', 'c', COALESCE(epoch_ms(CAST(published_at_raw AS TIMESTAMP)),
                                              CASE WHEN post_id % 26 <> 0 THEN 1700000000000 + post_id END) FROM posts
       UNION ALL SELECT 'orders', ev.op, o.ts0 + ev.step * 1000 FROM ev JOIN o ON ev.k = o.k)
-SELECT 'socialrec_cdc_public_' || tbl AS topic, op, count(*) AS n_records
+SELECT 'feedlake_cdc_public_' || tbl AS topic, op, count(*) AS n_records
 FROM r GROUP BY ALL"""
 
 SQL.update({

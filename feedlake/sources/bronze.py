@@ -25,7 +25,7 @@ from feedlake import schemas as S
 
 LAYOUTS = ("topics", "raw-cdc", "bronze")
 TOPIC_PREFIX = "postgres.public."       # topic sink (S9) topics
-RAW_TOPIC = "socialrec_cdc.public."     # raw lander (S8) topics
+RAW_TOPIC = "feedlake_cdc.public."     # raw lander (S8) topics
 
 
 def topic_name(table: str) -> str:

@@ -104,7 +104,7 @@ def test_table_keys_and_paths():
 
 def test_object_name_parsing(spark):
     names = ["topics/postgres.public.post_media/year=2024/month=01/day=02/hour=03/x.json",
-             "raw-cdc/topic=socialrec_cdc_public_post_media/date=2024-01-02/hour=03/x.json",
+             "raw-cdc/topic=feedlake_cdc_public_post_media/date=2024-01-02/hour=03/x.json",
              "bronze/postgres.public.users/x.json"]
     row = T.StructType([T.StructField("k", T.LongType())])
     df = spark.createDataFrame([(n, "c") for n in names], "_object_name string, op string")
@@ -113,7 +113,7 @@ def test_object_name_parsing(spark):
     out = CDC.normalize_events(df).select("table_name", "topic_name", "object_date", "object_hour").collect()
     assert [tuple(r) for r in out] == [
         ("post_media", "postgres.public.post_media", "2024-01-02", "03"),
-        ("post_media", "socialrec_cdc_public_post_media", "2024-01-02", "03"),
+        ("post_media", "feedlake_cdc_public_post_media", "2024-01-02", "03"),
         ("users", "postgres.public.users", None, None)]
 
 
@@ -253,7 +253,7 @@ def test_raw_landing_layout(spark):
     LD.land(text_values(spark, src), root, scratch_path(spark, "test-land-ckpt"))
     local = root.replace("file:", "")
     topics = sorted(d for d in os.listdir(f"{local}/raw-cdc") if d.startswith("topic="))
-    assert topics == ["topic=socialrec_cdc_public_post_media", "topic=socialrec_cdc_public_posts"]
+    assert topics == ["topic=feedlake_cdc_public_post_media", "topic=feedlake_cdc_public_posts"]
     back = LD.read_landed(spark, root)
     assert sorted(back.select("op").rdd.flatMap(lambda r: r).collect()) == ["c", "d"]
 
