@@ -78,10 +78,6 @@ class DeltaLog:
         return self._committed("delta", "batch_id=")
 
 
-def empty_like(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def latest_by(keys: list[str], order: list[str]) -> Fold:
     """Fold: newest row per key (order columns descending)."""
     from pyspark.sql.window import Window
