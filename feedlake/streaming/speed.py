@@ -23,12 +23,17 @@ from feedlake.streaming.state import DeltaLog, latest_by, newest_n, summed
 ORDER = ["b", "t", "o", "post_id"]
 
 
-def kafka_values(spark: SparkSession, bootstrap: str, topics: list[str]) -> DataFrame:
-    """Change-event values from Kafka, earliest offsets first.  Needs the
-    Kafka connector on the classpath; tests use ``text_values``."""
-    return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
-            .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest").load()
-            .select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset"))
+def kafka_values(spark: SparkSession, bootstrap: str, topics: list[str],
+                 max_offsets_per_trigger: int | None = None) -> DataFrame:
+    """Change-event values from Kafka, earliest offsets first.  A cap on
+    offsets per trigger bounds each micro-batch (a backlog is worked off in
+    many batches instead of one huge one).  Needs the Kafka connector on the
+    classpath; tests use ``text_values``."""
+    r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
+         .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest"))
+    if max_offsets_per_trigger:
+        r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
+    return r.load().select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset")
 
 
 def text_values(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
