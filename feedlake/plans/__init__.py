@@ -1,0 +1 @@
+"""Query catalogue (``catalog``), DuckDB twins (``oracle``) and pipeline drivers (``jobs``)."""
