@@ -547,7 +547,7 @@ th AS (SELECT c0.conv_id, c0.turn AS t, c0.text AS x0, c1.text AS x1, c2.text AS
        LEFT JOIN conversations c2 ON c2.conv_id = c0.conv_id AND c2.turn = c0.turn + 2
        WHERE c0.turn % 3 = 0),
 raw AS (SELECT th.*, th.t // 3 AS thread, th.conv_id * 1000 + th.t // 3 AS idx,
-               COALESCE(substring(d.text, 1, 40), 'untitled') || ' #' || CAST(th.t // 3 AS VARCHAR) AS title,
+               COALESCE(substring(d.text, 1, 60), 'untitled') || ' #' || CAST(th.t // 3 AS VARCHAR) AS title,
                pg.url, d.text AS content, d.source, d.lang,
                (th.conv_id + th.t // 3) % 2 = 0 AS is_json
         FROM th LEFT JOIN documents d ON d.doc_id = th.conv_id LEFT JOIN pages pg ON pg.page_id = th.conv_id),

@@ -91,7 +91,7 @@ def raw_posts(spark: SparkSession, base: str) -> DataFrame:
     pick = idx % 3
     return rows.select(
         idx.alias("index"),
-        F.concat(F.coalesce(F.substring("text", 1, 40), F.lit("untitled")), F.lit(" #"),
+        F.concat(F.coalesce(F.substring("text", 1, 60), F.lit("untitled")), F.lit(" #"),
                  F.col("thread").cast("string")).alias("title"),
         F.col("url"),
         F.concat(F.lit("author_"), (F.col("conv_id") % AUTHOR_MODULUS).cast("string")).alias("author"),
