@@ -138,32 +138,74 @@ def null_required(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
     return _report(long.filter(F.col("n") > 0), "not_null", table, F.col("c"), F.col("n"))
 
 
+def _key_text(cols: list[str]) -> Column:
+    return F.col(cols[0]).cast("string") if len(cols) == 1 else F.concat_ws("|", *cols)
+
+
+def _tagged_keys(df: DataFrame, table: str, specs: list[tuple]) -> DataFrame:
+    """One row per (check, key) a table row contributes; a spec is
+    (check, key columns[, condition])."""
+    items = []
+    for spec in specs:
+        check, cols = spec[0], spec[1]
+        item = F.struct(F.lit(check).alias("check"), _key_text(cols).alias("key"))
+        items.append(F.when(spec[2], item) if len(spec) > 2 else item)
+    return (df.select(F.explode(F.array(*items)).alias("x")).filter(F.col("x").isNotNull())
+            .select("x.check", F.lit(table).alias("table_name"), "x.key"))
+
+
 def quality_report(users: DataFrame, posts: DataFrame, post_media: DataFrame, comments: DataFrame,
                    interactions: DataFrame) -> DataFrame:
-    """Every constraint of the core schema as one violations table."""
-    checks = [
-        duplicate_keys(users, "users", ["user_id"], "primary_key"),
-        duplicate_keys(users, "users", ["username"]),
-        duplicate_keys(posts, "posts", ["post_id"], "primary_key"),
-        duplicate_keys(post_media, "post_media", ["media_id"], "primary_key"),
-        duplicate_keys(post_media, "post_media", ["post_id", "object_key"]),
-        duplicate_keys(comments, "comments", ["comment_id"], "primary_key"),
-        duplicate_keys(interactions, "interactions", ["event_id"], "primary_key"),
-        duplicate_keys(interactions, "interactions", ["user_id", "post_id", "interaction_type"],
-                       "unique_like", F.col("interaction_type") == "like"),
-        missing_parents(posts, "author_id", users, "user_id", "posts", "users"),
-        missing_parents(post_media, "post_id", posts, "post_id", "post_media", "posts"),
-        missing_parents(comments, "post_id", posts, "post_id", "comments", "posts"),
-        missing_parents(comments, "user_id", users, "user_id", "comments", "users"),
-        missing_parents(interactions, "user_id", users, "user_id", "interactions", "users"),
-        missing_parents(interactions, "post_id", posts, "post_id", "interactions", "posts"),
-        not_in_set(interactions, "interactions", "interaction_type", S.INTERACTION_TYPES),
-        null_required(users, "users", ["user_id", "username"]),
-        null_required(posts, "posts", ["post_id", "author_id", "title"]),
-        null_required(comments, "comments", ["comment_id", "post_id", "user_id"]),
-        null_required(interactions, "interactions", ["event_id", "user_id", "post_id", "interaction_type"]),
+    """Every constraint of the core schema as one violations table.
+
+    All uniqueness checks are one grouped count over (check, table, key)
+    rows; all foreign-key checks are one anti join of the referencing keys
+    (counted first, so a hot key is one combined row) against the parents'
+    keys on (check, key).  Each table is read once per kind of check."""
+    like = F.col("interaction_type") == "like"
+    unique = [
+        _tagged_keys(users, "users", [("primary_key", ["user_id"]), ("unique(username)", ["username"])]),
+        _tagged_keys(posts, "posts", [("primary_key", ["post_id"])]),
+        _tagged_keys(post_media, "post_media", [("primary_key", ["media_id"]),
+                                                ("unique(post_id,object_key)", ["post_id", "object_key"])]),
+        _tagged_keys(comments, "comments", [("primary_key", ["comment_id"])]),
+        _tagged_keys(interactions, "interactions", [
+            ("primary_key", ["event_id"]),
+            ("unique_like", ["user_id", "post_id", "interaction_type"], like)]),
     ]
-    return reduce(DataFrame.unionByName, checks)
+    dup = (reduce(DataFrame.unionByName, unique).groupBy("check", "table_name", "key")
+           .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+
+    def fk(child_col: str, parent_table: str, parent_col: str) -> str:
+        return f"fk({child_col}->{parent_table}.{parent_col})"
+
+    def refs(df, table, cols_parents):
+        specs = [(fk(c, pt, pc), [c], F.col(c).isNotNull()) for c, pt, pc in cols_parents]
+        return _tagged_keys(df, table, specs)
+
+    child_refs = reduce(DataFrame.unionByName, [
+        refs(posts, "posts", [("author_id", "users", "user_id")]),
+        refs(post_media, "post_media", [("post_id", "posts", "post_id")]),
+        refs(comments, "comments", [("post_id", "posts", "post_id"), ("user_id", "users", "user_id")]),
+        refs(interactions, "interactions", [("user_id", "users", "user_id"), ("post_id", "posts", "post_id")]),
+    ]).groupBy("check", "table_name", "key").agg(F.count(F.lit(1)).alias("n"))
+    user_keys = users.select(_key_text(["user_id"]).alias("key")).filter(F.col("key").isNotNull())
+    post_keys = posts.select(_key_text(["post_id"]).alias("key")).filter(F.col("key").isNotNull())
+    parent_keys = reduce(DataFrame.unionByName, [
+        user_keys.withColumn("check", F.lit(fk(c, "users", "user_id"))) for c in ("author_id", "user_id")
+    ] + [post_keys.withColumn("check", F.lit(fk("post_id", "posts", "post_id")))]).distinct()
+    missing = child_refs.join(parent_keys, ["check", "key"], "left_anti")
+
+    out = [dup.select("check", "table_name", F.col("key").cast("string").alias("key"), F.col("n").cast("long")
+                      .alias("n_rows")),
+           missing.select("check", "table_name", F.col("key").cast("string").alias("key"),
+                          F.col("n").cast("long").alias("n_rows")),
+           not_in_set(interactions, "interactions", "interaction_type", S.INTERACTION_TYPES),
+           null_required(users, "users", ["user_id", "username"]),
+           null_required(posts, "posts", ["post_id", "author_id", "title"]),
+           null_required(comments, "comments", ["comment_id", "post_id", "user_id"]),
+           null_required(interactions, "interactions", ["event_id", "user_id", "post_id", "interaction_type"])]
+    return reduce(DataFrame.unionByName, out)
 
 
 def cascade_prune(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
