@@ -59,8 +59,10 @@ def feed_page(posts: DataFrame, users: DataFrame, post_media: DataFrame, comment
     # so the first offset+limit rows of the result come from the first
     # offset+limit posts.
     ranked = posts.join(authors, "author_id", "inner")
-    head = ranked.orderBy(*_feed_order()).limit(offset + limit)
-    ids = F.broadcast(head.select("post_id"))  # at most offset + limit rows
+    # at most offset + limit rows; materialized once (reliable checkpoint) so
+    # the posts table is ranked once, not once per branch below
+    head = ranked.orderBy(*_feed_order()).limit(offset + limit).checkpoint(eager=True)
+    ids = F.broadcast(head.select("post_id"))
 
     def on_page(df: DataFrame) -> DataFrame:
         return df.join(ids, "post_id", "left_semi")
