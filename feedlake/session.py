@@ -19,6 +19,12 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    # split a skewed join partition even when that costs an extra shuffle: one
+    # key may hold a third of all rows
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # runtime (measured) sizes only: broadcast a side once AQE has seen it is
+    # at most 64 MB; the static, estimate-based threshold keeps its default
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.parquet.compression.codec": "snappy",
 }
 

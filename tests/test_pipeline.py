@@ -47,3 +47,15 @@ def test_stream_to_gold(spark):
     pm = spark.read.parquet(emb["post_embeddings_mapping"])
     assert pm.count() == FX.posts(spark, D).count()
     assert pm.select(F.size("image_embedding").alias("n")).distinct().collect()[0].n == 8
+
+
+def test_gold_cli(spark):
+    """The pipeline CLI runs the gold stage on silver tables."""
+    work = scratch_path(spark, "test-cli")
+    silver = f"{work}/silver"
+    for name, df in {"users": FX.users(spark, D), "posts": FX.posts(spark, D), "post_media": FX.post_media(spark, D),
+                     "comments": FX.comments(spark, D), "interactions": FX.interactions(spark, D)}.items():
+        jobs.write_dataframe(df, f"{silver}/{name}")
+    jobs.main(["gold", "--silver", silver, "--gold", f"{work}/gold"])
+    tp = spark.read.parquet(f"{work}/gold/training_pairs")
+    assert tp.count() == spark.read.parquet(f"{work}/gold/interaction_labels").count() > 0
