@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake.llm.decontaminate import overlaps
+from feedlake.llm.html_text import extract_main_text
 from feedlake.llm.packing import pack
 from feedlake.llm.token_count import count_tokens
 from feedlake.session import apply_defaults
@@ -44,3 +46,18 @@ def op7_packing(spark, d):
     """Pieces of every document, packed into sequences of 1024 tokens."""
     p = pack(read_table(spark, d, "documents"), vocabulary(), tokens=1024)
     return p.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@register
+def op3_html_text(spark, d):
+    """Main text of every page."""
+    return extract_main_text(read_table(spark, d, "pages"))
+
+
+@register
+def op4_decontamination(spark, d):
+    """Benchmark windows found in every document."""
+    found = overlaps(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
