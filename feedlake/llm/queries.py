@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.decontaminate import overlaps
 from feedlake.llm.html_text import extract_main_text
+from feedlake.llm.langid import predict as predict_language
+from feedlake.llm.langid import train as train_language
 from feedlake.llm.packing import pack
+from feedlake.llm.secret_scan import find_secrets
+from feedlake.llm.secret_scan import train as train_secrets
 from feedlake.llm.token_count import count_tokens
 from feedlake.session import apply_defaults
 from feedlake.sources.tables import read_table
@@ -61,3 +65,24 @@ def op4_decontamination(spark, d):
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
+
+
+@register
+def op5_secrets(spark, d):
+    """Secrets found in every document, by the base patterns and the network."""
+    docs = read_table(spark, d, "documents")
+    found = find_secrets(docs, net=train_secrets(docs))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    span = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    base = F.filter("found", lambda x: x["kind"] != "model")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(F.array_join(F.transform(base, span), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("found", span), ",").alias("spans"))
+
+
+@register
+def op8_language_id(spark, d):
+    """Language of every document."""
+    docs = read_table(spark, d, "documents")
+    return predict_language(docs, train_language(docs))
