@@ -15,6 +15,8 @@ from feedlake.llm.packing import pack
 from feedlake.llm.secret_scan import find_secrets
 from feedlake.llm.secret_scan import train as train_secrets
 from feedlake.llm.token_count import count_tokens
+from feedlake.llm.toxicity import score as score_toxicity
+from feedlake.llm.toxicity import train as train_toxicity
 from feedlake.session import apply_defaults
 from feedlake.sources.tables import read_table
 
@@ -86,3 +88,10 @@ def op8_language_id(spark, d):
     """Language of every document."""
     docs = read_table(spark, d, "documents")
     return predict_language(docs, train_language(docs))
+
+
+@register
+def op10_toxicity(spark, d):
+    """Toxicity of every document."""
+    docs = read_table(spark, d, "documents")
+    return score_toxicity(docs, train_toxicity(docs, read_table(spark, d, "labels")))
