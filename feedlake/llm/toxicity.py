@@ -281,7 +281,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
-    for stage, epochs in enumerate((4, 3)):
+    for stage, epochs in enumerate((4, 3, 3)):
         if stage:
             guess = all_logits(net, padded, rows, number_chars, seen_odds)
         top: dict[int, int] = {}
@@ -289,9 +289,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
             top[int(owner_doc[k])] = k
         chosen = [(k, labels[d]) for d, k in top.items() if in_train[d]]
         spare = np.flatnonzero(in_train[owner_doc] & (labels[owner_doc] == 0))
-        chosen += [(int(k), 0.0) for k in rng.choice(spare, min(len(spare), len(chosen)), replace=False)]
+        chosen += [(int(k), 0.0) for k in rng.choice(spare, min(len(spare), 2 * len(chosen)), replace=False)]
         ks, ys = np.array([k for k, _ in chosen]), np.array([y for _, y in chosen], np.float32)
-        weight = np.where(ys > 0, 0.5 / max(1, ys.sum()), 0.5 / max(1, (1 - ys).sum())).astype(np.float32) * len(ys)
+        weight = np.where(ys > 0, np.sqrt((1 - ys).sum() / max(1, ys.sum())), 1).astype(np.float32)
         for _ in range(max(epochs, -(-epochs * 2500 // len(ks)))):
             shuffle = rng.permutation(len(ks))
             for b in range(0, len(ks), 128):
@@ -310,8 +310,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
                     m[name] += 0.1 * (g[name] - m[name])
                     v2[name] += 0.001 * (g[name] ** 2 - v2[name])
                     if name in ("word", "char"):            # few documents hold a rare word: keep its vectors small
-                        net.p[name] *= 0.98
-                    net.p[name] -= ((0.002 if name in ("word", "char") else 0.01) * (m[name] / (1 - 0.9 ** step)) / (np.sqrt(v2[name] / (1 - 0.999 ** step)) + 1e-7)).astype(np.float32)
+                        net.p[name] *= 1 - min(0.02, 20 / len(ks))
+                    net.p[name] -= ((0.004 if name in ("word", "char") else 0.01) * (m[name] / (1 - 0.9 ** step)) / (np.sqrt(v2[name] / (1 - 0.999 ** step)) + 1e-7)).astype(np.float32)
     freeze_all(net, value, chars)
     logit = all_logits(net, padded, rows, number_chars, seen_odds)
     best = np.full(len(texts), -np.inf)
