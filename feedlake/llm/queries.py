@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake.llm.chat_template import digests, format_conversations
 from feedlake.llm.decontaminate import overlaps
 from feedlake.llm.html_text import extract_main_text
 from feedlake.llm.langid import predict as predict_language
 from feedlake.llm.langid import train as train_language
+from feedlake.llm.maxscore import search
 from feedlake.llm.packing import pack
 from feedlake.llm.secret_scan import find_secrets
 from feedlake.llm.secret_scan import train as train_secrets
@@ -95,3 +97,33 @@ def op10_toxicity(spark, d):
     """Toxicity of every document."""
     docs = read_table(spark, d, "documents")
     return score_toxicity(docs, train_toxicity(docs, read_table(spark, d, "labels")))
+
+
+@register
+def op9_exact_topk(spark, d):
+    """The five best candidates of every query vector."""
+    return search(read_table(spark, d, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+SQL["op9_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(coalesce(list_sum([coalesce(z[1] * z[2], 0) FOR z IN list_zip(a.q, b.q)]), 0) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@register
+def op6_chat_formatting(spark, d):
+    """Every conversation (and one of control strings) formatted and read back."""
+    turns = read_table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return digests(format_conversations(turns.unionByName(extra)))
