@@ -13,6 +13,7 @@ from feedlake.llm.html_text import extract_main_text
 from feedlake.llm.langid import predict as predict_language
 from feedlake.llm.langid import train as train_language
 from feedlake.llm.maxscore import search
+from feedlake.llm.near_dedup import near_duplicates
 from feedlake.llm.packing import pack
 from feedlake.llm.secret_scan import find_secrets
 from feedlake.llm.secret_scan import train as train_secrets
@@ -127,3 +128,9 @@ def op6_chat_formatting(spark, d):
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     return digests(format_conversations(turns.unionByName(extra)))
+
+
+@register
+def op1_near_dedup(spark, d):
+    """Near-duplicate components of all documents."""
+    return near_duplicates(read_table(spark, d, "documents"), percent=85)
