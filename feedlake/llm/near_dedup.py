@@ -276,7 +276,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The documents with one of each group (the smallest id; of rows that share it, one), same columns."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col(id_col).alias("gone")).distinct()
-    left = docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
-    return left
+    """The documents with one of each group (the smallest id), same columns; a row that repeats another's id and
+    text goes too."""
+    result = saved(near_duplicates(docs, id_col, text_col, percent).select(F.col(id_col).alias("found"), "kept"), "kept")
+    gone = result.where("not kept").select("found").distinct()
+    left = docs.join(gone, docs[id_col].cast("long") == gone["found"], "left_anti")
+    repeated = result.where("kept and found is not null").groupBy("found").count().where("count > 1").select("found")
+    if repeated.isEmpty():
+        return left
+    same = left[id_col].cast("long") == repeated["found"]
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -69,7 +69,7 @@ def op4_decontamination(spark, d):
     found = overlaps(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), window=10)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @register
@@ -134,3 +134,71 @@ def op6_chat_formatting(spark, d):
 def op1_near_dedup(spark, d):
     """Near-duplicate components of all documents."""
     return near_duplicates(read_table(spark, d, "documents"), percent=85)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL["op1_near_dedup"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS u, a AS v FROM e UNION SELECT r.u, e.b FROM r JOIN e ON e.a = r.v),
+c AS (SELECT u, min(v) AS component FROM r GROUP BY u)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, doc_id) AS component_id,
+       doc_id = coalesce(c.component, doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = doc_id
+"""
+
+SQL["op4_decontamination"] = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[k:k + 9], ' ') FOR k IN range(1, len(w) - 8)] END) AS s
+  FROM i),
+sizes AS (SELECT DISTINCT len(string_split(s, ' ')) AS size FROM iw),
+dp AS (
+  SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS k
+  FROM d, sizes WHERE len(w) >= size),
+hits AS (
+  SELECT doc_id, size, k, item_id FROM dp JOIN iw ON array_to_string(w[k:k + size - 1], ' ') = s),
+words AS (
+  SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS x FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
+  FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_ESCAPED = (r"regexp_replace(replace({0}, '\', '\\'), "
+            r"'(<|\[)(s>|/s>|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|INST\]|/INST\])', '\1\\\2', 'g')")
+SQL["op6_chat_formatting"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+         length({_ESCAPED.format("role")}) + length(role) - length(replace(role, chr(10), '')) + length({_ESCAPED.format("text")})
+         + length('<|im_start|>') + length('<|im_end|>') + 2 AS size
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
+       sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       CAST(length('<s>') + length('</s>') + sum(size) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
