@@ -128,13 +128,14 @@ class MergeCounter:
 
 class _AfterSpace(dict):
     """Piece after one space -> its tokens with that space; the pattern never joins across such a space when
-    neither neighbour is white space.  Pieces without that space are kept under a leading tab."""
+    neither neighbour is white space.  Pieces without that space are kept under a leading space, which no
+    piece after a space has."""
 
     def __init__(self, counter: MergeCounter):
         self.counter = counter
 
     def plain(self, piece: str) -> int:
-        n = self.get(key := "\t" + piece)
+        n = self.get(key := " " + piece)
         if n is None:
             n = self.counter.merged(piece.encode("utf-8"))
             if len(piece) < 64:

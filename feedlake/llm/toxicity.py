@@ -9,11 +9,11 @@ window, calibrated on training documents that were set aside.
 Training takes a bounded sample of labelled documents (``sample``, about).  A training document sees the words'
 numbers without its own part in them, as an unseen document would.  A label names a whole document, so each
 document is learnt by its highest window: first by the words' own numbers, then by the network's scores.  Documents
-whose least 5-word shingle is the same are near copies and count once.
+with the same two MinHash samples of their 5-word shingles are near copies and count once.
 
 Scoring keeps the inputs' products with the first weight matrices for known words, so that a step costs a look-up
-and one small product.  Cases: null and empty texts, and texts without letters, get the score of an empty window;
-with no labels, or one label only, every score is that label's share (0 without labels); null labels and ids are
+and one small product.  Cases: null and empty texts, and texts without letters, get the middle score of clean training
+documents; with no labels, or one label only, every score is that label's share (0 without labels); null labels and ids are
 not learnt from; repeated rows give repeated rows; clashing extra columns are not read.
 """
 
@@ -60,7 +60,7 @@ class BiGRU:
             self.p["u" + d] = r.normal(0, HIDDEN ** -0.5, (HIDDEN, 3 * HIDDEN))
             self.p["b" + d] = np.zeros(3 * HIDDEN)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.scale, self.shift, self.known = 1.0, 0.0, None
+        self.scale, self.shift, self.known, self.wordless = 1.0, 0.0, None, 0.0
 
     # --- inputs
     def lookup(self, h: np.ndarray) -> np.ndarray:
@@ -157,8 +157,8 @@ class BiGRU:
 
     # --- texts
     def text_logits(self, arr: pa.Array) -> np.ndarray:
-        """Of each text, the logit of its highest window; texts without words have that of an empty window."""
-        out = np.full(len(arr), self.p["bias"][0], np.float32)
+        """Of each text, the logit of its highest window; texts without words have ``wordless``."""
+        out = np.full(len(arr), self.wordless, np.float32)
         for i, j, low, starts, ends, h, first in hashed_words(lowered(arr), LETTERS):
             if not len(h):
                 continue
@@ -226,7 +226,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
         w = h[first[d]:first[d + 1]]
         if len(w) >= 5:
             s = mix(w[:-4] + w[1:-3] * U64(3) + w[2:-2] * U64(5) + w[3:-1] * U64(7) + w[4:] * U64(11))
-            key = int(s.min())
+            key = (int(s.min()), int((s * U64(0x9E3779B97F4A7C15)).min()))
             if key in seen:
                 continue
             seen.add(key)
@@ -265,8 +265,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
     in_train[train] = True
     at, owner_doc = windows(first)
     version = np.where(in_train, 1 + labels.astype(int), 0)[owner_doc]
-    padded = np.where(at >= 0, number[at] + many * version[:, None], 3 * many)
-    guess = np.maximum(np.append(seen_odds, 0)[padded], 0).sum(1)
+    padded = np.where(at >= 0, number[at] + many * version[:, None], 3 * many).astype(np.int32)
+    del at
+    guess = np.concatenate([np.maximum(np.append(seen_odds, 0)[padded[k:k + 4096]], 0).sum(1) for k in range(0, len(padded), 4096)])
 
     def batch_inputs(win):
         words, local = np.unique(win, return_inverse=True)
@@ -278,12 +279,20 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
         x, count = net.inputs(rows[words], bucket, owner, seen_odds[words])
         return words, local, bucket, owner, x, count
 
+    def all_logits():
+        """Logits of all windows, some at a time."""
+        out = []
+        for k in range(0, len(padded), 2048):
+            _, local, _, _, x, _ = batch_inputs(padded[k:k + 2048])
+            out.append(net.forward(net.products(x), local))
+        return np.concatenate(out)
+
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     for stage, epochs in enumerate((4, 3, 3)):
         if stage:
-            guess = all_logits(net, padded, rows, number_chars, seen_odds)
+            guess = all_logits()
         top: dict[int, int] = {}
         for k in np.argsort(guess, kind="stable").tolist():       # the last one stays: the highest
             top[int(owner_doc[k])] = k
@@ -313,9 +322,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
                         net.p[name] *= 1 - min(0.02, 20 / len(ks))
                     net.p[name] -= ((0.004 if name in ("word", "char") else 0.01) * (m[name] / (1 - 0.9 ** step)) / (np.sqrt(v2[name] / (1 - 0.999 ** step)) + 1e-7)).astype(np.float32)
     freeze_all(net, value, chars)
-    logit = all_logits(net, padded, rows, number_chars, seen_odds)
+    logit = all_logits()
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner_doc, logit)
+    net.wordless = float(np.median(best[use[labels[use] == 0]]))
     check = np.flatnonzero(held & np.isfinite(best))
     if len(set(labels[check].tolist())) == 2:
         mean, spread = best[check].mean(), best[check].std() + 1e-6
@@ -332,14 +342,6 @@ def freeze_all(net: BiGRU, value: np.ndarray, chars: dict) -> None:
     net.freeze(np.concatenate(own) if own else np.zeros(0, np.int64), np.repeat(np.arange(len(own)), [len(c) for c in own]))
 
 
-def all_logits(net: BiGRU, padded: np.ndarray, rows: np.ndarray, number_chars: list, odds: np.ndarray) -> np.ndarray:
-    """Logits of all windows (numbers of words, the count of words for none)."""
-    n = len(rows)
-    x, _ = net.inputs(rows, np.concatenate(number_chars), np.repeat(np.arange(n), [len(c) for c in number_chars]), odds)
-    x = net.products(x)
-    return np.concatenate([net.forward(x, padded[k:k + 4096]) for k in range(0, len(padded), 4096)])
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           sample: int = 4_000, folds: int = 5) -> BiGRU | Prior:
     """A network from about ``sample`` labelled documents (all, if fewer) whose fold is not 0."""

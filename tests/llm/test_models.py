@@ -151,7 +151,7 @@ def test_windows_cover_all_words():
 def test_toxicity_learns_words(spark):
     r = random.Random(12)
     bad = ["grumble", "snarkle", "blight", "vexor"]
-    plain = [f"word{i}" for i in range(300)]
+    plain = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 8))) for _ in range(300)]
     texts, labels = [], []
     for k in range(900):
         w = r.choices(plain, k=r.randint(5, 120))
