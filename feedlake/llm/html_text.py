@@ -61,7 +61,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONG, SHORT = 200, 70
 STOP_HIGH, STOP_LOW = 0.32, 0.20
 LINKS_HIGH = 0.5
-GOOD, BAD, OPEN = 1, -1, 0
+GOOD, BAD, OPEN, LACKING = 1, -1, 0, 2      # LACKING: too few stop words, bad where another block is good
 
 
 def furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -171,12 +171,14 @@ def first_label(text: str, linked: int, inside: bool) -> int:
     if density >= STOP_HIGH and len(text) >= LONG:
         return GOOD
     if density < STOP_LOW and not inside:
-        return BAD
+        return LACKING
     return OPEN
 
 
 def second_labels(labels: list[int]) -> list[int]:
     """Open blocks take the label of the nearest decided neighbour (of two as near, good); good where none is."""
+    lacking = BAD if GOOD in labels else OPEN           # else the page's language has no list here
+    labels = [lacking if label == LACKING else label for label in labels]
     n = len(labels)
     before, after = [None] * n, [None] * n
     last = None
