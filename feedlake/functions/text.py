@@ -41,11 +41,31 @@ def parse_json_list(col) -> Column:
 
 
 # F4 -------------------------------------------------------------------------
+_LITERAL_TOKENS = r"(?s)'(?:[^'\\]++|\\.)*+'|\"(?:[^\"\\]++|\\.)*+\"|[A-Za-z_]++|."
+_LITERAL_WORDS = {"None": "null", "True": "true", "False": "false"}
+
+
+def _as_json_list(c: Column) -> Column:
+    """A Python list or tuple literal with its words and brackets as JSON has
+    them; what stands inside quotes is left alone."""
+    def word(tok: Column) -> Column:
+        expr = None
+        for k, v in _LITERAL_WORDS.items():
+            expr = F.when(tok == k, F.lit(v)) if expr is None else expr.when(tok == k, F.lit(v))
+        return expr.otherwise(tok)
+
+    text = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_LITERAL_TOKENS), 0), word), "")
+    inner = F.regexp_extract(text, r"(?s)^\s*\((.*?),?\s*\)\s*$", 1)
+    return F.when(text.rlike(r"(?s)^\s*\(.*\)\s*$"), F.concat(F.lit("["), inner, F.lit("]"))) \
+        .otherwise(F.regexp_replace(text, r",\s*\]\s*$", "]"))
+
+
 def parse_str_list(col) -> Column:
-    """List literal parse (JSON or Python repr); numpy-style `['a' 'b']`
-    falls back to splitting on `' '` and stripping quotes/spaces."""
+    """List literal parse (JSON, or a Python list or tuple, None as null);
+    numpy-style `['a' 'b']` falls back to splitting on `' '` and stripping
+    quotes/spaces (D16: such neighbours stay two items)."""
     c = _c(col)
-    parsed = F.from_json(c, _STR_ARRAY)
+    parsed = F.coalesce(F.from_json(c, _STR_ARRAY), F.from_json(_as_json_list(c), _STR_ARRAY))
     fallback = F.filter(
         F.transform(F.split(F.btrim(c, F.lit("[]")), "' '"), lambda s: F.btrim(s, F.lit("' \""))),
         lambda s: s != "")

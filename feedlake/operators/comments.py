@@ -4,10 +4,10 @@ A post's comments arrive as one text cell: a JSON list of comment objects
 with nested ``replies`` (N1), or the Python-repr text of such a list (N2).
 Everything here is a narrow, per-row transformation — no shuffle:
 
-* N1 parses the cell once as VARIANT and walks the tree level by level with
-  one ``aggregate`` (frontier -> children), up to ``max_depth`` levels; a
-  deeper tree raises an error instead of losing rows.
-  Nested lists are spliced in place; non-object items are skipped.
+* N1 parses the cell once as VARIANT and walks it level by level with one
+  ``aggregate`` (frontier -> children).  The walk takes as many steps as the
+  cell's own brackets nest, so no depth is too great and a shallow cell takes
+  few.  Nested lists are spliced in place; non-object items are skipped.
   Sorting node paths gives the depth-first pre-order and its running index.
 * N2 runs one regex over the cell (five capture groups, zipped) and decodes
   Python string escapes and ``datetime(...)`` arguments.
@@ -21,10 +21,8 @@ from pyspark.sql import types as T
 
 from feedlake.functions import text as X
 
-MAX_DEPTH = 64
-SPLICE_ROUNDS = 2
-
 _VARRAY = T.ArrayType(T.VariantType())
+# fixed values: the key names a comment object may use, first present wins
 _FIELDS = {
     "username": ["author", "username", "user", "name"],
     "raw_id": ["comment_id", "id", "commentId"],
@@ -41,20 +39,17 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _items(v: Column) -> Column:
-    """A replies holder -> list of items: array as is, object as [object],
-    anything else []; nested arrays spliced in place."""
-    arr = (F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-           .when(_kind(v).startswith("OBJECT"), F.array(v))
-           .otherwise(F.array().cast(_VARRAY)))
-    for _ in range(SPLICE_ROUNDS):
-        arr = F.flatten(F.transform(arr, lambda x: F.when(
-            _kind(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>")).otherwise(F.array(x))))
-    return F.filter(arr, lambda x: _kind(x).startswith("OBJECT"))
-
-
-def _children(node: Column) -> Column:
-    return _items(F.try_variant_get(node, "$.replies", "variant"))
+def nesting(cell: Column) -> Column:
+    """How deep the brackets of a JSON text nest, strings left out."""
+    bare = F.regexp_replace(cell, r'(?s)"(?:[^"\\]++|\\.)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    walk = F.aggregate(
+        marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda acc, m: F.struct(
+            (acc["now"] + F.when(m.isin("[", "{"), 1).when(m.isin("]", "}"), -1).otherwise(0)).alias("now"),
+            F.greatest(acc["most"], acc["now"] + F.when(m.isin("[", "{"), 1).otherwise(0)).alias("most")),
+        lambda acc: acc["most"])
+    return F.coalesce(walk, F.lit(0))
 
 
 def _node_fields(node: Column) -> list[Column]:
@@ -69,36 +64,41 @@ _STEP_TYPE = T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.Integ
                                          T.StructField("node", T.VariantType())]))
 
 
-def with_comment_nodes(df: DataFrame, comments: str, max_depth: int = MAX_DEPTH,
-                       out: str = "_nodes") -> DataFrame:
+def with_comment_nodes(df: DataFrame, comments: str, out: str = "_nodes") -> DataFrame:
     """Add ``out``: the cell's comment objects as (path, fields) structs in
     depth-first pre-order (empty unless the cell is JSON).
 
-    The walk is one ``aggregate`` over ``sequence(1, max_depth + 1)`` whose
-    state is (frontier, collected): each step collects the frontier and
-    replaces it by its children.  The step is written once, so the plan does
-    not grow with the depth cap; a frontier left after the last step means a
-    deeper tree, which raises instead of dropping comments."""
-    root = F.try_parse_json(F.col(comments))
-    first = F.transform(_items(root), lambda x, i: F.struct(F.array(i).alias("path"), x.alias("node")))
-    init = F.struct(first.cast(_STEP_TYPE).alias("frontier"), F.array().cast(_STEP_TYPE).alias("seen"))
+    The walk's state is (frontier, seen).  A step opens every frontier value:
+    a list gives its items, an object is a comment and gives its ``replies``;
+    anything else ends.  Each step goes one bracket deeper, so ``nesting``
+    steps see every comment; once the frontier is empty a step costs nothing."""
+    cell = F.col(comments)
+    root = F.try_parse_json(cell)
+    none = F.array().cast(_STEP_TYPE)
+    first = F.when(root.isNotNull(), F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("node"))).cast(_STEP_TYPE)).otherwise(none)
+    init = F.struct(first.alias("frontier"), none.alias("seen"))
+
+    def opened(p: Column) -> Column:
+        node, path = p.getField("node"), p.getField("path")
+        items = F.when(_kind(node).startswith("ARRAY"), F.try_variant_get(node, "$", "array<variant>")) \
+            .when(_kind(node).startswith("OBJECT"), F.array(F.try_variant_get(node, "$.replies", "variant"))) \
+            .otherwise(F.array().cast(_VARRAY))
+        return F.transform(items, lambda c, j: F.struct(F.concat(path, F.array(j)).alias("path"), c.alias("node")))
 
     def step(acc, _):
         frontier = acc.getField("frontier")
-        children = F.flatten(F.transform(frontier, lambda p: F.transform(
-            _children(p.getField("node")), lambda c, j: F.struct(
-                F.concat(p.getField("path"), F.array(j)).alias("path"), c.alias("node")))))
-        return F.struct(children.cast(_STEP_TYPE).alias("frontier"),
-                        F.concat(acc.getField("seen"), frontier).alias("seen"))
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth + 1)), init, step)
+        children = F.filter(F.flatten(F.transform(frontier, opened)), lambda p: p.getField("node").isNotNull())
+        comments_here = F.filter(frontier, lambda p: _kind(p.getField("node")).startswith("OBJECT"))
+        return F.when(F.size(frontier) == 0, acc).otherwise(F.struct(
+            children.cast(_STEP_TYPE).alias("frontier"),
+            F.concat(acc.getField("seen"), comments_here).alias("seen")))
+
+    steps = F.when(root.isNotNull(), nesting(cell)).otherwise(F.lit(0))
+    walked = F.aggregate(F.sequence(F.lit(0), steps), init, step)
     cur = df.withColumn("_walk", walked)
     nodes = F.transform(F.col("_walk.seen"), lambda p: F.struct(p.getField("path").alias("path"),
                                                                  *_node_fields(p.getField("node"))))
-    too_deep = F.size(F.col("_walk.frontier")) > 0
-    cur = cur.withColumn(out, F.when(too_deep, F.raise_error(F.lit(
-        f"comment tree deeper than {max_depth} levels"))).otherwise(F.array_sort(nodes)))
-    return cur.drop("_walk")
+    return cur.withColumn(out, F.array_sort(nodes)).drop("_walk")
 
 
 def _explode_nodes(cur: DataFrame, post_id: str, nodes: str = "_nodes") -> DataFrame:
@@ -125,10 +125,9 @@ def _explode_nodes(cur: DataFrame, post_id: str, nodes: str = "_nodes") -> DataF
     ).drop("_i", "_n")
 
 
-def flatten_comment_objects(df: DataFrame, post_id: str, comments: str,
-                            max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_comment_objects(df: DataFrame, post_id: str, comments: str) -> DataFrame:
     """One output row per comment object, in depth-first pre-order."""
-    return _explode_nodes(with_comment_nodes(df, comments, max_depth), post_id)
+    return _explode_nodes(with_comment_nodes(df, comments), post_id)
 
 
 # N2 -------------------------------------------------------------------------
@@ -142,20 +141,31 @@ REPR_PATTERN = (r"(?s)'comment_id':\s*'([^']*)'.*?"
                 r"'content':\s*'((?:[^'\\]++|\\.)*+)'.*?"
                 r"'parent_id':\s*(None|'[^']*')")
 
-_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"', "0": "\0"}
+# fixed values: the string escapes of one character
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "'": "'", '"': '"', "a": "\a", "b": "\b", "f": "\f",
+            "v": "\v", "\n": ""}
+_ESCAPE_TOKENS = (r"(?s)\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\.|[^\\]++|\\$")
+
+
+def _code_point(hex_digits: Column) -> Column:
+    """The character of a code point in hex digits."""
+    return F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")
 
 
 def decode_py_literal(col: Column) -> Column:
-    """Undo Python string escapes of single characters (\\n, \\', \\\\ ...)."""
-    tokens = F.regexp_extract_all(col, F.lit(r"(?s)\\.|[^\\]+|\\$"), 0)
+    """Undo Python string escapes: single characters, octal, \\x, \\u and
+    \\U; an unknown escape stays as it is."""
+    tokens = F.regexp_extract_all(col, F.lit(_ESCAPE_TOKENS), 0)
 
     def one(tok: Column) -> Column:
-        expr = F.when(~tok.startswith("\\") | (F.length(tok) != 2), tok)
+        expr = F.when(~tok.startswith("\\") | (F.length(tok) < 2), tok)
+        expr = expr.when(tok.rlike(r"(?s)^\\[xuU][0-9a-fA-F]{2}"), _code_point(tok.substr(F.lit(3), F.length(tok) - 2)))
+        expr = expr.when(tok.rlike(r"^\\[0-7]"), _code_point(F.conv(tok.substr(F.lit(2), F.length(tok) - 1), 8, 16)))
         for k, v in _ESCAPES.items():
             expr = expr.when(tok == F.lit("\\" + k), F.lit(v))
         return expr.otherwise(tok)
 
-    return F.array_join(F.transform(tokens, one), "")
+    return F.when(col.contains("\\"), F.array_join(F.transform(tokens, one), "")).otherwise(col)
 
 
 def repr_nodes(comments: str) -> Column:
@@ -200,11 +210,22 @@ def repr_count(comments: str = "comments") -> Column:
 
 
 # N4 -------------------------------------------------------------------------
+def _raw_title() -> Column:
+    return F.coalesce(F.col("title"), F.concat(F.lit("post_"), F.col("index").cast("string")))
+
+
+def raw_post_key() -> Column:
+    """The natural key a raw row's post id is hashed from."""
+    return F.coalesce(F.col("url"), F.concat(_raw_title(), F.col("index").cast("string")))
+
+
 def post_rows(raw: DataFrame) -> DataFrame:
-    """Raw dataset row -> staging post row (id from url, else title + index;
-    alternative image keys; comment count defaults to the comments found)."""
-    key = F.coalesce(F.col("url"), F.concat(F.col("title"), F.col("index").cast("string")))
-    post_id = X.make_id("post", key)
+    """Raw dataset row -> staging post row (id from url, else title + index; a
+    missing title is ``post_<index>``; alternative image keys; comment count
+    defaults to the comments found)."""
+    post_id = X.make_id("post", raw_post_key())
+    kind = {f.name: f.dataType for f in raw.schema.fields}
+    text = lambda c: X.safe_text(F.col(c), kind[c])
     author = F.coalesce(F.col("author"), F.lit("unknown_author"))
     image = X.first_non_empty("featured_image", "image", "image_url")
     image_url = F.coalesce(image, F.lit(""))
@@ -214,14 +235,14 @@ def post_rows(raw: DataFrame) -> DataFrame:
              .otherwise(repr_count("comments")))
     return with_comment_nodes(raw, "comments").select(
         post_id.alias("post_id"),
-        X.safe_text(F.col("title")).alias("title"),
+        X.safe_text(_raw_title()).alias("title"),
         X.make_id("user", author).alias("author_id"),
         X.safe_text(author).alias("author"),
-        X.safe_text(F.col("url")).alias("url"),
-        X.safe_text(F.col("content")).alias("content"),
-        X.safe_text(F.col("excerpt")).alias("excerpt"),
-        X.safe_text(F.col("categories")).alias("categories"),
-        X.safe_text(F.col("tags")).alias("tags"),
+        text("url").alias("url"),
+        text("content").alias("content"),
+        text("excerpt").alias("excerpt"),
+        text("categories").alias("categories"),
+        text("tags").alias("tags"),
         X.safe_text(F.coalesce(F.col("published_at"), F.col("date"))).alias("published_at"),
         F.coalesce(F.col("comments_count"), found).alias("comments_count"),
         image_url.alias("image_url"),
@@ -231,6 +252,5 @@ def post_rows(raw: DataFrame) -> DataFrame:
 
 def comment_rows(raw: DataFrame) -> DataFrame:
     """N3 over raw rows keyed by their derived post id."""
-    key = F.coalesce(F.col("url"), F.concat(F.col("title"), F.col("index").cast("string")))
-    keyed = raw.select(X.make_id("post", key).alias("post_id"), "comments")
+    keyed = raw.select(X.make_id("post", raw_post_key()).alias("post_id"), "comments")
     return extract_comments(keyed).select(*COMMENT_COLUMNS)

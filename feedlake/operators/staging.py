@@ -25,10 +25,13 @@ USER_KEYS = ["user_id", "username"]
 POST_KEYS = ["post_id", "author_id"]
 COMMENT_KEYS = ["comment_id", "post_id", "user_id"]
 INTERACTION_KEYS = ["event_id", "user_id", "post_id", "event_type"]
+USER_NUMBERS = ("num_posts", "num_comments")
+POST_NUMBERS = ("comments_count",)
+INTERACTION_NUMBERS = ("dwell_time",)
 
 
 def clean_users(staging: DataFrame) -> DataFrame:
-    return staging.filter(_present(*USER_KEYS)).select(
+    return staging.filter(_present(*USER_KEYS) & _whole_numbers(*USER_NUMBERS)).select(
         "user_id", "username",
         F.coalesce(blank_to_null("user_type"), F.lit(S.DEFAULT_ACCOUNT_TYPE)).alias("account_type"),
         int_or_default("num_posts").alias("authored_posts_count"),
@@ -39,7 +42,7 @@ def clean_users(staging: DataFrame) -> DataFrame:
 
 
 def clean_posts(staging: DataFrame) -> DataFrame:
-    return staging.filter(_present(*POST_KEYS)).select(
+    return staging.filter(_present(*POST_KEYS) & _whole_numbers(*POST_NUMBERS)).select(
         "post_id", "author_id",
         F.coalesce(blank_to_null("title"), F.lit(S.DEFAULT_POST_TITLE)).alias("title"),
         blank_to_null("url").alias("canonical_url"),
@@ -53,10 +56,10 @@ def clean_posts(staging: DataFrame) -> DataFrame:
 
 
 def media_surrogate_key(post_id, object_key) -> Column:
-    """Deterministic 60-bit key from the natural key (post_id, object_key);
-    computed per row, so no global ordering or single-task numbering."""
-    natural = F.concat_ws("|", F.col(post_id), F.col(object_key))
-    return F.conv(F.substring(F.md5(natural), 1, 15), 16, 10).cast("bigint")
+    """The full md5 of the natural key (post_id, object_key) as text, the
+    first part with its length before it so that two keys never read the
+    same; computed per row, so no global ordering or single-task numbering."""
+    return F.md5(F.concat(F.length(post_id).cast("string"), F.lit(":"), F.col(post_id), F.col(object_key)))
 
 
 def derive_post_media(staging_posts: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def clean_comments(staging: DataFrame) -> DataFrame:
 
 
 def clean_interactions(staging: DataFrame) -> DataFrame:
-    return staging.filter(_present(*INTERACTION_KEYS)).select(
+    return staging.filter(_present(*INTERACTION_KEYS) & _whole_numbers(*INTERACTION_NUMBERS)).select(
         "event_id", "user_id", "post_id",
         F.col("event_type").alias("interaction_type"),
         blank_to_null("timestamp").alias("occurred_at_raw"),
@@ -93,9 +96,17 @@ def clean_interactions(staging: DataFrame) -> DataFrame:
     )
 
 
-def rejects(staging: DataFrame, required: list[str]) -> DataFrame:
-    """P2 side output: staging rows a cleaner drops."""
-    return staging.filter(~_present(*required))
+def _whole_numbers(*cols: str) -> Column:
+    """True where each text is blank or a whole number."""
+    return reduce(lambda a, b: a & b, [blank_to_null(c).isNull() | F.col(c).try_cast("int").isNotNull() for c in cols])
+
+
+def rejects(staging: DataFrame, required: list[str], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """P2 side output: staging rows a cleaner drops, for a missing key or for
+    text in a number column (``USER_NUMBERS``, ``POST_NUMBERS``,
+    ``INTERACTION_NUMBERS``)."""
+    ok = _present(*required)
+    return staging.filter(~(ok & _whole_numbers(*numbers) if numbers else ok))
 
 
 # P5 / J10 ---------------------------------------------------------------------
@@ -112,7 +123,7 @@ def duplicate_keys(df: DataFrame, table: str, cols: list[str], check: str | None
     """PK / UNIQUE / partial-unique: keys that occur more than once."""
     src = df.filter(where) if where is not None else df
     dup = src.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return _report(dup, check or f"unique({','.join(cols)})", table, F.concat_ws("|", *cols), F.col("n"))
+    return _report(dup, check or f"unique({','.join(cols)})", table, _key_text(cols), F.col("n"))
 
 
 def missing_parents(child: DataFrame, fk: str, parent: DataFrame, pk: str, child_table: str,
@@ -139,19 +150,31 @@ def null_required(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
 
 
 def _key_text(cols: list[str]) -> Column:
+    """How a report shows a key."""
     return F.col(cols[0]).cast("string") if len(cols) == 1 else F.concat_ws("|", *cols)
 
 
+def _key_id(cols: list[str]) -> Column:
+    """What keys are compared by: the parts as a JSON list, so that neither a
+    separator inside a part nor a null part makes two keys alike."""
+    return F.to_json(F.array(*[F.col(c).cast("string") for c in cols]))
+
+
 def _tagged_keys(df: DataFrame, table: str, specs: list[tuple]) -> DataFrame:
     """One row per (check, key) a table row contributes; a spec is
     (check, key columns[, condition])."""
     items = []
     for spec in specs:
         check, cols = spec[0], spec[1]
-        item = F.struct(F.lit(check).alias("check"), _key_text(cols).alias("key"))
+        item = F.struct(F.lit(check).alias("check"), _key_id(cols).alias("kid"), _key_text(cols).alias("key"))
         items.append(F.when(spec[2], item) if len(spec) > 2 else item)
     return (df.select(F.explode(F.array(*items)).alias("x")).filter(F.col("x").isNotNull())
-            .select("x.check", F.lit(table).alias("table_name"), "x.key"))
+            .select("x.check", F.lit(table).alias("table_name"), "x.kid", "x.key"))
+
+
+def _all_there(*cols: str) -> Column:
+    """A unique constraint leaves keys with a null part alone."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
 
 
 def quality_report(users: DataFrame, posts: DataFrame, post_media: DataFrame, comments: DataFrame,
@@ -164,16 +187,18 @@ def quality_report(users: DataFrame, posts: DataFrame, post_media: DataFrame, co
     keys on (check, key).  Each table is read once per kind of check."""
     like = F.col("interaction_type") == "like"
     unique = [
-        _tagged_keys(users, "users", [("primary_key", ["user_id"]), ("unique(username)", ["username"])]),
+        _tagged_keys(users, "users", [("primary_key", ["user_id"]), ("unique(username)", ["username"], _all_there("username"))]),
         _tagged_keys(posts, "posts", [("primary_key", ["post_id"])]),
         _tagged_keys(post_media, "post_media", [("primary_key", ["media_id"]),
-                                                ("unique(post_id,object_key)", ["post_id", "object_key"])]),
+                                                ("unique(post_id,object_key)", ["post_id", "object_key"],
+                                                 _all_there("post_id", "object_key"))]),
         _tagged_keys(comments, "comments", [("primary_key", ["comment_id"])]),
         _tagged_keys(interactions, "interactions", [
             ("primary_key", ["event_id"]),
-            ("unique_like", ["user_id", "post_id", "interaction_type"], like)]),
+            ("unique_like", ["user_id", "post_id", "interaction_type"],
+             like & _all_there("user_id", "post_id"))]),
     ]
-    dup = (reduce(DataFrame.unionByName, unique).groupBy("check", "table_name", "key")
+    dup = (reduce(DataFrame.unionByName, unique).groupBy("check", "table_name", "kid", "key")
            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
 
     def fk(child_col: str, parent_table: str, parent_col: str) -> str:
@@ -188,7 +213,7 @@ def quality_report(users: DataFrame, posts: DataFrame, post_media: DataFrame, co
         refs(post_media, "post_media", [("post_id", "posts", "post_id")]),
         refs(comments, "comments", [("post_id", "posts", "post_id"), ("user_id", "users", "user_id")]),
         refs(interactions, "interactions", [("user_id", "users", "user_id"), ("post_id", "posts", "post_id")]),
-    ]).groupBy("check", "table_name", "key").agg(F.count(F.lit(1)).alias("n"))
+    ]).groupBy("check", "table_name", "key").agg(F.count(F.lit(1)).alias("n"))     # one-column keys
     user_keys = users.select(_key_text(["user_id"]).alias("key")).filter(F.col("key").isNotNull())
     post_keys = posts.select(_key_text(["post_id"]).alias("key")).filter(F.col("key").isNotNull())
     parent_keys = reduce(DataFrame.unionByName, [

@@ -117,13 +117,13 @@ def q_staging_clean_users(spark, d):
 @register("staging_clean_posts")
 def q_staging_clean_posts(spark, d):
     """P1, P2 on the all-text posts staging table."""
-    return ST.clean_posts(SS.staging_posts(spark, d)).drop("body_text")
+    return ST.clean_posts(SS.staging_posts(spark, d))
 
 
 @register("staging_clean_comments")
 def q_staging_clean_comments(spark, d):
     """P1, P2 on the all-text comments staging table."""
-    return ST.clean_comments(SS.staging_comments(spark, d)).drop("body_text")
+    return ST.clean_comments(SS.staging_comments(spark, d))
 
 
 @register("staging_clean_interactions")
@@ -428,8 +428,7 @@ def q_comment_tree(spark, d):
 def q_comment_repr_rows(spark, d):
     """Comments of the rows whose cell is Python-repr text."""
     raw = RP.raw_posts(spark, d)
-    key = F.coalesce(F.col("url"), F.concat(F.col("title"), F.col("index").cast("string")))
-    keyed = raw.select(X.make_id("post", key).alias("post_id"), "comments").filter(
+    keyed = raw.select(X.make_id("post", CM.raw_post_key()).alias("post_id"), "comments").filter(
         F.try_parse_json("comments").isNull())
     return CM.comments_from_repr(keyed, "post_id", "comments").select(*CM.COMMENT_COLUMNS)
 

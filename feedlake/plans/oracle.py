@@ -23,7 +23,7 @@ SELECT event_id, user_id,
        CASE WHEN event_type = 'view' THEN CAST(floor(value) AS INTEGER) END AS dwell_time_seconds
 FROM events""",
     "posts": """
-SELECT d.doc_id AS post_id, d.doc_id % 150 AS author_id, substring(d.text, 1, 60) AS title,
+SELECT d.doc_id AS post_id, d.doc_id % 150 AS author_id, split_part(d.text, chr(10), 1) AS title,
        '/posts/' || CAST(d.doc_id AS VARCHAR) AS canonical_url, d.text AS body_text,
        CAST(NULL AS VARCHAR) AS excerpt,
        '["' || d.source || '"]' AS categories, '["' || d.lang || '"]' AS tags,
@@ -200,30 +200,31 @@ FROM users"""
 
 STAGING_POSTS = """
 SELECT CAST(p.post_id AS VARCHAR) AS post_id, p.title, CAST(p.author_id AS VARCHAR) AS author_id,
-       COALESCE(p.canonical_url, '') AS url, COALESCE(p.excerpt, '') AS excerpt,
+       COALESCE(p.canonical_url, '') AS url, COALESCE(p.body_text, '') AS content, COALESCE(p.excerpt, '') AS excerpt,
        COALESCE(p.categories, '') AS categories, COALESCE(p.tags, '') AS tags,
        COALESCE(p.published_at_raw, '') AS published_at, CAST(p.comments_count AS VARCHAR) AS comments_count,
        COALESCE(m.source_url, '') AS image_url, COALESCE(m.object_key, '') AS image_path
 FROM posts p LEFT JOIN post_media m ON m.post_id = p.post_id"""
 
-_MEDIA_KEY = "CAST(('0x' || substring(md5(post_id || '|' || image_path), 1, 15)) AS BIGINT)"
+_MEDIA_KEY = "md5(length(post_id) || ':' || post_id || image_path)"
 
 DQ = """
 SELECT 'primary_key' AS "check", 'users' AS table_name, CAST(user_id AS VARCHAR) AS key, count(*) AS n_rows
   FROM users GROUP BY user_id HAVING count(*) > 1
-UNION ALL SELECT 'unique(username)', 'users', username, count(*) FROM users GROUP BY username HAVING count(*) > 1
+UNION ALL SELECT 'unique(username)', 'users', username, count(*) FROM users WHERE username IS NOT NULL GROUP BY username HAVING count(*) > 1
 UNION ALL SELECT 'primary_key', 'posts', CAST(post_id AS VARCHAR), count(*) FROM posts GROUP BY post_id
   HAVING count(*) > 1
 UNION ALL SELECT 'primary_key', 'post_media', CAST(media_id AS VARCHAR), count(*) FROM post_media
   GROUP BY media_id HAVING count(*) > 1
 UNION ALL SELECT 'unique(post_id,object_key)', 'post_media', concat_ws('|', post_id, object_key), count(*)
-  FROM post_media GROUP BY post_id, object_key HAVING count(*) > 1
+  FROM post_media WHERE post_id IS NOT NULL AND object_key IS NOT NULL GROUP BY post_id, object_key HAVING count(*) > 1
 UNION ALL SELECT 'primary_key', 'comments', comment_id, count(*) FROM comments GROUP BY comment_id
   HAVING count(*) > 1
 UNION ALL SELECT 'primary_key', 'interactions', CAST(event_id AS VARCHAR), count(*) FROM interactions
   GROUP BY event_id HAVING count(*) > 1
 UNION ALL SELECT 'unique_like', 'interactions', concat_ws('|', user_id, post_id, interaction_type), count(*)
-  FROM interactions WHERE interaction_type = 'like' GROUP BY user_id, post_id, interaction_type
+  FROM interactions WHERE interaction_type = 'like' AND user_id IS NOT NULL AND post_id IS NOT NULL
+  GROUP BY user_id, post_id, interaction_type
   HAVING count(*) > 1
 UNION ALL SELECT 'fk(author_id->users.user_id)', 'posts', CAST(author_id AS VARCHAR), count(*) FROM posts
   WHERE author_id IS NOT NULL AND author_id NOT IN (SELECT user_id FROM users WHERE user_id IS NOT NULL)
@@ -274,14 +275,14 @@ FROM ({STAGING_USERS}) su
 WHERE NULLIF(user_id, '') IS NOT NULL AND NULLIF(username, '') IS NOT NULL""", "users"),
     "staging_clean_posts": with_fixtures(f"""
 SELECT post_id, author_id, COALESCE(NULLIF(title, ''), '(untitled post)') AS title,
-       NULLIF(url, '') AS canonical_url, NULLIF(excerpt, '') AS excerpt, NULLIF(categories, '') AS categories,
+       NULLIF(url, '') AS canonical_url, NULLIF(content, '') AS body_text, NULLIF(excerpt, '') AS excerpt, NULLIF(categories, '') AS categories,
        NULLIF(tags, '') AS tags, NULLIF(published_at, '') AS published_at_raw,
        COALESCE(TRY_CAST(NULLIF(comments_count, '') AS INTEGER), 0) AS comments_count
 FROM ({STAGING_POSTS}) sp
 WHERE NULLIF(post_id, '') IS NOT NULL AND NULLIF(author_id, '') IS NOT NULL""", "posts", "post_media"),
     "staging_clean_comments": with_fixtures("""
 SELECT comment_id, CAST(post_id AS VARCHAR) AS post_id, CAST(user_id AS VARCHAR) AS user_id,
-       parent_comment_id, commented_at_raw
+       parent_comment_id, NULLIF(body_text, '') AS body_text, commented_at_raw
 FROM comments""", "comments"),
     "staging_clean_interactions": with_fixtures("""
 SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
@@ -546,8 +547,8 @@ th AS (SELECT c0.conv_id, c0.turn AS t, c0.text AS x0, c1.text AS x1, c2.text AS
        LEFT JOIN conversations c1 ON c1.conv_id = c0.conv_id AND c1.turn = c0.turn + 1
        LEFT JOIN conversations c2 ON c2.conv_id = c0.conv_id AND c2.turn = c0.turn + 2
        WHERE c0.turn % 3 = 0),
-raw AS (SELECT th.*, th.t // 3 AS thread, th.conv_id * 1000 + th.t // 3 AS idx,
-               COALESCE(substring(d.text, 1, 60), 'untitled') || ' #' || CAST(th.t // 3 AS VARCHAR) AS title,
+raw AS (SELECT th.*, th.t // 3 AS thread, CAST(th.conv_id AS VARCHAR) || '_' || CAST(th.t // 3 AS VARCHAR) AS idx,
+               COALESCE(split_part(d.text, chr(10), 1), 'untitled') || ' #' || CAST(th.t // 3 AS VARCHAR) AS title,
                pg.url, d.text AS content, d.source, d.lang,
                (th.conv_id + th.t // 3) % 2 = 0 AS is_json
         FROM th LEFT JOIN documents d ON d.doc_id = th.conv_id LEFT JOIN pages pg ON pg.page_id = th.conv_id),

@@ -69,7 +69,7 @@ def posts(spark: SparkSession, base: str) -> DataFrame:
     p = docs.select(
         F.col("doc_id").alias("post_id"),
         (F.col("doc_id") % AUTHOR_MODULUS).alias("author_id"),
-        F.substring("text", 1, 60).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.concat(F.lit("/posts/"), F.col("doc_id").cast("string")).alias("canonical_url"),
         F.col("text").alias("body_text"),
         F.lit(None).cast("string").alias("excerpt"),

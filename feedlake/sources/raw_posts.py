@@ -18,7 +18,6 @@ from feedlake.sources.tables import read_table
 
 # fixed values of the raw-post adapter
 THREAD_SPAN = 3
-INDEX_STRIDE = 1000          # raw row index = conv_id * 1000 + thread number
 AUTHOR_MODULUS = 150
 _JSON = {"ignoreNullFields": "true"}
 
@@ -86,12 +85,13 @@ def raw_posts(spark: SparkSession, base: str) -> DataFrame:
     pages = read_table(spark, base, "pages").select(F.col("page_id").alias("conv_id"), "url")
     rows = th.select("conv_id", thread.alias("thread"), blob.alias("comments")) \
         .join(docs, "conv_id", "left").join(pages, "conv_id", "left")
-    idx = F.col("conv_id") * INDEX_STRIDE + F.col("thread")
+    # one index per (conversation, thread), however many threads there are
+    idx = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("thread").cast("string"))
     image = F.col("url")
-    pick = idx % 3
+    pick = (F.col("conv_id") + F.col("thread")) % 3
     return rows.select(
         idx.alias("index"),
-        F.concat(F.coalesce(F.substring("text", 1, 60), F.lit("untitled")), F.lit(" #"),
+        F.concat(F.coalesce(F.substring_index("text", "\n", 1), F.lit("untitled")), F.lit(" #"),
                  F.col("thread").cast("string")).alias("title"),
         F.col("url"),
         F.concat(F.lit("author_"), (F.col("conv_id") % AUTHOR_MODULUS).cast("string")).alias("author"),

@@ -13,6 +13,7 @@ from feedlake.operators import cdc as CDC
 from feedlake.operators import comments as CM
 from feedlake.operators import features as FE
 from feedlake.operators import feed as FD
+from feedlake.operators import staging as ST
 from feedlake.operators import vectors as VE
 from feedlake.session import scratch_path
 from feedlake.sources import bronze as BR
@@ -206,14 +207,61 @@ def test_comment_tree_shapes(spark):
     assert sorted(r.comment_text for r in out) == ["", "t1", "t2", "t4"]
 
 
-def test_comment_tree_too_deep_raises(spark):
-    import pytest
-    node = {"author": "leaf"}
-    for _ in range(CM.MAX_DEPTH + 1):
-        node = {"author": "n", "replies": [node]}
-    df = spark.createDataFrame([("p", json.dumps([node]))], "post_id string, comments string")
-    with pytest.raises(Exception, match="deeper than"):
-        CM.extract_comments(df).collect()
+def test_comment_walk_has_no_depth_or_nesting_limit(spark):
+    """Lists in lists and long threads lose nothing; brackets and quotes
+    inside texts do not count."""
+    deep = json.dumps({"text": "leaf 199"})
+    for i in reversed(range(199)):
+        deep = json.dumps({"text": f"level {i} ]}}", "replies": [json.loads(deep)]})
+    cells = {"p1": '[[[[[{"text":"a"}], {"text":"b"}]]], 5, {"text":"c","replies":[[{"text":"d"}],[]]}]', "p2": deep,
+             "p3": '{"text":"one [[[ \\" {{", "replies":{"text":"two"}}', "p4": "[]", "p5": "7", "p6": '{"text":"x","replies":"none"}'}
+    df = spark.createDataFrame(list(cells.items()), "pid string, comments string")
+    got = {}
+    for r in CM.flatten_comment_objects(df, "pid", "comments").collect():
+        got.setdefault(r.pid, []).append(r)
+    texts = {k: sorted(r.comment_text for r in v) for k, v in got.items()}
+    assert texts.pop("p2") == sorted([f"level {i} ]}}" for i in range(199)] + ["leaf 199"])
+    assert texts == {"p1": ["a", "b", "c", "d"], "p3": ['one [[[ " {{', "two"], "p6": ["x"]}
+    order = [r.username for r in sorted(got["p1"], key=lambda r: r.comment_text)]
+    assert order == ["anonymous_0", "anonymous_1", "anonymous_2", "anonymous_3"]    # depth first, lists in place
+
+
+def test_python_literals(spark):
+    """Every string escape; F4: tuples, None and quotes inside items."""
+    cells = [r"a\xa0b", r"\u200b\U0001F600", r"\101\0\x41", r"\a\b\f\v\n\t\r\\\'\"", r"\q\8", "plain", "line\\\nend", "tail\\"]
+    out = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select(
+        "i", CM.decode_py_literal(F.col("c")).alias("d")).collect()
+    assert [r.d for r in sorted(out)] == ["a\xa0b", "\u200b\U0001F600", "A\0A", "\a\b\f\v\n\t\r\\'\"", "\\q\\8", "plain", "lineend", "tail\\"]
+    lists = ["['a', None]", "('a', 'b')", "('a',)", '["x", null]', "['it\\'s None', \"q, None\"]", "['a' 'b']", "", "[1, True]", "['a',]"]
+    out = spark.createDataFrame([(i, c) for i, c in enumerate(lists)], "i int, c string").select("i", X.parse_str_list("c").alias("l")).collect()
+    assert [r.l for r in sorted(out)] == [["a", None], ["a", "b"], ["a"], ["x", None], ["it's None", "q, None"], ["a", "b"], [], ["1", "true"], ["a"]]
+
+
+def test_constraint_keys_and_rejects(spark):
+    """Keys are compared part by part; numbers that are not go to the rejects."""
+    like = [(i, u, p, "like", None, "s", None, None, None) for i, (u, p) in enumerate([(None, 5), (5, None), (None, 5), (1, 2), (1, 2)])]
+    media = spark.createDataFrame([("m1", "a|b", "c"), ("m2", "a", "b|c"), ("m3", "a", None), ("m4", "a", None)], "media_id string, post_id string, object_key string")
+    users = spark.createDataFrame([(1, "n")], "user_id long, username string")
+    posts = spark.createDataFrame([(2, 1, "t")], "post_id long, author_id long, title string")
+    comments = spark.createDataFrame([], "comment_id string, post_id long, user_id long")
+    rows = ST.quality_report(users, posts, media, comments, _inter(spark, like)).filter("check like 'unique%'").collect()
+    assert [(r.check, r.key, r.n_rows) for r in rows] == [("unique_like", "1|2|like", 2)]
+    keys = media.filter("object_key is not null").select(ST.media_surrogate_key("post_id", "object_key").alias("k"))
+    assert keys.distinct().count() == 2 and all(len(r.k) == 32 for r in keys.collect())
+    staged = spark.createDataFrame([("1", "a", "", "12x", "3", "", ""), ("2", "b", "", "4", "", "", "")],
+                                   "user_id string, username string, user_type string, num_posts string, num_comments string, interests string, created_at string")
+    assert one(ST.clean_users(staged), "user_id") == ["2"]
+    assert one(ST.rejects(staged, ST.USER_KEYS, ST.USER_NUMBERS), "user_id") == ["1"]
+
+
+def test_raw_post_lists_and_title(spark):
+    """List columns become JSON text; a missing title is post_<index>."""
+    raw = spark.createDataFrame([("7", None, None, "a", "t", None, ["x", "y"], [], None, "2024", None, None, None, None, None)],
+                                "index string, title string, url string, author string, content string, excerpt string, categories array<string>, "
+                                "tags array<string>, published_at string, date string, featured_image string, image string, image_url string, comments string, comments_count int")
+    r = CM.post_rows(raw).first()
+    assert (r.title, r.categories, r.tags) == ("post_7", '["x","y"]', "[]")
+
 
 
 def test_repr_comments_decode(spark):
