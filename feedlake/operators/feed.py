@@ -1,11 +1,11 @@
 """Feed reads.
 
-Feed page plan: rank posts and keep the first ``offset + limit`` (TakeOrdered:
-per-partition top-k, then a merge of at most k rows per partition).  Only then
-are authors, media, comment counts, like counts and the viewer's likes joined
-— each big table is semi-joined against the page's post ids, a broadcast whose
-size is bounded by ``offset + limit`` (at most a few hundred rows), so the
-comments and interactions scans never shuffle.
+Feed page plan: rank posts on their narrow columns (id, author, time) and keep
+the first ``offset + limit`` (TakeOrdered: per-partition top-k, then a merge of
+at most k rows per partition).  Only then are bodies, authors, media, comment
+counts and likes joined — each big table is semi-joined against the page's post
+ids.  The ids are broadcast up to ``MAX_BROADCAST_IDS`` (so the big scans never
+shuffle) and left to AQE's measured size beyond.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql.window import Window
 from feedlake import schemas as S
 
 
+MAX_BROADCAST_IDS = 10_000
+
+
 def clamp_limit(limit: int | None) -> int:
     if limit is None:
         return S.FEED_DEFAULT_LIMIT
@@ -58,24 +61,25 @@ def feed_page(posts: DataFrame, users: DataFrame, post_media: DataFrame, comment
     # J4 filters posts without an author; J5 may add a row per extra first image,
     # so the first offset+limit rows of the result come from the first
     # offset+limit posts.
-    ranked = posts.join(authors, "author_id", "inner")
+    narrow = posts.select("post_id", "author_id", "published_at_raw").join(authors, "author_id", "inner")
     # at most offset + limit rows; materialized once (reliable checkpoint) so
     # the posts table is ranked once, not once per branch below
-    head = ranked.orderBy(*_feed_order()).limit(offset + limit).checkpoint(eager=True)
-    ids = F.broadcast(head.select("post_id"))
+    head = narrow.orderBy(*_feed_order()).limit(offset + limit).checkpoint(eager=True)
+    ids = head.select("post_id").distinct()
+    if offset + limit <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
     def on_page(df: DataFrame) -> DataFrame:
         return df.join(ids, "post_id", "left_semi")
 
     media = on_page(post_media.filter(F.col("display_order") == 1)).select("post_id", "object_key")
-    out = (head.join(media, "post_id", "left")
-           .join(comment_counts(on_page(comments)), "post_id", "left")
-           .join(like_counts(on_page(interactions)), "post_id", "left"))
-    if viewer_id is None:
-        out = out.withColumn("viewer_has_liked", F.lit(False))
-    else:
-        out = (out.join(viewer_likes(on_page(interactions), viewer_id), "post_id", "left")
-               .withColumn("viewer_has_liked", F.coalesce(F.col("viewer_has_liked"), F.lit(False))))
+    wide = on_page(posts.drop("author_id", "published_at_raw"))
+    mine = F.lit(False) if viewer_id is None else F.coalesce(F.col("user_id") == F.lit(viewer_id), F.lit(False))
+    likes = (on_page(interactions.filter(F.col("interaction_type") == "like")).groupBy("post_id")
+             .agg(F.count(F.lit(1)).alias("like_count"), F.max(mine).alias("viewer_has_liked")))
+    out = (head.join(wide, "post_id").join(media, "post_id", "left")
+           .join(comment_counts(on_page(comments)), "post_id", "left").join(likes, "post_id", "left")
+           .withColumn("viewer_has_liked", F.coalesce(F.col("viewer_has_liked"), F.lit(False))))
     page = out.orderBy(*_feed_order()).offset(offset).limit(limit)
     n = F.count(F.lit(1)).over(Window.partitionBy())  # the page: at most `limit` rows
     return page.select(
@@ -98,19 +102,24 @@ def feed_page(posts: DataFrame, users: DataFrame, post_media: DataFrame, comment
 def newest_comments(comments: DataFrame, users: DataFrame, per_post: int,
                     post_ids: DataFrame | None = None) -> DataFrame:
     """Newest `per_post` comments of each post (time desc nulls last, then
-    comment_id desc), with the commenter's name.  `row_number() <= n` plans a
+    comment_id desc; comment_id is the primary key), with the commenter's name.  `row_number() <= n` plans a
     partial WindowGroupLimit before the shuffle, so a post with a huge thread
     ships at most n rows per task."""
     # a caller-supplied id list has no size bound here: AQE decides whether
     # to broadcast it at runtime (feed_with_comments passes its bounded page)
     c = comments if post_ids is None else comments.join(post_ids.select("post_id"), "post_id", "left_semi")
-    named = c.join(users.select("user_id", "username"), "user_id", "inner")
+    # rank on narrow columns: only comments of known users count, and a name
+    # or a body is fetched for the survivors alone
+    keys = c.select("post_id", "comment_id", "user_id", "commented_at_raw")
+    known = keys.join(users.select("user_id").distinct(), "user_id", "left_semi")
     w = Window.partitionBy("post_id").orderBy(F.col("commented_at_raw").desc_nulls_last(),
                                               F.col("comment_id").desc())
-    top = named.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_post)
-    return top.select("post_id", "comment_id", "user_id", "username",
-                      _blank("body_text").alias("body_text"),
-                      _blank("commented_at_raw").alias("commented_at"), "rank")
+    top = known.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_post).drop("commented_at_raw")
+    bodies = c.select("post_id", "comment_id", "user_id", "body_text", "commented_at_raw")
+    return (top.join(bodies, ["post_id", "comment_id", "user_id"])
+            .join(users.select("user_id", "username"), "user_id")
+            .select("post_id", "comment_id", "user_id", "username", _blank("body_text").alias("body_text"),
+                    _blank("commented_at_raw").alias("commented_at"), "rank"))
 
 
 def top_comments(comments: DataFrame, users: DataFrame, post_ids: DataFrame | None = None,

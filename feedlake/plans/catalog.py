@@ -79,14 +79,17 @@ def q_preferred_surface(spark, d):
 @register("user_features")
 def q_user_features(spark, d):
     """J1, F3, F5, F9, P10."""
-    return FE.user_features(FX.users(spark, d), FX.interactions(spark, d)).drop("interest_kw_list")
+    uf = FE.user_features(FX.users(spark, d), FX.interactions(spark, d))
+    return uf.withColumn("interest_kw_list", F.array_join("interest_kw_list", "|"))
 
 
 @register("post_features")
 def q_post_features(spark, d):
     """W3, F4, F8, P11 (+ A2/A3 joined)."""
     pf = FE.post_features(FX.posts(spark, d), FX.interactions(spark, d), FX.post_media(spark, d))
-    return pf.drop("body_text", "categories_list", "tags_list")
+    for c in ("categories_list", "tags_list"):
+        pf = pf.withColumn(c, F.array_join(c, "|"))
+    return pf
 
 
 @register("interaction_labels")
@@ -98,10 +101,12 @@ def q_interaction_labels(spark, d):
 @register("training_pairs")
 def q_training_pairs(spark, d):
     """J3 + P9: the flagship gold table.  The interaction grain is written
-    once (reliable checkpoint in the shared checkpoint dir) and read by the
+    once (a table in the shared checkpoint dir) and read by the
     user, post and label builders."""
     inter = FX.interactions(spark, d)
-    grain = FE.interaction_grain(inter).checkpoint(eager=True)
+    path = scratch_path(spark, "grain")
+    FE.interaction_grain(inter).write.parquet(path)
+    grain = spark.read.parquet(path)
     return FE.training_pairs(FX.users(spark, d), FX.posts(spark, d), inter, FX.post_media(spark, d), grain)
 
 
@@ -170,8 +175,7 @@ def landed_orders(spark, d, layout):
 def q_cdc_normalize(spark, d):
     """S2-S4, S9 layout, C1-C4: every landed change event, normalized."""
     ev = landed_orders(spark, d, "topics")
-    return ev.select(*CDC_META, F.col("payload.o_orderkey").alias("o_orderkey"),
-                     F.col("payload.o_orderstatus").alias("o_orderstatus"))
+    return ev.select(*CDC_META, "payload.*")
 
 
 @register("cdc_current_state")

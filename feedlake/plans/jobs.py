@@ -41,16 +41,17 @@ def write_dataframe(df: DataFrame, path: str, mode: str = "overwrite", partition
 def silver_stage(spark: SparkSession, bronze_root: str, layout: str, silver: str,
                  row_schemas: dict[str, T.StructType], tables: list[str] | None = None,
                  mode: str = "overwrite") -> dict[str, str]:
-    """Per table: read change events, normalize, keep the current state,
-    write it.  All tables' normalized events are also written as one union
-    (C7).  Returns the written paths."""
+    """Read and normalize every table's change events once and write them as
+    tables; the current states and the union of all events (C7) are built
+    from those.  Returns the written paths."""
     apply_defaults(spark)
     tables = tables or list(row_schemas)
     size_shuffles(spark, [BR.build_input_path(bronze_root, layout, t) for t in tables])
     out, events = {}, []
     for t in tables:
-        raw = BR.load_raw_events(spark, bronze_root, t, layout, row_schemas[t])
-        ev = CDC.normalize_events(raw)
+        parsed = scratch_path(spark, "silver-events")
+        write_dataframe(CDC.normalize_events(BR.load_raw_events(spark, bronze_root, t, layout, row_schemas[t])), parsed)
+        ev = spark.read.parquet(parsed)
         events.append(ev)
         write_dataframe(CDC.current_state(ev, t), f"{silver}/{t}", mode)
         out[t] = f"{silver}/{t}"

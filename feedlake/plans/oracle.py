@@ -127,6 +127,9 @@ SELECT u.user_id, u.username, u.account_type, u.authored_posts_count, u.comments
        array_to_string(CASE WHEN json_valid(u.interest_keywords) AND json_type(u.interest_keywords) = 'ARRAY'
                             THEN json_transform(u.interest_keywords, '["VARCHAR"]') ELSE [] END, ', ')
          AS interest_kw_text,
+       array_to_string(CASE WHEN json_valid(u.interest_keywords) AND json_type(u.interest_keywords) = 'ARRAY'
+                            THEN json_transform(u.interest_keywords, '["VARCHAR"]') ELSE [] END, '|')
+         AS interest_kw_list,
        CAST(datediff('day', u.joined_on, DATE '2026-05-18') AS INTEGER) AS tenure_days,
        COALESCE(ua.total_interactions, 0) AS total_interactions, ua.num_views, ua.num_likes,
        ua.num_comments_interaction, ua.num_saves, ua.num_shares, ua.num_follows,
@@ -138,7 +141,9 @@ POST_FEATURES = f"""
 WITH pa AS ({POST_AGG}), img AS (SELECT post_id, object_key FROM (
        SELECT post_id, object_key, row_number() OVER (PARTITION BY post_id ORDER BY object_key DESC) AS rn
        FROM post_media) WHERE rn = 1)
-SELECT p.post_id, p.author_id, p.title, p.canonical_url, p.excerpt, p.categories, p.tags,
+SELECT p.post_id, p.author_id, p.title, p.canonical_url, p.body_text, p.excerpt, p.categories, p.tags,
+       array_to_string(json_transform(p.categories, '["VARCHAR"]'), '|') AS categories_list,
+       array_to_string(json_transform(p.tags, '["VARCHAR"]'), '|') AS tags_list,
        p.published_at_raw, p.comments_count,
        CASE WHEN p.body_text IS NOT NULL THEN CAST(len(string_split(p.body_text, ' ')) AS INTEGER) END AS body_word_count,
        {POST_ENG_COLS.replace('pa.post_id, ', '')},
@@ -312,7 +317,8 @@ def _normalized(topic: str) -> str:
 SELECT ev.op, epoch_ms(o.ts0 + ev.step * 1000) AS event_ts, o.ts0 + ev.step * 1000 AS event_ts_ms,
        o.ts0 + ev.step * 1000 AS source_ts_ms, 'public' AS schema_name, 'orders' AS table_name,
        '{topic}' AS topic_name, '2024-06-01' AS object_date, lpad(CAST(o.k % 24 AS VARCHAR), 2, '0') AS object_hour,
-       ev.op = 'd' AS is_delete, o.k AS o_orderkey, ev.status AS o_orderstatus
+       ev.op = 'd' AS is_delete, o.k AS o_orderkey, ev.status AS o_orderstatus, o.o_custkey, o.o_totalprice,
+       o.od AS o_orderdate, o.o_orderpriority
 FROM ev JOIN o ON ev.k = o.k"""
 
 
@@ -331,7 +337,7 @@ SELECT o_orderkey, o_custkey,
        lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') AS object_hour, false AS is_delete
 FROM s WHERE o_orderkey % 11 <> 0""",
     "cdc_event_union": with_fixtures(f"""WITH {ORDER_EVENTS}
-SELECT * EXCLUDE (o_orderkey, o_orderstatus), o_orderkey AS row_key FROM ({_normalized('postgres.public.orders')})
+SELECT * EXCLUDE (o_orderkey, o_orderstatus, o_custkey, o_totalprice, o_orderdate, o_orderpriority), o_orderkey AS row_key FROM ({_normalized('postgres.public.orders')})
 UNION ALL
 SELECT 'c' AS op, epoch_ms(t) AS event_ts, t AS event_ts_ms, t AS source_ts_ms, 'public' AS schema_name,
        'interactions' AS table_name, 'postgres.public.interactions' AS topic_name, '2024-06-01' AS object_date,

@@ -67,6 +67,18 @@ METADATA_COLUMNS = [
     "_object_name", "is_delete",
 ]
 
+# --- gold schema: fixed values, the scalar columns each side of a training pair carries
+GOLD_USER_COLUMNS = [
+    "user_id", "account_type", "tenure_days", "authored_posts_count", "comments_count",
+    "total_interactions", "num_views", "num_likes", "num_comments_interaction", "num_saves",
+    "num_shares", "num_follows", "avg_dwell_time", "num_unique_posts", "num_sessions",
+    "preferred_device", "preferred_surface",
+]
+GOLD_POST_COLUMNS = [
+    "post_id", "author_id", "body_word_count", "comments_count", "total_interactions", "num_views",
+    "num_likes", "avg_dwell_time", "num_unique_users", "like_rate", "comment_rate", "has_image",
+]
+
 # --- staging tables: every column is text ----------------------------------
 STAGING_COLUMNS = {
     "users": ["user_id", "username", "user_type", "num_posts", "num_comments", "interests", "created_at"],

@@ -23,7 +23,8 @@ SQL_DEFAULTS = {
     # key may hold a third of all rows
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # runtime (measured) sizes only: broadcast a side once AQE has seen it is
-    # at most 64 MB; the static, estimate-based threshold keeps its default
+    # at most 64 MB; never on an estimate
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.parquet.compression.codec": "snappy",
 }
@@ -59,14 +60,17 @@ def build_session(master: str | None = None, app_name: str = "feedlake",
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``.  Only when nothing is configured (local tests)
-    do we pick a fresh folder of our own."""
+    ``spark.checkpoint.dir``.  Only when nothing is configured and all tasks
+    run in this process (local tests) do we pick a fresh folder of our own; on
+    a cluster, a folder of this machine would lose the others' files."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="feedlake-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -99,13 +103,13 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
 
 
 def size_shuffles(spark: SparkSession, paths: list[str], target_bytes: int = TARGET_PARTITION_BYTES,
-                  floor: int | None = None, ceiling: int = 100_000) -> int:
+                  floor: int | None = None) -> int:
     """Start with enough shuffle partitions for ~target_bytes each at the
     measured input size (AQE coalesces small ones at runtime), never fewer
     than twice the cluster's cores, and split scans and AQE partitions at the
     same size.  Returns the partition count."""
     floor = floor if floor is not None else 2 * spark.sparkContext.defaultParallelism
-    n = max(floor, min(ceiling, -(-input_bytes(spark, paths) // target_bytes)))
+    n = max(floor, -(-input_bytes(spark, paths) // target_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))

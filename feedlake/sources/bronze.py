@@ -62,23 +62,32 @@ def _time_parts(ts_ms: Column) -> dict[str, Column]:
     }
 
 
-def raw_record(envelopes: DataFrame, topic: str, partition: Column | None = None,
-               offset: Column | None = None) -> DataFrame:
+def raw_record(envelopes: DataFrame, topic: str) -> DataFrame:
     """Flatten envelopes to the lander's 17-field raw record (before/after
-    stay nested objects in the JSON text)."""
+    stay nested objects in the JSON text).  Record identity (topic, partition,
+    offset, kafka_timestamp) and source position (snapshot, tx_id, lsn) are
+    taken from the input where it has them."""
     src = F.col("source")
+    fields = envelopes.schema["source"].dataType.fieldNames()
+
+    def given(name: str, kind: str, default=None) -> Column:
+        return F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind)) if name in envelopes.columns else F.lit(default).cast(kind)
+
+    def of_source(name: str, kind: str, default=None) -> Column:
+        return F.coalesce(src.getField(name).cast(kind), F.lit(default).cast(kind)) if name in fields else F.lit(default).cast(kind)
+
     return envelopes.select(
-        F.lit(topic).alias("topic"),
-        (partition if partition is not None else F.lit(0)).cast("int").alias("partition"),
-        (offset if offset is not None else F.lit(None)).cast("long").alias("offset"),
-        F.col("landed_ms").alias("kafka_timestamp"),
+        given("topic", "string", topic).alias("topic"), given("partition", "int", 0).alias("partition"),
+        given("offset", "long").alias("offset"),
+        (F.coalesce(F.col("kafka_timestamp").cast("long"), F.col("landed_ms")) if "kafka_timestamp" in envelopes.columns
+         else F.col("landed_ms")).alias("kafka_timestamp"),
         F.date_format(F.timestamp_millis("landed_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("ingested_at"),
         src.getField("table").alias("table"), src.getField("schema").alias("schema"),
         F.col("op"), F.col("ts_ms").alias("event_ts_ms"),
         (F.col("ts_ms") * 1000).alias("event_ts_us"), (F.col("ts_ms") * 1_000_000).alias("event_ts_ns"),
         src.getField("ts_ms").alias("source_ts_ms"),
-        F.lit("false").alias("snapshot"), F.lit(None).cast("long").alias("tx_id"),
-        F.lit(None).cast("long").alias("lsn"),
+        of_source("snapshot", "string", "false").alias("snapshot"), of_source("txId", "long").alias("tx_id"),
+        of_source("lsn", "long").alias("lsn"),
         F.col("before"), F.col("after"), F.col("landed_ms"),
     )
 
@@ -86,8 +95,10 @@ def raw_record(envelopes: DataFrame, topic: str, partition: Column | None = None
 def write_bronze(envelopes: DataFrame, root: str, layout: str, table: str) -> str:
     """Land envelopes (with a ``landed_ms`` column) in one of the layouts.
 
-    Rows are clustered by their partition folder first, so each folder gets
-    one file per writing task instead of one per task and folder."""
+    Rows are rebalanced by their partition folder first: a folder's rows come
+    together in as few tasks as their size asks for, and AQE splits an hour
+    that is larger than its advisory partition size over several tasks, hence
+    files."""
     path = build_input_path(root, layout, table)
     parts = _time_parts(F.col("landed_ms"))
     if layout == "raw-cdc":
@@ -99,7 +110,7 @@ def write_bronze(envelopes: DataFrame, root: str, layout: str, table: str) -> st
         for k in ("year", "month", "day", "hour"):
             df = df.withColumn(k, parts[k])
         keys = ["year", "month", "day", "hour"]
-    df = df.drop("landed_ms").repartition(*keys)
+    df = df.drop("landed_ms").hint("rebalance", *[F.col(k) for k in keys])
     df.write.mode("overwrite").partitionBy(*keys).json(path)
     return path
 
@@ -112,12 +123,27 @@ def _relative_object_name(root: str) -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(bare) + "/", "")
 
 
+def with_path_fields(events: DataFrame, topic: str, table: str) -> DataFrame:
+    """What the writer put into the path.  Topic and table are the ones
+    whose folder is read (D6: so `post_media` stays whole); date and hour come
+    from the ``name=value`` folders of the object name, under any prefix (D7)."""
+    parts = F.str_to_map(F.col("_object_name"), F.lit("/"), F.lit("="))
+    at = lambda name: F.try_element_at(parts, F.lit(name))
+    dotted = topic.split(".")
+    return events.withColumns({
+        "topic_name": F.lit(topic),
+        "path_schema": F.lit(dotted[1] if len(dotted) == 3 else None).cast("string"), "path_table": F.lit(table),
+        "object_date": F.coalesce(at("date"), F.concat(at("year"), F.lit("-"), at("month"), F.lit("-"), at("day"))),
+        "object_hour": at("hour")})
+
+
 def load_raw_events(spark: SparkSession, root: str, table: str, layout: str,
                     row_schema: T.StructType) -> DataFrame:
-    """Read one table's change events as envelopes + ``_object_name``.
+    """Read one table's change events as envelopes + ``_object_name`` + the
+    path's fields.
 
-    ``before``/``after`` are read as raw JSON text and parsed with the row
-    schema (C1), so nested objects and JSON-encoded text both load."""
+    C1: ``before``/``after`` are read as raw JSON text and parsed with the
+    declared row schema, so nested objects and JSON-encoded text both load."""
     path = build_input_path(root, layout, table)
     text_rows = {"before", "after"}
     if layout == "raw-cdc":
@@ -131,12 +157,16 @@ def load_raw_events(spark: SparkSession, root: str, table: str, layout: str,
     if layout == "raw-cdc":
         # The raw record names the event time `event_ts_ms` and carries the
         # source fields flat; map them back onto the envelope.
-        return raw.select(
+        raw = raw.select(
             "op", F.col("event_ts_ms").alias("ts_ms"), before.alias("before"), after.alias("after"),
             F.struct(F.col("schema").alias("schema"), F.col("table").alias("table"),
                      F.col("source_ts_ms").alias("ts_ms")).alias("source"),
-            "_object_name")
-    return raw.withColumn("before", before).withColumn("after", after)
+            "lsn", "partition", "offset", "_object_name")
+        topic = f"{RAW_TOPIC_PREFIX}{table}"
+    else:
+        raw = raw.withColumn("before", before).withColumn("after", after)
+        topic = topic_name(table)
+    return with_path_fields(raw, topic, table)
 
 
 # fixture: orders change events -------------------------------------------------------

@@ -97,43 +97,75 @@ def test_tenure_units(spark):
 
 
 # CDC -------------------------------------------------------------------------------------
-def test_table_keys_and_paths():
-    """D1, D6, D7."""
-    assert CDC.table_keys(["event_id", "user_id"], "interactions") == ["event_id"]
-    assert CDC.table_keys(["a", "x_id", "y_id"], "unknown") == ["x_id"]
+def test_table_keys_are_declared():
+    """D1."""
+    import pytest
+
+    assert CDC.table_keys("interactions") == ["event_id"]
+    with pytest.raises(KeyError):
+        CDC.table_keys("unknown")
 
 
 def test_object_name_parsing(spark):
-    names = ["topics/postgres.public.post_media/year=2024/month=01/day=02/hour=03/x.json",
-             "raw-cdc/topic=feedlake_cdc_public_post_media/date=2024-01-02/hour=03/x.json",
-             "bronze/postgres.public.users/x.json"]
-    row = T.StructType([T.StructField("k", T.LongType())])
-    df = spark.createDataFrame([(n, "c") for n in names], "_object_name string, op string")
-    df = df.withColumn("ts_ms", F.lit(None).cast("long")).withColumn("before", F.lit(None).cast(row)) \
-        .withColumn("after", F.lit(None).cast(row))
-    out = CDC.normalize_events(df).select("table_name", "topic_name", "object_date", "object_hour").collect()
-    assert [tuple(r) for r in out] == [
-        ("post_media", "postgres.public.post_media", "2024-01-02", "03"),
-        ("post_media", "feedlake_cdc_public_post_media", "2024-01-02", "03"),
-        ("users", "postgres.public.users", None, None)]
+    """Fields of the path, per layout."""
+    cases = [("raw/topics/postgres.public.post_media/year=2024/month=01/day=02/hour=03/x.json", "postgres.public.post_media"),
+             ("raw-cdc/topic=feedlake_cdc_public_post_media/date=2024-01-02/hour=03/x.json", "feedlake_cdc_public_post_media"),
+             ("bronze/postgres.public.post_media/x.json", "postgres.public.post_media")]
+    out = []
+    for name, topic in cases:
+        df = spark.createDataFrame([(name,)], "_object_name string")
+        out.append(tuple(BR.with_path_fields(df, topic, "post_media").select("path_table", "topic_name", "path_schema", "object_date", "object_hour").first()))
+    assert out == [("post_media", "postgres.public.post_media", "public", "2024-01-02", "03"),
+                   ("post_media", "feedlake_cdc_public_post_media", None, "2024-01-02", "03"),
+                   ("post_media", "postgres.public.post_media", "public", None, None)]
+
+
+def _events(spark, data):
+    """(op, ts_ms, before, after, object, lsn) as the reader hands them over."""
+    row = "struct<k:long,v:string>"
+    df = spark.createDataFrame(data, f"op string, ts_ms long, before {row}, after {row}, _object_name string, lsn long")
+    df = df.withColumn("source", F.struct(F.lit("public").alias("schema"), F.lit("t").alias("table"), F.lit(None).cast("long").alias("ts_ms")))
+    return CDC.normalize_events(BR.with_path_fields(df, "postgres.public.t", "t"))
 
 
 def test_current_state_latest_wins_then_deletes_drop(spark):
-    row = "struct<k:long,v:string>"
-    data = [("r", 1, None, (1, "a"), "o1"), ("u", 2, (1, "a"), (1, "b"), "o1"),
-            ("r", 1, None, (2, "x"), "o1"), ("d", 3, (2, "x"), None, "o1"),
-            ("r", 5, None, (3, "p"), "o1"), ("u", 5, None, (3, "q"), "o2")]  # tie -> greater object name
-    df = spark.createDataFrame(data, f"op string, ts_ms long, before {row}, after {row}, _object_name string")
-    df = df.withColumn("source", F.struct(F.lit("public").alias("schema"), F.lit("t").alias("table"),
-                                          F.lit(None).cast("long").alias("ts_ms")))
-    ev = CDC.normalize_events(df)
-    state = CDC.current_state(ev, "t", ["k"])
-    assert sorted((r.k, r.v) for r in state.collect()) == [(1, "b"), (3, "q")]
-    # Folding the same events in two batches gives the same state
-    first, second = ev.filter("ts_ms <= 2"), ev.filter("ts_ms > 2")
-    s1 = CDC.current_state(first, "t", ["k"])
-    s2 = CDC.apply_changes(s1, second, "t", ["k"])
-    assert sorted((r.k, r.v) for r in s2.collect()) == [(1, "b"), (3, "q")]
+    data = [("r", 1, None, (1, "a"), "o1", None), ("u", 2, (1, "a"), (1, "b"), "o1", None),
+            ("r", 1, None, (2, "x"), "o1", None), ("d", 3, (2, "x"), None, "o1", None),
+            ("r", 5, None, (3, "p"), "o1", 8), ("u", 5, None, (3, "q"), "o1", 9),     # equal times: the log's position
+            ("d", 6, (4, "y"), None, "o1", None), ("u", 6, None, (4, "y"), "o1", None),  # nothing else tells: the delete
+            ("c", 1, None, (5, "m"), "o1", None), ("d", 10, (5, "m"), None, "o2", None), ("u", 5, None, (5, "n"), "o3", None)]
+    for seed in range(3):       # whatever the order and the files of the input
+        ev = _events(spark, data).orderBy(F.rand(seed)).repartition(seed + 1)
+        state = CDC.current_state(ev, "t", ["k"])
+        assert sorted((r.k, r.v) for r in state.collect()) == [(1, "b"), (3, "q")]
+    kept = CDC.current_state(_events(spark, data), "t", ["k"], keep_deletes=True)
+    assert sorted((r.k, r.is_delete) for r in kept.collect()) == [(1, False), (2, True), (3, False), (4, True), (5, True)]
+
+
+def test_scratch_needs_a_shared_folder_off_local_mode():
+    """Without spark.checkpoint.dir, only a local master may use this machine's folders."""
+    import pytest
+
+    from feedlake import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_path(Session(), "x")
 
 
 def test_bronze_round_trip_all_layouts(spark):
