@@ -143,6 +143,27 @@ def q_staging_post_media(spark, d):
     return ST.derive_post_media(SS.staging_posts(spark, d))
 
 
+@register("staging_rejects")
+def q_staging_rejects(spark, d):
+    """Every staged row a cleaner drops, by table."""
+    out = None
+    for name, staged, keys, numbers, key in (
+            ("users", SS.staging_users, ST.USER_KEYS, ST.USER_NUMBERS, "user_id"),
+            ("posts", SS.staging_posts, ST.POST_KEYS, ST.POST_NUMBERS, "post_id"),
+            ("comments", SS.staging_comments, ST.COMMENT_KEYS, (), "comment_id"),
+            ("interactions", SS.staging_interactions, ST.INTERACTION_KEYS, ST.INTERACTION_NUMBERS, "event_id")):
+        rows = ST.rejects(staged(spark, d), keys, numbers).select(F.lit(name).alias("table_name"), X.blank_to_null(key).alias("key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("cascade_prune")
+def q_cascade_prune(spark, d):
+    """Comments whose post and user exist."""
+    kept = ST.cascade_prune(FX.comments(spark, d), "post_id", FX.posts(spark, d), "post_id")
+    return ST.cascade_prune(kept, "user_id", FX.users(spark, d), "user_id").select("comment_id", "post_id", "user_id")
+
+
 @register("dq_violations")
 def q_dq_violations(spark, d):
     """Every constraint violation of the core tables."""
@@ -156,13 +177,13 @@ CDC_META = ["op", "event_ts", "event_ts_ms", "source_ts_ms", "schema_name", "tab
             "object_date", "object_hour", "is_delete"]
 
 
-_LANDED: dict[tuple[int, str, str], str] = {}
+_LANDED: dict[tuple[str, str, str], str] = {}
 
 
 def landed_orders(spark, d, layout):
     """Land the orders change events in a layout (once per session and input)
     and return the normalized read of the files."""
-    key = (id(spark), d, layout)
+    key = (spark.sparkContext.applicationId, d, layout)
     if key not in _LANDED:
         root = scratch_path(spark, "bronze")
         BR.write_bronze(BR.order_change_events(spark, d), root, layout, "orders")
@@ -213,6 +234,18 @@ def q_feed_page(spark, d):
                         offset=FEED_OFFSET, limit=FEED_LIMIT, viewer_id=FEED_VIEWER)
 
 
+@register("feed_with_comments")
+def q_feed_with_comments(spark, d):
+    """L1 with W5: the feed page, each post with its newest comments (one row each here)."""
+    users, comments = FX.users(spark, d), FX.comments(spark, d)
+    page = FD.feed_page(FX.posts(spark, d), users, FX.post_media(spark, d), comments, FX.interactions(spark, d),
+                        offset=FEED_OFFSET, limit=FEED_LIMIT, viewer_id=FEED_VIEWER)
+    rows = FD.feed_with_comments(page, comments, users)
+    return rows.select("post_id", "title", "author_username", F.explode_outer("comments").alias("c")).select(
+        "post_id", "title", "author_username", F.col("c.rank").cast("long").alias("rank"), "c.comment_id", "c.username",
+        "c.body_text", "c.commented_at")
+
+
 @register("top_comments")
 def q_top_comments(spark, d):
     """The three newest comments of every post."""
@@ -289,14 +322,14 @@ def q_list_parse(spark, d):
 
 # --- streaming: speed layer and raw landing --------------------------------------------
 
-_SPEED_RUNS: dict[tuple[int, str], SpeedLayer] = {}
+_SPEED_RUNS: dict[tuple[str, str], SpeedLayer] = {}
 
 
 def speed_run(spark, d) -> SpeedLayer:
     """Land the change feed in two drops and run the speed layer over each
     (availableNow, same checkpoint -> two or more micro-batches).  One run per
     session and input folder serves all state queries."""
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _SPEED_RUNS:
         work = scratch_path(spark, "speed")
         layer = SpeedLayer(spark, f"{work}/state")
@@ -358,12 +391,16 @@ def q_event_outcomes(spark, d):
 
 @register("raw_landing")
 def q_raw_landing(spark, d):
-    """The raw lander stream; landed records per topic and op."""
+    """The raw lander stream; every landed record (17 fields but the
+    ingestion time; of the row images, the keys they hold)."""
     work = scratch_path(spark, "landing")
     CF.land_all(spark, d, f"{work}/in")
     LD.land(text_values(spark, f"{work}/in/drop*"), f"{work}/out", f"{work}/ckpt")
     landed = LD.read_landed(spark, f"{work}/out")
-    return landed.groupBy("topic", "op").agg(F.count(F.lit(1)).alias("n_records"))
+    key = lambda c: F.coalesce(*[F.get_json_object(c, f"$.{k}") for k in ("o_orderkey", "event_id", "post_id")])
+    kept = [f.name for f in S.RAW_RECORD_SCHEMA.fields if f.name not in ("ingested_at", "before", "after")]
+    return landed.select(*kept, key("before").alias("before_key"), key("after").alias("after_key"),
+                         F.get_json_object("after", "$.title").alias("after_title"))
 
 
 # --- vectors -------------------------------------------------------------------------

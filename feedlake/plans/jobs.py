@@ -118,20 +118,22 @@ def embeddings_stage(spark: SparkSession, silver: str, gold: str, out: str, imag
 
 # streams --------------------------------------------------------------------------------
 def speed_job(spark: SparkSession, values: DataFrame, state_root: str, checkpoint: str,
-              available_now: bool = False, trigger: str = "15 seconds"):
+              available_now: bool = False, trigger: str = "15 seconds",
+              recent_views_limit: int = S.RECENT_VIEWS_LIMIT):
     from feedlake.streaming.speed import SpeedLayer
 
     apply_defaults(spark)
-    layer = SpeedLayer(spark, state_root)
+    layer = SpeedLayer(spark, state_root, recent_views_limit)
     return layer, layer.run(values, checkpoint, available_now=available_now, processing_time=trigger)
 
 
 def land_job(spark: SparkSession, values: DataFrame, bronze_root: str, checkpoint: str,
-             available_now: bool = False, flush_seconds: int = 15):
+             available_now: bool = False, flush_seconds: int = 15, max_records_per_file: int = 0,
+             layout: str = "raw-cdc", table: str | None = None):
     from feedlake.streaming import landing as LD
 
     apply_defaults(spark)
-    return LD.land(values, bronze_root, checkpoint, available_now=available_now, flush_seconds=flush_seconds)
+    return LD.land(values, bronze_root, checkpoint, layout, table, max_records_per_file, available_now, flush_seconds)
 
 
 def silver_stream_job(spark: SparkSession, values: DataFrame, state_root: str, checkpoint: str,
@@ -164,9 +166,11 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--silver", required=True)
     s.add_argument("--schemas", required=True, help="JSON file: table -> row schema (DDL string)")
     s.add_argument("--tables", default="")
+    s.add_argument("--mode", default="overwrite", choices=("overwrite", "append", "error", "ignore"))
     g = sub.add_parser("gold")
     g.add_argument("--silver", required=True)
     g.add_argument("--gold", required=True)
+    g.add_argument("--mode", default="overwrite", choices=("overwrite", "append", "error", "ignore"))
     e = sub.add_parser("embeddings")
     e.add_argument("--silver", required=True)
     e.add_argument("--gold", required=True)
@@ -176,28 +180,38 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--source", required=True, help="text folder, or kafka://host:port/topic1,topic2")
         p.add_argument("--checkpoint", required=True)
         p.add_argument("--bronze" if name == "land" else "--state", required=True)
+        p.add_argument("--max-files-per-trigger", type=int, default=1000, help="bounds a micro-batch of a text folder")
+        p.add_argument("--max-offsets-per-trigger", type=int, default=5_000_000, help="bounds a micro-batch of Kafka")
+        if name == "speed":
+            p.add_argument("--recent-views-limit", type=int, default=S.RECENT_VIEWS_LIMIT)
+        if name == "land":
+            p.add_argument("--max-records-per-file", type=int, default=0)
+            p.add_argument("--flush-seconds", type=int, default=15)
+            p.add_argument("--layout", default="raw-cdc", choices=("raw-cdc", "topics"))
+            p.add_argument("--table", default=None, help="the table to land in the topics layout")
         if name == "silver-stream":
             p.add_argument("--schemas", required=True, help="JSON file: table -> row schema (DDL string)")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"feedlake-{a.cmd}").getOrCreate()
     if a.cmd == "silver":
-        silver_stage(spark, a.bronze, a.layout, a.silver, _load_schemas(a.schemas), parse_topic_list(a.tables) or None)
+        silver_stage(spark, a.bronze, a.layout, a.silver, _load_schemas(a.schemas), parse_topic_list(a.tables) or None, a.mode)
     elif a.cmd == "gold":
-        gold_stage(spark, a.silver, a.gold)
+        gold_stage(spark, a.silver, a.gold, a.mode)
     elif a.cmd == "embeddings":
         embeddings_stage(spark, a.silver, a.gold, a.out)
     else:
         if a.source.startswith("kafka://"):
             host, _, topics = a.source[len("kafka://"):].partition("/")
-            values = kafka_values(spark, host, parse_topic_list(topics))
+            values = kafka_values(spark, host, parse_topic_list(topics), a.max_offsets_per_trigger)
         else:
-            values = text_values(spark, a.source)
+            values = text_values(spark, a.source, a.max_files_per_trigger)
         if a.cmd == "speed":
-            _, q = speed_job(spark, values, a.state, a.checkpoint)
+            _, q = speed_job(spark, values, a.state, a.checkpoint, recent_views_limit=a.recent_views_limit)
         elif a.cmd == "silver-stream":
             _, q = silver_stream_job(spark, values, a.state, a.checkpoint, _load_schemas(a.schemas))
         else:
-            q = land_job(spark, values, a.bronze, a.checkpoint)
+            q = land_job(spark, values, a.bronze, a.checkpoint, flush_seconds=a.flush_seconds,
+                         max_records_per_file=a.max_records_per_file, layout=a.layout, table=a.table)
         q.awaitTermination()
 
 

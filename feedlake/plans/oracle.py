@@ -485,12 +485,21 @@ _OUTCOMES = """SELECT outcome, count(*) AS n FROM (
   UNION ALL SELECT 'IGNORED' FROM orders WHERE o_orderkey % 11 = 0
   UNION ALL SELECT 'MALFORMED' FROM pages) GROUP BY outcome"""
 _LANDED = f"""WITH {ORDER_EVENTS},
-r AS (SELECT 'interactions' AS tbl, 'c' AS op, (epoch_us(TRY_CAST(occurred_at_raw AS TIMESTAMP)) // 1000) AS t FROM interactions
-      UNION ALL SELECT 'posts', 'c', COALESCE(epoch_ms(CAST(published_at_raw AS TIMESTAMP)),
-                                             CASE WHEN post_id % 26 <> 0 THEN 1700000000000 + post_id END) FROM posts
-      UNION ALL SELECT 'orders', ev.op, o.ts0 + ev.step * 1000 FROM ev JOIN o ON ev.k = o.k)
-SELECT 'feedlake_cdc_public_' || tbl AS topic, op, count(*) AS n_records
-FROM r GROUP BY ALL"""
+p AS (SELECT post_id, title, CASE WHEN post_id % 7 <> 0 THEN epoch_ms(CAST(published_at_raw AS TIMESTAMP)) END AS ts,
+             CASE WHEN post_id % 26 <> 0 THEN 1700000000000 + post_id END AS src FROM posts),
+r AS (SELECT 'interactions' AS tbl, 'c' AS op, (epoch_us(TRY_CAST(occurred_at_raw AS TIMESTAMP)) // 1000) AS ts,
+             (epoch_us(TRY_CAST(occurred_at_raw AS TIMESTAMP)) // 1000) AS src, NULL AS bk, event_id AS ak,
+             CAST(NULL AS VARCHAR) AS title FROM interactions
+      UNION ALL SELECT 'posts', 'c', ts, src, NULL, post_id, title FROM p
+      UNION ALL SELECT 'orders', ev.op, o.ts0 + ev.step * 1000, o.ts0 + ev.step * 1000,
+                       CASE WHEN ev.op <> 'r' THEN ev.k END, CASE WHEN ev.op <> 'd' THEN ev.k END, NULL
+                FROM ev JOIN o ON ev.k = o.k)
+SELECT 'feedlake_cdc_public_' || tbl AS topic, 0 AS partition, CAST(NULL AS BIGINT) AS "offset",
+       COALESCE(ts, src) AS kafka_timestamp, tbl AS "table", 'public' AS schema, op, ts AS event_ts_ms,
+       CAST(NULL AS BIGINT) AS event_ts_us, CAST(NULL AS BIGINT) AS event_ts_ns, src AS source_ts_ms,
+       CAST(NULL AS VARCHAR) AS snapshot, CAST(NULL AS BIGINT) AS tx_id, CAST(NULL AS BIGINT) AS lsn,
+       CAST(bk AS VARCHAR) AS before_key, CAST(ak AS VARCHAR) AS after_key, title AS after_title
+FROM r"""
 
 SQL.update({
     "trending_state": with_fixtures(f"WITH {_SI}\n{_TREND}", "interactions"),
@@ -628,3 +637,19 @@ SELECT o_orderkey, o_custkey,
        epoch_ms(o_orderdate) + step * 1000 AS event_ts_ms, epoch_ms(o_orderdate) + step * 1000 AS source_ts_ms,
        false AS is_delete
 FROM s WHERE o_orderkey % 11 <> 0"""
+
+SQL["staging_rejects"] = with_fixtures("""
+SELECT 'users' AS table_name, CAST(user_id AS VARCHAR) AS key FROM users WHERE user_id IS NULL OR COALESCE(username, '') = ''
+UNION ALL SELECT 'posts', CAST(post_id AS VARCHAR) FROM posts WHERE post_id IS NULL OR author_id IS NULL
+UNION ALL SELECT 'comments', comment_id FROM comments WHERE comment_id IS NULL OR post_id IS NULL OR user_id IS NULL
+UNION ALL SELECT 'interactions', CAST(event_id AS VARCHAR) FROM interactions
+  WHERE event_id IS NULL OR user_id IS NULL OR post_id IS NULL OR interaction_type IS NULL""", *ALL_FIXTURES)
+
+SQL["cascade_prune"] = with_fixtures("""
+SELECT comment_id, post_id, user_id FROM comments
+WHERE post_id IN (SELECT post_id FROM posts) AND user_id IN (SELECT user_id FROM users)""", "comments", "posts", "users")
+
+SQL["feed_with_comments"] = with_fixtures(f"""
+WITH page AS ({FEED_PAGE}), c AS ({_newest(3)})
+SELECT page.post_id, page.title, page.author_username, c.rank, c.comment_id, c.username, c.body_text, c.commented_at
+FROM page LEFT JOIN c ON c.post_id = page.post_id""", *ALL_FIXTURES)

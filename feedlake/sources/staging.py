@@ -10,14 +10,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlake import schemas as S
 from feedlake.sources import fixtures as FX
 
 
 def read_staging_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
-            .schema(S.staging_schema(table)).csv(path))
+    """Columns go by the header's names, whatever their order.  A quoted field
+    may hold line breaks, so a file cannot be split: one task reads it whole,
+    and large tables should come in many files."""
+    want = S.staging_schema(table)
+    files = (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"'))
+    names = files.csv(path).columns
+    if set(names) != set(want.names):
+        raise ValueError(f"staging CSV of {table}: columns {names}, expected {want.names}")
+    named = T.StructType([want[c] for c in names])
+    return files.option("enforceSchema", "false").schema(named).csv(path).select(*want.names)
 
 
 def write_staging_csv(df: DataFrame, path: str) -> None:

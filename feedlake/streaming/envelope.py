@@ -29,21 +29,34 @@ def _present(v: Column) -> Column:
     return v.isNotNull() & ~F.is_variant_null(v)
 
 
-def _as_long(v: Column) -> Column:
-    """A JSON number that fits a long (text is not accepted)."""
+def as_long(v: Column) -> Column:
+    """A JSON number that fits a long (text is not accepted)."""
     kind = F.schema_of_variant(v)
     numeric = kind.isin(*_NUMERIC) | kind.startswith("DECIMAL")
     return F.when(_present(v) & numeric, v.try_cast("long"))
 
 
+def unwrapped(value: Column) -> tuple[Column, Column]:
+    """(the line's JSON, null if malformed; the envelope, its ``payload`` where it has one)."""
+    root = F.try_parse_json(value)
+    payload = _get(root, "$.payload", "variant")
+    return root, F.when(_present(payload), payload).otherwise(root)
+
+
+def source_ms(env: Column) -> Column:
+    return as_long(_get(env, "$.source.ts_ms", "variant"))
+
+
+def event_ms(env: Column) -> Column:
+    """The envelope's time, else its source's (T5)."""
+    return F.coalesce(as_long(_get(env, "$.ts_ms", "variant")), source_ms(env))
+
+
 def parse_envelopes(values: DataFrame, allowed_ops: tuple[str, ...] = ("c",)) -> DataFrame:
     """Columns added: op, table, after (variant), ts_ms, user_id, post_id,
     event_ts_ms (ts_ms else source.ts_ms), outcome."""
-    root = F.try_parse_json(F.col("value"))
-    df = values.withColumn("_root", root)
-    payload = _get(F.col("_root"), "$.payload", "variant")
-    env = F.when(_present(payload), payload).otherwise(F.col("_root"))
-    df = df.withColumn("_env", env)
+    root, env = unwrapped(F.col("value"))
+    df = values.select("*", root.alias("_root"), env.alias("_env"))
     e = F.col("_env")
     after = _get(e, "$.after", "variant")
     df = df.select(
@@ -51,8 +64,7 @@ def parse_envelopes(values: DataFrame, allowed_ops: tuple[str, ...] = ("c",)) ->
         _get(e, "$.op", "string").alias("op"),
         _get(e, "$.source.table", "string").alias("table"),
         after.alias("after"),
-        F.coalesce(_as_long(_get(e, "$.ts_ms", "variant")),
-                   _as_long(_get(e, "$.source.ts_ms", "variant"))).alias("event_ts_ms"),
+        event_ms(e).alias("event_ts_ms"),
         _get(after, "$.user_id", "string").alias("user_id"),
         _get(after, "$.post_id", "string").alias("post_id"),
     )

@@ -3,8 +3,8 @@
 Each micro-batch is parsed once; per table its rows are folded to the latest
 change per key *inside the batch* (deletes kept as tombstones) and appended
 to that table's delta log.  Reading folds snapshot + deltas with the same
-ordering as the batch current state (event time, source time, then arrival
-batch — the stream's stand-in for the object name) and drops tombstones.
+ordering as the batch current state (event time, source time, position in the
+log, deletes last) and drops tombstones.
 Writes are O(batch); compaction keeps tombstones so a late, older change can
 never resurrect a deleted key.
 """
@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlake import schemas as S
+from feedlake.streaming import envelope as EN
 from feedlake.streaming.state import DeltaLog, latest_by
 
-ORDER = ["event_ts_ms", "source_ts_ms", "b"]
+#: as the batch state orders changes (operators.cdc.change_order), so that neither the order of
+#: the lines nor the cut of the batches matters; the batch only tells apart what nothing else does
+ORDER = ["event_ts_ms", "source_ts_ms", "lsn", "partition", "offset", "is_delete", "op", "b", "h"]
 
 
 class SilverStream:
@@ -32,29 +35,28 @@ class SilverStream:
         self.logs = {t: DeltaLog(spark, state_root, t, latest_by(self.keys[t], ORDER)) for t in row_schemas}
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        root = F.try_parse_json(F.col("value"))
-        payload = F.try_variant_get(root, "$.payload", "variant")
-        env = F.when(payload.isNotNull() & ~F.is_variant_null(payload), payload).otherwise(root)
+        _, env = EN.unwrapped(F.col("value"))
         e = F.col("_env")
-        ev = batch.select(env.alias("_env")).select(
+        stood = [(F.col(c) if c in batch.columns else F.lit(None)).cast("long").alias(c) for c in ("partition", "offset")]
+        ev = batch.select(env.alias("_env"), *stood).select(
             F.try_variant_get(e, "$.op", "string").alias("op"),
             F.try_variant_get(e, "$.source.table", "string").alias("table"),
-            F.try_variant_get(e, "$.source.ts_ms", "long").alias("source_ts_ms"),
-            F.coalesce(F.try_variant_get(e, "$.ts_ms", "long"),
-                       F.try_variant_get(e, "$.source.ts_ms", "long")).alias("event_ts_ms"),
+            EN.source_ms(e).alias("source_ts_ms"), EN.event_ms(e).alias("event_ts_ms"),
+            EN.as_long(F.try_variant_get(e, "$.source.lsn", "variant")).alias("lsn"), "partition", "offset",
             F.to_json(F.try_variant_get(e, "$.before", "variant")).alias("before"),
             F.to_json(F.try_variant_get(e, "$.after", "variant")).alias("after"),
         ).filter(F.col("table").isin(*self.row_schemas))
         ev = ev.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for table, schema in self.row_schemas.items():
-                is_delete = F.col("op") == "d"
+                is_delete = F.coalesce(F.col("op") == "d", F.lit(False))
                 row = F.from_json(F.when(is_delete, F.col("before")).otherwise(F.col("after")), schema)
                 rows = (ev.filter(F.col("table") == table).select(
-                    row.alias("payload"), "op", "event_ts_ms", "source_ts_ms", is_delete.alias("is_delete"))
+                    row.alias("payload"), "op", "event_ts_ms", "source_ts_ms", "lsn", "partition", "offset", is_delete.alias("is_delete"))
                     .filter(F.col("payload").isNotNull())
                     .select(*[F.col("payload").getField(f.name).alias(f.name) for f in schema.fields],
-                            "op", "event_ts_ms", "source_ts_ms", "is_delete", F.lit(batch_id).cast("long").alias("b")))
+                            "op", "event_ts_ms", "source_ts_ms", "lsn", "partition", "offset", "is_delete",
+                            F.lit(batch_id).cast("long").alias("b"), F.xxhash64(F.to_json("payload")).alias("h")))
                 log = self.logs[table]
                 log.append(log.fold(rows), batch_id)
         finally:
@@ -74,4 +76,4 @@ class SilverStream:
 
     def state(self, table: str) -> DataFrame | None:
         folded = self.logs[table].read()
-        return None if folded is None else folded.filter(~F.col("is_delete")).drop("b")
+        return None if folded is None else folded.filter(~F.col("is_delete")).drop("b", "h", "lsn", "partition", "offset")

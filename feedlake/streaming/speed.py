@@ -5,9 +5,10 @@ One Structured Streaming query reads the change-event text, and one
 to each state log (see ``feedlake.streaming.state``).  The query checkpoint
 plus per-batch-id delta folders make a restarted or replayed batch count once.
 
-Ordering ("arrival") inside the state is (micro-batch id, event time,
-source offset, post id): later batches win; inside a batch the event time
-decides, then the Kafka offset when the source has one.
+Ordering ("arrival") inside the state is (micro-batch id, record time,
+partition, offset, event time, then the value itself): later batches win;
+inside a batch the log's own order decides where the source has one, and the
+event time only where it has none (text files).
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from feedlake import schemas as S
 from feedlake.streaming import envelope as EN
 from feedlake.streaming.state import DeltaLog, latest_by, newest_n, summed
 
-ORDER = ["b", "t", "o", "post_id"]
+ARRIVAL = ["b", "k", "p", "o", "t"]
+ORDER = [*ARRIVAL, "post_id"]
+#: record identity that a source may carry, by its short name in the state
+RECORD = {"k": "kafka_timestamp", "p": "partition", "o": "offset"}
 
 
 def kafka_values(spark: SparkSession, bootstrap: str, topics: list[str],
@@ -33,7 +37,8 @@ def kafka_values(spark: SparkSession, bootstrap: str, topics: list[str],
          .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest"))
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
-    return r.load().select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset")
+    return r.load().select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset",
+                           F.unix_millis("timestamp").alias("kafka_timestamp"))
 
 
 def text_values(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -57,16 +62,16 @@ class SpeedLayer:
             "recent_views": DeltaLog(spark, state_root, "recent_views",
                                      newest_n(["user_id"], ORDER, recent_views_limit)),
             "coldstart_meta": DeltaLog(spark, state_root, "coldstart_meta",
-                                       latest_by(["post_id", "field"], ["b", "t", "o"])),
+                                       latest_by(["post_id", "field"], [*ARRIVAL, "value"])),
             "coldstart_scores": DeltaLog(spark, state_root, "coldstart_scores",
-                                         latest_by(["post_id"], ["b", "t", "o"])),
+                                         latest_by(["post_id"], [*ARRIVAL, "score"])),
             "outcomes": DeltaLog(spark, state_root, "outcomes", summed(["outcome"], "n")),
             "dead_letter": DeltaLog(spark, state_root, "dead_letter", lambda df: df),
         }
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        offset = F.col("offset").cast("long") if "offset" in batch.columns else F.lit(None).cast("long")
-        ev = EN.parse_envelopes(batch.withColumn("o", offset), self.allowed_ops) \
+        record = {k: (F.col(c) if c in batch.columns else F.lit(None)).cast("long") for k, c in RECORD.items()}
+        ev = EN.parse_envelopes(batch.withColumns(record), self.allowed_ops) \
             .withColumn("b", F.lit(batch_id).cast("long")).withColumn("t", F.col("event_ts_ms"))
         ev = ev.persist(StorageLevel.MEMORY_AND_DISK)  # read by six deltas; freed below
         try:
@@ -77,15 +82,15 @@ class SpeedLayer:
             logs["trending"].append(inter.groupBy("post_id").agg(F.count(F.lit(1)).cast("double").alias("score")),
                                     batch_id)
             # Newest-first list per user, duplicates kept, capped
-            views = inter.select("user_id", "post_id", "b", "t", "o")
+            views = inter.select("user_id", "post_id", *ARRIVAL)
             logs["recent_views"].append(logs["recent_views"].fold(views), batch_id)
             # T4: per-post field map, later values overwrite
-            fields = posts.select("post_id", "b", "t", "o",
+            fields = posts.select("post_id", *ARRIVAL,
                                   F.explode(EN.field_map(F.col("after"))).alias("field", "value"))
             logs["coldstart_meta"].append(logs["coldstart_meta"].fold(fields), batch_id)
             # T5: score = ts_ms else source.ts_ms; only when a time exists
             scores = ev.filter(F.col("outcome") == EN.POST_WITH_SCORE).select(
-                "post_id", F.col("event_ts_ms").cast("double").alias("score"), "b", "t", "o")
+                "post_id", F.col("event_ts_ms").cast("double").alias("score"), *ARRIVAL)
             logs["coldstart_scores"].append(logs["coldstart_scores"].fold(scores), batch_id)
             # Outcome counts and the dead letters
             logs["outcomes"].append(ev.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")), batch_id)

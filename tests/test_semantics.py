@@ -366,3 +366,29 @@ def test_hashed_parent_joins_to_comment_ids(spark):
     assert orphans.count() == 0
     assert rows.join(rows.select(F.col("comment_id").alias("parent_comment_id")), "parent_comment_id",
                      "left_semi").count() == 0  # the raw ids alone never join
+
+
+def test_raw_record_keeps_its_identity(spark):
+    """Topic, partition, offset and record time pass through; a text ts_ms is no time."""
+    from feedlake.streaming.landing import raw_records
+
+    lines = [json.dumps({"op": "c", "ts_ms": "5", "source": {"table": "t", "lsn": 7, "txId": 8, "snapshot": "true"}, "after": {"k": 1}})]
+    df = spark.createDataFrame([(lines[0], "other.topic", 3, 77, 1234)], "value string, topic string, partition int, offset long, kafka_timestamp long")
+    r = raw_records(df).first()
+    assert (r.topic, r.partition, r.offset, r.kafka_timestamp, r.event_ts_ms) == ("other.topic", 3, 77, 1234, None)
+    assert (r.lsn, r.tx_id, r.snapshot) == (7, 8, "true")
+    r = raw_records(df.select("value")).first()
+    assert (r.topic, r.partition, r.offset, r.kafka_timestamp) == ("feedlake_cdc.public.t", 0, None, None)
+
+
+def test_staging_csv_goes_by_header_names(spark):
+    """Columns in another order are read by name; others are refused."""
+    import pytest
+
+    path = scratch_path(spark, "test-csv-order")
+    names = S.staging_schema("comments").names
+    row = spark.createDataFrame([tuple(f"<{n}>" for n in names)], S.staging_schema("comments"))
+    SS.write_staging_csv(row.select(*reversed(names)), path)
+    assert list(SS.read_staging_csv(spark, path, "comments").first()) == [f"<{n}>" for n in names]
+    with pytest.raises(ValueError, match="expected"):
+        SS.read_staging_csv(spark, path, "users")

@@ -180,3 +180,20 @@ def test_silver_stream_folds_changes_and_keeps_tombstones(spark):
         log.compact(1)
     layer.process_batch(_values(spark, ev("u", 2, "late", 2)), 2)
     assert sorted((r.event_id, r.v) for r in layer.state("interactions").collect()) == [(1, "b")]
+
+
+def test_arrival_order_is_the_logs_order(spark):
+    """Inside a batch the offset decides, not the event time, and the
+    cut of the batches does not matter."""
+    events = [(_post(ts_ms=t, title=f"v{o}"), o) for o, t in ((3, 10), (1, 30), (2, 20))]
+    rows = [(json.dumps(e), "t", 0, o, 1000) for e, o in events]
+    schema = "value string, topic string, partition int, offset long, kafka_timestamp long"
+    states = []
+    for cut in (0, 1):
+        layer = _layer(spark)
+        ordered = sorted(rows, key=lambda r: r[3])
+        for b, part in enumerate([rows] if not cut else [ordered[:1], ordered[1:]]):
+            layer.process_batch(spark.createDataFrame(part, schema), b)
+        meta = {r.field: r.value for r in layer.coldstart_meta().collect()}
+        states.append((meta["title"], [tuple(r) for r in layer.coldstart_scores().collect()]))
+    assert states == [("v3", [("p1", 10.0)])] * 2
