@@ -23,9 +23,25 @@ def test_keyed_top_n_is_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_feed_page_cuts_before_joining(spark):
-    plan = _plan(spark, "feed_page")
-    assert "TakeOrderedAndProject" in plan
+def test_feed_page_cuts_on_narrow_columns(spark, monkeypatch):
+    """The head is ranked and cut without any post body."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    heads, checkpoint = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **b: heads.append(self._jdf.queryExecution().executedPlan().toString()) or checkpoint(self, *a, **b))
+    E.queries()["feed_page"](spark, SF_SMALL)
+    assert len(heads) == 1 and "TakeOrderedAndProject" in heads[0]
+    assert not [ln for ln in heads[0].split("\n") if "documents.parquet" in ln and "text" in ln.partition("ReadSchema")[2]]
+
+
+@pytest.mark.parametrize("name", ["top_comments", "post_comments"])
+def test_comments_are_ranked_without_bodies(spark, name):
+    lines = _plan(spark, name).split("\n")
+    ranked = [ln for ln in lines if "WindowGroupLimit" in ln]
+    assert ranked
+    below = lines[lines.index(ranked[-1]):]
+    scan = next(ln for ln in below if "Scan" in ln and "conversations" in ln)
+    assert "text" not in scan.partition("ReadSchema")[2]
 
 
 def test_scans_read_only_needed_columns(spark):
