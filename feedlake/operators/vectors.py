@@ -1,9 +1,10 @@
 """Embedding operators.
 
 * Text assembly (E1, E2) and L2 normalization (E4) are built-in expressions.
-* The default text encoder (E3) is MLlib on the JVM: regex tokenizer ->
-  hashing TF -> IDF (one distributed fit pass) -> L2 normalizer.  A model of
-  your own plugs in through ``encode_with``: ``mapInPandas`` hands it Arrow
+* The default text encoder (E3) is built-in functions too: tokens hashed to
+  buckets by md5, counted, weighted by one inverse document frequency table
+  fitted on all texts that are to be compared, and brought to unit length.  A
+  model of your own plugs in through ``encode_with``: ``mapInPandas`` hands it Arrow
   batches of ``batch_size`` texts per call, one partition at a time, so no
   table passes through the driver.
 * Image vectors come from an id-keyed vector table; posts without an image,
@@ -13,10 +14,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from feedlake import schemas as S
 from feedlake.functions import text as X
@@ -58,23 +61,45 @@ def zero_vector(dim: int) -> Column:
 
 
 # E3 -------------------------------------------------------------------------
-def hashing_encoder(df: DataFrame, text_col: str = "text", dim: int = 384,
+# fixed values: what a token is, after A-Z are lower-cased
+TOKEN_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def token_buckets(text, dim: int) -> Column:
+    """Bucket (0 to dim - 1) of each token: the first eight hex digits of its md5, modulo dim."""
+    tokens = F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), F.lit(TOKEN_PATTERN), 0)
+    return F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
+
+
+def fit_hashing_encoder(*texts: DataFrame, text_col: str = "text", dim: int = 384) -> DataFrame:
+    """One model for all the given tables, so that their vectors can be compared: bucket -> idf, at most ``dim``
+    rows.  idf = 1 + ln((texts + 1) / (texts with the bucket + 1)), so a text is never zero for being alone."""
+    every = reduce(DataFrame.unionByName, [t.select(token_buckets(text_col, dim).alias("b")) for t in texts])
+    seen = every.select(F.explode(F.array_union(F.array_distinct("b"), F.array(F.lit(-1)))).alias("bucket"))   # -1 counts texts
+    df = seen.groupBy("bucket").agg(F.count("*").alias("df"))
+    total = F.max(F.when(F.col("bucket") == -1, F.col("df"))).over(Window.partitionBy())      # at most dim + 1 rows
+    return df.withColumn("n", total).where("bucket >= 0").select(
+        "bucket", (1 + F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("idf"))
+
+
+def hashing_weights(df: DataFrame, model: DataFrame, id_col: str, text_col: str = "text", dim: int = 384) -> DataFrame:
+    """id, bucket, weight of the unit vectors' entries that are not zero."""
+    counts = (df.select(F.col(id_col).alias("id"), F.explode(token_buckets(text_col, dim)).alias("bucket"))
+              .groupBy("id", "bucket").agg(F.count("*").alias("tf")))
+    raw = counts.join(F.broadcast(model), "bucket").withColumn("w", F.col("tf") * F.col("idf"))   # model: at most dim rows
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select(F.col("id").alias(id_col), "bucket", (F.col("w") / length).alias("weight"))
+
+
+def hashing_encoder(df: DataFrame, model: DataFrame, id_col: str, text_col: str = "text", dim: int = 384,
                     out_col: str = "text_embedding") -> DataFrame:
-    """Offline default encoder, all JVM-side: tokens -> hashed TF -> IDF ->
-    unit vector (float32 array)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
-    ])
-    model = pipe.fit(df)
-    out = model.transform(df)
-    return out.withColumn(out_col, vector_to_array("_vec", "float32")).drop("_tok", "_tf", "_idf", "_vec")
+    """Offline default encoder, all JVM-side: unit float32 vectors of hashed token counts weighted by ``model``
+    (``fit_hashing_encoder``); a text without tokens has the zero vector."""
+    entries = hashing_weights(df, model, id_col, text_col, dim).groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_w"))             # at most dim entries
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0)).cast("float"))
+    return df.join(entries, id_col, "left").withColumn(out_col, F.when(F.col("_w").isNull(), zero_vector(dim)).otherwise(vec)).drop("_w")
 
 
 Encoder = Callable[[list[str]], "object"]  # texts -> (n, dim) float array

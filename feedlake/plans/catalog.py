@@ -448,12 +448,39 @@ def q_embedding_mapping(spark, d):
     return img.select("post_id", "has_image", *_vector_summary("image_embedding", "image"))
 
 
+TEXT_DIM = 384
+
+
+def _encoder(spark, d):
+    """The default encoder's model, fitted once on users and posts (a table in the shared checkpoint dir)."""
+    path = scratch_path(spark, "encoder")
+    VE.fit_hashing_encoder(VE.user_text(FX.users(spark, d)), VE.post_text(FX.posts(spark, d)), dim=TEXT_DIM).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @register("text_encode")
 def q_text_encode(spark, d):
-    """E3 (rows-only): every post's text encoded by the default encoder."""
-    enc = VE.hashing_encoder(VE.post_text(FX.posts(spark, d)))
-    return enc.select("post_id", F.size("text_embedding").alias("dim"),
-                      VE.l2_norm("text_embedding").alias("norm"), "text_embedding")
+    """Every post's text encoded by the default encoder; the entries that
+    are not zero, to six places."""
+    w = VE.hashing_weights(VE.post_text(FX.posts(spark, d)), _encoder(spark, d), "post_id", dim=TEXT_DIM)
+    return w.withColumn("weight", F.round("weight", 6))
+
+
+@register("text_mapping")
+def q_text_mapping(spark, d):
+    """The user and post mappings, both encoded by one model (shown by
+    width, norm and three entries)."""
+    model = _encoder(spark, d)
+    out = None
+    for kind, texts, key in (("user", VE.user_text(FX.users(spark, d)), "user_id"), ("post", VE.post_text(FX.posts(spark, d)), "post_id")):
+        m = VE.hashing_encoder(texts, model, key, dim=TEXT_DIM)
+        m = VE.user_mapping(m) if kind == "user" else m.select("post_id", "text_embedding")
+        v = F.col("text_embedding")
+        rows = m.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.size(v).alias("dim"),
+                        F.round(VE.l2_norm(v), 5).alias("norm"),
+                        *[F.round(F.element_at(v, i).cast("double"), 5).alias(f"v{i}") for i in (1, 100, 384)])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # --- raw post rows and comment extraction ------------------------------------------------

@@ -101,9 +101,15 @@ def embeddings_stage(spark: SparkSession, silver: str, gold: str, out: str, imag
     t = read_silver(spark, silver, ["users", "posts", "post_media"])
     ut, pt = VE.user_text(FE.strip_metadata(t["users"])), VE.post_text(FE.strip_metadata(t["posts"]))
 
+    model = None
+    if encoder_factory is None:         # one model for both tables, so that users and posts can be compared
+        path = scratch_path(spark, "encoder")
+        write_dataframe(VE.fit_hashing_encoder(ut, pt, dim=text_dim), path)
+        model = spark.read.parquet(path)
+
     def encode(df):
         if encoder_factory is None:
-            return VE.hashing_encoder(df, dim=text_dim)
+            return VE.hashing_encoder(df, model, df.columns[0], dim=text_dim)
         return VE.encode_with(df, encoder_factory, dim=text_dim)
 
     pf = spark.read.parquet(f"{gold}/post_features").select("post_id", "has_image")

@@ -653,3 +653,29 @@ SQL["feed_with_comments"] = with_fixtures(f"""
 WITH page AS ({FEED_PAGE}), c AS ({_newest(3)})
 SELECT page.post_id, page.title, page.author_username, c.rank, c.comment_id, c.username, c.body_text, c.commented_at
 FROM page LEFT JOIN c ON c.post_id = page.post_id""", *ALL_FIXTURES)
+
+_USER_TEXT = """SELECT CAST(user_id AS VARCHAR) AS id,
+       array_to_string(CASE WHEN json_valid(interest_keywords) AND json_type(interest_keywords) = 'ARRAY'
+                            THEN json_transform(interest_keywords, '["VARCHAR"]') ELSE [] END, ' ') AS text
+FROM users"""
+_POST_TEXT = f"""SELECT CAST(post_id AS VARCHAR) AS id,
+       concat_ws(' ', COALESCE(title, ''), substring(COALESCE(body_text, ''), 1, 512),
+                 array_to_string({_F4.format(c='tags')}, ' '), array_to_string({_F4.format(c='categories')}, ' ')) AS text
+FROM posts"""
+_ENCODED = f"""
+texts AS (SELECT 'user' AS kind, * FROM ({_USER_TEXT}) UNION ALL SELECT 'post', * FROM ({_POST_TEXT})),
+toks AS (SELECT kind, id, unnest(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS tok FROM texts),
+tf AS (SELECT kind, id, CAST(CAST('0x' || substring(md5(tok), 1, 8) AS BIGINT) % 384 AS INTEGER) AS bucket, count(*) AS tf FROM toks GROUP BY ALL),
+idf AS (SELECT bucket, 1 + ln(((SELECT count(*) FROM texts) + 1) / (count(*) + 1)) AS idf FROM tf GROUP BY bucket),
+w AS (SELECT kind, id, bucket, tf * idf / sqrt(sum(tf * idf * (tf * idf)) OVER (PARTITION BY kind, id)) AS weight FROM tf JOIN idf USING (bucket))"""
+SQL["text_encode"] = with_fixtures(f"""
+WITH {_ENCODED}
+SELECT id AS post_id, bucket, round(weight, 6) AS weight FROM w WHERE kind = 'post'""", "users", "posts")
+SQL["text_mapping"] = with_fixtures(f"""
+WITH {_ENCODED}
+SELECT t.kind, t.id, 384 AS dim, round(COALESCE(sqrt(sum(w.weight * w.weight)), 0), 5) AS norm,
+       round(COALESCE(max(w.weight) FILTER (WHERE w.bucket = 0), 0), 5) AS v1,
+       round(COALESCE(max(w.weight) FILTER (WHERE w.bucket = 99), 0), 5) AS v100,
+       round(COALESCE(max(w.weight) FILTER (WHERE w.bucket = 383), 0), 5) AS v384
+FROM texts t LEFT JOIN w ON w.kind = t.kind AND w.id = t.id GROUP BY t.kind, t.id""", "users", "posts")
