@@ -8,11 +8,15 @@ population count of two sketches' XOR estimates how many samples differ, most pr
 2. Band buckets propose pairs of each member and the bucket's smallest id (a star, not all pairs).  Pairs whose
    sketches differ in too many bits go (a pair at the threshold passes but for about one in 10^8), the rest are
    confirmed on the full sets.
-3. Confirmed links give components by alternating large-star and small-star steps.
+3. Confirmed links give components: lots of links are contracted by union-find, and what several lots leave is joined
+   by alternating large-star and small-star steps.
 4. What stars cannot see: within a bucket, members outside its main component are compared, sketch against sketch,
-   with the members of other components, in blocks of ``BLOCK`` by ``BLOCK`` dealt over many tasks.  New pairs are
-   confirmed too and the components joined.  So every pair that shares a bucket is linked, within one component,
-   or compared.  A pair at similarity 0.85 shares no bucket with a chance of 5 in 10^11.
+   with the members of other components, in blocks of ``BLOCK`` by ``BLOCK`` dealt over many tasks.  ``ROUNDS`` times,
+   each such member proposes only its closest ``BEST`` partners of other components in a block; their confirmed
+   links join most components, which spares the pairs inside them.  A last pass proposes every pair left whose
+   sketches are close, by then also by a wide odd sketch (1024 samples in 4096 bits, made for these members only).
+   So every pair that shares a bucket is linked, within one component, or compared.  A pair at similarity 0.85
+   shares no bucket with a chance of 5 in 10^11.
 
 Nothing about all documents reaches the driver.  Texts of candidates are read again; a bitmap of at most one MB
 (proven by its construction) keeps most other texts out of that join.  Intermediate tables lie in the shared
@@ -39,11 +43,16 @@ SKETCH = 512                # bits
 SKETCH_LIMIT = 80           # differing bits that a pair may show; 43 of 128 samples differing, 6 sigma beyond 0.85
 BLOCK = 512                 # documents of a side compared at once
 SALTED = 256                # pairs of one document confirmed at once
+ROUNDS, BEST = 2, 2
+FEW = 1_000_000             # comparisons that are made at once, without rounds before
+WIDE_SAMPLES, WIDE = 1024, 4096
+WIDE_LIMIT = 420            # differing bits: about 285 are expected at 0.85, with a deviation of 22
 BITMAP = 1 << 23
+LOT = 250_000               # links contracted by one task
 
 _rng = np.random.Generator(np.random.PCG64(77))
-MULTIPLY = _rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
+MULTIPLY = _rng.integers(0, 1 << 31, WIDE_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _rng.integers(0, 1 << 32, WIDE_SAMPLES, dtype=np.uint32)
 MINGLE = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * U64(2) + U64(1)
 PLACES = np.array([3, 5, 7, 11, 13], np.uint64) * U64(0x9E3779B97F4A7C15)
 
@@ -72,20 +81,31 @@ def shingle_sets(arr: pa.Array):
         yield i, j, np.concatenate(sets), off
 
 
-def sketches(values: np.ndarray, off: np.ndarray):
-    """Band keys and odd sketches (rows of 64-bit words) of sets that are not empty."""
+def samples_of(values: np.ndarray, off: np.ndarray, count: int) -> np.ndarray:
+    """MinHash samples of sets that are not empty, a row each."""
     x = (values >> U64(32)).astype(np.uint32)
-    n = len(off) - 1
-    samples = np.empty((n, SAMPLES), np.uint32)
-    for k in range(SAMPLES):
-        samples[:, k] = np.minimum.reduceat(x * MULTIPLY[k] + ADD[k], off[:-1])
-    keys = np.zeros((n, BANDS), np.uint64)
+    out = np.empty((len(off) - 1, count), np.uint32)
+    for k in range(count):
+        out[:, k] = np.minimum.reduceat(x * MULTIPLY[k] + ADD[k], off[:-1])
+    return out
+
+
+def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of 64-bit words in which each sample has toggled one bit."""
+    n, count = samples.shape
+    bit = (mix(samples.astype(np.uint64) + (np.arange(count, dtype=np.uint64) << U64(32))) % U64(bits)).astype(np.int64)
+    toggles = np.bincount((bit + np.arange(n)[:, None] * bits).ravel(), minlength=n * bits).reshape(n, bits) & 1
+    return np.packbits(toggles.astype(np.uint8), axis=1).view(np.uint64)
+
+
+def sketches(values: np.ndarray, off: np.ndarray):
+    """Band keys and odd sketches of sets that are not empty."""
+    samples = samples_of(values, off, SAMPLES)
+    keys = np.zeros((len(samples), BANDS), np.uint64)
     for k in range(ROWS):
         keys += samples[:, k::ROWS].astype(np.uint64) * MINGLE[k]
     keys = mix(keys + np.arange(BANDS, dtype=np.uint64) * U64(0xD6E8FEB86659FD93))
-    bit = (mix(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << U64(32))) % U64(SKETCH)).astype(np.int64)
-    toggles = np.bincount((bit + np.arange(n)[:, None] * SKETCH).ravel(), minlength=n * SKETCH).reshape(n, SKETCH) & 1
-    return keys, np.packbits(toggles.astype(np.uint8), axis=1).view(np.uint64)
+    return keys, odd_sketch(samples, SKETCH)
 
 
 def signatures(src: DataFrame) -> DataFrame:
@@ -135,6 +155,32 @@ def grouped(batches, key: tuple[str, ...]):
             last = now
 
 
+def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` (id, text) joined to ``ids`` (id, ...).  A bitmap of the wanted ids, of at most BITMAP bits, keeps
+    most other texts from being shuffled; the join then is exact."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    bits = (ids.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")))
+    set_here = F.expr("shiftright(cast(conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1")
+    wanted = (texts.withColumn("s", spot).withColumn("bucket", F.bitmap_bucket_number("s"))
+              .withColumn("at", F.bitmap_bit_position("s")).join(F.broadcast(bits), "bucket").where(set_here == 1).select("id", "text"))
+    return ids.join(wanted, "id")
+
+
+def wide_sketches(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """Id -> wide odd sketch, for ids of texts whose sets are not empty."""
+    def run(batches):
+        for b in batches:
+            for i, j, values, off in shingle_sets(column(b, "text")):
+                full = np.flatnonzero(np.diff(off))
+                if len(full):
+                    w = odd_sketch(samples_of(values, np.append(off[:-1][full], len(values)), WIDE_SAMPLES), WIDE)
+                    yield pa.RecordBatch.from_arrays(
+                        [column(b, "id").slice(i, j - i).take(pa.array(full)), pa.array(list(w.view(np.int64)), pa.list_(pa.int64()))], ["rep", "wide"])
+
+    return only(texts, ids).select("id", "text").mapInArrow(run, "rep long, wide array<long>").dropDuplicates(["rep"])
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those whose full sets have 100 * intersection >= percent * union; ``texts``: id, text.
 
@@ -144,17 +190,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     lots = pairs.join(many, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SALTED)))
     asked = lots.select("a", "lot", F.col("b").alias("id"), F.lit(1).alias("role")).unionByName(
         lots.select("a", "lot").distinct().withColumn("id", F.col("a")).withColumn("role", F.lit(0)))
-    asked = saved(asked, "asked")
-    # a bitmap of the wanted ids, of at most BITMAP bits, keeps other texts from being shuffled
-    spot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    bits = (asked.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    wanted = (texts.withColumn("s", spot).withColumn("bucket", F.bitmap_bucket_number("s"))
-              .withColumn("at", F.bitmap_bit_position("s")).join(F.broadcast(bits), "bucket")
-              .where(F.expr("shiftright({0}, cast(at % 8 as int)) & 1".format("cast(conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10) as int)")) == 1)
-              .select("id", "text"))
-    rows = asked.join(wanted, "id").select("a", "lot", "role", "id", "text")
+    rows = only(texts, saved(asked, "asked")).select("a", "lot", "role", "id", "text")
     stream = rows.repartition("a", "lot").sortWithinPartitions("a", "lot", "role")
 
     def run(batches):
@@ -182,16 +218,45 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return stream.mapInArrow(run, "a long, b long")
 
 
+def contracted(e: DataFrame, lots: int) -> DataFrame:
+    """Edges (u, v), v the smaller, with each lot of them replaced by stars around its components' smallest nodes."""
+    def run(batches):
+        parent: dict[int, int] = {}
+        for b in batches:
+            for u, v in zip(column(b, "u").to_pylist(), column(b, "v").to_pylist()):
+                while (p := parent.setdefault(u, u)) != u:
+                    parent[u] = u = parent[p]
+                while (p := parent.setdefault(v, v)) != v:
+                    parent[v] = v = parent[p]
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+        out = []
+        for u in parent:
+            r = u
+            while parent[r] != r:
+                r = parent[r]
+            if r != u:
+                out.append((u, r))
+        for k in range(0, len(out), 10_000):
+            us, vs = zip(*out[k:k + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return e.coalesce(lots).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Node and the smallest node of its component, for nodes of ``edges`` (a, b), by large-star and small-star."""
+    """Node and the smallest node of its component, for nodes of ``edges`` (a, b).  Lots of at most ``LOT`` edges are
+    contracted by union-find, a task each; more lots than one are joined by large-star and small-star."""
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == before or not mark[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = tuple(mark)
+    lots = -(-e.count() // LOT)
+    if lots:
+        e = saved(contracted(e, lots), "edges")
+    while lots > 1:
+        # done when every node has one parent and no parent has one itself
+        roles = e.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+            e.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        if roles.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 or c > 0 and p > 0").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
@@ -199,47 +264,72 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = saved(small.where("u <> v").distinct(), "edges")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def across_components(rows: DataFrame, reps: DataFrame) -> DataFrame:
+def across_components(rows: DataFrame, nodes: DataFrame, best: int | None = None) -> DataFrame:
     """Pairs (a, b) that share a bucket, lie in different components and have close sketches.  ``rows``: key, rep,
-    component.  Members outside the bucket's largest component meet all others block by block."""
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = (sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"),
-                                     F.max("n").alias("largest"), F.count("*").alias("parts")).where("parts > 1"))
-    near = rows.join(main, "key").join(reps.select("rep", "sketch"), "rep")
+    component; ``nodes``: rep, sketch and perhaps wide.  Members outside the bucket's largest component meet all
+    others block by block; with ``best``, each proposes at most so many partners in a block."""
+    near = rows.join(nodes, "rep")
+    wide = "wide" in nodes.columns
+    more = ["rep", "component", "sketch", *(["wide"] if wide else [])]
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
     others = F.col("members") - F.col("largest")
     left = near.where("component <> main").select(
-        "key", block(others).alias("x"), F.explode(F.sequence(F.lit(0), blocks(F.col("members")) - 1)).alias("y"),
-        F.lit(0).alias("role"), "rep", "component", "sketch")
+        "key", block(others).alias("x"), F.explode(F.sequence(F.lit(0), blocks(F.col("members")) - 1)).alias("y"), F.lit(0).alias("role"), *more)
     right = near.select(
-        "key", F.explode(F.sequence(F.lit(0), blocks(others) - 1)).alias("x"), block(F.col("members")).alias("y"),
-        F.lit(1).alias("role"), "rep", "component", "sketch")
+        "key", F.explode(F.sequence(F.lit(0), blocks(others) - 1)).alias("x"), block(F.col("members")).alias("y"), F.lit(1).alias("role"), *more)
     stream = left.unionByName(right).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "role")
 
+    def words(b, name, size):
+        return column(b, name).flatten().to_numpy().view(np.uint64).reshape(-1, size // 64)
+
     def run(batches):
-        own: list = [None, None, None]
+        own: list = []
         for fresh, b in grouped(batches, ("key", "x", "y")):
-            if fresh:
-                own = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH // 64), np.uint64)]
             role = column(b, "role").to_numpy()
-            rep, comp = column(b, "rep").to_numpy(), column(b, "component").to_numpy()
-            sk = column(b, "sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)
+            got = [column(b, "rep").to_numpy(), column(b, "component").to_numpy(), words(b, "sketch", SKETCH)]
+            if wide:
+                got.append(words(b, "wide", WIDE))
             first = role == 0
-            own = [np.concatenate([o, x[first]]) for o, x in zip(own, (rep, comp, sk))]
-            rep, comp, sk = rep[~first], comp[~first], sk[~first]
-            for k in range(0, len(rep), BLOCK):
-                bits = np.bitwise_count(own[2][:, None] ^ sk[None, k:k + BLOCK]).sum(2, dtype=np.int32)
-                i, j = np.nonzero((bits <= SKETCH_LIMIT) & (own[1][:, None] != comp[None, k:k + BLOCK]))
+            own = [x[first] for x in got] if fresh else [np.concatenate([o, x[first]]) for o, x in zip(own, got)]
+            other = [x[~first] for x in got]
+            for k in range(0, len(other[0]), BLOCK):
+                rep, comp, sk = (x[k:k + BLOCK] for x in other[:3])
+                bits = np.bitwise_count(own[2][:, None] ^ sk[None]).sum(2, dtype=np.int32)
+                bits[own[1][:, None] == comp[None]] = SKETCH + 1
+                if best:
+                    j = np.argsort(bits, axis=1, kind="stable")[:, :best]
+                    i = np.repeat(np.arange(len(j)), j.shape[1])
+                    j = j.ravel()
+                    ok = bits[i, j] <= SKETCH_LIMIT
+                    i, j = i[ok], j[ok]
+                else:
+                    i, j = np.nonzero(bits <= SKETCH_LIMIT)
+                    if wide and len(i):
+                        ok = np.concatenate([np.bitwise_count(own[3][i[m:m + 4096]] ^ other[3][k + j[m:m + 4096]]).sum(1, dtype=np.int32) <= WIDE_LIMIT
+                                             for m in range(0, len(i), 4096)])
+                        i, j = i[ok], j[ok]
                 if len(i):
-                    a, c = own[0][i], rep[k + j]
+                    a, c = own[0][i], rep[j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
     return stream.mapInArrow(run, "a long, b long").distinct()
 
 
+def split_buckets(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (key, rep, component, main, members, largest) of buckets whose members lie in several components."""
+    placed = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = (sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"),
+                                     F.max("n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
+    return saved(placed.join(main, "key"), "split")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept (id is that)."""
     ship(docs.sparkSession)
@@ -258,15 +348,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = (pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
              .join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
              .where(differing_bits(F.col("sa"), F.col("sb")) <= SKETCH_LIMIT).select("a", "b"))
-    stars = saved(close, "stars")
-    links = saved(confirm(stars, src.where(F.col("id").isNotNull()), percent), "links")
+    texts = src.where(F.col("id").isNotNull())
+    tested = saved(close, "pairs")
+    links = saved(confirm(tested, texts, percent), "links")
     found = components(links)
-
-    placed = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
-    more = saved(across_components(placed, reps).join(stars, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        found = components(links.unionByName(confirm(more, src.where(F.col("id").isNotNull()), percent)))
+    nodes = reps.select("rep", "sketch")
+    for nth in range(ROUNDS + 1):
+        split = split_buckets(rows, found)
+        if split.isEmpty():
+            break
+        # few comparisons at most: no need to spare any
+        most = split.select("key", ((F.col("members") - F.col("largest")) * F.col("members")).cast("double").alias("n")).distinct()
+        last = nth == ROUNDS or (most.agg(F.sum("n")).first()[0] or 0) <= FEW
+        if last:
+            nodes = nodes.join(wide_sketches(split.select(F.col("rep").alias("id")).distinct(), texts), "rep")
+        pairs = saved(across_components(split, nodes, None if last else BEST).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            if last:
+                break
+            continue
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(saved(confirm(pairs, texts, percent), "links"))
+        found = components(links)
+        if last:
+            break
 
     classes = reps.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "f1", "f2", F.coalesce("component", "rep").alias("component"))

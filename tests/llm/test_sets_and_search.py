@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from feedlake.llm import near_dedup as N
@@ -73,11 +74,13 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert got == plain_components(dict(enumerate(texts)))
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("lot", [250_000, 7])
+def test_components_of_a_path(spark, monkeypatch, lot):
+    monkeypatch.setattr(N, "LOT", lot)
     n = 60
     order = list(range(n))
     random.Random(1).shuffle(order)
-    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(100, 101), (5, 5)], "a long, b long")
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(100, 101), (5, 5)], "a long, b long").repartition(12)
     got = {r.node: r.component for r in N.components(edges).collect()}
     assert got == {**{i: 0 for i in range(n)}, 100: 100, 101: 100}
 
