@@ -42,8 +42,15 @@ NOT_SPACE = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 ALNUM = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
+#: rows and bytes of an Arrow batch: what a Python worker holds at once
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package also where only the driver's sys.path has it."""
+    """Let Python workers import this package also where only the driver's sys.path has it, and bound the batches
+    that they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

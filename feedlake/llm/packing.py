@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from feedlake.llm.arrowtext import column, ship, strings
 from feedlake.llm.token_count import PATTERN, byte_alphabet
 
-KEPT_PIECES = 700_000       # pieces whose ids a Python worker remembers
+KEPT_PIECES = 250_000       # pieces whose ids a Python worker remembers
 POOL = 2048                 # examples that wait in a task at most
 
 
