@@ -12,7 +12,7 @@ population count of two sketches' XOR estimates how many samples differ, most pr
    by alternating large-star and small-star steps.
 4. What stars cannot see: within a bucket, members outside its main component are compared, sketch against sketch,
    with the members of other components, in blocks of ``BLOCK`` by ``BLOCK`` dealt over many tasks.  ``ROUNDS`` times,
-   each such member proposes only its closest ``BEST`` partners of other components in a block; their confirmed
+   each such member proposes only its closest ``BEST`` partners of other components in a block, if close; their confirmed
    links join most components, which spares the pairs inside them.  A last pass proposes every pair left whose
    sketches are close, by then also by a wide odd sketch (1024 samples in 4096 bits, made for these members only).
    So every pair that shares a bucket is linked, within one component, or compared.  A pair at similarity 0.85
@@ -44,6 +44,7 @@ SKETCH_LIMIT = 80           # differing bits that a pair may show; 43 of 128 sam
 BLOCK = 512                 # documents of a side compared at once
 SALTED = 256                # pairs of one document confirmed at once
 ROUNDS, BEST = 2, 2
+NEAR_LIMIT = 45             # differing bits within which a round's partners are proposed; 36 are expected at 0.85
 FEW = 1_000_000             # comparisons that are made at once, without rounds before
 WIDE_SAMPLES, WIDE = 1024, 4096
 WIDE_LIMIT = 420            # differing bits: about 285 are expected at 0.85, with a deviation of 22
@@ -305,7 +306,7 @@ def across_components(rows: DataFrame, nodes: DataFrame, best: int | None = None
                     j = np.argsort(bits, axis=1, kind="stable")[:, :best]
                     i = np.repeat(np.arange(len(j)), j.shape[1])
                     j = j.ravel()
-                    ok = bits[i, j] <= SKETCH_LIMIT
+                    ok = bits[i, j] <= NEAR_LIMIT
                     i, j = i[ok], j[ok]
                 else:
                     i, j = np.nonzero(bits <= SKETCH_LIMIT)
