@@ -64,6 +64,15 @@ def test_secret_network(spark):
         assert set(plain_base(d.text)) <= set(got[d.doc_id].spans.split(",")) | {""}
 
 
+def test_secret_network_at_every_share(spark):
+    """One document in four sampled: the held-out part still is a part."""
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    net = S.train(docs, sample=docs.count() // 4)
+    assert net is not None
+    found = [r.found for r in S.find_secrets(docs_of(spark, ["see the Zk3q8Vt1Lw9Xb2Rn7Ym4Pc6Hd5 end"]), net=net).collect()]
+    assert [(f.kind, f.start, f.end) for f in found[0]] == [("model", 8, 34)]
+
+
 def test_redaction(spark):
     docs = docs_of(spark, SECRETS)
     out = {r.doc_id: r for r in S.redact(docs).collect()}
