@@ -1,7 +1,7 @@
 """MinHash near-dedup (1) with odd sketches.
 
 A document's set is its distinct five-word shingles.  128 MinHash samples of the set make 32 band keys of four
-samples, and the samples are folded into an odd sketch: a bitmap in which each sample toggles one bit, so that the
+samples (160 make 40 where pairs at 0.80 are asked for), and the first 128 samples are folded into an odd sketch: a bitmap in which each sample toggles one bit, so that the
 population count of two sketches' XOR estimates how many samples differ, most precisely at high similarity.
 
 1. Documents with equal sets are one class, found by grouping on a fingerprint; its smallest id stands for it.
@@ -16,7 +16,9 @@ population count of two sketches' XOR estimates how many samples differ, most pr
    links join most components, which spares the pairs inside them.  A last pass proposes every pair left whose
    sketches are close, by then also by a wide odd sketch (1024 samples in 4096 bits, made for these members only).
    So every pair that shares a bucket is linked, within one component, or compared.  A pair at similarity 0.85
-   shares no bucket with a chance of 5 in 10^11.
+   shares no bucket with a chance of 5 in 10^11, one at 0.80 with 7 in 10^10.
+
+The number of bands and what counts as close follow from ``percent`` (``limits``).
 
 Nothing about all documents reaches the driver.  Texts of candidates are read again; a bitmap of at most one MB
 (proven by its construction) keeps most other texts out of that join.  Intermediate tables lie in the shared
@@ -29,6 +31,9 @@ component; texts of any length are read whole; clashing extra columns are kept a
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,14 +45,14 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH = 512                # bits
-SKETCH_LIMIT = 80           # differing bits that a pair may show; 43 of 128 samples differing, 6 sigma beyond 0.85
+SIGMA, STEP = 6, 20         # a pair at the threshold may show its mean of differing bits and so many deviations, rounded up
+MISS = 1e-9                 # chance at most that a pair at the threshold shares no bucket
 BLOCK = 512                 # documents of a side compared at once
 SALTED = 256                # pairs of one document confirmed at once
 ROUNDS, BEST = 2, 2
-NEAR_LIMIT = 45             # differing bits within which a round's partners are proposed; 36 are expected at 0.85
+NEAR_SIGMA = 1.25           # deviations beyond the mean within which a round's partners are proposed
 FEW = 1_000_000             # comparisons that are made at once, without rounds before
 WIDE_SAMPLES, WIDE = 1024, 4096
-WIDE_LIMIT = 420            # differing bits: about 285 are expected at 0.85, with a deviation of 22
 BITMAP = 1 << 23
 LOT = 250_000               # links contracted by one task
 
@@ -58,6 +63,34 @@ MINGLE = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) * U64(2) + U64(1)
 PLACES = np.array([3, 5, 7, 11, 13], np.uint64) * U64(0x9E3779B97F4A7C15)
 
 
+class Limits(NamedTuple):
+    bands: int
+    sketch: int                 # differing bits that a pair may show
+    near: int                   # differing bits within which a round's partners are proposed
+    wide: int                   # differing bits of wide sketches that a pair may show
+
+
+def differing(samples: int, bits: int, same: float) -> tuple[float, float]:
+    """Mean and deviation of the differing bits of two odd sketches, of samples that agree with the chance ``same``: a
+    sample that does not toggles two bits of the XOR."""
+    one = (same + (1 - same) * (1 - 2 / bits) ** 2) ** samples
+    two = (same + (1 - same) * (1 - 4 / bits) ** 2) ** samples
+    return bits / 2 * (1 - one), math.sqrt(max(0.0, bits + bits * (bits - 1) * two - (bits * one) ** 2)) / 2
+
+
+def limits(percent: int) -> Limits:
+    """What lets a pair at ``percent`` pass."""
+    same = percent / 100
+    bands = BANDS if same >= 1 else max(BANDS, math.ceil(math.log(MISS) / math.log1p(-same ** ROWS)))
+    if bands * ROWS > WIDE_SAMPLES:
+        raise ValueError(f"{percent} percent needs {bands} bands, more than {WIDE_SAMPLES // ROWS}")
+    mean, deviation = differing(SAMPLES, SKETCH, same)
+    wide_mean, wide_deviation = differing(WIDE_SAMPLES, WIDE, same)
+    up = lambda x: math.ceil(x / STEP) * STEP
+    return Limits(bands, min(SKETCH, up(mean + SIGMA * deviation)), math.ceil(mean + NEAR_SIGMA * deviation),
+                  min(WIDE, up(wide_mean + SIGMA * wide_deviation)))
+
+
 def shingle_sets(arr: pa.Array):
     """For each run of texts: (first row, end row, the texts' sorted distinct shingle hashes on end, offsets)."""
     for i, j, _, _, _, h, first in hashed_words(arr, NOT_SPACE):
@@ -99,17 +132,17 @@ def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(toggles.astype(np.uint8), axis=1).view(np.uint64)
 
 
-def sketches(values: np.ndarray, off: np.ndarray):
+def sketches(values: np.ndarray, off: np.ndarray, bands: int):
     """Band keys and odd sketches of sets that are not empty."""
-    samples = samples_of(values, off, SAMPLES)
-    keys = np.zeros((len(samples), BANDS), np.uint64)
+    samples = samples_of(values, off, bands * ROWS)
+    keys = np.zeros((len(samples), bands), np.uint64)
     for k in range(ROWS):
         keys += samples[:, k::ROWS].astype(np.uint64) * MINGLE[k]
-    keys = mix(keys + np.arange(BANDS, dtype=np.uint64) * U64(0xD6E8FEB86659FD93))
-    return keys, odd_sketch(samples, SKETCH)
+    keys = mix(keys + np.arange(bands, dtype=np.uint64) * U64(0xD6E8FEB86659FD93))
+    return keys, odd_sketch(samples[:, :SAMPLES], SKETCH)
 
 
-def signatures(src: DataFrame) -> DataFrame:
+def signatures(src: DataFrame, bands: int) -> DataFrame:
     """``src`` (id, text) -> id, n (set size), f1 and f2 (fingerprint of the set), keys, sketch; null where empty."""
     def run(batches):
         for b in batches:
@@ -123,7 +156,7 @@ def signatures(src: DataFrame) -> DataFrame:
                     cuts = off[:-1][full]
                     f1[full] = np.add.reduceat(values * U64(0xC2B2AE3D27D4EB4F), cuts).view(np.int64)
                     f2[full] = np.add.reduceat(mix(values), cuts).view(np.int64)
-                    k, s = sketches(values, np.append(cuts, len(values)))
+                    k, s = sketches(values, np.append(cuts, len(values)), bands)
                     for r, a, c in zip(full.tolist(), k.view(np.int64), s.view(np.int64)):
                         keys[r], sketch[r] = a, c
                 empty = n == 0
@@ -269,7 +302,7 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def across_components(rows: DataFrame, nodes: DataFrame, best: int | None = None) -> DataFrame:
+def across_components(rows: DataFrame, nodes: DataFrame, most: Limits, best: int | None = None) -> DataFrame:
     """Pairs (a, b) that share a bucket, lie in different components and have close sketches.  ``rows``: key, rep,
     component; ``nodes``: rep, sketch and perhaps wide.  Members outside the bucket's largest component meet all
     others block by block; with ``best``, each proposes at most so many partners in a block."""
@@ -306,12 +339,12 @@ def across_components(rows: DataFrame, nodes: DataFrame, best: int | None = None
                     j = np.argsort(bits, axis=1, kind="stable")[:, :best]
                     i = np.repeat(np.arange(len(j)), j.shape[1])
                     j = j.ravel()
-                    ok = bits[i, j] <= NEAR_LIMIT
+                    ok = bits[i, j] <= most.near
                     i, j = i[ok], j[ok]
                 else:
-                    i, j = np.nonzero(bits <= SKETCH_LIMIT)
+                    i, j = np.nonzero(bits <= most.sketch)
                     if wide and len(i):
-                        ok = np.concatenate([np.bitwise_count(own[3][i[m:m + 4096]] ^ other[3][k + j[m:m + 4096]]).sum(1, dtype=np.int32) <= WIDE_LIMIT
+                        ok = np.concatenate([np.bitwise_count(own[3][i[m:m + 4096]] ^ other[3][k + j[m:m + 4096]]).sum(1, dtype=np.int32) <= most.wide
                                              for m in range(0, len(i), 4096)])
                         i, j = i[ok], j[ok]
                 if len(i):
@@ -334,8 +367,9 @@ def split_buckets(rows: DataFrame, found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), kept (id is that)."""
     ship(docs.sparkSession)
+    bounds = limits(percent)
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    sig = saved(signatures(src), "signatures")
+    sig = saved(signatures(src, bounds.bands), "signatures")
     named = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
     reps = saved(named.groupBy("f1", "f2").agg(F.min(F.struct("id", "keys", "sketch")).alias("s"))
                  .select("f1", "f2", F.col("s.id").alias("rep"), "s.keys", "s.sketch"), "classes")
@@ -348,7 +382,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = rows.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     close = (pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
              .join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-             .where(differing_bits(F.col("sa"), F.col("sb")) <= SKETCH_LIMIT).select("a", "b"))
+             .where(differing_bits(F.col("sa"), F.col("sb")) <= bounds.sketch).select("a", "b"))
     texts = src.where(F.col("id").isNotNull())
     tested = saved(close, "pairs")
     links = saved(confirm(tested, texts, percent), "links")
@@ -363,7 +397,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         last = nth == ROUNDS or (most.agg(F.sum("n")).first()[0] or 0) <= FEW
         if last:
             nodes = nodes.join(wide_sketches(split.select(F.col("rep").alias("id")).distinct(), texts), "rep")
-        pairs = saved(across_components(split, nodes, None if last else BEST).join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = saved(across_components(split, nodes, bounds, None if last else BEST).join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if last:
                 break

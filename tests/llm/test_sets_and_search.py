@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from feedlake.llm import near_dedup as N
 from feedlake.llm.maxscore import search
 
@@ -63,6 +64,48 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == plain_components(dict(enumerate(texts)))
 
 
+def test_limits_follow_the_threshold():
+    assert N.limits(85) == (32, 80, 45, 420) and N.limits(80).bands == 40 and N.limits(100) == (32, 0, 0, 0)
+    r = np.random.default_rng(4)
+    values, off = [], [0]
+    for _ in range(1000):               # pairs at similarity 0.8
+        x = r.integers(0, 1 << 63, 100, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for part in (x[:90], x[10:]):
+            values.append(np.sort(part))
+            off.append(off[-1] + 90)
+    values, off = np.concatenate(values), np.array(off)
+    samples = N.samples_of(values, off, N.WIDE_SAMPLES)
+    for count, bits, limit in ((N.SAMPLES, N.SKETCH, N.limits(80).sketch), (N.WIDE_SAMPLES, N.WIDE, N.limits(80).wide)):
+        sk = N.odd_sketch(samples[:, :count], bits)
+        apart = np.bitwise_count(sk[::2] ^ sk[1::2]).sum(1)
+        mean, deviation = N.differing(count, bits, 0.8)
+        assert abs(apart.mean() - mean) < 0.2 * deviation and abs(apart.std() / deviation - 1) < 0.15
+        assert apart.max() <= limit
+    assert apart.max() > 420            # the wide limit of 0.85 would lose some
+    keys, _ = N.sketches(values, off, 40)
+    assert (keys[::2] == keys[1::2]).any(1).all()
+
+
+def test_pipeline_stage_against_brute_force(spark):
+    """The stage takes 0.8 or more: of the groups, many links lie between 0.80 and 0.85."""
+    r = random.Random(14)
+    vocab = [f"v{i}" for i in range(400)]
+    texts = []
+    for size in (60, 100, 150):
+        base = r.choices(vocab, k=size)
+        texts += [edited(r, base, r.choice([1, 2, 3])) for _ in range(30)]
+    chain = r.choices(vocab, k=200)     # each at 0.80 to 0.84 with the next only
+    for _ in range(20):
+        texts.append(" ".join(chain))
+        for k in range(r.randint(0, 30), 200, 50):
+            chain[k] = f"c{r.randrange(10 ** 6)}"
+    r.shuffle(texts)
+    plain = {p: {i for i, x in plain_components(dict(enumerate(texts)), p).items() if x[2]} for p in (80, 85)}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id for x in corpus_pipeline.near_dedup(spark, df.repartition(5), "").collect()}
+    assert got == plain[80] and len(plain[80]) < len(plain[85])
+
+
 def test_blocks_find_what_stars_miss(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 3)
     monkeypatch.setattr(N, "SALTED", 2)
