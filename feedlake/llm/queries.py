@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator to its whole table."""
+"""The registered queries of the operators: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ from feedlake.llm.secret_scan import train as train_secrets
 from feedlake.llm.token_count import count_tokens
 from feedlake.llm.toxicity import score as score_toxicity
 from feedlake.llm.toxicity import train as train_toxicity
+from feedlake.llm.whitening import whiten
 from feedlake.session import apply_defaults
 from feedlake.sources.tables import read_table
 
@@ -136,6 +137,14 @@ def op1_near_dedup(spark, d):
     return near_duplicates(read_table(spark, d, "documents"), percent=85)
 
 
+@register
+def op12_whitening(spark, d):
+    """Every usable vector on the first eight whitened components."""
+    w = whiten(read_table(spark, d, "embeddings"), k=8)
+    return w.select("vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL["op1_near_dedup"] = rf"""
