@@ -18,6 +18,7 @@ from feedlake.llm.packing import pack
 from feedlake.llm.secret_scan import find_secrets
 from feedlake.llm.secret_scan import train as train_secrets
 from feedlake.llm.token_count import count_tokens
+from feedlake.llm.substring_dedup import drop_repeats
 from feedlake.llm.toxicity import score as score_toxicity
 from feedlake.llm.toxicity import train as train_toxicity
 from feedlake.llm.whitening import whiten
@@ -145,6 +146,30 @@ def op12_whitening(spark, d):
         "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
 
 
+@register
+def op13_substring_dedup(spark, d):
+    """Every document without the passages that a document with a smaller id has, too."""
+    kept = drop_repeats(read_table(spark, d, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op13_substring_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+p AS (
+  SELECT doc_id, i, word, count(*) OVER o AS n, md5(string_agg(word, ' ') OVER o) AS h
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+f AS (SELECT h, min(doc_id) AS first FROM p WHERE n = 50 GROUP BY h),
+hit AS (SELECT doc_id, i FROM p JOIN f USING (h) WHERE n = 50 AND first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM hit),
+k AS (
+  SELECT doc_id, count(gone.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone.i IS NULL), '') AS kept
+  FROM w LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+"""
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SQL["op1_near_dedup"] = rf"""
