@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm.chat_template import digests, format_conversations
+from feedlake.llm.conversation_repair import damaged, repair_report
 from feedlake.llm.decontaminate import overlaps
 from feedlake.llm.html_text import extract_main_text
 from feedlake.llm.langid import predict as predict_language
@@ -138,6 +139,77 @@ def op1_near_dedup(spark, d):
     return near_duplicates(read_table(spark, d, "documents"), percent=85)
 
 
+@register
+def op11_conversation_repair(spark, d):
+    """The cheapest repair of every damaged conversation; those without rows after the damage have an empty one."""
+    turns = read_table(spark, d, "conversations")
+    report = repair_report(damaged(turns)).withColumnRenamed("conv_id", "conv")
+    named = turns.select("conv_id").distinct()
+    rows = named.join(report, F.col("conv_id").cast("string").eqNullSafe(F.col("conv")), "left")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _repair_sql() -> str:
+    """The repair as a recursion over turns: each state is (cost, audit, lines), compared in that order."""
+    def add(x, cost, letter, line):
+        return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 'o': {x}.o || {line}}} END"
+
+    def least(*xs):
+        return f"list_min([{', '.join(xs)}])"
+
+    user, assistant = "'user:' || chr(10)", "'assistant:' || chr(10)"
+    keep = lambda x, f: add(f"(CASE WHEN f = '{f}' AND NOT must THEN {x} END)", "more", "K", "role || ':' || text || chr(10)")
+    name = lambda x, r: add(f"(CASE WHEN NOT must THEN {x} END)", "more + 3", "R", f"'{r}:' || text || chr(10)")
+    drop = lambda x: add(x, 4, "D", "''")
+    nothing = "CAST({'c': 0, 'a': '', 'o': ''} AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR))"
+    return rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+c AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295], [CAST(ascii(key[i]) AS BIGINT) FOR i IN range(1, length(key) + 1)]),
+    lambda h, b: list_reduce(list_concat([xor(h, b)], range(8)), lambda x, j: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS kind FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM c WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+q AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+    substring(role, 1, 1) AS f, lag(substring(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+r AS (SELECT *, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM q),
+z AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {nothing} AS e, CASE WHEN false THEN {nothing} END AS s,
+         {add(nothing, 3, "I", user)} AS u, {add(add("(" + nothing + ")", 3, "I", user).join("()"), 3, "I", assistant)} AS a
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, i, e, s, {least("u", add("e", 3, "I", user), add("s", 3, "I", user), add("a", 3, "I", user))},
+         {least("a", add("u", 3, "I", assistant), add(add("e", 3, "I", user).join("()"), 3, "I", assistant), add(add("s", 3, "I", user).join("()"), 3, "I", assistant))}
+  FROM (
+    SELECT z.conv_id, r.i, {drop("e")} AS e, {least(drop("s"), keep("e", "s"))} AS s,
+           {least(drop("u"), *[g(x, y) for x in "esa" for g, y in ((keep, "u"), (name, "user"))])} AS u,
+           {least(drop("a"), keep("u", "a"), name("u", "assistant"))} AS a
+    FROM z JOIN r ON r.conv_id IS NOT DISTINCT FROM z.conv_id AND r.i = z.i + 1)),
+t AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || f NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS i
+  FROM r GROUP BY conv_id),
+w AS (SELECT z.conv_id, z.i, list_min([e, a]) AS x FROM z)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, x.c AS cost, x.a AS audit, sha256(CASE WHEN x.o = '' THEN '' ELSE left(x.o, length(x.o) - 1) END) AS repaired_sha256
+FROM w LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(t.i, 0)
+"""
+
+
+SQL["op11_conversation_repair"] = _repair_sql()
+
+
 @register
 def op12_whitening(spark, d):
     """Every usable vector on the first eight whitened components."""
