@@ -4,17 +4,21 @@ A post's comments arrive as one text cell: a JSON list of comment objects
 with nested ``replies`` (N1), or the Python-repr text of such a list (N2).
 Everything here is a narrow, per-row transformation — no shuffle:
 
-* N1 parses the cell once as VARIANT and walks it level by level with one
-  ``aggregate`` (frontier -> children).  The walk takes as many steps as the
-  cell's own brackets nest, so no depth is too great and a shallow cell takes
-  few.  Nested lists are spliced in place; non-object items are skipped.
-  Sorting node paths gives the depth-first pre-order and its running index.
+* N1 has two ways, chosen per row by how deep the cell's brackets nest.  Up to
+  ``WALK_DEPTH`` the cell is parsed once as VARIANT and walked level by level
+  with one ``aggregate`` (frontier -> children), on the JVM.  A deeper cell,
+  whatever its depth, goes through one token scan with a stack of open brackets
+  (``comment_bodies``), which is linear in the cell and cuts it into comment
+  objects without their replies; those are parsed as VARIANT like any other.
+  Nested lists are spliced in place; non-object items are skipped; order is the
+  depth-first pre-order.
 * N2 runs one regex over the cell (five capture groups, zipped) and decodes
   Python string escapes and ``datetime(...)`` arguments.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +26,8 @@ from pyspark.sql import types as T
 from feedlake.functions import text as X
 
 _VARRAY = T.ArrayType(T.VariantType())
+#: brackets nested deeper than this are scanned instead of walked (the JSON reader itself stops at 1000)
+WALK_DEPTH = 100
 # fixed values: the key names a comment object may use, first present wins
 _FIELDS = {
     "username": ["author", "username", "user", "name"],
@@ -64,16 +70,79 @@ _STEP_TYPE = T.ArrayType(T.StructType([T.StructField("path", T.ArrayType(T.Integ
                                          T.StructField("node", T.VariantType())]))
 
 
-def with_comment_nodes(df: DataFrame, comments: str, out: str = "_nodes") -> DataFrame:
+def comment_bodies():
+    """UDF: a JSON text -> its containers on the comment path (lists, comment
+    objects, ``replies`` and what they hold) in the order they open, each as
+    its own text with the containers inside it replaced by null; null where
+    brackets do not match.  The stack holds one entry per open bracket."""
+
+    def scan(cell: str) -> list[dict] | None:
+        import json
+        import re
+
+        out: list[dict] = []            # comment?, body
+        stack: list[list] = []          # of containers on the path: [place in out, is list?, pieces, start of the next piece, last string, value next?]
+        off = 0                         # open brackets within a value that is not on the path
+        for m in re.finditer(r'"(?:[^"\\]|\\.)*"|[\[\]{}:,]', cell, re.S):
+            t, top = m[0], stack[-1] if stack else None
+            if off:
+                off += (t in "[{") - (t in "]}") if len(t) == 1 else 0
+            elif t in ("[", "{"):
+                if top and not (top[1] or (top[5] and top[4] == "replies")):
+                    off = 1
+                    continue
+                if not top and out:
+                    return None         # a second value
+                if top:
+                    top[2].append(cell[top[3]:m.start()] + "null")
+                out.append({"comment": t == "{", "body": None})
+                stack.append([len(out) - 1, t == "[", [], m.start(), None, False])
+            elif t in ("]", "}"):
+                if not top or top[1] != (t == "]"):
+                    return None
+                place, _, pieces, start, *_ = stack.pop()
+                out[place]["body"] = "".join(pieces) + cell[start:m.end()]
+                if stack:
+                    stack[-1][3] = m.end()
+            elif top and not top[1]:
+                if t in (":", ","):
+                    top[5] = t == ":"
+                elif not top[5]:
+                    top[4] = json.loads(t, strict=False) if "\\" in t else t[1:-1]
+        return out if not stack and not off else None
+
+    @F.pandas_udf("array<struct<comment:boolean,body:string>>")
+    def bodies(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda c: None if c is None else scan(c))
+
+    return bodies
+
+
+def _scanned(cell: Column) -> Column:
+    """Nodes of a deep cell; null where it is not JSON.  A value off the
+    comment path that the JSON reader cannot open is an error, not a loss."""
+    parts = comment_bodies()(cell)
+    opened = F.transform(parts, lambda p: F.struct(
+        p["comment"].alias("comment"), F.try_parse_json(p["body"]).alias("node"),
+        (nesting(p["body"]) > 1000).alias("too_deep")))
+    checked = F.when(F.exists(opened, lambda p: p["too_deep"]), F.raise_error(F.lit("a comment field nests deeper than the JSON reader goes"))) \
+        .when(F.forall(opened, lambda p: p["node"].isNotNull()), opened)
+    kept = F.filter(checked, lambda p: p["comment"])
+    return F.transform(kept, lambda p, i: F.struct(F.array(i).alias("path"), *_node_fields(p["node"])))
+
+
+def with_comment_nodes(df: DataFrame, comments: str, out: str = "_nodes", is_json: str = "_is_json") -> DataFrame:
     """Add ``out``: the cell's comment objects as (path, fields) structs in
-    depth-first pre-order (empty unless the cell is JSON).
+    depth-first pre-order (empty unless the cell is JSON), and ``is_json``.
 
     The walk's state is (frontier, seen).  A step opens every frontier value:
     a list gives its items, an object is a comment and gives its ``replies``;
     anything else ends.  Each step goes one bracket deeper, so ``nesting``
     steps see every comment; once the frontier is empty a step costs nothing."""
     cell = F.col(comments)
-    root = F.try_parse_json(cell)
+    df = df.withColumn("_depth", nesting(cell))
+    deep = F.col("_depth") > WALK_DEPTH
+    root = F.when(~deep, F.try_parse_json(cell))
     none = F.array().cast(_STEP_TYPE)
     first = F.when(root.isNotNull(), F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("node"))).cast(_STEP_TYPE)).otherwise(none)
     init = F.struct(first.alias("frontier"), none.alias("seen"))
@@ -93,12 +162,15 @@ def with_comment_nodes(df: DataFrame, comments: str, out: str = "_nodes") -> Dat
             children.cast(_STEP_TYPE).alias("frontier"),
             F.concat(acc.getField("seen"), comments_here).alias("seen")))
 
-    steps = F.when(root.isNotNull(), nesting(cell)).otherwise(F.lit(0))
+    steps = F.when(root.isNotNull(), F.col("_depth")).otherwise(F.lit(0))
     walked = F.aggregate(F.sequence(F.lit(0), steps), init, step)
-    cur = df.withColumn("_walk", walked)
-    nodes = F.transform(F.col("_walk.seen"), lambda p: F.struct(p.getField("path").alias("path"),
-                                                                 *_node_fields(p.getField("node"))))
-    return cur.withColumn(out, F.array_sort(nodes)).drop("_walk")
+    cur = df.withColumn("_walk", walked).withColumn("_deep", _scanned(F.when(deep, cell)))
+    nodes = F.array_sort(F.transform(F.col("_walk.seen"), lambda p: F.struct(p.getField("path").alias("path"),
+                                                                             *_node_fields(p.getField("node")))))
+    found = cur.withColumn(out, nodes)
+    kind = found.schema[out].dataType
+    return (found.withColumn(out, F.when(deep, F.coalesce(F.col("_deep").cast(kind), F.array().cast(kind))).otherwise(F.col(out)))
+            .withColumn(is_json, F.when(deep, F.col("_deep").isNotNull()).otherwise(root.isNotNull())).drop("_walk", "_deep", "_depth"))
 
 
 def _explode_nodes(cur: DataFrame, post_id: str, nodes: str = "_nodes") -> DataFrame:
@@ -127,7 +199,7 @@ def _explode_nodes(cur: DataFrame, post_id: str, nodes: str = "_nodes") -> DataF
 
 def flatten_comment_objects(df: DataFrame, post_id: str, comments: str) -> DataFrame:
     """One output row per comment object, in depth-first pre-order."""
-    return _explode_nodes(with_comment_nodes(df, comments), post_id)
+    return _explode_nodes(with_comment_nodes(df, comments).drop("_is_json"), post_id)
 
 
 # N2 -------------------------------------------------------------------------
@@ -196,13 +268,12 @@ def extract_comments(df: DataFrame, post_id: str = "post_id", comments: str = "c
     nothing — decided per row, then one explode (no union, one pass).
     Output: the input columns + the comment columns."""
     c = F.col(comments)
-    is_json = F.try_parse_json(c).isNotNull()
     cur = with_comment_nodes(df, comments, out="_tree")
     node_type = cur.schema["_tree"].dataType
-    nodes = (F.when(is_json, F.col("_tree"))
+    nodes = (F.when(F.col("_is_json"), F.col("_tree"))
              .when(c.isNotNull(), repr_nodes(comments).cast(node_type))
              .otherwise(F.array().cast(node_type)))
-    return _explode_nodes(cur.withColumn("_nodes", nodes).drop("_tree"), post_id)
+    return _explode_nodes(cur.withColumn("_nodes", nodes).drop("_tree", "_is_json"), post_id)
 
 
 def repr_count(comments: str = "comments") -> Column:
@@ -231,7 +302,7 @@ def post_rows(raw: DataFrame) -> DataFrame:
     image_url = F.coalesce(image, F.lit(""))
     c = F.col("comments")
     found = (F.when(c.isNull(), F.lit(0))
-             .when(F.try_parse_json(c).isNotNull(), F.size("_nodes"))
+             .when(F.col("_is_json"), F.size("_nodes"))
              .otherwise(repr_count("comments")))
     return with_comment_nodes(raw, "comments").select(
         post_id.alias("post_id"),

@@ -123,14 +123,19 @@ def embeddings_stage(spark: SparkSession, silver: str, gold: str, out: str, imag
 
 
 # streams --------------------------------------------------------------------------------
-def speed_job(spark: SparkSession, values: DataFrame, state_root: str, checkpoint: str,
-              available_now: bool = False, trigger: str = "15 seconds",
-              recent_views_limit: int = S.RECENT_VIEWS_LIMIT):
+def speed_job(spark: SparkSession, values: DataFrame, state_root: str, available_now: bool = False,
+              trigger: str = "15 seconds", recent_views_limit: int = S.RECENT_VIEWS_LIMIT):
+    """The speed layer over ``values``: one query per state, each with its
+    checkpoint under ``state_root``.  Returns the layer and its running
+    queries (none once everything there is has been worked off)."""
     from feedlake.streaming.speed import SpeedLayer
 
     apply_defaults(spark)
     layer = SpeedLayer(spark, state_root, recent_views_limit)
-    return layer, layer.run(values, checkpoint, available_now=available_now, processing_time=trigger)
+    if available_now:
+        layer.run(values)
+        return layer, []
+    return layer, [layer.start(name, values, False, trigger) for name in layer.STATES]
 
 
 def land_job(spark: SparkSession, values: DataFrame, bronze_root: str, checkpoint: str,
@@ -142,15 +147,18 @@ def land_job(spark: SparkSession, values: DataFrame, bronze_root: str, checkpoin
     return LD.land(values, bronze_root, checkpoint, layout, table, max_records_per_file, available_now, flush_seconds)
 
 
-def silver_stream_job(spark: SparkSession, values: DataFrame, state_root: str, checkpoint: str,
+def silver_stream_job(spark: SparkSession, values: DataFrame, state_root: str,
                       row_schemas: dict[str, T.StructType], available_now: bool = False,
                       trigger: str = "15 seconds"):
-    """C8 as a stream: change events -> per-table current state (delta logs)."""
+    """C8 as a stream: change events -> per-table current state in the state store."""
     from feedlake.streaming.silver import SilverStream
 
     apply_defaults(spark)
     layer = SilverStream(spark, state_root, row_schemas)
-    return layer, layer.run(values, checkpoint, available_now=available_now, processing_time=trigger)
+    if available_now:
+        layer.run(values)
+        return layer, []
+    return layer, [layer.start(table, values, False, trigger) for table in row_schemas]
 
 
 def _load_schemas(path: str) -> dict[str, T.StructType]:
@@ -184,13 +192,13 @@ def main(argv: list[str] | None = None) -> None:
     for name in ("speed", "land", "silver-stream"):
         p = sub.add_parser(name)
         p.add_argument("--source", required=True, help="text folder, or kafka://host:port/topic1,topic2")
-        p.add_argument("--checkpoint", required=True)
         p.add_argument("--bronze" if name == "land" else "--state", required=True)
         p.add_argument("--max-files-per-trigger", type=int, default=1000, help="bounds a micro-batch of a text folder")
         p.add_argument("--max-offsets-per-trigger", type=int, default=5_000_000, help="bounds a micro-batch of Kafka")
         if name == "speed":
             p.add_argument("--recent-views-limit", type=int, default=S.RECENT_VIEWS_LIMIT)
         if name == "land":
+            p.add_argument("--checkpoint", required=True)
             p.add_argument("--max-records-per-file", type=int, default=0)
             p.add_argument("--flush-seconds", type=int, default=15)
             p.add_argument("--layout", default="raw-cdc", choices=("raw-cdc", "topics"))
@@ -212,13 +220,13 @@ def main(argv: list[str] | None = None) -> None:
         else:
             values = text_values(spark, a.source, a.max_files_per_trigger)
         if a.cmd == "speed":
-            _, q = speed_job(spark, values, a.state, a.checkpoint, recent_views_limit=a.recent_views_limit)
+            speed_job(spark, values, a.state, recent_views_limit=a.recent_views_limit)
         elif a.cmd == "silver-stream":
-            _, q = silver_stream_job(spark, values, a.state, a.checkpoint, _load_schemas(a.schemas))
+            silver_stream_job(spark, values, a.state, _load_schemas(a.schemas))
         else:
-            q = land_job(spark, values, a.bronze, a.checkpoint, flush_seconds=a.flush_seconds,
-                         max_records_per_file=a.max_records_per_file, layout=a.layout, table=a.table)
-        q.awaitTermination()
+            land_job(spark, values, a.bronze, a.checkpoint, flush_seconds=a.flush_seconds,
+                     max_records_per_file=a.max_records_per_file, layout=a.layout, table=a.table)
+        spark.streams.awaitAnyTermination()
 
 
 if __name__ == "__main__":

@@ -620,6 +620,36 @@ SELECT post_id, title, 'user_' || substring(md5('author_' || CAST(conv_id % 150
 FROM keyed""",
 })
 
+_DEEP = """deep AS (
+  SELECT conv_id // 500 AS thread, conv_id, turn, text, 'd' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS raw_id,
+         'user_' || CAST((conv_id * 7 + turn) % 150 AS VARCHAR) AS username,
+         'post_' || substring(md5('deep thread ' || CAST(conv_id // 500 AS VARCHAR) || 'deep_' || CAST(conv_id // 500 AS VARCHAR)), 1, 12) AS post_id
+  FROM conversations)"""
+SQL["deep_threads"] = f"""
+WITH {_DEEP}
+SELECT 'comment_' || substring(md5(raw_id), 1, 12) AS comment_id, post_id, 'user_' || substring(md5(username), 1, 12) AS user_id, username,
+       COALESCE(text, '') AS comment_text,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn * 7 AS INTEGER))
+                + to_seconds(CAST(turn * 5 % 60 AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS comment_time,
+       '' AS parent_comment_id, '' AS parent_comment_key
+FROM deep"""
+SQL["deep_post_rows"] = f"""
+WITH {_DEEP}
+SELECT post_id, 'deep thread ' || CAST(thread AS VARCHAR) AS title, CAST(count(*) AS INTEGER) AS comments_count FROM deep GROUP BY ALL"""
+
+SQL["dead_letters"] = "SELECT url AS value FROM pages"
+_ORDER_ROUTED = "SELECT ev.op, 'orders' AS \"table\", NULL AS user_id, NULL AS post_id, o.ts0 + ev.step * 1000 AS event_ts_ms, 'IGNORED' AS outcome FROM ev JOIN o ON ev.k = o.k"
+SQL["routed_events"] = with_fixtures(f"""
+WITH {_SI}, {ORDER_EVENTS},
+p AS (SELECT post_id, CASE WHEN post_id % 7 <> 0 THEN epoch_ms(CAST(published_at_raw AS TIMESTAMP)) END AS ts,
+             CASE WHEN post_id % 26 <> 0 THEN 1700000000000 + post_id END AS src FROM posts)
+SELECT 'c' AS op, 'interactions' AS "table", user_id, post_id, ts_ms AS event_ts_ms,
+       CASE WHEN post_id IS NULL THEN 'IGNORED' ELSE 'INTERACTION' END AS outcome FROM si
+UNION ALL SELECT 'c', 'posts', NULL, CAST(post_id AS VARCHAR), COALESCE(ts, src),
+       CASE WHEN COALESCE(ts, src) IS NULL THEN 'POST_WITHOUT_SCORE' ELSE 'POST_WITH_SCORE' END FROM p
+UNION ALL {_ORDER_ROUTED}
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'MALFORMED' FROM pages""", "interactions", "posts")
+
 SQL["table_counts"] = with_fixtures("""
 SELECT 'users' AS table_name, count(*) AS n_rows FROM users
 UNION ALL SELECT 'posts', count(*) FROM posts

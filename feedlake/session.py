@@ -86,6 +86,29 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "feedlake", *parts, uuid.uuid4().hex])
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package also where only the driver's
+    sys.path has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
+#: keyed stream state lives in RocksDB; a batch uploads its changes, not the whole store
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def use_state_store(spark: SparkSession) -> None:
+    for key, value in STATE_STORE.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 

@@ -80,19 +80,14 @@ def change_lines(spark: SparkSession, base: str) -> DataFrame:
             .unionByName(order_changes(spark, base)).unionByName(malformed(spark, base)))
 
 
-def land_lines(spark: SparkSession, base: str, folder: str, drops: tuple[int, ...] = (0, 1),
-               lines: DataFrame | None = None) -> list[str]:
-    """Write the lines as text drops: 0 = arrivals before SPLIT_AT (or
-    without a time), 1 = the rest.  Returns the folders written."""
-    lines = lines if lines is not None else change_lines(spark, base)
+def land_lines(spark: SparkSession, base: str, folder: str) -> list[str]:
+    """Write the lines as text drops, in one job: 0 = arrivals before SPLIT_AT
+    (or without a time), 1 = the rest.  Returns the folder of each."""
     cut = F.unix_millis(F.lit(SPLIT_AT).cast("timestamp"))
-    first = F.col("arrival_ms").isNull() | (F.col("arrival_ms") < cut)
-    out = []
-    for i in drops:
-        path = f"{folder.rstrip('/')}/drop{i}"
-        lines.filter(first if i == 0 else ~first).select("value").write.mode("overwrite").text(path)
-        out.append(path)
-    return out
+    later = F.coalesce(F.col("arrival_ms") >= cut, F.lit(False)).cast("int")
+    path = folder.rstrip("/")
+    change_lines(spark, base).select("value", later.alias("drop")).write.partitionBy("drop").text(path)
+    return [f"{path}/drop={i}" for i in (0, 1)]
 
 
 def land_all(spark: SparkSession, base: str, folder: str) -> str:

@@ -108,3 +108,29 @@ def raw_posts(spark: SparkSession, base: str) -> DataFrame:
         F.col("comments"),
         F.lit(None).cast("int").alias("comments_count"),
     )
+
+
+#: conversations whose turns make one deep thread
+CHAINED = 500
+
+
+def deep_posts(spark: SparkSession, base: str) -> DataFrame:
+    """Raw post rows with one thread each, in which every turn of ``CHAINED``
+    neighbouring conversations replies to the turn before it: thousands of
+    levels, in the nested JSON form."""
+    conv = read_table(spark, base, "conversations").select("conv_id", "turn", "text")
+    c, t = F.col("conv_id"), F.col("turn")
+    key = F.concat(F.lit("d"), c.cast("string"), F.lit("_"), t.cast("string"))
+    fields = F.to_json(F.struct(key.alias("id"), F.concat(F.lit("user_"), ((c * 7 + t) % AUTHOR_MODULUS).cast("string")).alias("author"),
+                                F.col("text").alias("text"), F.date_format(_turn_time(c, t), "yyyy-MM-dd'T'HH:mm:ss").alias("date")), _JSON)
+    # the object without its closing brace, its replies left open
+    head = F.concat(F.expr("substring(fields, 1, length(fields) - 1)"), F.lit(', "replies": ['))
+    threads = (conv.withColumn("fields", fields).select((c / CHAINED).cast("long").alias("thread"), c, t, head.alias("head"))
+               .groupBy("thread").agg(F.sort_array(F.collect_list(F.struct("conv_id", "turn", "head"))).alias("turns")))
+    cell = F.concat(F.lit("["), F.array_join(F.col("turns.head"), ""), F.expr("repeat(']}', size(turns))"), F.lit("]"))
+    none = lambda kind="string": F.lit(None).cast(kind)
+    return threads.select(
+        F.concat(F.lit("deep_"), F.col("thread").cast("string")).alias("index"), F.concat(F.lit("deep thread "), F.col("thread").cast("string")).alias("title"),
+        none().alias("url"), F.lit("author_0").alias("author"), none().alias("content"), none().alias("excerpt"), none().alias("categories"),
+        none().alias("tags"), none().alias("published_at"), F.lit("2024-01-01").alias("date"), none().alias("featured_image"), none().alias("image"),
+        none().alias("image_url"), cell.alias("comments"), none("int").alias("comments_count"))

@@ -1,79 +1,99 @@
 """Change events -> current-state tables, incrementally (silver as a stream).
 
-Each micro-batch is parsed once; per table its rows are folded to the latest
-change per key *inside the batch* (deletes kept as tombstones) and appended
-to that table's delta log.  Reading folds snapshot + deltas with the same
-ordering as the batch current state (event time, source time, position in the
-log, deletes last) and drops tombstones.
-Writes are O(batch); compaction keeps tombstones so a late, older change can
-never resurrect a deleted key.
+One streaming query per table keeps each key's latest change in Spark's state
+store (``transformWithState``, a value per key): the row, its place in the total
+order of changes and whether it deletes.  The order is that of the batch current
+state (event time, source time, position in the log, deletes last), so neither
+the order of the lines nor the cut of the batches matters.  A delete stays as a
+tombstone, so a late, older change can never bring a deleted key back.  Reads
+open the checkpoint and leave tombstones out.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from feedlake import schemas as S
+from feedlake.session import ship, use_state_store
 from feedlake.streaming import envelope as EN
-from feedlake.streaming.state import DeltaLog, latest_by
 
-#: as the batch state orders changes (operators.cdc.change_order), so that neither the order of
-#: the lines nor the cut of the batches matters; the batch only tells apart what nothing else does
-ORDER = ["event_ts_ms", "source_ts_ms", "lsn", "partition", "offset", "is_delete", "op", "b", "h"]
+#: as the batch state orders changes (operators.cdc.change_order)
+ORDER = ["event_ts_ms", "source_ts_ms", "lsn", "partition", "offset", "is_delete", "op", "h"]
+CHANGE = T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.LongType()) for c in ORDER[:5]],
+                       T.StructField("is_delete", T.BooleanType()), T.StructField("h", T.LongType())])
+
+
+def place(change) -> tuple:
+    """Place of a change in the total order; a missing part comes first."""
+    return tuple((change[c] is not None, change[c] if change[c] is not None else "" if c == "op" else 0) for c in ORDER)
+
+
+class CurrentState(StatefulProcessor):
+    """The latest change of a key.  Rows: the table's columns and those of CHANGE, all of them the value."""
+
+    def __init__(self, schema: T.StructType):
+        self.schema = schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.current = handle.getValueState("current", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        latest = max(rows, key=place)
+        held = dict(zip(self.schema.fieldNames(), self.current.get())) if self.current.exists() else None
+        if held is None or place(latest) > place(held):
+            self.current.update(tuple(latest[c] for c in self.schema.fieldNames()))
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 class SilverStream:
-    def __init__(self, spark: SparkSession, state_root: str, row_schemas: dict[str, T.StructType],
-                 keys: dict[str, list[str]] | None = None, compact_every: int = 50):
+    def __init__(self, spark: SparkSession, root: str, row_schemas: dict[str, T.StructType],
+                 keys: dict[str, list[str]] | None = None):
         self.spark = spark
+        self.root = root.rstrip("/")
         self.row_schemas = row_schemas
         self.keys = {t: (keys or {}).get(t) or S.TABLE_KEYS[t] for t in row_schemas}
-        self.compact_every = compact_every
-        self.logs = {t: DeltaLog(spark, state_root, t, latest_by(self.keys[t], ORDER)) for t in row_schemas}
 
-    def process_batch(self, batch: DataFrame, batch_id: int) -> None:
+    def value_schema(self, table: str) -> T.StructType:
+        return T.StructType([*self.row_schemas[table].fields, *CHANGE.fields])
+
+    def changes(self, values: DataFrame, table: str) -> DataFrame:
+        """The table's changes as rows of ``value_schema``."""
         _, env = EN.unwrapped(F.col("value"))
         e = F.col("_env")
-        stood = [(F.col(c) if c in batch.columns else F.lit(None)).cast("long").alias(c) for c in ("partition", "offset")]
-        ev = batch.select(env.alias("_env"), *stood).select(
-            F.try_variant_get(e, "$.op", "string").alias("op"),
-            F.try_variant_get(e, "$.source.table", "string").alias("table"),
-            EN.source_ms(e).alias("source_ts_ms"), EN.event_ms(e).alias("event_ts_ms"),
-            EN.as_long(F.try_variant_get(e, "$.source.lsn", "variant")).alias("lsn"), "partition", "offset",
-            F.to_json(F.try_variant_get(e, "$.before", "variant")).alias("before"),
-            F.to_json(F.try_variant_get(e, "$.after", "variant")).alias("after"),
-        ).filter(F.col("table").isin(*self.row_schemas))
-        ev = ev.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for table, schema in self.row_schemas.items():
-                is_delete = F.coalesce(F.col("op") == "d", F.lit(False))
-                row = F.from_json(F.when(is_delete, F.col("before")).otherwise(F.col("after")), schema)
-                rows = (ev.filter(F.col("table") == table).select(
-                    row.alias("payload"), "op", "event_ts_ms", "source_ts_ms", "lsn", "partition", "offset", is_delete.alias("is_delete"))
-                    .filter(F.col("payload").isNotNull())
-                    .select(*[F.col("payload").getField(f.name).alias(f.name) for f in schema.fields],
-                            "op", "event_ts_ms", "source_ts_ms", "lsn", "partition", "offset", "is_delete",
-                            F.lit(batch_id).cast("long").alias("b"), F.xxhash64(F.to_json("payload")).alias("h")))
-                log = self.logs[table]
-                log.append(log.fold(rows), batch_id)
-        finally:
-            ev.unpersist()
-        if self.compact_every and batch_id > 0 and batch_id % self.compact_every == 0:
-            for log in self.logs.values():
-                log.compact(batch_id)
-
-    def run(self, values: DataFrame, checkpoint: str, available_now: bool = True,
-            processing_time: str = "15 seconds"):
-        w = values.writeStream.foreachBatch(self.process_batch).option("checkpointLocation", checkpoint)
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
-        q = w.start()
-        if available_now:
-            q.awaitTermination()
-        return q
-
-    def state(self, table: str) -> DataFrame | None:
-        folded = self.logs[table].read()
-        return None if folded is None else folded.filter(~F.col("is_delete")).drop("b", "h", "lsn", "partition", "offset")
+        stood = [(F.col(c) if c in values.columns else F.lit(None)).cast("long").alias(c) for c in ("partition", "offset")]
+        op = F.try_variant_get(e, "$.op", "string")
+        is_delete = F.coalesce(op == "d", F.lit(False))
+        side = F.to_json(F.when(is_delete, F.try_variant_get(e, "$.before", "variant")).otherwise(F.try_variant_get(e, "$.after", "variant")))
+        rows = values.select(env.alias("_env"), *stood).filter(F.try_variant_get(e, "$.source.table", "string") == table).select(
+            F.from_json(side, self.row_schemas[table]).alias("payload"), op.alias("op"), EN.event_ms(e).alias("event_ts_ms"),
+            EN.source_ms(e).alias("source_ts_ms"), EN.as_long(F.try_variant_get(e, "$.source.lsn", "variant")).alias("lsn"),
+            "partition", "offset", is_delete.alias("is_delete")).filter(F.col("payload").isNotNull())
+        return rows.withColumn("h", F.xxhash64(F.to_json("payload"))).select(
+            *[F.col("payload").getField(f.name).alias(f.name) for f in self.row_schemas[table].fields], *CHANGE.fieldNames())
+
+    def start(self, table: str, values: DataFrame, available_now: bool = True, processing_time: str = "15 seconds") -> StreamingQuery:
+        use_state_store(self.spark)
+        ship(self.spark)
+        keyed = self.changes(values, table).groupBy(*self.keys[table])
+        out = keyed.transformWithState(CurrentState(self.value_schema(table)), "table string", "Update", "None").writeStream
+        out = out.format("noop").outputMode("update").option("checkpointLocation", f"{self.root}/{table}")
+        return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=processing_time)).start()
+
+    def run(self, values: DataFrame) -> None:
+        """Work off what the source has now, all tables side by side."""
+        for query in [self.start(table, values) for table in self.row_schemas]:
+            query.awaitTermination()
+
+    def state(self, table: str) -> DataFrame:
+        """The table's rows as of the last batch."""
+        use_state_store(self.spark)
+        held = self.spark.read.format("statestore").option("stateVarName", "current").load(f"{self.root}/{table}")
+        return held.select("value.*").filter(~F.col("is_delete")).drop("h", "lsn", "partition", "offset")

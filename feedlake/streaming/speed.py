@@ -1,30 +1,40 @@
-"""Speed layer: change events -> trending, recent views, cold-start state.
-
-One Structured Streaming query reads the change-event text, and one
-``foreachBatch`` parses each micro-batch once and appends a pre-folded delta
-to each state log (see ``feedlake.streaming.state``).  The query checkpoint
-plus per-batch-id delta folders make a restarted or replayed batch count once.
-
-Ordering ("arrival") inside the state is (micro-batch id, record time,
-partition, offset, event time, then the value itself): later batches win;
-inside a batch the log's own order decides where the source has one, and the
-event time only where it has none (text files).
+"""Speed layer: change events -> trending, recent views, cold-start state, outcomes.
+
+Each state is a Structured Streaming query whose state lives in Spark's own
+state store (RocksDB) under its checkpoint; a restart goes on from there and
+counts every event once.  Reads open the checkpoint with the ``statestore``
+source, so serving needs no running stream.
+
+* trending: a streaming ``groupBy(post_id).count()``.
+* recent views: ``transformWithState`` with a list per user, newest first and
+  cut to the limit, so a busy user costs as much as any other.
+* cold start: ``transformWithState`` with a map of fields and a score per post.
+* outcomes: one pass whose ``observe`` metrics count the events per outcome
+  while the malformed lines go to a file sink (the dead letters).
+
+Ordering ("arrival"): later micro-batches win; inside a batch the log's own
+order (record time, partition, offset) decides where the source has one, and
+the event time only where it has none (text files).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from feedlake import schemas as S
+from feedlake.session import ship, use_state_store
 from feedlake.streaming import envelope as EN
-from feedlake.streaming.state import DeltaLog, latest_by, newest_n, summed
 
-ARRIVAL = ["b", "k", "p", "o", "t"]
-ORDER = [*ARRIVAL, "post_id"]
-#: record identity that a source may carry, by its short name in the state
+ARRIVAL = ["k", "p", "o", "t"]
+#: record identity that a source may carry, by its short name in the order
 RECORD = {"k": "kafka_timestamp", "p": "partition", "o": "offset"}
+OUTCOMES = (EN.INTERACTION, EN.POST_WITH_SCORE, EN.POST_WITHOUT_SCORE, EN.IGNORED, EN.MALFORMED)
 
 
 def kafka_values(spark: SparkSession, bootstrap: str, topics: list[str],
@@ -45,94 +55,158 @@ def text_values(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(path)
+    return r.load(path).select("value")
+
+
+def arrival(row: Row) -> tuple:
+    """When a row arrived within its batch; a missing part comes first."""
+    return tuple((row[c] is not None, row[c] or 0) for c in ARRIVAL)
+
+
+class RecentViews(StatefulProcessor):
+    """A user's newest ``limit`` posts, newest first, duplicates kept."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.views = handle.getListState("views", "post_id string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = heapq.nlargest(self.limit, rows, key=lambda r: (arrival(r), r["post_id"]))
+        views = [(r["post_id"],) for r in newest]
+        if len(views) < self.limit:
+            views += [tuple(v) for v in self.views.get()][:self.limit - len(views)]
+        self.views.put(views)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class ColdStart(StatefulProcessor):
+    """A post's fields (later values overwrite) and its score (the last one that came with a time)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.fields = handle.getMapState("fields", "field string", "value string")
+        self.score = handle.getValueState("score", "score double")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        latest: dict[str, tuple] = {}
+        score = None
+        for r in rows:
+            at = arrival(r)
+            for field, value in dict(r["fields"]).items():      # a map arrives as pairs
+                if field not in latest or (at, value) > latest[field]:
+                    latest[field] = (at, value)
+            if r["score"] is not None and (score is None or (at, r["score"]) > score):
+                score = (at, r["score"])
+        for field, (_, value) in latest.items():
+            self.fields.updateValue((field,), (value,))
+        if score:
+            self.score.update((score[1],))
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 class SpeedLayer:
-    """Owns the state logs; ``process_batch`` is the foreachBatch function."""
+    """Owns the streams under ``root``: a checkpoint per state and the dead letters."""
 
-    def __init__(self, spark: SparkSession, state_root: str, recent_views_limit: int = S.RECENT_VIEWS_LIMIT,
-                 compact_every: int = 50, allowed_ops: tuple[str, ...] = ("c",)):
+    STATES = ("trending", "recent_views", "coldstart", "outcomes")
+
+    def __init__(self, spark: SparkSession, root: str, recent_views_limit: int = S.RECENT_VIEWS_LIMIT,
+                 allowed_ops: tuple[str, ...] = ("c",)):
         self.spark = spark
+        self.root = root.rstrip("/")
         self.limit = recent_views_limit
-        self.compact_every = compact_every
         self.allowed_ops = allowed_ops
-        self.logs = {
-            "trending": DeltaLog(spark, state_root, "trending", summed(["post_id"], "score")),
-            "recent_views": DeltaLog(spark, state_root, "recent_views",
-                                     newest_n(["user_id"], ORDER, recent_views_limit)),
-            "coldstart_meta": DeltaLog(spark, state_root, "coldstart_meta",
-                                       latest_by(["post_id", "field"], [*ARRIVAL, "value"])),
-            "coldstart_scores": DeltaLog(spark, state_root, "coldstart_scores",
-                                         latest_by(["post_id"], [*ARRIVAL, "score"])),
-            "outcomes": DeltaLog(spark, state_root, "outcomes", summed(["outcome"], "n")),
-            "dead_letter": DeltaLog(spark, state_root, "dead_letter", lambda df: df),
-        }
-
-    def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        record = {k: (F.col(c) if c in batch.columns else F.lit(None)).cast("long") for k, c in RECORD.items()}
-        ev = EN.parse_envelopes(batch.withColumns(record), self.allowed_ops) \
-            .withColumn("b", F.lit(batch_id).cast("long")).withColumn("t", F.col("event_ts_ms"))
-        ev = ev.persist(StorageLevel.MEMORY_AND_DISK)  # read by six deltas; freed below
-        try:
-            inter = ev.filter(F.col("outcome") == EN.INTERACTION)
-            posts = ev.filter(F.col("outcome").isin(EN.POST_WITH_SCORE, EN.POST_WITHOUT_SCORE))
-            logs = self.logs
-            # +1 per interaction create of any type
-            logs["trending"].append(inter.groupBy("post_id").agg(F.count(F.lit(1)).cast("double").alias("score")),
-                                    batch_id)
-            # Newest-first list per user, duplicates kept, capped
-            views = inter.select("user_id", "post_id", *ARRIVAL)
-            logs["recent_views"].append(logs["recent_views"].fold(views), batch_id)
-            # T4: per-post field map, later values overwrite
-            fields = posts.select("post_id", *ARRIVAL,
-                                  F.explode(EN.field_map(F.col("after"))).alias("field", "value"))
-            logs["coldstart_meta"].append(logs["coldstart_meta"].fold(fields), batch_id)
-            # T5: score = ts_ms else source.ts_ms; only when a time exists
-            scores = ev.filter(F.col("outcome") == EN.POST_WITH_SCORE).select(
-                "post_id", F.col("event_ts_ms").cast("double").alias("score"), *ARRIVAL)
-            logs["coldstart_scores"].append(logs["coldstart_scores"].fold(scores), batch_id)
-            # Outcome counts and the dead letters
-            logs["outcomes"].append(ev.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")), batch_id)
-            logs["dead_letter"].append(ev.filter(F.col("outcome") == EN.MALFORMED).select("value", "b"), batch_id)
-        finally:
-            ev.unpersist()
-        if self.compact_every and batch_id > 0 and batch_id % self.compact_every == 0:
-            for log in self.logs.values():
-                log.compact(batch_id)
-
-    def run(self, values: DataFrame, checkpoint: str, available_now: bool = True,
-            processing_time: str | None = None):
-        w = values.writeStream.foreachBatch(self.process_batch).option("checkpointLocation", checkpoint)
-        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "15 seconds")
-        q = w.start()
-        if available_now:
-            q.awaitTermination()
-        return q
+        self.counted: Counter[str] = Counter()
+
+    # streams -----------------------------------------------------------------
+    def events(self, values: DataFrame) -> DataFrame:
+        record = {k: (F.col(c) if c in values.columns else F.lit(None)).cast("long") for k, c in RECORD.items()}
+        return EN.parse_envelopes(values.withColumns(record), self.allowed_ops).withColumn("t", F.col("event_ts_ms"))
+
+    def trending_stream(self, ev: DataFrame) -> DataFrame:
+        """+1 per interaction create of any type."""
+        return ev.filter(F.col("outcome") == EN.INTERACTION).groupBy("post_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def recent_views_stream(self, ev: DataFrame) -> DataFrame:
+        """Newest-first list per user, duplicates kept, capped."""
+        views = ev.filter(F.col("outcome") == EN.INTERACTION).select("user_id", "post_id", *ARRIVAL)
+        return views.groupBy("user_id").transformWithState(RecentViews(self.limit), "user_id string", "Update", "None")
+
+    def coldstart_stream(self, ev: DataFrame) -> DataFrame:
+        """T4, T5: per-post field map; score = ts_ms else source.ts_ms, only when a time exists."""
+        posts = ev.filter(F.col("outcome").isin(EN.POST_WITH_SCORE, EN.POST_WITHOUT_SCORE)).select(
+            "post_id", *ARRIVAL, EN.field_map(F.col("after")).alias("fields"), F.col("event_ts_ms").cast("double").alias("score"))
+        return posts.groupBy("post_id").transformWithState(ColdStart(), "post_id string", "Update", "None")
+
+    def outcomes_stream(self, ev: DataFrame) -> DataFrame:
+        """Events counted by outcome on their way; malformed lines go on."""
+        seen = [F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES]
+        return ev.observe("outcomes", *seen).filter(F.col("outcome") == EN.MALFORMED).select("value")
+
+    def start(self, name: str, values: DataFrame, available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+        use_state_store(self.spark)
+        ship(self.spark)
+        out = getattr(self, f"{name}_stream")(self.events(values)).writeStream.option("checkpointLocation", f"{self.root}/{name}")
+        out = out.format("parquet").option("path", f"{self.root}/dead_letters") if name == "outcomes" else out.format("noop").outputMode("update")
+        return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=processing_time or "15 seconds")).start()
+
+    def run(self, values: DataFrame, names: Iterable[str] = STATES) -> None:
+        """Work off what the source has now; the streams run side by side."""
+        started = {name: self.start(name, values) for name in names}
+        for name, query in started.items():
+            query.awaitTermination()
+            if name == "outcomes":
+                self.count(query)
+
+    def count(self, query: StreamingQuery) -> None:
+        """Add a query's observed outcomes, a row of metrics per finished batch."""
+        for progress in query.recentProgress:
+            row = progress.observedMetrics.get("outcomes")
+            if row:
+                self.counted.update(row.asDict())
 
     # reads -------------------------------------------------------------------
-    def state(self, name: str) -> DataFrame | None:
-        return self.logs[name].read()
+    def state(self, name: str, variable: str | None = None) -> DataFrame:
+        """The store of a state: of an aggregate, or of one state variable (lists and maps whole)."""
+        use_state_store(self.spark)
+        r = self.spark.read.format("statestore")
+        if variable:
+            r = r.option("stateVarName", variable).option("flattenCollectionTypes", "false")
+        return r.load(f"{self.root}/{name}")
 
     def trending(self) -> DataFrame:
-        return self.state("trending")
+        return self.state("trending").select("key.post_id", F.col("value.count").cast("double").alias("score"))
 
     def trending_top(self, n: int = S.TRENDING_READ) -> DataFrame:
         """L3: ZREVRANGE 0 n-1 (score desc, member desc)."""
         return self.trending().orderBy(F.col("score").desc(), F.col("post_id").desc()).limit(n)
 
-    def recent_views(self) -> DataFrame:
-        return self.state("recent_views").select("user_id", "post_id", F.col("pos").cast("long").alias("pos"))
+    def recent_views(self, n: int | None = None) -> DataFrame:
+        """Every user's list by position, or its first ``n`` entries."""
+        views = F.col("list_value") if n is None else F.slice("list_value", 1, n)
+        return (self.state("recent_views", "views").select("key.user_id", F.posexplode(views).alias("pos", "view"))
+                .select("user_id", "view.post_id", F.col("pos").cast("long").alias("pos")))
 
     def recent_views_read(self, n: int = S.RECENT_VIEWS_READ) -> DataFrame:
         """L4: LRANGE 0 n-1 of every user's list."""
-        return self.recent_views().filter(F.col("pos") < n)
+        return self.recent_views(n)
 
     def coldstart_meta(self) -> DataFrame:
-        return self.state("coldstart_meta").select("post_id", "field", "value")
+        fields = self.state("coldstart", "fields").select("key.post_id", F.explode("map_value").alias("k", "v"))
+        return fields.select("post_id", "k.field", "v.value")
 
     def coldstart_scores(self) -> DataFrame:
-        return self.state("coldstart_scores").select("post_id", "score")
+        return self.state("coldstart", "score").select("key.post_id", "value.score")
 
     def outcomes(self) -> DataFrame:
-        return self.state("outcomes")
+        """Events per outcome that this layer's runs have observed."""
+        return self.spark.createDataFrame([(o, n) for o, n in self.counted.items() if n], "outcome string, n long")
+
+    def dead_letters(self) -> DataFrame:
+        return self.spark.read.schema("value string").parquet(f"{self.root}/dead_letters")

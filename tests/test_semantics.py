@@ -4,6 +4,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,6 +259,42 @@ def test_comment_walk_has_no_depth_or_nesting_limit(spark):
     assert order == ["anonymous_0", "anonymous_1", "anonymous_2", "anonymous_3"]    # depth first, lists in place
 
 
+def test_deep_threads_lose_nothing(spark):
+    """Thousands of levels, beyond what the JSON reader opens; texts with brackets, quotes and escapes."""
+    def thread(n, text):
+        head = "".join('{"text": %s, "replies": [[' % json.dumps(f"{text} {i}") for i in range(n))
+        return "[" + head + "]]}" * n + "]"
+
+    cells = {"a": thread(2000, 'x "]}{[ \\ é'), "b": thread(300, "y"), "c": thread(2000, "z") + "]", "d": thread(2000, "w")[:-2],
+             "e": thread(1500, "q").replace("[[]]", "[[7, null, [], {}]]", 1), "f": "[" * 1500 + "]" * 1500}
+    df = spark.createDataFrame(list(cells.items()), "post_id string, comments string")
+    got = {}
+    for r in CM.extract_comments(df).select("post_id", "comment_text", "username").collect():
+        got.setdefault(r.post_id, []).append(r)
+    want = {"a": [f'x "]}}{{[ \\ é {i}' for i in range(2000)], "b": [f"y {i}" for i in range(300)], "e": [f"q {i}" for i in range(1500)] + [""]}
+    assert {k: [r.comment_text for r in sorted(v, key=lambda r: int(r.username[10:]))] for k, v in got.items()} == want
+    raw = df.selectExpr("post_id AS index", "comments", "'t' AS title", *[f"cast(null AS string) AS {c}" for c in (
+        "url", "author", "content", "excerpt", "categories", "tags", "published_at", "date", "featured_image", "image", "image_url")], "cast(null AS int) AS comments_count")
+    counts = sorted(r.comments_count for r in CM.post_rows(raw).collect())
+    assert counts == [0, 0, 0, 300, 1501, 2000]
+    far = '[{"text": "t", "meta": ' + "[" * 1200 + "]" * 1200 + "}]"
+    with pytest.raises(Exception, match="nests deeper"):       # not read, and not lost in silence
+        CM.extract_comments(spark.createDataFrame([("p", far)], "post_id string, comments string")).collect()
+
+
+def test_scan_and_walk_agree(spark, monkeypatch):
+    """The token scan of deep cells gives the rows of the walk."""
+    cells = ['[[[[[{"text":"a"}], {"text":"b"}]]], 5, {"text":"c","replies":[[{"text":"d"}],[]]}]', '{"text":"one [[[ \\" {{","replies":{"text":"two"}}',
+             "[]", "7", '"[]"', '{"text":"x","replies":"none"}', '[{"a":{"replies":[{"text":"no"}]},"text":{"x":[1,2]}}, {"id":1.50,"\\u0072eplies":[{"id":true}]}]',
+             '[{"text":"a",}]', '[{"text":"a"} {"text":"b"}]', '[{"text":"a"}] []', '{"replies":[{"id":"r"}],"id":"k"}', '{"x":1}}', '', '[{"text": "é\\n\\u00e9"}]',
+             '[{"replies":[{"text":"p"}],"replies":[{"text":"q"}]}]']
+    df = spark.createDataFrame(list(enumerate(cells)), "post_id long, comments string")
+    rows = lambda: sorted(map(str, CM.extract_comments(df).collect()))
+    walked = rows()
+    monkeypatch.setattr(CM, "WALK_DEPTH", 0)
+    assert rows() == walked and len(walked) > 10
+
+
 def test_python_literals(spark):
     """Every string escape; F4: tuples, None and quotes inside items."""
     cells = [r"a\xa0b", r"\u200b\U0001F600", r"\101\0\x41", r"\a\b\f\v\n\t\r\\\'\"", r"\q\8", "plain", "line\\\nend", "tail\\"]

@@ -10,16 +10,33 @@ from pyspark.sql import functions as F
 from feedlake.functions.text import parse_topic_list
 from feedlake.session import scratch_path
 from feedlake.streaming import envelope as EN
-from feedlake.streaming.speed import SpeedLayer
+from feedlake.streaming.speed import SpeedLayer, text_values
 
 
-def _values(spark, *events):
-    rows = [(e if isinstance(e, str) else json.dumps(e),) for e in events]
-    return spark.createDataFrame(rows, "value string")
+class Feed:
+    """A speed layer whose events arrive as files, a run of the streams for each arrival."""
 
+    def __init__(self, spark, limit=100, schema=None):
+        self.spark, self.schema = spark, schema
+        self.root = scratch_path(spark, "test-speed")
+        self.layer = SpeedLayer(spark, f"{self.root}/state", recent_views_limit=limit)
+        self.drops = 0
 
-def _layer(spark, limit=100):
-    return SpeedLayer(spark, scratch_path(spark, "test-speed"), recent_views_limit=limit)
+    def arrive(self, states, *events):
+        lines = [e if isinstance(e, (str, tuple)) else json.dumps(e) for e in events]
+        path = f"{self.root}/in/d{self.drops}"
+        if self.schema:
+            self.spark.createDataFrame(lines, self.schema).coalesce(1).write.json(path)
+        else:
+            self.spark.createDataFrame([(e,) for e in lines], "value string").coalesce(1).write.text(path)
+        self.drops += 1
+        self.again(states)
+        return self.layer
+
+    def again(self, states):
+        """A restart: new queries on the same checkpoints."""
+        source = f"{self.root}/in/d*"
+        self.layer.run(self.spark.readStream.schema(self.schema).json(source) if self.schema else text_values(self.spark, source), states)
 
 
 def _interaction(user="42", post="10001", op="c", ts=None):
@@ -53,147 +70,136 @@ def test_topic_parse():
 
 
 def test_interaction_create_updates_trending_and_recent_views(spark):
-    layer = _layer(spark)
-    layer.process_batch(_values(spark, _interaction()), 0)
+    layer = Feed(spark).arrive(("trending", "recent_views", "outcomes"), _interaction())
     assert [tuple(r) for r in layer.trending().collect()] == [("10001", 1.0)]
     assert [tuple(r) for r in layer.recent_views().collect()] == [("42", "10001", 0)]
     assert {r.outcome: r.n for r in layer.outcomes().collect()} == {EN.INTERACTION: 1}
 
 
 def test_recent_views_newest_first_with_duplicates_and_cap(spark):
-    layer = _layer(spark, limit=3)
-    layer.process_batch(_values(spark, *[_interaction(post=f"p{i}", ts=1000 + i) for i in range(4)]), 0)
-    layer.process_batch(_values(spark, _interaction(post="p3", ts=5000)), 1)
-    views = sorted((r.pos, r.post_id) for r in layer.recent_views().collect())
-    assert views == [(0, "p3"), (1, "p3"), (2, "p2")]  # duplicates kept, trimmed to 3
-
-
-def test_post_create_metadata_and_score(spark):
-    layer = _layer(spark)
-    layer.process_batch(_values(spark, _post(ts_ms=1710000000123, source_ts=1700000000000)), 0)
-    meta = {r.field: r.value for r in layer.coldstart_meta().collect()}
-    assert meta["canonical_url"] == "" and meta["comments_count"] == "3" and meta["title"] == "Hello"
-    assert [tuple(r) for r in layer.coldstart_scores().collect()] == [("p1", 1710000000123.0)]
-
-
-def test_post_create_uses_source_time_when_ts_missing(spark):
-    layer = _layer(spark)
-    layer.process_batch(_values(spark, _post(source_ts=1700000000000)), 0)
-    assert [tuple(r) for r in layer.coldstart_scores().collect()] == [("p1", 1700000000000.0)]
-
-
-def test_post_create_without_time_is_metadata_only(spark):
-    layer = _layer(spark)
-    layer.process_batch(_values(spark, _post()), 0)
-    assert layer.coldstart_meta().count() == 4
-    assert layer.coldstart_scores().count() == 0
-    assert {r.outcome for r in layer.outcomes().collect()} == {EN.POST_WITHOUT_SCORE}
-
-
-@pytest.mark.parametrize("op", ["u", "r", "d"])
-def test_non_create_ops_are_ignored(spark, op):
-    layer = _layer(spark)
-    layer.process_batch(_values(spark, _post(op=op, ts_ms=1), _interaction(op=op)), 0)
-    assert layer.trending().count() == 0 and layer.coldstart_meta().count() == 0
-    assert {r.outcome: r.n for r in layer.outcomes().collect()} == {EN.IGNORED: 2}
-
-
-def test_missing_ids_are_ignored(spark):
-    layer = _layer(spark)
-    events = [_interaction(user=None), _interaction(post=None),
-              {"op": "c", "after": {"title": "no id"}, "source": {"table": "posts"}, "ts_ms": 1}]
-    layer.process_batch(_values(spark, *events), 0)
-    assert layer.trending().count() == 0 and layer.coldstart_meta().count() == 0
-    assert {r.outcome: r.n for r in layer.outcomes().collect()} == {EN.IGNORED: 3}
+    feed = Feed(spark, limit=3)
+    feed.arrive(["recent_views"], *[_interaction(post=f"p{i}", ts=1000 + i) for i in range(4)])
+    layer = feed.arrive(["recent_views"], _interaction(post="p3", ts=5000), _interaction(user="7", post="x", ts=1))
+    views = sorted((r.user_id, r.pos, r.post_id) for r in layer.recent_views().collect())
+    # duplicates kept, trimmed to 3; a later batch is newer
+    assert views == [("42", 0, "p3"), ("42", 1, "p3"), ("42", 2, "p2"), ("7", 0, "x")]
+    assert sorted((r.user_id, r.post_id) for r in layer.recent_views_read(1).collect()) == [("42", "p3"), ("7", "x")]
+
+
+def test_state_of_a_hot_user_is_bounded(spark):
+    """A user's list holds the limit, however many views arrive."""
+    feed = Feed(spark)
+    layer = feed.arrive(["recent_views"], *[_interaction(post=f"p{i}", ts=i) for i in range(1500)])
+    assert layer.state("recent_views", "views").select(F.size("list_value")).first()[0] == 100
+    assert sorted(int(r.post_id[1:]) for r in layer.recent_views().collect()) == list(range(1400, 1500))
+
+
+def test_post_creates_metadata_and_score(spark):
+    """T4, T5: the metadata of every post; the score by ts_ms, else the source's time, else none."""
+    states = ("coldstart", "outcomes")
+    layer = Feed(spark).arrive(states, _post(ts_ms=1710000000123, source_ts=1700000000000), _post(source_ts=1700000000000, post_id="p2"), _post(post_id="p3"))
+    meta = {(r.post_id, r.field): r.value for r in layer.coldstart_meta().collect()}
+    assert meta["p1", "canonical_url"] == "" and meta["p1", "comments_count"] == "3" and meta["p1", "title"] == "Hello" and len(meta) == 12
+    assert {r.post_id: r.score for r in layer.coldstart_scores().collect()} == {"p1": 1710000000123.0, "p2": 1700000000000.0}
+    assert {r.outcome: r.n for r in layer.outcomes().collect()} == {EN.POST_WITH_SCORE: 2, EN.POST_WITHOUT_SCORE: 1}
+
+
+def test_later_posts_overwrite_fields_and_keep_the_others(spark):
+    feed = Feed(spark)
+    feed.arrive(["coldstart"], _post(ts_ms=10, only="first"))
+    layer = feed.arrive(["coldstart"], _post(title="New"))        # without a time: the score stays
+    assert {r.field: r.value for r in layer.coldstart_meta().collect()} == {"post_id": "p1", "title": "New", "canonical_url": "", "comments_count": "3", "only": "first"}
+    assert [tuple(r) for r in layer.coldstart_scores().collect()] == [("p1", 10.0)]
+
+
+def test_ignored_events(spark):
+    """Ops but create, missing ids."""
+    events = [e for op in "urd" for e in (_post(op=op, ts_ms=1), _interaction(op=op))]
+    events += [_interaction(user=None), _interaction(post=None), {"op": "c", "after": {"title": "no id"}, "source": {"table": "posts"}, "ts_ms": 1}]
+    layer = Feed(spark).arrive(SpeedLayer.STATES, *events)
+    assert layer.trending().count() == 0 and layer.coldstart_meta().count() == 0 and layer.recent_views().count() == 0
+    assert {r.outcome: r.n for r in layer.outcomes().collect()} == {EN.IGNORED: 9}
 
 
 def test_payload_wrapper_malformed_text_ts_and_nested_values(spark):
-    layer = _layer(spark)
     events = [
         {"payload": _interaction(post="w1")},                                   # wrapped
         "not json at all",                                                     # malformed
         _post(ts_ms="1710000000123", source_ts=1700000000000, tags={"a": [1, 2]}),  # text ts, nested
     ]
-    layer.process_batch(_values(spark, *events), 0)
+    layer = Feed(spark).arrive(SpeedLayer.STATES, *events)
     assert [r.post_id for r in layer.trending().collect()] == ["w1"]
-    assert [r.value for r in layer.state("dead_letter").collect()] == ["not json at all"]
+    assert [r.value for r in layer.dead_letters().collect()] == ["not json at all"]
     # a text ts_ms is not a number: the source time is used
     assert [r.score for r in layer.coldstart_scores().collect()] == [1700000000000.0]
     meta = {r.field: r.value for r in layer.coldstart_meta().collect()}
     assert json.loads(meta["tags"]) == {"a": [1, 2]}
 
 
-def test_replayed_batch_counts_once(spark):
-    layer = _layer(spark)
-    batch = _values(spark, _interaction(), _interaction())
-    layer.process_batch(batch, 0)
-    layer.process_batch(batch, 0)  # replay after a failure
-    layer.process_batch(_values(spark, _interaction()), 1)
+def test_restart_counts_once(spark):
+    """A restart goes on from the checkpoint; what it has read it does not read again."""
+    feed = Feed(spark)
+    feed.arrive(("trending", "outcomes"), _interaction(), _interaction())
+    feed.again(("trending", "outcomes"))
+    layer = feed.arrive(("trending", "outcomes"), _interaction(), "broken")
+    feed.again(("trending", "outcomes"))
     assert [tuple(r) for r in layer.trending().collect()] == [("10001", 3.0)]
+    assert {r.outcome: r.n for r in layer.outcomes().collect()} == {EN.INTERACTION: 3, EN.MALFORMED: 1}
+    assert [r.value for r in layer.dead_letters().collect()] == ["broken"]
 
 
-def test_compaction_keeps_the_fold(spark):
-    layer = _layer(spark)
-    for b in range(3):
-        layer.process_batch(_values(spark, _interaction(post="x", ts=b)), b)
-    before = layer.trending().collect()
-    for log in layer.logs.values():
-        log.compact(2)
-    layer.process_batch(_values(spark, _interaction(post="x", ts=9)), 3)
-    assert before == [("x", 3.0)]
-    assert [tuple(r) for r in layer.trending().collect()] == [("x", 4.0)]
-    assert [r.post_id for r in layer.recent_views().orderBy("pos").collect()] == ["x"] * 4
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    """The same events through a real file stream give the same state."""
-    from feedlake.streaming.speed import text_values
-
+def test_stream_equals_batch_over_small_batches(spark):
+    """The same events in one batch and in many give the same state."""
     src = scratch_path(spark, "test-stream-in")
     events = [json.dumps(_interaction(post=f"p{i % 3}", ts=i)) for i in range(20)]
-    spark.createDataFrame([(e,) for e in events], "value string").coalesce(2).write.text(src)
-    layer = _layer(spark)
-    layer.run(text_values(spark, src), scratch_path(spark, "test-stream-ckpt"))
-    got = sorted(tuple(r) for r in layer.trending().collect())
-    assert got == [("p0", 7.0), ("p1", 7.0), ("p2", 6.0)]
-    assert layer.recent_views().filter(F.col("pos") == 0).first().post_id == "p1"  # ts 19 -> p1
+    spark.createDataFrame([(e,) for e in events], "value string").repartition(4).write.text(src)
+    for cap in (None, 1):
+        layer = SpeedLayer(spark, scratch_path(spark, "test-speed"))
+        layer.run(text_values(spark, src, cap), ["trending"])
+        assert sorted(tuple(r) for r in layer.trending().collect()) == [("p0", 7.0), ("p1", 7.0), ("p2", 6.0)]
+        assert [r.post_id for r in layer.trending_top(1).collect()] == ["p1"]
 
 
-def test_silver_stream_folds_changes_and_keeps_tombstones(spark):
-    """Incremental current state; a late older change never resurrects a
-    deleted key, also across compaction."""
+def _change(op, k, v, ts, **source):
+    row = {"event_id": k, "v": v}
+    env = {"op": op, "ts_ms": ts, "source": {"table": "interactions", "ts_ms": ts, **source}}
+    env["before" if op == "d" else "after"] = row
+    return json.dumps(env)
+
+
+@pytest.mark.parametrize("cut", [(9,), (2, 4, 9), (1, 2, 3, 4, 5, 6, 7, 8, 9)])
+def test_silver_stream_any_order_and_cut(spark, cut):
+    """Late, equal-time and late-after-delete changes give the batch state, however the batches are cut."""
     from pyspark.sql import types as T
     from feedlake.streaming.silver import SilverStream
 
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("v", T.StringType())])
-
-    def ev(op, k, v, ts):
-        row = {"event_id": k, "v": v}
-        env = {"op": op, "ts_ms": ts, "source": {"table": "interactions", "ts_ms": ts}}
-        env["before" if op == "d" else "after"] = row
-        return env
-
-    layer = SilverStream(spark, scratch_path(spark, "test-silver"), {"interactions": schema})
-    layer.process_batch(_values(spark, ev("r", 1, "a", 1), ev("r", 2, "x", 1)), 0)
-    layer.process_batch(_values(spark, ev("d", 2, "x", 3), {"payload": ev("u", 1, "b", 2)}), 1)
-    for log in layer.logs.values():
-        log.compact(1)
-    layer.process_batch(_values(spark, ev("u", 2, "late", 2)), 2)
-    assert sorted((r.event_id, r.v) for r in layer.state("interactions").collect()) == [(1, "b")]
+    changes = [_change("r", 1, "a", 1), _change("r", 2, "x", 1), _change("d", 2, "x", 3), json.dumps({"payload": json.loads(_change("u", 1, "b", 2))}),
+               _change("u", 2, "late", 2), _change("c", 3, "first", 5, lsn=1), _change("u", 3, "second", 5, lsn=2), _change("d", 4, None, 7), _change("u", 4, "same time", 7)]
+    root = scratch_path(spark, "test-silver")
+    layer = SilverStream(spark, f"{root}/state", {"interactions": schema})
+    begin = 0
+    for n, end in enumerate(cut):
+        spark.createDataFrame([(c,) for c in changes[begin:end]], "value string").coalesce(1).write.text(f"{root}/in/d{n}")
+        begin = end
+        if len(cut) < 9:
+            layer.run(text_values(spark, f"{root}/in/d*"))
+    if len(cut) == 9:
+        layer.run(text_values(spark, f"{root}/in/d*", 1))         # a batch a line
+    assert sorted((r.event_id, r.v) for r in layer.state("interactions").collect()) == [(1, "b"), (3, "second")]
 
 
 def test_arrival_order_is_the_logs_order(spark):
     """Inside a batch the offset decides, not the event time, and the
     cut of the batches does not matter."""
     events = [(_post(ts_ms=t, title=f"v{o}"), o) for o, t in ((3, 10), (1, 30), (2, 20))]
-    rows = [(json.dumps(e), "t", 0, o, 1000) for e, o in events]
-    schema = "value string, topic string, partition int, offset long, kafka_timestamp long"
+    rows = [(json.dumps(e), 0, o, 1000) for e, o in events]
+    ordered = sorted(rows, key=lambda r: r[2])
     states = []
-    for cut in (0, 1):
-        layer = _layer(spark)
-        ordered = sorted(rows, key=lambda r: r[3])
-        for b, part in enumerate([rows] if not cut else [ordered[:1], ordered[1:]]):
-            layer.process_batch(spark.createDataFrame(part, schema), b)
+    for parts in ([rows], [ordered[:1], ordered[1:]]):
+        feed = Feed(spark, schema="value string, partition int, offset long, kafka_timestamp long")
+        for part in parts:
+            layer = feed.arrive(["coldstart"], *part)
         meta = {r.field: r.value for r in layer.coldstart_meta().collect()}
         states.append((meta["title"], [tuple(r) for r in layer.coldstart_scores().collect()]))
     assert states == [("v3", [("p1", 10.0)])] * 2
