@@ -72,10 +72,14 @@ class SilverStream:
         op = F.try_variant_get(e, "$.op", "string")
         is_delete = F.coalesce(op == "d", F.lit(False))
         side = F.to_json(F.when(is_delete, F.try_variant_get(e, "$.before", "variant")).otherwise(F.try_variant_get(e, "$.after", "variant")))
-        rows = values.select(env.alias("_env"), *stood).filter(F.try_variant_get(e, "$.source.table", "string") == table).select(
-            F.from_json(side, self.row_schemas[table]).alias("payload"), op.alias("op"), EN.event_ms(e).alias("event_ts_ms"),
+        rows = values.select(env.alias("_env"), *stood).select(
+            F.try_variant_get(e, "$.source.table", "string").alias("table"), side.alias("side"), op.alias("op"), EN.event_ms(e).alias("event_ts_ms"),
             EN.source_ms(e).alias("source_ts_ms"), EN.as_long(F.try_variant_get(e, "$.source.lsn", "variant")).alias("lsn"),
-            "partition", "offset", is_delete.alias("is_delete")).filter(F.col("payload").isNotNull())
+            "partition", "offset", is_delete.alias("is_delete"))
+        # the metrics keep the filter from being pushed below the parsing, which would then run once per use
+        rows = (rows.observe("changes", F.count(F.when(F.col("table") == table, 1)).alias("changes"))
+                .filter(F.col("table") == table).withColumn("payload", F.from_json("side", self.row_schemas[table]))
+                .filter(F.col("payload").isNotNull()))
         return rows.withColumn("h", F.xxhash64(F.to_json("payload"))).select(
             *[F.col("payload").getField(f.name).alias(f.name) for f in self.row_schemas[table].fields], *CHANGE.fieldNames())
 

@@ -10,7 +10,8 @@ source, so serving needs no running stream.
   cut to the limit, so a busy user costs as much as any other.
 * cold start: ``transformWithState`` with a map of fields and a score per post.
 * outcomes: one pass whose ``observe`` metrics count the events per outcome
-  while the malformed lines go to a file sink (the dead letters).
+  while the malformed lines go to a file sink (the dead letters).  Every other
+  stream observes the same metrics.
 
 Ordering ("arrival"): later micro-batches win; inside a batch the log's own
 order (record time, partition, offset) decides where the source has one, and
@@ -126,8 +127,12 @@ class SpeedLayer:
 
     # streams -----------------------------------------------------------------
     def events(self, values: DataFrame) -> DataFrame:
+        """The parsed events, counted by outcome on their way (T6).  The
+        metrics also keep filters above from being pushed below the parsing,
+        where each of their fields would parse the line anew."""
         record = {k: (F.col(c) if c in values.columns else F.lit(None)).cast("long") for k, c in RECORD.items()}
-        return EN.parse_envelopes(values.withColumns(record), self.allowed_ops).withColumn("t", F.col("event_ts_ms"))
+        seen = [F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES]
+        return EN.parse_envelopes(values.withColumns(record), self.allowed_ops).withColumn("t", F.col("event_ts_ms")).observe("outcomes", *seen)
 
     def trending_stream(self, ev: DataFrame) -> DataFrame:
         """+1 per interaction create of any type."""
@@ -145,9 +150,8 @@ class SpeedLayer:
         return posts.groupBy("post_id").transformWithState(ColdStart(), "post_id string", "Update", "None")
 
     def outcomes_stream(self, ev: DataFrame) -> DataFrame:
-        """Events counted by outcome on their way; malformed lines go on."""
-        seen = [F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES]
-        return ev.observe("outcomes", *seen).filter(F.col("outcome") == EN.MALFORMED).select("value")
+        """The malformed lines; the others are only counted."""
+        return ev.filter(F.col("outcome") == EN.MALFORMED).select("value")
 
     def start(self, name: str, values: DataFrame, available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
         use_state_store(self.spark)
