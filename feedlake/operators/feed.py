@@ -18,6 +18,8 @@ from feedlake import schemas as S
 
 
 MAX_BROADCAST_IDS = 10_000
+#: users whose ids and names go to every task: some 100 bytes each
+MAX_BROADCAST_USERS = 250_000
 
 
 def clamp_limit(limit: int | None) -> int:
@@ -102,24 +104,33 @@ def feed_page(posts: DataFrame, users: DataFrame, post_media: DataFrame, comment
 def newest_comments(comments: DataFrame, users: DataFrame, per_post: int,
                     post_ids: DataFrame | None = None) -> DataFrame:
     """Newest `per_post` comments of each post (time desc nulls last, then
-    comment_id desc; comment_id is the primary key), with the commenter's name.  `row_number() <= n` plans a
-    partial WindowGroupLimit before the shuffle, so a post with a huge thread
-    ships at most n rows per task."""
+    comment_id desc; comment_id is the primary key), with the commenter's name;
+    only comments of known users count.
+
+    The users are counted first.  Up to ``MAX_BROADCAST_USERS`` their ids and
+    names go to every task: comments then meet them where they are read, and
+    `row_number() <= n` plans a partial WindowGroupLimit before the only
+    shuffle, so a post with a huge thread ships at most n rows, bodies
+    included, per task.  With more users the ranking runs on narrow columns
+    and bodies are fetched for the survivors."""
     # a caller-supplied id list has no size bound here: AQE decides whether
     # to broadcast it at runtime (feed_with_comments passes its bounded page)
     c = comments if post_ids is None else comments.join(post_ids.select("post_id"), "post_id", "left_semi")
-    # rank on narrow columns: only comments of known users count, and a name
-    # or a body is fetched for the survivors alone
-    keys = c.select("post_id", "comment_id", "user_id", "commented_at_raw")
-    known = keys.join(users.select("user_id").distinct(), "user_id", "left_semi")
     w = Window.partitionBy("post_id").orderBy(F.col("commented_at_raw").desc_nulls_last(),
                                               F.col("comment_id").desc())
+    out = ["post_id", "comment_id", "user_id", "username", _blank("body_text").alias("body_text"),
+           _blank("commented_at_raw").alias("commented_at"), "rank"]
+    names = users.select("user_id", "username")
+    if names.limit(MAX_BROADCAST_USERS + 1).count() <= MAX_BROADCAST_USERS:
+        rows = c.select("post_id", "comment_id", "user_id", "body_text", "commented_at_raw")
+        known = rows.join(F.broadcast(names.select("user_id").distinct()), "user_id", "left_semi")
+        top = known.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_post)
+        return top.join(F.broadcast(names), "user_id").select(*out)
+    keys = c.select("post_id", "comment_id", "user_id", "commented_at_raw")
+    known = keys.join(names.select("user_id").distinct(), "user_id", "left_semi")
     top = known.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_post).drop("commented_at_raw")
     bodies = c.select("post_id", "comment_id", "user_id", "body_text", "commented_at_raw")
-    return (top.join(bodies, ["post_id", "comment_id", "user_id"])
-            .join(users.select("user_id", "username"), "user_id")
-            .select("post_id", "comment_id", "user_id", "username", _blank("body_text").alias("body_text"),
-                    _blank("commented_at_raw").alias("commented_at"), "rank"))
+    return top.join(bodies, ["post_id", "comment_id", "user_id"]).join(names, "user_id").select(*out)
 
 
 def top_comments(comments: DataFrame, users: DataFrame, post_ids: DataFrame | None = None,

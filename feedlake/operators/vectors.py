@@ -3,26 +3,27 @@
 * Text assembly (E1, E2) and L2 normalization (E4) are built-in expressions.
 * The default text encoder (E3) is built-in functions too: tokens hashed to
   buckets by md5, counted, weighted by one inverse document frequency table
-  fitted on all texts that are to be compared, and brought to unit length.  A
-  model of your own plugs in through ``encode_with``: ``mapInPandas`` hands it Arrow
-  batches of ``batch_size`` texts per call, one partition at a time, so no
-  table passes through the driver.
+  fitted on all texts that are to be compared, and brought to unit length, all
+  within the row.  A model of your own plugs in through ``encode_with``
+  (``predict_batch_udf``: one model a worker, batches of 64 texts).
 * Image vectors come from an id-keyed vector table; posts without an image,
   or whose image has no vector, get a zero vector (E5).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from feedlake import schemas as S
 from feedlake.functions import text as X
+from feedlake.session import ship
 
 _FLOATS = T.ArrayType(T.FloatType())
 
@@ -72,34 +73,44 @@ def token_buckets(text, dim: int) -> Column:
     return F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
-def fit_hashing_encoder(*texts: DataFrame, text_col: str = "text", dim: int = 384) -> DataFrame:
-    """One model for all the given tables, so that their vectors can be compared: bucket -> idf, at most ``dim``
-    rows.  idf = 1 + ln((texts + 1) / (texts with the bucket + 1)), so a text is never zero for being alone."""
+def fit_hashing_encoder(*texts: DataFrame, text_col: str = "text", dim: int = 384) -> list[float]:
+    """One model for all the given tables, so that their vectors can be compared: the idf of each bucket, ``dim``
+    numbers.  idf = 1 + ln((texts + 1) / (texts with the bucket + 1)), so a text is never zero for being alone."""
     every = reduce(DataFrame.unionByName, [t.select(token_buckets(text_col, dim).alias("b")) for t in texts])
     seen = every.select(F.explode(F.array_union(F.array_distinct("b"), F.array(F.lit(-1)))).alias("bucket"))   # -1 counts texts
-    df = seen.groupBy("bucket").agg(F.count("*").alias("df"))
-    total = F.max(F.when(F.col("bucket") == -1, F.col("df"))).over(Window.partitionBy())      # at most dim + 1 rows
-    return df.withColumn("n", total).where("bucket >= 0").select(
-        "bucket", (1 + F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("idf"))
+    df = {r["bucket"]: r["n"] for r in seen.groupBy("bucket").agg(F.count("*").alias("n")).collect()}            # at most dim + 1 rows
+    return [1 + math.log((df.get(-1, 0) + 1) / (df.get(b, 0) + 1)) for b in range(dim)]
 
 
-def hashing_weights(df: DataFrame, model: DataFrame, id_col: str, text_col: str = "text", dim: int = 384) -> DataFrame:
+def hashing_entries(model: list[float], text_col: str = "text") -> Column:
+    """The unit vector's entries that are not zero, (bucket, weight) by bucket: all within the row."""
+    idf = F.array(*[F.lit(x) for x in model])
+
+    def entries(buckets: Column) -> Column:
+        raw = F.transform(F.array_sort(F.array_distinct(buckets)), lambda b: F.struct(
+            b.alias("bucket"), (F.size(F.filter(buckets, lambda x: x == b)) * F.get(idf, b)).alias("w")))
+        return F.transform(F.array(raw), lambda r: _unit(r))[0]
+
+    def _unit(r: Column) -> Column:
+        length = F.sqrt(F.aggregate(r, F.lit(0.0), lambda t, x: t + x["w"] * x["w"]))
+        return F.transform(F.array(length), lambda n: F.transform(r, lambda x: F.struct(x["bucket"].alias("bucket"), (x["w"] / n).alias("weight"))))[0]
+
+    # one-element arrays name a value that is used more than once, so that it is computed once
+    return F.transform(F.array(token_buckets(text_col, len(model))), entries)[0]
+
+
+def hashing_weights(df: DataFrame, model: list[float], id_col: str, text_col: str = "text") -> DataFrame:
     """id, bucket, weight of the unit vectors' entries that are not zero."""
-    counts = (df.select(F.col(id_col).alias("id"), F.explode(token_buckets(text_col, dim)).alias("bucket"))
-              .groupBy("id", "bucket").agg(F.count("*").alias("tf")))
-    raw = counts.join(F.broadcast(model), "bucket").withColumn("w", F.col("tf") * F.col("idf"))   # model: at most dim rows
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select(F.col("id").alias(id_col), "bucket", (F.col("w") / length).alias("weight"))
+    return df.select(F.col(id_col), F.explode(hashing_entries(model, text_col)).alias("e")).select(id_col, "e.bucket", "e.weight")
 
 
-def hashing_encoder(df: DataFrame, model: DataFrame, id_col: str, text_col: str = "text", dim: int = 384,
-                    out_col: str = "text_embedding") -> DataFrame:
-    """Offline default encoder, all JVM-side: unit float32 vectors of hashed token counts weighted by ``model``
-    (``fit_hashing_encoder``); a text without tokens has the zero vector."""
-    entries = hashing_weights(df, model, id_col, text_col, dim).groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_w"))             # at most dim entries
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0)).cast("float"))
-    return df.join(entries, id_col, "left").withColumn(out_col, F.when(F.col("_w").isNull(), zero_vector(dim)).otherwise(vec)).drop("_w")
+def hashing_encoder(df: DataFrame, model: list[float], text_col: str = "text", out_col: str = "text_embedding") -> DataFrame:
+    """Offline default encoder, all JVM-side and without a shuffle: unit float32 vectors of hashed token counts
+    weighted by ``model`` (``fit_hashing_encoder``); a text without tokens has the zero vector."""
+    entries = F.map_from_entries(hashing_entries(model, text_col))
+    vec = F.transform(F.array(entries), lambda m: F.transform(
+        F.sequence(F.lit(0), F.lit(len(model) - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)).cast("float")))[0]
+    return df.withColumn(out_col, vec)
 
 
 Encoder = Callable[[list[str]], "object"]  # texts -> (n, dim) float array
@@ -107,29 +118,26 @@ Encoder = Callable[[list[str]], "object"]  # texts -> (n, dim) float array
 
 def encode_with(df: DataFrame, encoder_factory: Callable[[], Encoder], dim: int, text_col: str = "text",
                 out_col: str = "text_embedding", batch_size: int = 64, normalize: bool = True) -> DataFrame:
-    """Run a Python encoder over a text column in Arrow batches.
-
-    ``encoder_factory`` is called once per task (load the model there); the
-    encoder gets lists of at most ``batch_size`` texts."""
-    import numpy as np
+    """Run a model over a text column as batch inference: ``predict_batch_udf`` calls ``encoder_factory`` once for
+    each Python worker (load the model there) and hands the encoder at most ``batch_size`` texts at a time."""
 
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, _FLOATS)])
+    def load():
+        import numpy as np
 
-    def run(batches: Iterator["object"]) -> Iterator["object"]:
         encode = encoder_factory()
-        for pdf in batches:
-            texts = pdf[text_col].fillna("").astype(str).tolist()
-            parts = [np.asarray(encode(texts[i:i + batch_size]), dtype=np.float32)
-                     for i in range(0, len(texts), batch_size)]
-            mat = np.vstack(parts) if parts else np.zeros((0, dim), dtype=np.float32)
-            if normalize and len(mat):
+
+        def predict(texts):
+            mat = np.asarray(encode([t or "" for t in texts.tolist()]), dtype=np.float32).reshape(-1, dim)
+            if normalize:
                 norms = np.linalg.norm(mat, axis=1, keepdims=True)
-                mat = np.where(norms > 0, mat / np.where(norms > 0, norms, 1), mat).astype(np.float32)
-            out = pdf.copy()
-            out[out_col] = list(mat)
-            yield out
+                mat = (mat / np.where(norms > 0, norms, 1)).astype(np.float32)
+            return mat
+
+        return predict
 
-    return df.mapInPandas(run, schema)
+    ship(df.sparkSession)
+    encoder = predict_batch_udf(load, return_type=_FLOATS, batch_size=batch_size)
+    return df.withColumn(out_col, encoder(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 # E5 / E6 ----------------------------------------------------------------------

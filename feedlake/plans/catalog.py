@@ -21,6 +21,7 @@ from feedlake.operators import feed as FD
 from feedlake.operators import profile as PR
 from feedlake.operators import staging as ST
 from feedlake.operators import vectors as VE
+from feedlake.plans.jobs import gold_pairs, write_dataframe
 from feedlake.session import apply_defaults, scratch_path
 from feedlake.sources import bronze as BR
 from feedlake.sources import changefeed as CF
@@ -104,10 +105,10 @@ def q_training_pairs(spark, d):
     once (a table in the shared checkpoint dir) and read by the
     user, post and label builders."""
     inter = FX.interactions(spark, d)
-    path = scratch_path(spark, "grain")
-    FE.interaction_grain(inter).write.parquet(path)
-    grain = spark.read.parquet(path)
-    return FE.training_pairs(FX.users(spark, d), FX.posts(spark, d), inter, FX.post_media(spark, d), grain)
+    path = scratch_path(spark, "gold")
+    write_dataframe(FE.interaction_grain(inter), f"{path}/grain")
+    grain = spark.read.parquet(f"{path}/grain")
+    return gold_pairs(spark, FX.users(spark, d), FX.posts(spark, d), inter, FX.post_media(spark, d), grain, path)
 
 
 # --- staging and data quality ----------------------------------------------------
@@ -137,6 +138,26 @@ def q_staging_clean_interactions(spark, d):
     return ST.clean_interactions(SS.staging_interactions(spark, d))
 
 
+@register("staging_csv")
+def q_staging_csv(spark, d):
+    """The posts staging table through CSV files, whose quoted bodies hold line breaks, read in splits."""
+    path = scratch_path(spark, "staging-csv")
+    SS.write_staging_csv(SS.staging_posts(spark, d), path)
+    rows = SS.read_staging_csv(spark, path, "posts")
+    return rows.select("post_id", "title", "author_id", "content", "categories", "published_at", "comments_count", "image_url")
+
+
+@register("partition_rewrite")
+def q_partition_rewrite(spark, d):
+    """Interactions written by day, one day written again with other rows; read back."""
+    path = scratch_path(spark, "by-day")
+    rows = FX.interactions(spark, d).select("event_id", "user_id", "post_id", F.substring("occurred_at_raw", 1, 10).alias("day"), F.lit(1).alias("version"))
+    write_dataframe(rows, path, "partitions", ["day"])
+    again = rows.filter((F.col("day") == REWRITTEN_DAY) & (F.col("event_id") % 2 == 0)).withColumn("version", F.lit(2))
+    write_dataframe(again, path, "partitions", ["day"])
+    return spark.read.schema("event_id long, user_id long, post_id long, version int, day string").parquet(path)
+
+
 @register("staging_post_media")
 def q_staging_post_media(spark, d):
     """Image rows derived from staged posts, with surrogate keys."""
@@ -173,16 +194,18 @@ def q_dq_violations(spark, d):
 
 # --- CDC -------------------------------------------------------------------------
 
+REWRITTEN_DAY = "2024-01-10"
+
 CDC_META = ["op", "event_ts", "event_ts_ms", "source_ts_ms", "schema_name", "table_name", "topic_name",
             "object_date", "object_hour", "is_delete"]
 
 
-def landed_orders(spark, d, layout):
+def landed_orders(spark, d, layout, since=None, until=None):
     """Land the orders change events in a layout and return the normalized
-    read of the files."""
+    read of the files, or of a range of landing hours."""
     root = scratch_path(spark, "bronze")
     BR.write_bronze(BR.order_change_events(spark, d), root, layout, "orders")
-    return CDC.normalize_events(BR.load_raw_events(spark, root, "orders", layout, S.ORDER_ROW_SCHEMA))
+    return CDC.normalize_events(BR.load_raw_events(spark, root, "orders", layout, S.ORDER_ROW_SCHEMA, since, until))
 
 
 @register("cdc_normalize")
@@ -192,6 +215,13 @@ def q_cdc_normalize(spark, d):
     return ev.select(*CDC_META, "payload.*")
 
 
+@register("cdc_window")
+def q_cdc_window(spark, d):
+    """The change events landed from 06:00 to 12:00, whose folders alone are read."""
+    ev = landed_orders(spark, d, "raw-cdc", "2024-06-01 06", "2024-06-01 12")
+    return ev.select(*CDC_META, "payload.*")
+
+
 @register("cdc_current_state")
 def q_cdc_current_state(spark, d):
     """S8 raw layout, D4, C5, C6, W1: current orders after r/u/d events."""
@@ -443,17 +473,33 @@ TEXT_DIM = 384
 
 
 def _encoder(spark, d):
-    """The default encoder's model, fitted once on users and posts (a table in the shared checkpoint dir)."""
-    path = scratch_path(spark, "encoder")
-    VE.fit_hashing_encoder(VE.user_text(FX.users(spark, d)), VE.post_text(FX.posts(spark, d)), dim=TEXT_DIM).write.parquet(path)
-    return spark.read.parquet(path)
+    """The default encoder's model, fitted on users and posts."""
+    return VE.fit_hashing_encoder(VE.user_text(FX.users(spark, d)), VE.post_text(FX.posts(spark, d)), dim=TEXT_DIM)
+
+
+class LetterCounts:
+    """A model small enough to check by hand: how often each of a to z stands in a lower-cased text."""
+
+    def __call__(self, texts):
+        import numpy as np
+
+        return np.array([[t.lower().count(chr(97 + i)) for i in range(26)] for t in texts], dtype=np.float32)
+
+
+@register("model_encode")
+def q_model_encode(spark, d):
+    """Every post's text through a plugged-in model, as batch inference (shown by width, norm and entries)."""
+    rows = VE.encode_with(VE.post_text(FX.posts(spark, d)), LetterCounts, dim=26, normalize=False)
+    v = F.col("text_embedding")
+    return rows.select("post_id", F.size(v).alias("dim"), VE.l2_norm(v).alias("norm"),
+                       *[v[i].cast("double").alias(f"v{i}") for i in (0, 4, 13, 18, 25)])
 
 
 @register("text_encode")
 def q_text_encode(spark, d):
     """Every post's text encoded by the default encoder; the entries that
     are not zero, to six places."""
-    w = VE.hashing_weights(VE.post_text(FX.posts(spark, d)), _encoder(spark, d), "post_id", dim=TEXT_DIM)
+    w = VE.hashing_weights(VE.post_text(FX.posts(spark, d)), _encoder(spark, d), "post_id")
     return w.withColumn("weight", F.round("weight", 6))
 
 
@@ -464,7 +510,7 @@ def q_text_mapping(spark, d):
     model = _encoder(spark, d)
     out = None
     for kind, texts, key in (("user", VE.user_text(FX.users(spark, d)), "user_id"), ("post", VE.post_text(FX.posts(spark, d)), "post_id")):
-        m = VE.hashing_encoder(texts, model, key, dim=TEXT_DIM)
+        m = VE.hashing_encoder(texts, model)
         m = VE.user_mapping(m) if kind == "user" else m.select("post_id", "text_embedding")
         v = F.col("text_embedding")
         rows = m.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.size(v).alias("dim"),

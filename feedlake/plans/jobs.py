@@ -8,32 +8,40 @@ written once and read by the user, post and label builders.
     python -m feedlake.plans.jobs silver --bronze ROOT --layout raw-cdc --silver OUT
     python -m feedlake.plans.jobs gold --silver DIR --gold OUT
     python -m feedlake.plans.jobs embeddings --silver DIR --gold DIR --out OUT
-    python -m feedlake.plans.jobs speed --source PATH --state OUT --checkpoint CKPT
+    python -m feedlake.plans.jobs speed --source PATH --state OUT
     python -m feedlake.plans.jobs land --source PATH --bronze ROOT --checkpoint CKPT
-    python -m feedlake.plans.jobs silver-stream --source PATH --state OUT --checkpoint CKPT --schemas FILE
+    python -m feedlake.plans.jobs silver-stream --source PATH --state OUT --schemas FILE
 """
 
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlake import schemas as S
 from feedlake.operators import cdc as CDC
 from feedlake.operators import features as FE
 from feedlake.operators import vectors as VE
-from feedlake.session import apply_defaults, scratch_path, size_shuffles
+from feedlake.session import TARGET_PARTITION_BYTES, apply_defaults, input_bytes, scratch_path, size_shuffles
 from feedlake.sources import bronze as BR
 from feedlake.sources.tables import read_silver
 
 
 # S6 -------------------------------------------------------------------------
 def write_dataframe(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    w = df.write.mode(mode).option("compression", "snappy")
+    """``mode`` is Spark's, or ``partitions``: only the partitions that ``df``
+    has rows of are replaced, so that a day can be written again (S6, S11)."""
+    if mode == "partitions" and not partition_by:
+        raise ValueError("partitions are replaced by partition columns")
+    w = df.write.mode("overwrite" if mode == "partitions" else mode).option("compression", "snappy")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if mode == "partitions":
+        w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
 
 
@@ -62,6 +70,47 @@ def silver_stage(spark: SparkSession, bronze_root: str, layout: str, silver: str
 
 
 # gold -----------------------------------------------------------------------
+#: a feature table up to so many bytes of Parquet goes to every task (it unpacks to a few times as much)
+BROADCAST_BYTES = 8 << 20
+
+
+def joined_features(spark: SparkSession, labels: DataFrame, features: str, key: str, scratch: str) -> DataFrame:
+    """The labels with the columns of a written feature table, by ``key``.
+
+    The table's size is known.  Up to ``BROADCAST_BYTES`` it is broadcast, so
+    the labels, the largest side, are not shuffled.  Beyond, both are written
+    in buckets of the key and joined bucket by bucket, which shuffles the
+    labels once for the write; a key with many labels is one sorted bucket,
+    streamed."""
+    size = input_bytes(spark, [features])
+    table = spark.read.parquet(features)
+    if size <= BROADCAST_BYTES:
+        return labels.join(F.broadcast(table), key, "left")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TARGET_PARTITION_BYTES)
+    sides = []
+    for kind, df in (("labels", labels), ("features", table)):
+        name = f"bucketed_{kind}_{uuid.uuid4().hex}"
+        (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{scratch}/{name}").saveAsTable(name))
+        sides.append(spark.table(name))
+    return sides[0].join(sides[1], key, "left")
+
+
+def gold_pairs(spark: SparkSession, users: DataFrame, posts: DataFrame, inter: DataFrame, media: DataFrame, grain: DataFrame,
+               gold: str, mode: str = "overwrite", joined_on_unit: str = "date") -> DataFrame:
+    """User and post features and interaction labels, written under ``gold``;
+    the training pairs are joined from those tables.  ``grain`` is written, too."""
+    uc, pc = FE.compact_pair(FE.user_features(users, inter, grain, joined_on_unit), FE.post_features(posts, inter, media, grain))
+    write_dataframe(uc, f"{gold}/user_features", mode)
+    write_dataframe(pc, f"{gold}/post_features", mode)
+    write_dataframe(FE.interaction_labels(inter, grain), f"{gold}/interaction_labels", mode)
+    pairs = spark.read.parquet(f"{gold}/interaction_labels")
+    scratch = scratch_path(spark, "buckets")
+    for name, key in (("user_features", "user_id"), ("post_features", "post_id")):
+        pairs = joined_features(spark, pairs, f"{gold}/{name}", key, scratch)
+    first = ["user_id", "post_id"]
+    return pairs.select(*first, *[c for c in pairs.columns if c not in first])
+
+
 def gold_stage(spark: SparkSession, silver: str, gold: str, mode: str = "overwrite",
                joined_on_unit: str = "date") -> dict[str, str]:
     """User features, post features, interaction labels, training pairs.
@@ -74,18 +123,8 @@ def gold_stage(spark: SparkSession, silver: str, gold: str, mode: str = "overwri
     users, posts, media, inter = (FE.strip_metadata(t[n]) for n in ("users", "posts", "post_media", "interactions"))
     grain_path = scratch_path(spark, "gold-grain")
     write_dataframe(FE.interaction_grain(inter), grain_path)
-    grain = spark.read.parquet(grain_path)
-
-    uf = FE.user_features(users, inter, grain, joined_on_unit)
-    pf = FE.post_features(posts, inter, media, grain)
-    uc, pc = FE.compact_pair(uf, pf)
-    write_dataframe(uc, f"{gold}/user_features", mode)
-    write_dataframe(pc, f"{gold}/post_features", mode)
-    labels = FE.interaction_labels(inter, grain)
-    write_dataframe(labels, f"{gold}/interaction_labels", mode)
-    uc, pc = spark.read.parquet(f"{gold}/user_features"), spark.read.parquet(f"{gold}/post_features")
-    labels = spark.read.parquet(f"{gold}/interaction_labels")
-    write_dataframe(labels.join(uc, "user_id", "left").join(pc, "post_id", "left"), f"{gold}/training_pairs", mode)
+    pairs = gold_pairs(spark, users, posts, inter, media, spark.read.parquet(grain_path), gold, mode, joined_on_unit)
+    write_dataframe(pairs, f"{gold}/training_pairs", mode)
     return {n: f"{gold}/{n}" for n in ("user_features", "post_features", "interaction_labels", "training_pairs")}
 
 
@@ -103,13 +142,11 @@ def embeddings_stage(spark: SparkSession, silver: str, gold: str, out: str, imag
 
     model = None
     if encoder_factory is None:         # one model for both tables, so that users and posts can be compared
-        path = scratch_path(spark, "encoder")
-        write_dataframe(VE.fit_hashing_encoder(ut, pt, dim=text_dim), path)
-        model = spark.read.parquet(path)
+        model = VE.fit_hashing_encoder(ut, pt, dim=text_dim)
 
     def encode(df):
         if encoder_factory is None:
-            return VE.hashing_encoder(df, model, df.columns[0], dim=text_dim)
+            return VE.hashing_encoder(df, model)
         return VE.encode_with(df, encoder_factory, dim=text_dim)
 
     pf = spark.read.parquet(f"{gold}/post_features").select("post_id", "has_image")

@@ -650,6 +650,24 @@ UNION ALL SELECT 'c', 'posts', NULL, CAST(post_id AS VARCHAR), COALESCE(ts, src)
 UNION ALL {_ORDER_ROUTED}
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'MALFORMED' FROM pages""", "interactions", "posts")
 
+SQL["cdc_window"] = f"WITH {ORDER_EVENTS}\n{_normalized('feedlake_cdc_public_orders')} WHERE o.k % 24 >= 6 AND o.k % 24 < 12"
+SQL["staging_csv"] = with_fixtures(f"""
+SELECT post_id, NULLIF(title, '') AS title, author_id, NULLIF(content, '') AS content, NULLIF(categories, '') AS categories,
+       NULLIF(published_at, '') AS published_at, comments_count, NULLIF(image_url, '') AS image_url
+FROM ({STAGING_POSTS}) sp""", "posts", "post_media")
+SQL["partition_rewrite"] = with_fixtures("""
+SELECT event_id, user_id, post_id, substring(occurred_at_raw, 1, 10) AS day,
+       CASE WHEN substring(occurred_at_raw, 1, 10) = '2024-01-10' THEN 2 ELSE 1 END AS version
+FROM interactions WHERE substring(occurred_at_raw, 1, 10) <> '2024-01-10' OR event_id % 2 = 0""", "interactions")
+_LETTERS = ", ".join(f"length(t) - length(replace(t, '{chr(97 + i)}', ''))" for i in range(26))
+SQL["model_encode"] = with_fixtures(f"""
+WITH t AS (SELECT id AS post_id, lower(text) AS t FROM ({{_POST_TEXT}})),
+c AS (SELECT post_id, list_transform([{_LETTERS}], lambda x: CAST(x AS DOUBLE)) AS c FROM t),
+n AS (SELECT post_id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM c)
+SELECT post_id, 26 AS dim, n AS norm, {", ".join(f"c[{i + 1}] AS v{i}" for i in (0, 4, 13, 18, 25))}
+FROM n""".replace("{_POST_TEXT}", "SELECT CAST(post_id AS VARCHAR) AS id, " + """concat_ws(' ', COALESCE(title, ''), substring(COALESCE(body_text, ''), 1, 512),
+                 array_to_string(""" + _F4.format(c="tags") + ", ' '), array_to_string(" + _F4.format(c="categories") + ", ' ')) AS text FROM posts"), "posts")
+
 SQL["table_counts"] = with_fixtures("""
 SELECT 'users' AS table_name, count(*) AS n_rows FROM users
 UNION ALL SELECT 'posts', count(*) FROM posts

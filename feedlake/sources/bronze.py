@@ -9,7 +9,8 @@ Three layouts share one reader:
 * ``bronze``  — ``bronze/<topic>/...`` (default prefix); envelopes.
 
 The reader always applies an explicit schema (no inference pass over the
-data), reads recursively, and maps the raw record onto the envelope so every
+data), knows the layout's time folders as partition columns, so that a time
+range reads its hours only, and maps the raw record onto the envelope so every
 layout normalizes the same way.
 """
 
@@ -123,27 +124,50 @@ def _relative_object_name(root: str) -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(bare) + "/", "")
 
 
-def with_path_fields(events: DataFrame, topic: str, table: str) -> DataFrame:
+#: time folders of a layout, by which its files are partitioned
+TIME_FOLDERS = {"topics": ["year", "month", "day", "hour"], "bronze": ["year", "month", "day", "hour"], "raw-cdc": ["date", "hour"]}
+
+
+def folder_date(layout: str) -> Column:
+    return F.col("date") if layout == "raw-cdc" else F.concat_ws("-", "year", "month", "day")
+
+
+def landed_between(df: DataFrame, layout: str, since: str | None, until: str | None) -> DataFrame:
+    """Rows landed from the hour ``since`` up to, without it, the hour ``until`` (``YYYY-MM-DD HH``): a filter on the
+    partition columns alone, so that other folders are not opened."""
+    landed = F.concat(folder_date(layout), F.lit(" "), F.col("hour"))
+    if since is not None:
+        df = df.filter(landed >= since)
+    return df if until is None else df.filter(landed < until)
+
+
+def with_path_fields(events: DataFrame, topic: str, table: str, layout: str | None = None) -> DataFrame:
     """What the writer put into the path.  Topic and table are the ones
-    whose folder is read (D6: so `post_media` stays whole); date and hour come
-    from the ``name=value`` folders of the object name, under any prefix (D7)."""
+    whose folder is read (D6: so `post_media` stays whole); date and hour are
+    the layout's partition columns or, without a ``layout``, come from the
+    ``name=value`` folders of the object name, under any prefix (D7)."""
     parts = F.str_to_map(F.col("_object_name"), F.lit("/"), F.lit("="))
     at = lambda name: F.try_element_at(parts, F.lit(name))
     dotted = topic.split(".")
-    return events.withColumns({
+    date = folder_date(layout) if layout else F.coalesce(at("date"), F.concat(at("year"), F.lit("-"), at("month"), F.lit("-"), at("day")))
+    out = events.withColumns({
         "topic_name": F.lit(topic),
         "path_schema": F.lit(dotted[1] if len(dotted) == 3 else None).cast("string"), "path_table": F.lit(table),
-        "object_date": F.coalesce(at("date"), F.concat(at("year"), F.lit("-"), at("month"), F.lit("-"), at("day"))),
-        "object_hour": at("hour")})
+        "object_date": date, "object_hour": F.col("hour") if layout else at("hour")})
+    return out.drop(*TIME_FOLDERS[layout]) if layout else out
 
 
-def load_raw_events(spark: SparkSession, root: str, table: str, layout: str,
-                    row_schema: T.StructType) -> DataFrame:
+def load_raw_events(spark: SparkSession, root: str, table: str, layout: str, row_schema: T.StructType,
+                    since: str | None = None, until: str | None = None, recursive: bool = False) -> DataFrame:
     """Read one table's change events as envelopes + ``_object_name`` + the
-    path's fields.
+    path's fields; with ``since`` or ``until`` (``YYYY-MM-DD HH``, landing
+    time) only that range's folders.  ``recursive`` reads files under folders
+    of any shape instead, which cannot be pruned.
 
     C1: ``before``/``after`` are read as raw JSON text and parsed with the
     declared row schema, so nested objects and JSON-encoded text both load."""
+    if recursive and (since or until):
+        raise ValueError("a time range needs the layout's folders")
     path = build_input_path(root, layout, table)
     text_rows = {"before", "after"}
     if layout == "raw-cdc":
@@ -151,8 +175,17 @@ def load_raw_events(spark: SparkSession, root: str, table: str, layout: str,
     else:
         schema = T.StructType([f if f.name not in text_rows else T.StructField(f.name, T.StringType())
                                for f in S.envelope_schema(row_schema).fields])
-    raw = (spark.read.schema(schema).option("multiLine", "false").option("recursiveFileLookup", "true")
-           .json(path).withColumn("_object_name", _relative_object_name(root)))
+    reader = spark.read.option("multiLine", "false")
+    folders = [] if recursive else TIME_FOLDERS[layout]
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    else:
+        schema = T.StructType([*schema.fields, *[T.StructField(c, T.StringType()) for c in folders]])
+        reader = reader.option("basePath", path)
+    raw = reader.schema(schema).json(path)
+    if not recursive:
+        raw = landed_between(raw, layout, since, until)
+    raw = raw.withColumn("_object_name", _relative_object_name(root))
     before, after = F.from_json("before", row_schema), F.from_json("after", row_schema)
     if layout == "raw-cdc":
         # The raw record names the event time `event_ts_ms` and carries the
@@ -161,12 +194,12 @@ def load_raw_events(spark: SparkSession, root: str, table: str, layout: str,
             "op", F.col("event_ts_ms").alias("ts_ms"), before.alias("before"), after.alias("after"),
             F.struct(F.col("schema").alias("schema"), F.col("table").alias("table"),
                      F.col("source_ts_ms").alias("ts_ms")).alias("source"),
-            "lsn", "partition", "offset", "_object_name")
+            "lsn", "partition", "offset", "_object_name", *folders)
         topic = f"{RAW_TOPIC_PREFIX}{table}"
     else:
         raw = raw.withColumn("before", before).withColumn("after", after)
         topic = topic_name(table)
-    return with_path_fields(raw, topic, table)
+    return with_path_fields(raw, topic, table, None if recursive else layout)
 
 
 # fixture: orders change events -------------------------------------------------------

@@ -1,32 +1,111 @@
 """All-text staging tables.
 
 ``read_staging_csv`` is the CSV scan (header, every column text, quoted
-multi-line fields).  ``staging_views`` renders the adapter tables as the
-all-text staging tables the seed loader would have written (null -> ''), so
-the cleaning operators run on whole tables without a CSV round trip.
+multi-line fields).  A file is read in splits, by many tasks, although a quoted
+field may hold line breaks:
+
+1. A pass over the splits counts quotes, which gives each split's parity; the
+   parities of the splits before it tell whether a split begins inside quotes.
+2. Each split's lines are joined to records where quotes are open.  What a split
+   has of a record that begins or ends elsewhere becomes a fragment.
+3. Fragments, at most two a split, are glued in file order; ``from_csv`` reads
+   the fields of every record.
+
+``staging_views`` renders the adapter tables as the all-text staging tables the
+seed loader would have written (null -> ''), so the cleaning operators run on
+whole tables without a CSV round trip.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from feedlake import schemas as S
 from feedlake.sources import fixtures as FX
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file and split, in order within a split."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _begins_quoted(lines: DataFrame) -> dict[tuple[str, int], bool]:
+    """For each split whether it begins within quotes.  One entry a split: less than the list of splits that the
+    driver holds for any scan."""
+    odd = lines.groupBy("file", "block").agg((F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2).alias("odd"))
+    before = F.sum("odd").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return {(r["file"], r["block"]): bool(r["open"] % 2) for r in odd.withColumn("open", F.coalesce(before, F.lit(0))).collect()}
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the CSV files at ``path``: file, block and nth (place of the first line), record (text, line
+    breaks inside quotes kept).  Blank lines are no records."""
+    lines = _lines(spark, path)
+    quoted = spark.sparkContext.broadcast(_begins_quoted(lines))
+
+    def join(batches):
+        names = ["file", "block", "nth", "record", "opens", "closes"]
+        now, part, opens, nth, is_open = None, [], False, 0, False
+
+        def flush(closes):
+            nonlocal part, nth, opens
+            row = (now[0], now[1], nth, "\n".join(part), opens, closes)
+            part, nth, opens = [], nth + 1, False
+            return row
+
+        def record(rows):
+            cols = list(zip(*rows))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+        for b in batches:
+            rows = []
+            for file, block, line in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (file, block) != now:
+                    if part:
+                        rows.append(flush(False))
+                    now, nth = (file, block), 0
+                    is_open = opens = quoted.value[now]      # opens: the first record began in an earlier split
+                part.append(line)
+                is_open ^= bool(line.count('"') % 2)
+                if not is_open:
+                    rows.append(flush(True))
+            rows = [r for r in rows if r[4] or not r[5] or r[3].strip("\r")]
+            if rows:
+                yield record(rows)
+        if part:
+            yield record([flush(False)])
+
+    found = lines.mapInArrow(join, "file string, block long, nth long, record string, opens boolean, closes boolean")
+    whole = found.filter("not opens and closes").select("file", "block", "nth", "record")
+    torn = found.filter("opens or not closes")
+    # a fragment that opens no earlier record starts one; those up to the next start belong to it
+    start = F.last(F.when(~F.col("opens"), F.struct("block", "nth")), ignorenulls=True).over(Window.partitionBy("file").orderBy("block", "nth"))
+    glued = (torn.withColumn("start", start).groupBy("file", "start")
+             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "nth", "record"))), lambda x: x["record"]), "\n").alias("record"))
+             .select("file", F.col("start.block").alias("block"), F.col("start.nth").alias("nth"), "record"))
+    return whole.unionByName(glued).withColumn("record", F.regexp_replace("record", r"\r\z", ""))
+
+
 def read_staging_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Columns go by the header's names, whatever their order.  A quoted field
-    may hold line breaks, so a file cannot be split: one task reads it whole,
-    and large tables should come in many files."""
+    """Columns go by the header's names, whatever their order; every file has
+    the same header."""
     want = S.staging_schema(table)
-    files = (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"'))
-    names = files.csv(path).columns
+    options = {"escape": '"', "multiLine": "true"}
+    names = spark.read.options(header="true", **options).csv(path).columns
     if set(names) != set(want.names):
         raise ValueError(f"staging CSV of {table}: columns {names}, expected {want.names}")
-    named = T.StructType([want[c] for c in names])
-    return files.option("enforceSchema", "false").schema(named).csv(path).select(*want.names)
+    records = csv_records(spark, path)
+    fields = F.from_csv("record", ", ".join(f"`{n}` string" for n in names), options)
+    is_header = (F.col("block") == 0) & (F.col("nth") == 0)
+    other = is_header & (F.array(*[F.col("row")[n] for n in names]) != F.array(*[F.lit(n) for n in names]))
+    checked = F.when(other, F.raise_error(F.lit(f"staging CSV of {table}: files with different headers"))).otherwise(is_header)
+    return records.select("block", "nth", fields.alias("row")).filter(~checked.cast("boolean")).select(*[F.col("row")[n].alias(n) for n in want.names])
 
 
 def write_staging_csv(df: DataFrame, path: str) -> None:

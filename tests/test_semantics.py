@@ -295,6 +295,69 @@ def test_scan_and_walk_agree(spark, monkeypatch):
     assert rows() == walked and len(walked) > 10
 
 
+@pytest.mark.parametrize("split", ["64", "1000", "128m"])
+def test_csv_split_anywhere(spark, split):
+    """A file is read in splits of any size, whatever its quotes hold."""
+    names = [f.name for f in S.staging_schema("comments").fields]
+    texts = ["plain", 'says "hi", twice ""', "two\nlines", "\n\n\n", '"\n"', "crlf\r\nkept\r", "", " x ", "é\u2028" * 30, "long\n" * 60, '""\n,"', "end\n"]
+    rows = [tuple(f"{n}{i}" if n != names[4] else t for n in names) for i, t in enumerate(texts * 3)]
+    path = scratch_path(spark, "test-csv")
+    body = "\n".join(",".join('"' + v.replace('"', '""') + '"' if i % 2 or '"' in v or "\n" in v or "\r" in v or "," in v or v != v.strip() else v for i, v in enumerate(r, k))
+                     for k, r in enumerate([tuple(names), *rows]))
+    os.makedirs(path.replace("file:", ""), exist_ok=True)
+    for name, text in (("a.csv", body + "\n"), ("b.csv", body.replace("\n", "\n") + "\r\n\n"), ("c.csv", ",".join(names) + "\n")):
+        with open(f"{path.replace('file:', '')}/{name}", "w", newline="") as f:
+            f.write(text)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = SS.read_staging_csv(spark, path, "comments")
+        if split == "64":
+            assert SS._lines(spark, path).rdd.getNumPartitions() > 20
+        text = lambda r: tuple(v or "" for v in r)  # noqa: E731  an empty field is null
+        assert sorted(text(r) for r in got.collect()) == sorted([r for r in rows for _ in range(2)])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_bronze_folders_of_any_shape(spark):
+    """Files under other folders are read recursively; a time range needs the layout's folders."""
+    root = scratch_path(spark, "test-bronze")
+    BR.write_bronze(BR.order_change_events(spark, "/root/testdata/sf0.001"), root, "topics", "orders")
+    every = BR.load_raw_events(spark, root, "orders", "topics", S.ORDER_ROW_SCHEMA)
+    loose = BR.load_raw_events(spark, root, "orders", "topics", S.ORDER_ROW_SCHEMA, recursive=True)
+    assert every.columns == loose.columns and every.exceptAll(loose).isEmpty() and loose.exceptAll(every).isEmpty()
+    late = BR.load_raw_events(spark, root, "orders", "topics", S.ORDER_ROW_SCHEMA, since="2024-06-01 20")
+    assert sorted({r.object_hour for r in late.select("object_hour").collect()}) == ["20", "21", "22", "23"]
+    assert BR.load_raw_events(spark, root, "orders", "topics", S.ORDER_ROW_SCHEMA, until="2024-06-01 00").count() == 0
+    with pytest.raises(ValueError):
+        BR.load_raw_events(spark, root, "orders", "topics", S.ORDER_ROW_SCHEMA, since="2024-06-01 20", recursive=True)
+
+
+def test_partitions_are_replaced_not_lost(spark):
+    """Writing a day again leaves the other days, twice the same."""
+    from feedlake.plans.jobs import write_dataframe
+
+    path = scratch_path(spark, "test-days")
+    write_dataframe(spark.createDataFrame([("a", 1, [1.0]), ("b", 2, [2.0])], "day string, id int, v array<float>"), path, "partitions", ["day"])
+    for _ in range(2):
+        write_dataframe(spark.createDataFrame([("b", 3, [3.0]), ("c", 4, None)], "day string, id int, v array<float>"), path, "partitions", ["day"])
+    assert sorted((r.day, r.id) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    with pytest.raises(ValueError):
+        write_dataframe(spark.range(1).toDF("id"), path, "partitions")
+
+
+def test_equal_ids_keep_their_own_vectors(spark):
+    """Rows that share an id are not merged."""
+    df = spark.createDataFrame([("1", "a b b"), ("1", "c"), ("2", None)], "id string, text string")
+    model = VE.fit_hashing_encoder(df, dim=16)
+    rows = VE.hashing_encoder(df, model).collect()
+    assert len(rows) == 3 and rows[0].text_embedding != rows[1].text_embedding and sum(rows[2].text_embedding) == 0
+    assert all(abs(sum(x * x for x in r.text_embedding) - 1) < 1e-6 for r in rows[:2])
+
+
 def test_python_literals(spark):
     """Every string escape; F4: tuples, None and quotes inside items."""
     cells = [r"a\xa0b", r"\u200b\U0001F600", r"\101\0\x41", r"\a\b\f\v\n\t\r\\\'\"", r"\q\8", "plain", "line\\\nend", "tail\\"]
