@@ -44,11 +44,13 @@ ALNUM = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 #: rows and bytes of an Arrow batch: what a Python worker holds at once
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BROADCAST_BYTES = "16m"
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package also where only the driver's sys.path has it, and bound the batches
-    that they get."""
+    that they get and what a join may broadcast (these jobs have many joins, and the driver holds each broadcast)."""
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", BROADCAST_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

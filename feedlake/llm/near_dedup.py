@@ -13,9 +13,10 @@ population count of two sketches' XOR estimates how many samples differ, most pr
 4. What stars cannot see: within a bucket, members outside its main component are compared, sketch against sketch,
    with the members of other components, in blocks of ``BLOCK`` by ``BLOCK`` dealt over many tasks.  ``ROUNDS`` times,
    each such member proposes only its closest ``BEST`` partners of other components in a block, if close; their confirmed
-   links join most components, which spares the pairs inside them.  A last pass proposes every pair left whose
-   sketches are close, by then also by a wide odd sketch (1024 samples in 4096 bits, made for these members only).
-   So every pair that shares a bucket is linked, within one component, or compared.  A pair at similarity 0.85
+   links join most components, which spares the pairs inside them.  A bucket that has become whole is left out of
+   the next round.  A last pass proposes every pair left whose sketches are close, by then also by a wide odd sketch
+   (1024 samples in 4096 bits, made for these members only), and a pair that shares several buckets only in the
+   first.  So every pair that shares a bucket is linked, within one component, or compared.  A pair at similarity 0.85
    shares no bucket with a chance of 5 in 10^11, one at 0.80 with 7 in 10^10.
 
 The number of bands and what counts as close follow from ``percent`` (``limits``).
@@ -51,7 +52,6 @@ BLOCK = 512                 # documents of a side compared at once
 SALTED = 256                # pairs of one document confirmed at once
 ROUNDS, BEST = 2, 2
 NEAR_SIGMA = 1.25           # deviations beyond the mean within which a round's partners are proposed
-FEW = 1_000_000             # comparisons that are made at once, without rounds before
 WIDE_SAMPLES, WIDE = 1024, 4096
 BITMAP = 1 << 23
 LOT = 250_000               # links contracted by one task
@@ -201,6 +201,16 @@ def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(wanted, "id")
 
 
+def spotted(src: DataFrame, ids: DataFrame) -> DataFrame:
+    """``src`` (id, ...) with ``seen``: false only if the id is not among ``ids``, by a bitmap of BITMAP bits."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    bits = (ids.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")))
+    is_set = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1") == 1
+    return (src.withColumn("s", spot).withColumn("bucket", F.bitmap_bucket_number("s")).withColumn("bit", F.bitmap_bit_position("s"))
+            .join(F.broadcast(bits), "bucket", "left").withColumn("seen", F.coalesce(is_set, F.lit(False))).drop("s", "bucket", "bit", "bits"))
+
+
 def wide_sketches(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """Id -> wide odd sketch, for ids of texts whose sets are not empty."""
     def run(batches):
@@ -304,11 +314,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def across_components(rows: DataFrame, nodes: DataFrame, most: Limits, best: int | None = None) -> DataFrame:
     """Pairs (a, b) that share a bucket, lie in different components and have close sketches.  ``rows``: key, rep,
-    component; ``nodes``: rep, sketch and perhaps wide.  Members outside the bucket's largest component meet all
-    others block by block; with ``best``, each proposes at most so many partners in a block."""
+    component; ``nodes``: rep, sketch and, without ``best``, keys and wide.  Members outside the bucket's largest
+    component meet all others block by block; with ``best``, each proposes at most so many partners in a block, else
+    all that are close, a pair in the first of its buckets."""
     near = rows.join(nodes, "rep")
-    wide = "wide" in nodes.columns
-    more = ["rep", "component", "sketch", *(["wide"] if wide else [])]
+    wide = best is None
+    more = ["rep", "component", "sketch", *(["keys", "wide"] if wide else [])]
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
     others = F.col("members") - F.col("largest")
@@ -321,13 +332,21 @@ def across_components(rows: DataFrame, nodes: DataFrame, most: Limits, best: int
     def words(b, name, size):
         return column(b, name).flatten().to_numpy().view(np.uint64).reshape(-1, size // 64)
 
+    def close_here(own, other, i, j, key):
+        """Whether wide sketches are close and the pair's first shared bucket is ``key``."""
+        same = own[4][i] == other[4][j]
+        here = own[4][i, same.argmax(1)] == key
+        here[here] &= np.bitwise_count(own[3][i[here]] ^ other[3][j[here]]).sum(1, dtype=np.int32) <= most.wide
+        return here
+
     def run(batches):
         own: list = []
         for fresh, b in grouped(batches, ("key", "x", "y")):
             role = column(b, "role").to_numpy()
             got = [column(b, "rep").to_numpy(), column(b, "component").to_numpy(), words(b, "sketch", SKETCH)]
             if wide:
-                got.append(words(b, "wide", WIDE))
+                got += [words(b, "wide", WIDE), words(b, "keys", 64 * most.bands)]
+                key = column(b, "key").to_numpy()[:1].view(np.uint64)[0]
             first = role == 0
             own = [x[first] for x in got] if fresh else [np.concatenate([o, x[first]]) for o, x in zip(own, got)]
             other = [x[~first] for x in got]
@@ -343,9 +362,8 @@ def across_components(rows: DataFrame, nodes: DataFrame, most: Limits, best: int
                     i, j = i[ok], j[ok]
                 else:
                     i, j = np.nonzero(bits <= most.sketch)
-                    if wide and len(i):
-                        ok = np.concatenate([np.bitwise_count(own[3][i[m:m + 4096]] ^ other[3][k + j[m:m + 4096]]).sum(1, dtype=np.int32) <= most.wide
-                                             for m in range(0, len(i), 4096)])
+                    if len(i):
+                        ok = np.concatenate([close_here(own, other, i[m:m + 4096], k + j[m:m + 4096], key) for m in range(0, len(i), 4096)])
                         i, j = i[ok], j[ok]
                 if len(i):
                     a, c = own[0][i], rep[j]
@@ -392,11 +410,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         split = split_buckets(rows, found)
         if split.isEmpty():
             break
-        # few comparisons at most: no need to spare any
-        most = split.select("key", ((F.col("members") - F.col("largest")) * F.col("members")).cast("double").alias("n")).distinct()
-        last = nth == ROUNDS or (most.agg(F.sum("n")).first()[0] or 0) <= FEW
+        rows = split.select("key", "rep")           # a bucket once whole stays whole
+        last = nth == ROUNDS
         if last:
-            nodes = nodes.join(wide_sketches(split.select(F.col("rep").alias("id")).distinct(), texts), "rep")
+            nodes = reps.select("rep", "sketch", "keys").join(wide_sketches(split.select(F.col("rep").alias("id")).distinct(), texts), "rep")
         pairs = saved(across_components(split, nodes, bounds, None if last else BEST).join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if last:
@@ -419,8 +436,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The documents with one of each group (the smallest id), same columns; a row that repeats another's id and
     text goes too."""
     result = saved(near_duplicates(docs, id_col, text_col, percent).select(F.col(id_col).alias("found"), "kept"), "kept")
-    gone = result.where("not kept").select("found").distinct()
-    left = docs.join(gone, docs[id_col].cast("long") == gone["found"], "left_anti")
+    gone = result.where("not kept").select(F.col("found").alias("id")).distinct()
+    # a bitmap tells most documents that stay: those are not shuffled
+    marked = spotted(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id")), gone)
+    kept = marked.where("not seen").select("row").unionByName(marked.where("seen").join(gone, "id", "left_anti").select("row"))
+    left = kept.select("row.*")
     repeated = result.where("kept and found is not null").groupBy("found").count().where("count > 1").select("found")
     if repeated.isEmpty():
         return left

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm.arrowtext import NOT_SPACE, U64, column, mix, powers, runs, saved, ship, span_hash, text_bytes, word_spans
-from feedlake.llm.near_dedup import BITMAP, grouped
+from feedlake.llm.near_dedup import grouped, spotted
 
 GRAM = 10
 LOT = 512           # documents streamed against one copy of a reference
@@ -287,16 +287,6 @@ def placed(rows: DataFrame, key: str) -> DataFrame:
     return saved(rows.join(holders(rows, key), key).groupBy("ref", "id", "row").agg(F.sort_array(F.collect_set("at")).alias("at")), "places")
 
 
-def spotted(src: DataFrame, ids: DataFrame) -> DataFrame:
-    """``src`` (id, ...) with ``seen``: false only if the id is not among ``ids``, by a bitmap of BITMAP bits."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
-    bits = (ids.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")))
-    is_set = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1") == 1
-    return (src.withColumn("s", spot).withColumn("bucket", F.bitmap_bucket_number("s")).withColumn("bit", F.bitmap_bit_position("s"))
-            .join(F.broadcast(bits), "bucket", "left").withColumn("seen", F.coalesce(is_set, F.lit(False))).drop("s", "bucket", "bit", "bits"))
-
-
 def repeats(src: DataFrame, window: int) -> DataFrame:
     """``src`` (id, row, text) -> id, row, found (sorted ranges of words that go)."""
     first = saved(streamed(placed(saved(anchor_rows(src, window), "anchors"), "anchor"), src, window, leftover=True), "matched")
