@@ -6,6 +6,7 @@ task holds one Arrow batch and a small multiple of the longest text.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -59,6 +60,14 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
 
 
+def give_back() -> None:
+    """Return freed memory to the system where the C library can: a Python worker lives on after a task that needed
+    much."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table in the shared checkpoint folder and read back: cuts the lineage."""
     path = scratch_path(df.sparkSession, "llm", name)

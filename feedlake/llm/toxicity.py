@@ -19,12 +19,14 @@ not learnt from; repeated rows give repeated rows; clashing extra columns are no
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.arrowtext import U64, column, hashed_words, mix, ship
+from feedlake.llm.arrowtext import U64, column, give_back, hashed_words, mix, ship
 from feedlake.llm.langid import LETTERS, characters, fold, grams, lowered
 
 STEPS, STRIDE = 32, 16
@@ -199,25 +201,40 @@ class Prior:
         return np.full(len(logit), self.share)
 
 
+class Chars:
+    """The character buckets of numbered words, in one array: a word stands at its first occurrence."""
+
+    def __init__(self, value: np.ndarray, named: list, lengths: list, buckets: list):
+        names, n = np.concatenate(named), np.concatenate(lengths)
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+        _, at = np.unique(names, return_index=True)         # ``value`` has the same words in the same order
+        self.flat, self.begin, self.n = np.concatenate(buckets), begin[at], n[at]
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' buckets, and the place of each bucket's word."""
+        n = self.n[words]
+        owner = np.repeat(np.arange(len(words)), n)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[words], n)
+        return self.flat[at].astype(np.int64), owner
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
     """Train on documents held in memory."""
     labels = np.asarray(labels, float)
     if len(set(labels.tolist())) < 2:
         return Prior(float(labels.mean()) if len(labels) else 0.0)
-    # words of all documents, each distinct word numbered
-    hashes, sizes, chars = [], [], {}
+    # words of all documents, each distinct word numbered, with the buckets of its character grams side by side
+    hashes, sizes, named, lengths, buckets = [], [], [], [], []
     for i, j, low, starts, ends, h, first in hashed_words(lowered(pa.array(texts, pa.string())), LETTERS):
         hashes.append(h)
         sizes.append(np.diff(first))
         value, one = np.unique(h, return_index=True)
-        new = np.array([k for k, v in enumerate(value.tolist()) if v not in chars], int)
-        if len(new):
-            cp, word = characters(low, starts[one[new]], ends[one[new]])
+        if len(value):
+            cp, word = characters(low, starts[one], ends[one])
             gram, owner = grams(cp, word, 3)
-            cuts = np.searchsorted(owner, np.arange(len(new) + 1))
-            bucket = (gram % U64(BUCKETS)).astype(np.int32)
-            for k, v in enumerate(value[new].tolist()):
-                chars[v] = bucket[cuts[k]:cuts[k + 1]]
+            named.append(value)
+            lengths.append(np.bincount(owner, minlength=len(value)))
+            buckets.append((gram % U64(BUCKETS)).astype(np.int16))
     h = np.concatenate(hashes)
     first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     # near copies count once
@@ -234,6 +251,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
             use.append(d)
     use = np.array(use, int)
     value, number = np.unique(h, return_inverse=True)
+    del hashes, sizes
+    chars = Chars(value, named, lengths, buckets)
+    del named, lengths, buckets
     # document counts by label, of training documents only
     rng = np.random.default_rng(seed)
     held = np.zeros(len(texts), bool)
@@ -258,14 +278,16 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
     net = BiGRU(value[vocab_at], odds[vocab_at])
     # each word three times: as others see it, and as a clean or a toxic training document sees it without itself
     rows = np.tile(net.lookup(value), 3)
-    number_chars = [chars[v] for v in value.tolist()] * 3
     seen_odds = np.concatenate([odds, more_than_chance(both[1], df - 1), more_than_chance(both[1] - 1, df - 1)])
     seen_odds = np.where(rows < len(net.vocab), seen_odds, 0).astype(np.float32)
     in_train = np.zeros(len(texts), bool)
     in_train[train] = True
     at, owner_doc = windows(first)
     version = np.where(in_train, 1 + labels.astype(int), 0)[owner_doc]
-    padded = np.where(at >= 0, number[at] + many * version[:, None], 3 * many).astype(np.int32)
+    padded = np.empty(at.shape, np.int32)
+    for k in range(0, len(at), 4096):
+        part = at[k:k + 4096]
+        padded[k:k + 4096] = np.where(part >= 0, number[part] + many * version[k:k + 4096, None], 3 * many)
     del at
     guess = np.concatenate([np.maximum(np.append(seen_odds, 0)[padded[k:k + 4096]], 0).sum(1) for k in range(0, len(padded), 4096)])
 
@@ -274,8 +296,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
         local = local.reshape(win.shape)
         if words[-1] == 3 * many:
             words = words[:-1]
-        owner = np.repeat(np.arange(len(words)), [len(number_chars[w]) for w in words])
-        bucket = np.concatenate([number_chars[w] for w in words]) if len(words) else np.zeros(0, np.int64)
+        bucket, owner = chars.of(words % many)
         x, count = net.inputs(rows[words], bucket, owner, seen_odds[words])
         return words, local, bucket, owner, x, count
 
@@ -321,7 +342,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
                     if name in ("word", "char"):            # few documents hold a rare word: keep its vectors small
                         net.p[name] *= 1 - min(0.02, 20 / len(ks))
                     net.p[name] -= ((0.004 if name in ("word", "char") else 0.01) * (m[name] / (1 - 0.9 ** step)) / (np.sqrt(v2[name] / (1 - 0.999 ** step)) + 1e-7)).astype(np.float32)
-    freeze_all(net, value, chars)
+    net.freeze(*chars.of(vocab_at))
     logit = all_logits()
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner_doc, logit)
@@ -337,22 +358,28 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 23) -> BiGRU | Prior:
     return net
 
 
-def freeze_all(net: BiGRU, value: np.ndarray, chars: dict) -> None:
-    own = [chars[v] for v in net.vocab.tolist()]
-    net.freeze(np.concatenate(own) if own else np.zeros(0, np.int64), np.repeat(np.arange(len(own)), [len(c) for c in own]))
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           sample: int = 4_000, folds: int = 5) -> BiGRU | Prior:
-    """A network from about ``sample`` labelled documents (all, if fewer) whose fold is not 0."""
+    """A network from at most ``sample`` labelled documents whose fold is not 0, the first by a hash of their ids; of an
+    id with several labels or texts the greatest label and the least text.  One task trains it and returns it."""
+    spark = docs.sparkSession
+    ship(spark)
     own = labels.select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("label"))
-    own = own.where((fold(F.col("id"), folds) != 0) & F.col("label").isNotNull())
-    share = max(1, own.count() // sample)
-    own = own.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)          # about ``sample`` rows, so it may be broadcast
+    own = own.where((fold(F.col("id"), folds) != 0) & F.col("label").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
+    own = own.orderBy(F.xxhash64("id"), "id").limit(sample)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
-    rows = src.join(F.broadcast(own), "id").select("id", "text", "label").collect()
-    rows.sort(key=lambda r: (r.id, r.text, r.label))
-    return fit([r.text for r in rows], np.array([float(r.label > 0) for r in rows]))
+    rows = src.join(F.broadcast(own), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+    def run(batches):
+        found = [x for b in batches for x in zip(*(column(b, c).to_pylist() for c in ("id", "text", "label")))]
+        found.sort(key=lambda r: r[0])
+        net = fit([r[1] for r in found], np.array([float(r[2] > 0) for r in found]))
+        del found
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    got = rows.repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(got[0]["net"]) if got else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: BiGRU | Prior, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
@@ -375,6 +402,7 @@ def _scored(src: DataFrame, model: BiGRU | Prior) -> DataFrame:
         for b in batches:
             p = m.probability(m.text_logits(column(b, "text")))
             yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), pa.array(p, pa.float64())], [*names, "score"])
+        give_back()
 
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema if f.name != "text")
     return src.mapInArrow(run, ddl + "score double")
