@@ -7,9 +7,16 @@ pass: an ambiguous block takes the label of its nearest decided neighbours in th
 marks its article (``article`` or ``main``), blocks outside it are bad, and blocks inside are never bad for
 lacking stop words, since the article's own structure speaks for them.
 
+A class or id word, and ``form``, is a weaker sign than a tag or role.  A name that states a condition ("has-sidebar",
+"no-comments") is no sign.  A name that mixes furniture words of the page's layout with others ("social-post"), or a
+``form``, gives way where it holds ``main`` or a first-level heading with a long paragraph, a ``form`` to an ``article``
+too.  Where what is left has no text that is long or decided good by itself, all names but those of reader comments
+give way to an ``article``, ``main`` or first-level heading with a paragraph inside them, if that finds more.
+
 Cases: null or empty html, or a page without main text, gives an empty text; unclosed tags, comments and scripts
 run to the end of their parent or of the page; texts of any length are read whole; repeated rows give repeated
-rows; clashing extra columns are not read; an empty table gives an empty one.
+rows, and a null id or url stays null; of two neighbours as near, the good one counts; clashing extra columns are not
+read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -45,6 +52,13 @@ FURNITURE_NAMES = frozenset(
     "newsletter notice notices alert overlay pager pagination popup promo promoted related reply replies "
     "respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags "
     "teaser toc toolbar widget widgets".split())
+#: words of names that say what a page has or lacks
+CONDITIONS = frozenset("has have no not with without enabled disabled open closed on off allowed active".split())
+#: words that also name wrappers of whole pages
+LAYOUT_NAMES = frozenset("banner header masthead menu nav navbar share sharing sidebar social tags toc toolbar widget widgets".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond response responses".split())
+#: words that make an article or main element itself furniture
+ASIDE_NAMES = COMMENT_NAMES | frozenset("ad ads advert advertisement promo promoted related sponsored teaser widget".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 TOKEN = re.compile(
@@ -64,38 +78,57 @@ LINKS_HIGH = 0.5
 GOOD, BAD, OPEN, LACKING = 1, -1, 0, 2      # LACKING: too few stop words, bad where another block is good
 
 
-def furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds page furniture, by its tag, role, class and id."""
-    if tag in FURNITURE_TAGS or tag == "header" and not in_article:
-        return True
+#: how surely an element is furniture: a form or a mixed layout name, any other name, reader comments, a tag or role
+NONE, WEAK, NAMED, COMMENT, SURE = range(5)
+
+
+def furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """How surely an element holds page furniture, by its tag, role, class and id."""
+    if tag in FURNITURE_TAGS and tag != "form" or tag == "header" and not in_article:
+        return SURE
+    sure = WEAK if tag == "form" else NONE
     if not attributes or tag in ("html", "body"):
-        return False
+        return sure
     for m in ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if kind == "hidden" or kind == "aria-hidden" and value == "true":
-            return True
+            return SURE
         if kind == "role" and value in FURNITURE_ROLES:
-            return True
+            if value != "form":
+                return SURE
+            sure = max(sure, WEAK)
         if kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return SURE
         if kind in ("class", "id"):
             for name in value.split():
-                parts = NAME.findall(name)
-                if any(p in FURNITURE_NAMES for p in parts) or "header" in parts and not in_article:
-                    return True
-    return False
+                sure = max(sure, named(tag, NAME.findall(name), in_article))
+    return sure
+
+
+def named(tag: str, parts: list[str], in_article: bool) -> int:
+    """How surely a class or id, cut into words, names furniture."""
+    own = [p for p in parts if p in FURNITURE_NAMES or p == "header" and not in_article]
+    if not own or CONDITIONS.intersection(parts):
+        return NONE
+    if tag in ("article", "main"):
+        return COMMENT if len(own) == len(parts) and ASIDE_NAMES.intersection(own) else NONE
+    if COMMENT_NAMES.intersection(own):
+        return COMMENT
+    return WEAK if len(own) < len(parts) and LAYOUT_NAMES.issuperset(own) else NAMED
 
 
 class Blocks:
-    """The blocks of a page: (text, characters in links, is furniture, region).  Region 0 is outside the article."""
+    """The blocks of a page: (text, characters in links, element, region).  Region 0 is outside the article."""
 
     def __init__(self, page: str):
-        self.found: list[tuple[str, int, bool, int]] = []
+        self.found: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.stack: list[tuple[str, bool, int]] = []        # tag, furniture, region
-        self.regions = {"article": 0, "main": 0}
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]       # tag, element, region
+        # by element: its parent, how surely it is furniture, is it a form, what it holds (main, article, h1), paragraph characters
+        self.parent, self.sure, self.form, self.holds, self.prose = [0], [NONE], [False], [set()], [0]
         self.kinds = [""]
+        self.block = ""
         in_link, at = False, 0
         for m in TOKEN.finditer(page):
             if m.start() > at:
@@ -113,30 +146,46 @@ class Blocks:
             elif tag in BLOCK_TAGS:
                 self.end_block()
                 in_link = False
+                self.block = "" if closing else tag
                 if tag in CONTAINERS:
                     self.close(tag) if closing else self.open(tag, m[4])
         if at < len(page):
             self.text(page[at:], in_link)
         self.end_block()
 
-    def state(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
-
     def text(self, s: str, in_link: bool) -> None:
         self.parts.append(s)
         if in_link:
             self.linked.append(s)
 
     def open(self, tag: str, attributes: str) -> None:
-        bad, region = self.state()
-        bad = bad or furniture(tag, attributes, region > 0)
-        if tag in self.regions and not bad and (not region or self.kinds[region] == "main" and tag == "article"):
-            self.kinds.append(tag)
-            region = len(self.kinds) - 1
-        self.stack.append((tag, bad, region))
+        _, up, region = self.stack[-1]
+        sure = max(furniture(tag, attributes, region > 0), SURE if self.sure[up] == SURE else NONE)
+        if sure < COMMENT and tag in ("article", "main"):
+            self.note(up, tag)
+            if not region or self.kinds[region] == "main" and tag == "article":
+                self.kinds.append(tag)
+                region = len(self.kinds) - 1
+        self.parent.append(up)
+        self.sure.append(sure)
+        self.form.append(tag == "form")
+        self.holds.append(set())
+        self.prose.append(0)
+        self.stack.append((tag, len(self.parent) - 1, region))
+
+    def note(self, element: int, what: str, prose: int = 0) -> None:
+        """Tell an element and those around it what they hold, up to reader comments or sure furniture."""
+        while element and self.sure[element] < COMMENT:
+            if prose:
+                self.prose[element] += prose
+            elif what in self.holds[element]:
+                return
+            else:
+                self.holds[element].add(what)
+            element = self.parent[element]
 
     def close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 del self.stack[i:]
                 return
@@ -145,10 +194,26 @@ class Blocks:
         if self.parts:
             text = clean("".join(self.parts))
             if text:
-                bad, region = self.state()
-                self.found.append((text, len(clean("".join(self.linked))) if self.linked else 0, bad, region))
+                _, element, region = self.stack[-1]
+                self.found.append((text, len(clean("".join(self.linked))) if self.linked else 0, element, region))
+                if self.block == "h1":
+                    self.note(element, self.block)
+                elif self.block == "p":
+                    self.note(element, "", len(text))
             self.parts, self.linked = [], []
 
+    def bad(self, giving_way: bool) -> list[bool]:
+        """By element: whether it is furniture or inside some; ``giving_way``: names count less than what they hold."""
+        out: list[bool] = []
+        for up, sure, form, holds, prose in zip(self.parent, self.sure, self.form, self.holds, self.prose):
+            own = sure > NONE
+            if sure == WEAK:
+                own = not ("main" in holds or form and "article" in holds or "h1" in holds and prose >= LONG)
+            if own and giving_way and sure < COMMENT:
+                own = not (holds & {"main", "article"} or "h1" in holds and prose >= SHORT)
+            out.append(own or bool(out) and out[up])
+        return out
+
 
 def clean(s: str) -> str:
     return " ".join((htmllib.unescape(s) if "&" in s else s).split())
@@ -200,24 +265,35 @@ def second_labels(labels: list[int]) -> list[int]:
     return out
 
 
-def main_text(page: str) -> str:
-    if not page:
-        return ""
-    parsed = Blocks(page)
-    blocks = parsed.found
+def kept_blocks(parsed: Blocks, giving_way: bool) -> tuple[list[int], bool]:
+    """The numbers of the blocks of main text, and whether one of them is good by itself or all together are long."""
+    blocks, furnished = parsed.found, parsed.bad(giving_way)
     articles = {r for r, kind in enumerate(parsed.kinds) if kind == "article"}
     mains = {r for r, kind in enumerate(parsed.kinds) if kind == "main"}
-    used = {r for _, _, bad, r in blocks if not bad}
+    used = {r for _, _, element, r in blocks if not furnished[element]}
     wanted = articles & used or mains & used or {0}
     regions: dict[int, list[int]] = {}
-    for i, (_, _, bad, region) in enumerate(blocks):
-        if not bad and region in wanted:
+    for i, (_, _, element, region) in enumerate(blocks):
+        if not furnished[element] and region in wanted:
             regions.setdefault(region, []).append(i)
-    keep = []
+    keep, sure = [], False
     for region, own in regions.items():
         labels = [first_label(blocks[i][0], blocks[i][1], region > 0) for i in own]
+        sure = sure or region > 0 or GOOD in labels
         keep += [i for i, label in zip(own, second_labels(labels)) if label == GOOD]
-    return " ".join(blocks[i][0] for i in sorted(keep))
+    return sorted(keep), sure and bool(keep) or sum(len(blocks[i][0]) for i in keep) >= LONG
+
+
+def main_text(page: str) -> str:
+    if not page:
+        return ""
+    parsed = Blocks(page)
+    keep, sure = kept_blocks(parsed, False)
+    if not sure and any(NONE < s < COMMENT for s in parsed.sure):
+        more = kept_blocks(parsed, True)[0]
+        if sum(len(parsed.found[i][0]) for i in more) > sum(len(parsed.found[i][0]) for i in keep):
+            keep = more
+    return " ".join(parsed.found[i][0] for i in keep)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
