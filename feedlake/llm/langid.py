@@ -1,7 +1,7 @@
 """Language identification (8): word-first backoff.
 
 Training counts words and character n-grams (orders 1 to 5, over word types, with word ends marked) for each
-language on a bounded sample of labelled documents.  A text's known words score by their log frequency in each
+language on a bounded sample of labelled documents, as many of each language where there are as many.  A text's known words score by their log frequency in each
 language; an unseen word falls back to its known n-grams of the longest order that has any, then to shorter ones.
 The scores of all words add up, and their softmax gives the answer's probability.
 
@@ -10,7 +10,8 @@ array operations.  The model's size is bounded by the sample (``sample`` documen
 
 Cases: null texts and texts without a letter get ``und`` with score 0; with nothing to learn from, every text gets
 ``und``; rows without a label are scored only; a null id counts as neither held out nor learnable; repeated rows
-give repeated rows; whole texts are read, whatever their length; clashing extra columns are not read.
+give repeated rows; of languages that score the same, the first by name is given; whole texts are read, whatever
+their length; clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.llm.arrowtext import U64, byte_class, column, hashed_words, mix, ship
@@ -116,14 +117,26 @@ def lowered(arr: pa.Array) -> pa.Array:
     return pc.utf8_lower(arr.fill_null("").cast(pa.large_string()))
 
 
+def labelled_sample(src: DataFrame, sample: int) -> DataFrame:
+    """Of ``src`` (id, text, lang), about ``sample / languages`` rows of each language by a hash of id and text, all of
+    a language with fewer, and never more than twice as many, so that repeated rows can't exceed the bound."""
+    sizes = src.groupBy("lang").count()
+    each = F.greatest(F.lit(1), F.floor(F.lit(sample) / F.count("lang").over(Window.partitionBy())))
+    share = sizes.select("lang", each.alias("each"), F.greatest(F.lit(1), F.floor(F.col("count") / each)).alias("share"))
+    # one row a language, as the model holds a column for each
+    may = src.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(share), "lang").where(F.pmod("h", "share") == 0)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h", F.lit(1)), "id", "text"))
+    return may.withColumn("place", place).where((F.col("place") <= 2 * sample) & (F.col("place") <= 2 * F.col("each"))).select("text", "lang")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4_000,
           folds: int = 5) -> Model:
-    """Counts from about ``sample`` labelled documents (all, if fewer), spread by a hash, whose fold is not 0."""
+    """Counts from about ``sample`` labelled documents (all, if fewer) whose fold is not 0, shared out evenly among the
+    languages, so that a rare one is learnt however large the table is."""
     ship(docs.sparkSession)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     may = src.where((fold(F.col("id"), folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = max(1, may.select("id").count() // sample)
-    picked = may.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text", "lang")
+    picked = labelled_sample(may, sample)
 
     def tally(batches):
         for b in batches:
@@ -153,12 +166,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                      pa.array(np.concatenate(counts))], ["kind", "hash", "lang", "n"])
 
     sums = (picked.mapInArrow(tally, "kind int, hash long, lang string, n long")
-            .groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n")).where((F.col("n") > 1) | (F.col("kind") < 3) & (F.col("kind") > 0)))
+            .groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n")))
     got = sums.toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
     kind, n = got.column("kind").to_numpy(), got.column("n").to_numpy()
     value = got.column("hash").to_numpy().view(np.uint64)
-    lang = np.searchsorted(np.array(langs), np.array(got.column("lang").to_pylist())) if langs else np.zeros(0, int)
+    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], int)
+    lang = place[names.indices.to_numpy()]
     tables = {}
     for k in (0, *ORDERS):
         own = kind == k
