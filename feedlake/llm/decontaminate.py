@@ -9,9 +9,11 @@ Before the automaton, a text's words are looked up as hashes: a stretch in which
 neighbours, stands in no item cannot hold a window, since the automaton would fall back there.  Only stretches of
 pairs that items hold, long enough for the shortest window, are streamed.
 
-The items are dealt to shards by size and each shard's automaton is built in a task of its own; a broadcast holds
-shards of at most ``SHARD_BYTES`` of item text each, ``SHARDS_A_PASS`` of them, and more items make more passes.
-Documents are never shuffled.
+The items are dealt to shards by size, equal items to different ones, and each shard's automaton is built in a task
+of its own.  An automaton is kept as sorted arrays (about 30 bytes a state, two states a word at most) in a table in
+the checkpoint folder.  A pass over the documents broadcasts ``SHARDS_A_PASS`` shards of at most ``SHARD_BYTES`` of
+item text each (or of one longer item), read for that pass alone, and more items make more passes.  Documents are
+never shuffled.
 
 Cases: null and empty texts have no words; an item without words is ignored; an empty benchmark hits nothing;
 texts of any length are streamed whole; repeated rows give repeated rows; repeated items count each; clashing
@@ -21,6 +23,8 @@ extra columns are kept aside.
 from __future__ import annotations
 
 import pickle
+from array import array
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from feedlake.llm.arrowtext import ALNUM, U64, column, hashed_words, mix, saved, ship
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SHARDS_A_PASS = 8
 
 
@@ -73,6 +77,22 @@ class Automaton:
         if self.short:
             for s in sorted(range(n), key=self.length.__getitem__):
                 self.short_at[s] = s if s in self.short else self.short_at[self.link[s]] if s else -1
+        self.freeze()
+
+    def freeze(self) -> None:
+        """Transitions as sorted (state, word) keys with their targets, and the rest as arrays, in place of dicts and lists."""
+        base = len(self.words) + 1
+        moves = sorted((s * base + c, t) for s, after in enumerate(self.next) for c, t in after.items())
+        self.base, self.keys, self.targets = base, array("q", [k for k, _ in moves]), array("i", [t for _, t in moves])
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        self.at_window, self.short_at = array("i", self.at_window), array("i", self.short_at)
+        self.next = None
+
+    def step(self, s: int, c: int) -> int:
+        """The state after ``c``, -1 where there is none."""
+        key = s * self.base + c
+        i = bisect_left(self.keys, key)
+        return self.targets[i] if i < len(self.keys) and self.keys[i] == key else -1
 
     def state(self, length: int, link: int, after: dict[int, int]) -> int:
         self.next.append(after)
@@ -135,14 +155,16 @@ class Automaton:
 
     def stream(self, codes: list[int], base: int, hits: list[tuple[int, int]], found: set) -> int:
         """Walk one stretch; notes word ranges and items, gives the longest match."""
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        link, length, window = self.link, self.length, self.window
         s = matched = longest = 0
         for i, c in enumerate(codes, base):
-            while s and c not in nxt[s]:
+            t = self.step(s, c)
+            while s and t < 0:
                 s = link[s]
                 matched = length[s]
-            if c in nxt[s]:
-                s = nxt[s][c]
+                t = self.step(s, c)
+            if t >= 0:
+                s = t
                 matched += 1
             longest = max(longest, matched)
             if matched >= window:
@@ -173,8 +195,9 @@ def joined(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def shards(items: DataFrame, item_col: str, text_col: str, window: int) -> list[bytes]:
-    """The pickled automata; each is of at most SHARD_BYTES of text, or of one longer item."""
+def shards(items: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, int]:
+    """A written table (shard, automaton) of the pickled automata, of about half of SHARD_BYTES of text or one longer
+    item each, and the number of shards."""
     src = items.select(F.col(item_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * size // SHARD_BYTES)) if size > SHARD_BYTES else 1
@@ -186,11 +209,12 @@ def shards(items: DataFrame, item_col: str, text_col: str, window: int) -> list[
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts.to_pylist(), pa.string())
         for i, j, _, _, _, h, first in hashed_words(texts, ALNUM):
             found += [(keys[r], h[first[r - i]:first[r - i + 1]]) for r in range(i, j) if first[r - i + 1] > first[r - i]]
-        return pa.table({"automaton": pa.array([pickle.dumps(Automaton(found, window))], pa.binary())})
+        return pa.table({"shard": table.column("shard")[:1], "automaton": pa.array([pickle.dumps(Automaton(found, window))], pa.binary())})
 
-    built = (src.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(n))).groupBy("shard")
-             .applyInArrow(build, "automaton binary"))
-    return [bytes(r[0]) for r in built.toLocalIterator()]
+    # the item's id in the hash: equal texts are spread, and each shard names its own items
+    built = (src.withColumn("shard", F.pmod(F.xxhash64("text", "key"), F.lit(n))).groupBy("shard")
+             .applyInArrow(build, "shard long, automaton binary"))
+    return saved(built, "automata"), n
 
 
 @lru_cache(SHARDS_A_PASS)
@@ -211,7 +235,7 @@ def _probe(src: DataFrame, items: DataFrame, item_col: str, item_text_col: str,
     """``src`` (id, text, ...) with n_words, n_hit, items, longest, spans."""
     spark = src.sparkSession
     ship(spark)
-    blobs = shards(items, item_col, item_text_col, window)
+    table, total = shards(items, item_col, item_text_col, window)
     names = src.columns
     words = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     added = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int32()),
@@ -219,8 +243,9 @@ def _probe(src: DataFrame, items: DataFrame, item_col: str, item_text_col: str,
     ddl = (", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
            + ", n_words long, n_hit long, items array<string>, longest int,"
              " hits array<struct<begin:long,end:long>>, spans array<struct<begin:long,end:long>>")
-    for k in range(0, max(1, len(blobs)), SHARDS_A_PASS):
-        sent = [spark.sparkContext.broadcast(b) for b in blobs[k:k + SHARDS_A_PASS]]
+    for k in range(0, total, SHARDS_A_PASS):
+        own = table.where(F.col("shard").between(k, k + SHARDS_A_PASS - 1)).select("automaton")
+        sent = [spark.sparkContext.broadcast(bytes(r[0])) for r in own.toLocalIterator()]
 
         def run(batches, sent=sent, again=k > 0):
             automata = [_unpacked(b.value) for b in sent]
@@ -259,8 +284,10 @@ def _probe(src: DataFrame, items: DataFrame, item_col: str, item_text_col: str,
                 yield pa.RecordBatch.from_arrays(cols, names + [n for n, _ in added])
 
         src = src.mapInArrow(run, ddl)
-        if k + SHARDS_A_PASS < len(blobs):
+        if k + SHARDS_A_PASS < total:
             src = saved(src, "overlaps")
+            for b in sent:
+                b.unpersist()
     return src.drop("hits")
 
 
