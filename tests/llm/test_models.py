@@ -53,7 +53,7 @@ def test_base_findings(spark):
 def test_secret_network(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     net = S.train(docs)
-    assert net is not None and net.threshold >= 0.5
+    assert net is not None and net.found >= 0.98        # of the held-out secrets, wherever the threshold lies
     held = [("see the ", "Zk3" + "q8Vt1Lw9Xb2Rn7Ym4Pc6Hd5", " end", 1), ("ber ", "f4c1" * 9, " und", 1)]
     others = [("the ", "2024-11-02T10-22-31", " was", 0), ("les ", "erthtionandble2024", " de", 0)]
     x = np.stack([S.codes(a + b + c, len(a), len(a) + len(b)) for a, b, c, _ in held + others])
@@ -116,6 +116,37 @@ def test_keys_inside_long_runs(spark):
     assert rows[2].text == texts[2]
 
 
+def test_calibration_keeps_the_recall():
+    """The threshold never exceeds the one that keeps the asked share of secrets, one half or not."""
+    r = np.random.default_rng(4)
+    net = S.CharCNN()
+    for shift in (-6.0, 0.0, 3.0):
+        logit = np.concatenate([r.normal(1 + shift, 1, 500), r.normal(-1 + shift, 1, 800)])
+        y = np.repeat([1.0, 0.0], [500, 800])
+        net.forward = lambda x, logit=logit: (logit, None)
+        net.calibrate(None, y, 0.98)
+        score = net.chance(logit)
+        assert np.mean(score[y > 0] >= net.threshold) >= 0.98
+        assert net.found >= 0.98 and net.false_alarms == np.mean(score[y <= 0] >= net.threshold)
+
+
+def test_planted_secrets_are_found(spark):
+    """Secrets that no base pattern takes, planted in clean texts: at least 98 of 100 are found."""
+    net = S.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert net.found >= 0.98
+    r = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choices(r.choice([letters, letters[:26] + letters[52:], letters + "+/"]), k=r.randint(24, 44))) for _ in range(300)]
+    keys = [k if any(c.isdigit() for c in k) else k + "7" for k in keys]
+    plain = [d.text for d in spark.read.parquet(f"{SF}/documents.parquet").collect() if d.text and not S.base_findings(d.text)]
+    texts = [f"{plain[i % len(plain)][:300]} {k} {plain[(i + 1) % len(plain)][:300]}" for i, k in enumerate(keys)]
+    rows = {x.doc_id: x.found for x in S.find_secrets(docs_of(spark, texts + plain), net=net).collect()}
+    hit = [any(f.kind == "model" and f.start <= texts[i].find(k) + 2 and f.end >= texts[i].find(k) + len(k) - 2 for f in rows[i]) for i, k in enumerate(keys)]
+    assert not any(S.base_findings(k) for k in keys)
+    assert np.mean(hit) >= 0.98
+    assert np.mean([len(rows[len(texts) + i]) == 0 for i in range(len(plain))]) >= 0.98
+
+
 def test_redaction(spark):
     docs = docs_of(spark, SECRETS)
     out = {r.doc_id: r for r in S.redact(docs).collect()}
@@ -149,6 +180,28 @@ def test_language_cases(spark):
     assert L.predict(learn.limit(0), model).count() == 0
 
 
+def test_rare_languages_are_learnt(spark):
+    """One text in a thousand, a sample far smaller than the table, and a row that repeats."""
+    many = [(i, f"the house of the people and the town {i}", "en") for i in range(5000)]
+    rare = [(10_000 + i, "talo ja kaupunki ovat kauniita", "fi") for i in range(5)]
+    again = [(20_000, "la casa y el pueblo", "es")] * 3000
+    docs = spark.createDataFrame(many + rare + again, "doc_id long, text string, lang string")
+    src = docs.select(F.col("doc_id").alias("id"), "text", "lang")
+    taken = {r.lang: r["count"] for r in L.labelled_sample(src, 90).groupBy("lang").count().collect()}
+    assert taken["fi"] == 5 and 10 <= taken["en"] <= 60 and taken.get("es", 0) <= 60
+    model = L.train(docs, sample=90)
+    assert "fi" in model.langs
+    got = [r.lang_pred for r in L.predict(docs_of(spark, ["kaupunki", "the town"]), model).orderBy("doc_id").collect()]
+    assert got == ["fi", "en"]
+
+
+def test_equal_scores_give_the_first_language(spark):
+    docs = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["zz", "aa"] * 20)], "doc_id long, text string, lang string")
+    rows = L.predict(docs_of(spark, ["qqq", "xyz"]), L.Model(["aa", "zz"], {k: L.Table(np.zeros(0, np.uint64), np.zeros((0, 2), np.float32)) for k in (0, *L.ORDERS)})).collect()
+    assert {r.lang_pred for r in rows} == {"aa"} and {r.score for r in rows} == {0.5}
+    assert L.train(docs).langs == ["aa", "zz"]
+
+
 def test_backoff_takes_the_longest_known_grams():
     one = L.Table(np.array([], np.uint64), np.zeros((0, 2), np.float32))
     def gram(s, order):

@@ -71,7 +71,7 @@ def test_token_count_query(spark, library):
 
 
 # --- packing
-def check_packing(rows, texts, library, limit=1024, segments=32):
+def check_packing(rows, texts, library, limit=1024, segments=128):
     ids = {k: np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for k, t in texts.items()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -116,6 +116,38 @@ def test_packing_cases(spark, library):
     assert pack(empty_docs(spark), Q.vocabulary()).count() == 0
 
 
+def test_packing_of_short_texts(spark, library):
+    """Sequences that the segment limit ends hold a power of two: no padding, whatever the length of the texts."""
+    with_crc = lambda df: df.withColumn("ids_crc32", F.crc32("ids"))
+    r = random.Random(8)
+    for low, high, segments in ((1, 4, 32), (5, 20, 32), (5, 20, 128), (20, 40, 32)):
+        texts = [" ".join(["word"] * r.randint(low, high)) for _ in range(3000)]
+        rows = with_crc(pack(docs_of(spark, texts).coalesce(1), Q.vocabulary(), segments=segments)).collect()
+        check_packing(rows, dict(enumerate(texts)), library, segments=segments)
+        sizes = defaultdict(int)
+        for x in rows:
+            sizes[x.sequence_id] += x.length
+        assert all(n == 1024 or n & (n - 1) == 0 for n in sizes.values())
+        if segments == 128:
+            assert sum(n for n in sizes.values() if n == 1024) >= 0.9 * sum(sizes.values())
+
+
+def test_packing_with_a_loss_limit_that_binds(spark, library):
+    """The first ``context`` tokens of an example bear no loss; all three limits hold for every sequence."""
+    with_crc = lambda df: df.withColumn("ids_crc32", F.crc32("ids"))
+    r = random.Random(9)
+    texts = [" ".join(["word"] * r.choice([3, 9, 40, 200, 700])) for _ in range(1200)]
+    rows = with_crc(pack(docs_of(spark, texts).coalesce(1), Q.vocabulary(), tokens=256, segments=16, loss=200, context=12)).collect()
+    check_packing(rows, dict(enumerate(texts)), library, limit=256, segments=16)
+    loss, size = defaultdict(int), defaultdict(int)
+    for x in rows:
+        assert x.loss_tokens == max(0, x.start + x.length - max(x.start + 1, 12))
+        loss[x.sequence_id] += x.loss_tokens
+        size[x.sequence_id] += x.length
+    assert max(loss.values()) <= 200 and max(size.values()) == 256      # contexts fill what the loss limit leaves
+    assert any(loss[k] > 128 and size[k] == 256 for k in size) and any(n < 256 for n in size.values())
+
+
 # --- HTML
 def test_main_text_rules():
     page = ("<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=x>Home</a></nav>"
@@ -137,6 +169,30 @@ def test_main_text_without_article():
     assert main_text("") == ""
 
 
+PROSE = "The story of the town is one that we have told for many years, and it was on a day in the spring that they came to it. " * 2
+
+
+def test_main_text_in_named_wrappers():
+    """A class or id word, or a form around the whole page, loses no article."""
+    body, want = f"<h1>Title</h1><p>{PROSE}</p><p>Short.</p>", "Title " + PROSE + "Short."
+    comments = f"<div class='user-comments'><h2>Comments</h2><article class=comment><p>{PROSE} they said</p></article></div>"
+    for wrapper in ("<div class='layout has-sidebar'><article>%s</article></div>", "<div id='content-no-comments'><main>%s</main></div>",
+                    "<article class='post share-enabled'>%s</article>", "<div class='page-with-widgets'>%s</div>",
+                    "<div class='social-post'>%s</div>", "<form id=page>%s</form>", "<form><div><article>%s</article></div></form>",
+                    "<div class='sidebar'><article>%s</article></div>", "<div class='social'>%s</div>", "<div class='nav-page'><main>%s</main></div>"):
+        page = f"<body><nav><a href=x>Home</a></nav>{wrapper % body}<footer>end</footer>{comments}</body>"
+        assert main_text(page) == want, wrapper
+
+
+def test_main_text_leaves_named_furniture_out():
+    for part in (f"<div class='related-posts'><article><h3>More</h3><p>{PROSE}</p></article></div>", f"<div class='cookie-text'><h2>We care</h2><p>{PROSE}</p></div>",
+                 f"<div class=comment-body><h1>I</h1><p>{PROSE}</p></div>", "<form><h3>Leave a reply</h3><p>Your address will not be shown to any of the others. Fill all the fields</p></form>",
+                 f"<div class='sidebar-box'><h3>About</h3><p>{PROSE}</p></div>", f"<div class=comments><article><p>{PROSE}</p></article></div>"):
+        assert main_text(f"<body><div><h1>Title</h1><p>{PROSE}</p></div>{part}</body>") == "Title " + PROSE.strip(), part
+        assert main_text(f"<body><article><h1>Title</h1><p>Few.</p></article>{part}</body>") == "Title Few.", part
+    assert main_text(f"<body><div class=cookie-notice><h2>We care</h2><p>{PROSE}</p></div><div class=comments><p>{PROSE}</p></div></body>") == ""
+
+
 def test_html_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "v", "<p>" + "a b " * 50000 + "</p>"), (3, "v", "<p>x</p>"), (None, "w", "<article><p>Enoipa.</p></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("id", F.lit(0))
@@ -199,6 +255,19 @@ def test_overlaps_in_several_passes(spark, monkeypatch):
     assert [(g.n_words, g.n_hit, g["items"]) for g in sorted(got, key=lambda g: g.doc_id)] == plain_overlaps(texts, items, 4)
 
 
+def test_equal_items_in_several_shards(spark, monkeypatch):
+    """A third of the items equal: they are dealt to many shards, and all are named."""
+    from feedlake.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "SHARD_BYTES", 200)
+    items = spark.createDataFrame([(i, "one two three four five") for i in range(40)] + [(100 + i, f"x{i} one two three y{i}") for i in range(80)],
+                                  "item_id long, text string")
+    table, total = D.shards(items, "item_id", "text", 5)
+    assert total > 10 and 10 < table.count() <= total
+    got = overlaps(docs_of(spark, ["zero one two three four five six"]), items, window=5).collect()
+    assert got[0].n_hit == 5 and got[0]["items"] == sorted(str(i) for i in range(40))
+
+
 def test_decontaminate_removes_spans(spark):
     passage = " ".join(f"w{i}" for i in range(12))
     texts = [f"Éa one two, {passage}! three four five six seven eight nine ten eleven twelve thirteen", passage, "clean text", None, ""]
