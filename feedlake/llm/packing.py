@@ -142,6 +142,7 @@ class Packer:
         items = self.items
         size = np.array([len(x[1]) >> 2 for x in items], np.int64)
         free = np.array([self.free(x[2]) for x in items], np.int64)
+        bears = np.maximum(0, size - free)
         live = len(items)
         waiting = int(size.sum())
         weight = 1.0 / np.maximum(1.0, self.cap)
@@ -151,7 +152,6 @@ class Packer:
             own: list[int] = []
             while left_t and left_s:
                 # demand (size, 1, loss) against what is left, each in shares of its limit
-                bears = np.maximum(0, size - free)
                 fits = (size > 0) & (size <= left_t) & (bears <= left_l)
                 score = size * (left_t * weight[0] ** 2) + left_s * weight[1] ** 2 + bears * (left_l * weight[2] ** 2)
                 score = np.where(fits, score, -1.0)
@@ -172,6 +172,7 @@ class Packer:
                 items[i] = (key, ids[4 * n:], start + n, whole)
                 size[i] -= n
                 free[i] = self.free(start + n)
+                bears[i] = max(0, size[i] - free[i])
                 waiting -= n
                 live -= not size[i]
             for key, ids, start, whole in self.close(parts):
@@ -180,6 +181,7 @@ class Packer:
                 items[i] = (key, ids + items[i][1], start, whole)
                 size[i] = len(items[i][1]) >> 2
                 free[i] = self.free(start)
+                bears[i] = max(0, size[i] - free[i])
                 waiting += len(ids) >> 2
         self.items = [x for x, n in zip(items, size) if n]
 
