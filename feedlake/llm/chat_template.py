@@ -13,8 +13,12 @@ string's first character, ``line`` also writes line breaks as a backslash and n;
 
 Cases: null roles and texts count as empty; turns are ordered by number, then role, then text, null first, so equal
 or missing numbers have a defined order; repeated rows are turns each; a null conversation id is a conversation of
-its own; an empty table gives no rows; clashing extra columns are not read.  A conversation is rendered as one
-text, so its size bounds a task's memory.
+its own; an empty table gives no rows; clashing extra columns are not read.
+
+Scale: turns are rendered one by one, each in the task that has its range of (conversation, turn), so a conversation of
+any size spreads over many tasks and a task holds one Arrow batch.  The template must therefore name ``messages`` in one
+loop outside any other tag (else ``TemplateError``); what it says of other turns must come from ``loop``.
+``compile_template`` renders a list of messages by any template.
 """
 
 from __future__ import annotations
@@ -23,12 +27,15 @@ import hashlib
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlake.llm.arrowtext import column, ship
+from feedlake.llm.arrowtext import column, saved, ship
 
 #: fixed values: strings that steer public chat models, none of which may come out of a text unescaped
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -392,49 +399,144 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _turn.finditer(text)]
 
 
+@lru_cache(16)
+def turn_renderer(source: str) -> Callable[[dict, int, bool], tuple[str, list[tuple[int, int]]]]:
+    """Closures that render one turn: (message, place, whether it is the last) to its text and generation spans.  The
+    first turn takes what stands before the template's loop over the messages along, the last one what stands behind."""
+    nodes = fold_body(parse(source))
+
+    def named(tree) -> bool:
+        return tree == ("name", "messages") or isinstance(tree, (list, tuple)) and any(map(named, tree))
+
+    loops = [i for i, n in enumerate(nodes) if n[0] == "for" and n[2] == ("name", "messages")]
+    if len(loops) != 1 or named(nodes[:loops[0]]) or named(nodes[loops[0]][3]) or named(nodes[loops[0] + 1:]):
+        raise TemplateError("messages must be named by one loop, outside any other tag")
+    at = loops[0]
+    name, head, turn, tail = nodes[at][1], _body(nodes[:at]), _body(nodes[at][3]), _body(nodes[at + 1:])
+
+    def render(message: dict, place: int, last: bool) -> tuple[str, list[tuple[int, int]]]:
+        out = Output()
+        if place == 0:
+            head({}, out)
+        turn({name: message, "loop": {"index0": place, "first": place == 0, "last": last}}, out)
+        if last:
+            tail({}, out)
+        return "".join(out.parts), out.spans
+    return render
+
+
+def placed(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """The turns (id, role, text) with their place in the conversation and whether they are its last.  They are dealt by
+    ranges of their order, so that a conversation of any size spreads over many tasks."""
+    rows = turns.select(turns[id_col].alias("id"), turns[turn_col].alias("turn"), F.coalesce(turns[role_col], F.lit("")).alias("role"),
+                        F.coalesce(turns[text_col], F.lit("")).alias("text"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())      # tells repeated rows apart, to spread them too
+    order = ("id", "turn", "role", "text", "row")
+
+    def run(batches):
+        part, at, of, held = TaskContext.get().partitionId(), -1, None, None
+
+        def told(b, places, last):
+            n = b.num_rows
+            return pa.RecordBatch.from_arrays([column(b, "id"), pa.array([part] * n, pa.int32()), pa.array(places, pa.int64()),
+                                               pa.array(last, pa.bool_()), column(b, "role"), column(b, "text")],
+                                              ["id", "part", "at", "last", "role", "text"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, places = column(b, "id").to_pylist(), []
+            if held:                                # whether its last row ends a conversation shows only here
+                yield told(*held[:2], [*held[2], ids[0] != of])
+            for x in ids:
+                at = at + 1 if at >= 0 and x == of else 0
+                of = x
+                places.append(at)
+            held = b, places, [x != y for x, y in zip(ids, ids[1:])]
+        if held:
+            yield told(*held[:2], [*held[2], True])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    parts = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "role", "text").mapInArrow(
+        run, f"id {kind}, part int, at long, last boolean, role string, text string"), "turns")
+    # a part shares its first and its last conversation at most, so the edges have two rows a part
+    along = Window.partitionBy("id").orderBy("part")
+    edges = parts.groupBy("id", "part").agg(F.count("*").alias("n")).select(
+        F.col("id").alias("e"), F.col("part").alias("p"), F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.lead("part").over(along).isNotNull().alias("goes_on")).where("before is not null or goes_on")
+    own = F.col("id").eqNullSafe(F.col("e")) & (F.col("part") == F.col("p"))
+    return parts.join(F.broadcast(edges), own, "left").select(
+        "id", (F.col("at") + F.coalesce("before", F.lit(0))).alias("place"),
+        (F.col("last") & ~F.coalesce("goes_on", F.lit(False))).alias("last"), "role", "text")
+
+
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                          text_col: str = "text", template: str = TEMPLATE) -> DataFrame:
-    """One row per conversation: id, formatted, spans (array of begin, end; code points under the loss mask)."""
-    compile_template(template)                     # a bad template fails here
+    """One row per turn: id, place (from 0), formatted, spans (array of begin, end; code points of ``formatted`` under the
+    loss mask).  A conversation's text is its rows' texts, joined by place."""
+    turn_renderer(template)                        # a bad template fails here
     ship(turns.sparkSession)
-    own = turns.select(turns[id_col].alias("id"), F.struct(
-        turns[turn_col].alias("turn"), F.coalesce(turns[role_col], F.lit("")).alias("role"),
-        F.coalesce(turns[text_col], F.lit("")).alias("text")).alias("t"))
-    grouped = own.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = placed(turns, id_col, turn_col, role_col, text_col)
     item = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        render = compile_template(template)
+        render = turn_renderer(template)
         for b in batches:
             texts, spans = [], []
-            for rows in column(b, "turns").to_pylist():
-                text, own = render([{"role": r["role"], "text": r["text"]} for r in rows])
-                texts.append(text)
+            for role, text, place, last in zip(*(column(b, c).to_pylist() for c in ("role", "text", "place", "last"))):
+                formatted, own = render({"role": role, "text": text}, place, last)
+                texts.append(formatted)
                 spans.append([{"begin": s, "end": e} for s, e in own])
-            yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(texts, pa.string()), pa.array(spans, pa.list_(item))],
-                                             [id_col, "formatted", "spans"])
+            yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "place"), pa.array(texts, pa.string()), pa.array(spans, pa.list_(item))],
+                                             [id_col, "place", "formatted", "spans"])
 
-    kind = own.schema["id"].dataType.simpleString()
-    return grouped.mapInArrow(run, f"`{id_col}` {kind}, formatted string, spans array<struct<begin:long,end:long>>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, place long, formatted string, spans array<struct<begin:long,end:long>>")
 
 
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What the formatted texts say when read back: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What the formatted texts say when read back: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    A digest of a whole text needs the text in order: a conversation's rows are streamed through one task, which holds
+    an Arrow batch and what has not yet been read back, a turn at most."""
     ship(formatted.sparkSession)
+    own = formatted.select(formatted[id_col].alias("id"), "place", "formatted", "spans")
+    kinds = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
     def run(batches):
-        for b in batches:
-            out = []
-            for text, spans in zip(column(b, "formatted").to_pylist(), column(b, "spans").to_pylist()):
-                turns = read_back(text)
-                loss = "".join(unescape(text[s["begin"]:s["end"]]) for s in spans)
-                out.append((len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
-                            len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            cols = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([column(b, id_col), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                                             [id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    kind = formatted.schema[id_col].dataType.simpleString()
-    return formatted.select(id_col, "formatted", "spans").mapInArrow(
+        found, kind = [], pa.int64()
+
+        def table():
+            cols = list(zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, k) for c, (_, k) in zip(cols[1:], kinds))],
+                                              [id_col, *(n for n, _ in kinds)])
+
+        def rows():
+            nonlocal kind
+            for b in batches:
+                kind = column(b, "id").type
+                yield from zip(*(column(b, c).to_pylist() for c in ("id", "formatted", "spans")))
+
+        for key, pieces in groupby(rows(), itemgetter(0)):
+            said, loss, n_turns, n_loss, n_chars, rest = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, ""
+            for _, text, spans in pieces:
+                n_chars += len(text)
+                for s in spans:
+                    part = unescape(text[s["begin"]:s["end"]])
+                    n_loss += len(part)
+                    loss.update(part.encode())
+                rest, end = rest + text, 0
+                for m in _turn.finditer(rest):
+                    n_turns, end = n_turns + 1, m.end()
+                    said.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+                rest = rest[end:]
+            found.append((key, n_turns, said.hexdigest(), n_loss, loss.hexdigest(), n_chars))
+            if len(found) >= 1000:
+                yield table()
+                found.clear()
+        if found:
+            yield table()
+
+    kind = own.schema["id"].dataType.simpleString()
+    return own.repartition("id").sortWithinPartitions("id", "place").drop("place").mapInArrow(
         run, f"`{id_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

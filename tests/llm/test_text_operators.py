@@ -316,6 +316,44 @@ def test_conversation_rows(spark):
     assert C.digests(C.format_conversations(df.limit(0))).count() == 0
 
 
+def test_long_conversation_spreads_over_tasks(spark):
+    """Turns are rendered by the task that has them; joined they are what the whole template gives."""
+    template = ("{{ '<<' }}{% for m in messages %}{% if loop.first %}F{% endif %}{{ loop.index0 }}{% generation %}{{ m.text | escape }}{% endgeneration %}"
+                "{% if loop.last %}L{% endif %}{% endfor %}>>")
+    r = random.Random(4)
+    rows = [(7, t // 2, r.choice(["user", "assistant"]), "ab<s>"[:r.randint(0, 5)] * r.randint(0, 3)) for t in range(3000)]
+    rows += [(7, 700, "user", "same")] * 900 + [(i, t, "user", f"{t}") for i in (1, 9, 20) for t in range(2)] + [(3, 0, "assistant", "one")]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = C.format_conversations(df, template=template).withColumn("task", F.spark_partition_id()).collect()
+        told = {x.conv_id: x for x in C.digests(C.format_conversations(df)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len({x.task for x in parts if x.conv_id == 7}) > 3
+    for conv in (1, 3, 7, 9, 20):
+        own = sorted((x for x in parts if x.conv_id == conv), key=lambda x: x.place)
+        turns = [{"role": a, "text": b} for _, _, a, b in sorted(x for x in rows if x[0] == conv)]
+        text, spans = C.compile_template(template)(turns)
+        assert [x.place for x in own] == list(range(len(turns)))
+        assert "".join(x.formatted for x in own) == text
+        at, got = 0, []
+        for x in own:
+            got += [(at + s.begin, at + s.end) for s in x.spans]
+            at += len(x.formatted)
+        assert got == spans
+        assert told[conv].n_turns == len(turns) and told[conv].formatted_chars == len(C.compile_template(C.TEMPLATE)(turns)[0])
+        assert told[conv].turns_sha256 == hashlib.sha256("".join(f"{x['role']}\n{x['text']}\n" for x in turns).encode()).hexdigest()
+        assert told[conv].loss_sha256 == hashlib.sha256("".join(x["text"] for x in turns if x["role"] == "assistant").encode()).hexdigest()
+    for whole in ("{% for m in messages %}{% endfor %}{{ messages[0].text }}", "{% if true %}x{% endif %}", "{% for m in messages %}{{ messages }}{% endfor %}",
+                  "{% generation %}{% for m in messages %}{% endfor %}{% endgeneration %}"):
+        C.compile_template(whole)
+        with pytest.raises(C.TemplateError):
+            C.turn_renderer(whole)
+
+
 def test_schema_types(spark):
     kinds = dict(Q.REGISTRY["op6_chat_formatting"](spark, SF).dtypes)
     assert kinds == {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"}
