@@ -16,7 +16,9 @@ population count of two sketches' XOR estimates how many samples differ, most pr
    links join most components, which spares the pairs inside them.  A bucket that has become whole is left out of
    the next round.  A last pass proposes every pair left whose sketches are close, by then also by a wide odd sketch
    (1024 samples in 4096 bits, made for these members only), and a pair that shares several buckets only in the
-   first.  So every pair that shares a bucket is linked, within one component, or compared.  A pair at similarity 0.85
+   first.  It gives a member's partners as one list, and the lists are confirmed cell by cell (``confirm_lists``): a
+   cell gets the texts of two blocks of documents once, so what is joined and shuffled grows with the documents and
+   their blocks, not with the pairs.  So every pair that shares a bucket is linked, within one component, or compared.  A pair at similarity 0.85
    shares no bucket with a chance of 5 in 10^11, one at 0.80 with 7 in 10^10.
 
 The number of bands and what counts as close follow from ``percent`` (``limits``).
@@ -55,6 +57,7 @@ NEAR_SIGMA = 1.25           # deviations beyond the mean within which a round's
 WIDE_SAMPLES, WIDE = 1024, 4096
 BITMAP = 1 << 23
 LOT = 250_000               # links contracted by one task
+CELL = 1 << 21              # shingles of a side confirmed at once
 
 _rng = np.random.Generator(np.random.PCG64(77))
 MULTIPLY = _rng.integers(0, 1 << 31, WIDE_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -231,7 +234,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     The pairs of a document are dealt in lots of ``SALTED``; a lot gets the document's own text once and each
     partner's, side by side in one sorted stream."""
     many = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    lots = pairs.join(many, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SALTED)))
+    lots = saved(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SALTED)).alias("lot")), "lots")
     asked = lots.select("a", "lot", F.col("b").alias("id"), F.lit(1).alias("role")).unionByName(
         lots.select("a", "lot").distinct().withColumn("id", F.col("a")).withColumn("role", F.lit(0)))
     rows = only(texts, saved(asked, "asked")).select("a", "lot", "role", "id", "text")
@@ -262,6 +265,65 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return stream.mapInArrow(run, "a long, b long")
 
 
+def confirm_lists(lists: DataFrame, blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """As ``confirm``, of ``lists`` (main, a, partners).  ``blocks``: main, blocks, into which its documents are dealt.
+    A cell is two blocks: it gets each document's text that its lists name once."""
+    def deal(batches):
+        for b in batches:
+            main, a, n = (column(b, k).to_numpy(zero_copy_only=False) for k in ("main", "a", "blocks"))
+            size = np.diff(column(b, "partners").offsets.to_numpy())
+            partner = column(b, "partners").flatten().to_numpy()
+            row = np.repeat(np.arange(len(a)), size)
+            x, y = (mix(k.view(np.uint64)) % n[row].astype(np.uint64) for k in (a[row], partner))
+            x, y = np.minimum(x, y).astype(np.int32), np.maximum(x, y).astype(np.int32)
+            order = np.lexsort((y, x, row))
+            row, x, y, partner = row[order], x[order], y[order], partner[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            at = np.flatnonzero(first)
+            named = np.unique(np.stack([np.tile(main[row], 2), np.tile(x, 2).astype(np.int64), np.tile(y, 2).astype(np.int64),
+                                        np.concatenate([a[row], partner])], 1), axis=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), pa.array(partner))
+            names = ["main", "x", "y", "id", "partners"]
+            yield pa.RecordBatch.from_arrays([pa.array(main[row[at]]), pa.array(x[at]), pa.array(y[at]), pa.array(a[row[at]]), lists], names)
+            yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1].astype(np.int32)), pa.array(named[:, 2].astype(np.int32)),
+                                              pa.array(named[:, 3]), pa.nulls(len(named), pa.list_(pa.int64()))], names)
+
+    cells = saved(lists.join(blocks, "main").mapInArrow(deal, "main long, x int, y int, id long, partners array<long>"), "cells")
+    asked = saved(cells.where("partners is null").select("main", "x", "y", "id").distinct(), "asked")
+    rows = only(texts, asked).select("main", "x", "y", F.lit(0).alias("role"), "id", "text", F.lit(None).cast("array<long>").alias("partners")).unionByName(
+        cells.where("partners is not null").select("main", "x", "y", F.lit(1).alias("role"), "id", F.lit(None).cast("string").alias("text"), "partners"))
+    stream = rows.repartition("main", "x", "y").sortWithinPartitions("main", "x", "y", "role")
+
+    def run(batches):
+        sets: dict[int, list[np.ndarray]] = {}
+        for fresh, b in grouped(batches, ("main", "x", "y")):
+            if fresh:
+                sets = {}
+            ids, partners = column(b, "id").to_pylist(), column(b, "partners")
+            named = int((column(b, "role").to_numpy() == 0).sum())          # these come first
+            for i, j, values, off in shingle_sets(column(b, "text").slice(0, named)):
+                for r in range(j - i):
+                    if off[r] < off[r + 1]:
+                        sets.setdefault(ids[i + r], []).append(values[off[r]:off[r + 1]].copy())
+            out = []
+            for r in range(named, len(ids)):
+                others = [(k, s) for k in partners[r].as_py() for s in sets.get(k, ())]
+                if not others:
+                    continue
+                sizes = np.array([len(s) for _, s in others])
+                values, cuts = np.concatenate([s for _, s in others]), np.cumsum(sizes) - sizes
+                for own in sets.get(ids[r], ()):
+                    held = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                    shared = np.add.reduceat(held, cuts, dtype=np.int64)
+                    out += [(ids[r], others[k][0]) for k in np.flatnonzero(100 * shared >= percent * (len(own) + sizes - shared))]
+            if out:
+                a, c = (np.array(k, np.int64) for k in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+
+    return stream.mapInArrow(run, "a long, b long")
+
+
 def contracted(e: DataFrame, lots: int) -> DataFrame:
     """Edges (u, v), v the smaller, with each lot of them replaced by stars around its components' smallest nodes."""
     def run(batches):
@@ -316,10 +378,10 @@ def across_components(rows: DataFrame, nodes: DataFrame, most: Limits, best: int
     """Pairs (a, b) that share a bucket, lie in different components and have close sketches.  ``rows``: key, rep,
     component; ``nodes``: rep, sketch and, without ``best``, keys and wide.  Members outside the bucket's largest
     component meet all others block by block; with ``best``, each proposes at most so many partners in a block, else
-    all that are close, a pair in the first of its buckets."""
+    all that are close, a pair in the first of its buckets: lists (main, a, partners) then."""
     near = rows.join(nodes, "rep")
     wide = best is None
-    more = ["rep", "component", "sketch", *(["keys", "wide"] if wide else [])]
+    more = ["rep", "component", "sketch", *(["keys", "wide", "main"] if wide else [])]
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
     others = F.col("members") - F.col("largest")
@@ -346,7 +408,7 @@ def across_components(rows: DataFrame, nodes: DataFrame, most: Limits, best: int
             got = [column(b, "rep").to_numpy(), column(b, "component").to_numpy(), words(b, "sketch", SKETCH)]
             if wide:
                 got += [words(b, "wide", WIDE), words(b, "keys", 64 * most.bands)]
-                key = column(b, "key").to_numpy()[:1].view(np.uint64)[0]
+                key, main = column(b, "key").to_numpy()[:1].view(np.uint64)[0], column(b, "main").to_numpy()[0]
             first = role == 0
             own = [x[first] for x in got] if fresh else [np.concatenate([o, x[first]]) for o, x in zip(own, got)]
             other = [x[~first] for x in got]
@@ -365,11 +427,18 @@ def across_components(rows: DataFrame, nodes: DataFrame, most: Limits, best: int
                     if len(i):
                         ok = np.concatenate([close_here(own, other, i[m:m + 4096], k + j[m:m + 4096], key) for m in range(0, len(i), 4096)])
                         i, j = i[ok], j[ok]
-                if len(i):
+                    once = (comp[j] == main) | (own[0][i] < rep[j])     # two members outside the main component meet twice
+                    i, j = i[once], j[once]
+                if wide and len(i):
+                    at = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), main)), pa.array(own[0][i[at]]),
+                         pa.ListArray.from_arrays(pa.array(np.append(at, len(i)), pa.int32()), pa.array(rep[j]))], ["main", "a", "partners"])
+                elif len(i):
                     a, c = own[0][i], rep[j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
-    return stream.mapInArrow(run, "a long, b long").distinct()
+    return stream.mapInArrow(run, "main long, a long, partners array<long>") if wide else stream.mapInArrow(run, "a long, b long").distinct()
 
 
 def split_buckets(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -389,8 +458,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     sig = saved(signatures(src, bounds.bands), "signatures")
     named = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
-    reps = saved(named.groupBy("f1", "f2").agg(F.min(F.struct("id", "keys", "sketch")).alias("s"))
-                 .select("f1", "f2", F.col("s.id").alias("rep"), "s.keys", "s.sketch"), "classes")
+    reps = saved(named.groupBy("f1", "f2").agg(F.min(F.struct("id", "keys", "sketch", "n")).alias("s"))
+                 .select("f1", "f2", F.col("s.id").alias("rep"), "s.keys", "s.sketch", "s.n"), "classes")
 
     bands = reps.select("rep", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("members")).where("members > 1")
@@ -411,19 +480,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if split.isEmpty():
             break
         rows = split.select("key", "rep")           # a bucket once whole stays whole
-        last = nth == ROUNDS
-        if last:
+        if nth == ROUNDS:
             nodes = reps.select("rep", "sketch", "keys").join(wide_sketches(split.select(F.col("rep").alias("id")).distinct(), texts), "rep")
-        pairs = saved(across_components(split, nodes, bounds, None if last else BEST).join(tested, ["a", "b"], "left_anti"), "pairs")
+            lists = saved(across_components(split, nodes, bounds), "lists")
+            if not lists.isEmpty():
+                blocks = (split.select("main", "rep").distinct().join(reps.select("rep", "n"), "rep").groupBy("main")
+                          .agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / CELL)).alias("blocks")))
+                found = components(links.unionByName(saved(confirm_lists(lists, blocks, texts, percent), "links")))
+            break
+        pairs = saved(across_components(split, nodes, bounds, BEST).join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if last:
-                break
             continue
         tested = tested.unionByName(pairs)
         links = links.unionByName(saved(confirm(pairs, texts, percent), "links"))
         found = components(links)
-        if last:
-            break
 
     classes = reps.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "f1", "f2", F.coalesce("component", "rep").alias("component"))
