@@ -6,9 +6,11 @@ candidate character by character with the text around it: character vectors, one
 positions, a logistic output.  It reads ``BODY`` characters of a candidate at once; a longer one is read in every
 window of that size, at each of its characters, and the windows above the threshold are the spans found.  It is trained on labelled findings: base
 matches are secrets, other candidates and ordinary numbers are not, and both kinds are varied (other alphabets,
-lengths and surrounding words) so that secrets of no base form are known too.  Training takes a bounded sample of
-documents (``sample`` of them, spread by a hash of their text); its scores are calibrated on a held-out part, and
-the threshold must keep ``recall`` of the held-out secrets and is at least one half.  Every text is
+lengths and surrounding words) so that secrets of no base form are known too.  Training takes all findings of all
+documents, dealt by a hash into lots of about ``findings``: in each of ``EPOCHS`` rounds the lots go through their
+findings side by side, from the same parameters, and the mean of what they end with (weighted by their rows) begins
+the next round.  Scores are calibrated on all findings of a held-out part, counted by score, and the threshold must
+keep ``recall`` of the held-out secrets and is at least one half where that does.  Every text is
 scanned whole; base findings always stay and the network adds spans that overlap none of them.  Of a long finding,
 training takes at most ``WINDOWS`` windows, spread evenly from its first to its last.
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.arrowtext import LOWER, byte_class, column, runs, ship, strings, text_bytes
+from feedlake.llm.arrowtext import LOWER, byte_class, column, runs, saved, ship, strings, text_bytes
 
 #: fixed values: the base patterns; kinds in the order in which equal starts are listed
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -45,6 +47,9 @@ WIDTH = BEFORE + BODY + AFTER
 WINDOWS = 4                             # of a long finding, in training only
 CHUNK = 2048                            # windows scored at once
 SYMBOLS = 98                            # printable ASCII, any other, none
+EPOCHS = 12
+EXACT = 50_000                          # held-out rows whose scores are told apart exactly; of more, to FINE parts of one
+FINE = 256
 
 
 def base_findings(text: str) -> list[tuple[int, int, str]]:
@@ -174,49 +179,67 @@ class CharCNN:
         h = np.maximum(top, 0)
         return h @ p["out"] + p["ob"][0], (cols, best, top, h)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> None:
+    def vector(self) -> np.ndarray:
+        """The parameters on end."""
+        return np.concatenate([self.p[k].ravel() for k in self.p])
+
+    def named(self, vector: np.ndarray) -> dict[str, np.ndarray]:
+        ends = np.cumsum([v.size for v in self.p.values()])
+        return {k: part.reshape(self.p[k].shape).copy() for k, part in zip(self.p, np.split(vector, ends[:-1]))}
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, nth: int, means: np.ndarray, batch: int = 64, rate: float = 0.01,
+              seed: int = 7) -> np.ndarray:
+        """Go through the rows once, for the ``nth`` time, each in an order of its own; ``means``: the two running means of
+        Adam on end, whose new values are returned."""
         r, p = np.random.default_rng(seed), self.p
-        m = {k: np.zeros_like(v) for k, v in p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in p.items()}
-        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
-        step = 0
-        for _ in range(epochs):
+        m, v2 = (self.named(part) for part in np.split(means, 2))
+        step = nth * -(-len(x) // batch)
+        for _ in range(nth + 1):
             order = r.permutation(len(x))
-            for k in range(0, len(x), batch):
-                i = order[k:k + batch]
-                logit, (cols, best, top, h) = self.forward(x[i])
-                d = weight[i] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[i]) / len(i)
-                g = {"out": h.T @ d, "ob": np.array([d.sum()])}
-                dz = (d[:, None] * p["out"]) * (top > 0)                       # one position for each filter
-                picked = cols[np.arange(len(i))[:, None], best]                # row, filter, column
-                g["conv"] = np.einsum("nfc,nf->cf", picked, dz)
-                g["cb"] = dz.sum(0)
-                back = (dz[:, :, None] * p["conv"].T[None]).reshape(len(i), -1, self.span, p["emb"].shape[1] + 1)[..., :-1]
-                g["emb"] = np.zeros_like(p["emb"])
-                at = best[:, :, None] + np.arange(self.span)
-                np.add.at(g["emb"], x[i][np.arange(len(i))[:, None, None], at], back)
-                step += 1
-                for name in p:
-                    m[name] = 0.9 * m[name] + 0.1 * g[name]
-                    v2[name] = 0.999 * v2[name] + 0.001 * g[name] ** 2
-                    p[name] -= rate * (m[name] / (1 - 0.9 ** step)) / (np.sqrt(v2[name] / (1 - 0.999 ** step)) + 1e-8)
+        for k in range(0, len(x), batch):
+            i = order[k:k + batch]
+            logit, (cols, best, top, h) = self.forward(x[i])
+            d = weight[i] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[i]) / len(i)
+            g = {"out": h.T @ d, "ob": np.array([d.sum()])}
+            dz = (d[:, None] * p["out"]) * (top > 0)                       # one position for each filter
+            picked = cols[np.arange(len(i))[:, None], best]                # row, filter, column
+            g["conv"] = np.einsum("nfc,nf->cf", picked, dz)
+            g["cb"] = dz.sum(0)
+            back = (dz[:, :, None] * p["conv"].T[None]).reshape(len(i), -1, self.span, p["emb"].shape[1] + 1)[..., :-1]
+            g["emb"] = np.zeros_like(p["emb"])
+            at = best[:, :, None] + np.arange(self.span)
+            np.add.at(g["emb"], x[i][np.arange(len(i))[:, None, None], at], back)
+            step += 1
+            for name in p:
+                m[name] = 0.9 * m[name] + 0.1 * g[name]
+                v2[name] = 0.999 * v2[name] + 0.001 * g[name] ** 2
+                p[name] -= rate * (m[name] / (1 - 0.9 ** step)) / (np.sqrt(v2[name] / (1 - 0.999 ** step)) + 1e-8)
+        return np.concatenate([part[k].ravel() for part in (m, v2) for k in p])
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+        """``settle`` on the scores of held-out findings."""
+        logit = self.forward(x)[0]
+        self.settle(logit, logit, logit, np.ones(len(logit)), y, recall)
+
+    def settle(self, logit: np.ndarray, low: np.ndarray, high: np.ndarray, count: np.ndarray, y: np.ndarray, recall: float) -> None:
         """Platt scaling on held-out findings, then the threshold: of those that keep ``recall`` of the secrets, the
         lowest with the fewest false alarms, and one half where that keeps both.  ``found`` and ``false_alarms`` are the
-        shares of held-out secrets and others that reach it."""
-        logit = self.forward(x)[0]
-        a, b = 1.0, 0.0
+        shares of held-out secrets and others that reach it.  An entry stands for ``count`` findings of a label, from
+        ``low`` to ``high``, about ``logit``: those that may fall short of the threshold count as not found,
+        those that may reach it as false alarms."""
+        a, b, total = 1.0, 0.0, count.sum()
         for _ in range(200):
             q = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
-            a, b = max(0.05, a - 0.05 * np.mean((q - y) * logit)), b - 0.05 * np.mean(q - y)
+            a, b = max(0.05, a - 0.05 * (count * (q - y) * logit).sum() / total), b - 0.05 * (count * (q - y)).sum() / total
         self.scale, self.shift = a, b
-        score = self.score(x)
-        secrets = np.sort(score[y > 0])
-        highest = float(secrets[int((1 - recall) * len(secrets))])
-        others = score[(y <= 0) & (score < highest)]
+        low, high, secret = self.chance(low), self.chance(high), y > 0
+        order = np.argsort(low[secret], kind="stable")
+        reached = np.cumsum(count[secret][order])
+        highest = float(low[secret][order][np.searchsorted(reached, int((1 - recall) * reached[-1]), "right")])
+        others = high[~secret & (high < highest)]
         self.threshold = min(highest, max(0.5, float(others.max()) + 1e-6 if len(others) else 0.5))
-        self.found, self.false_alarms = float(np.mean(score[y > 0] >= self.threshold)), float(np.mean(score[y <= 0] >= self.threshold))
+        self.found = float((count * (low >= self.threshold))[secret].sum() / count[secret].sum())
+        self.false_alarms = float((count * (high >= self.threshold))[~secret].sum() / count[~secret].sum())
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.chance(self.forward(x)[0])
@@ -308,15 +331,14 @@ def varied(findings: list[tuple[str, str, str, int]], seed: int = 3) -> tuple[np
     return np.stack([codes(t, s, e) for t, s, e, _ in parts]), np.array([y for *_, y in parts], float)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, findings: int = 3_000,
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None, findings: int = 3_000,
           recall: float = 0.98) -> CharCNN | None:
-    """A calibrated network from at most ``findings`` labelled findings of about ``sample`` documents (fewer when
-    there are fewer), both spread by a hash; None when either label is missing.  A quarter of the findings is held
-    out for the calibration; where that quarter lacks a label, the training findings calibrate."""
+    """A calibrated network from the labelled findings of all documents (of about ``sample`` where a caller asks for it),
+    in lots of about ``findings``; None when either label is missing.  A quarter of the findings is held out for the
+    calibration; where that quarter lacks a label, the training findings calibrate."""
     ship(docs.sparkSession)
     src = docs.select(docs[text_col].alias("text"), F.xxhash64(docs[id_col].cast("string"), docs[text_col]).alias("h"))
-    share = max(1, src.count() // sample)
-    picked = src.where(F.pmod("h", F.lit(share)) == 0)
+    picked = src if sample is None else src.where(F.pmod("h", F.lit(max(1, src.count() // sample))) == 0)
 
     def label(batches):
         for b in batches:
@@ -337,21 +359,100 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 ["h", "k", "before", "body", "after", "label"])
 
     found = picked.mapInArrow(label, "h long, k int, before string, body string, after string, label int")
-    # the part is hashed anew: among sampled rows h itself is a multiple of share
-    rows = (found.withColumn("part", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(4)))
-            .orderBy(F.xxhash64("h", F.lit(1)), "k", "before", "body").limit(findings).collect())
-    held = [r for r in rows if r.part == 0]
-    rest = [r for r in rows if r.part != 0]
-    if len({r.label for r in rest}) < 2:
+    # the part is hashed anew: among sampled rows h itself is a multiple of the share
+    rows = saved(found.withColumn("part", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(4)) == 0), "findings")
+    size = {(r.part, r.label): r["count"] for r in rows.groupBy("part", "label").count().collect()}
+    if not all(size.get((False, y)) for y in (0, 1)):
         return None
+    held = all(size.get((True, y)) for y in (0, 1))
+    lots = -(-sum(size.values()) // findings)
     net = CharCNN()
-    net.fit(*varied([(r.before, r.body, r.after, r.label) for r in rest]))
-    if len({r.label for r in held}) < 2:
-        held = rest
-    net.calibrate(*varied([(r.before, r.body, r.after, r.label) for r in held], seed=11), recall)
+    learned(net, prepared(rows.where("not part"), lots, 3))
+    counted(net, prepared(rows.where("part") if held else rows.where("not part"), lots, 11), recall)
     return net
 
 
+def prepared(rows: DataFrame, lots: int, seed: int) -> DataFrame:
+    """Findings as training rows with variants: lot, x (codes) and y as bytes, n, secrets; a row per lot."""
+    dealt = rows.withColumn("lot", F.pmod(F.xxhash64("h", "k", F.lit(3)), F.lit(lots)).cast("int")).withColumn("at", F.xxhash64("h", F.lit(1)))
+    kept = dealt.repartition(lots, "lot").sortWithinPartitions("lot", "at", "k", "before", "body", "after")
+
+    def run(batches):
+        lot, held = None, []
+
+        def ready():
+            x, y = varied(held, seed + 1_000_003 * lot)
+            yield pa.RecordBatch.from_arrays([pa.array([lot], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([y.astype(np.int8).tobytes()], pa.binary()),
+                                              pa.array([len(y)], pa.int64()), pa.array([int(y.sum())], pa.int64())], ["lot", "x", "y", "n", "secrets"])
+
+        for b in batches:
+            names = ("lot", "before", "body", "after", "label")
+            for nth, *finding in zip(*(column(b, k).to_pylist() for k in names)):
+                if nth != lot and held:
+                    yield from ready()
+                    held = []
+                lot = nth
+                held.append(tuple(finding))
+        if held:
+            yield from ready()
+
+    return saved(kept.mapInArrow(run, "lot int, x binary, y binary, n long, secrets long"), "lots")
+
+
+def of_lot(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    x, y = (column(b, k)[i].as_py() for k in ("x", "y"))
+    return np.frombuffer(x, np.int16).reshape(-1, WIDTH), np.frombuffer(y, np.int8).astype(float)
+
+
+def learned(net: CharCNN, rows: DataFrame) -> None:
+    """Train ``net`` on all lots of ``rows``, ``EPOCHS`` rounds; the driver sees one vector a round."""
+    spark = rows.sparkSession
+    n, secrets = rows.agg(F.sum("n"), F.sum("secrets")).first()
+    vector, means = net.vector(), np.zeros(2 * len(net.vector()))
+    for nth in range(EPOCHS):
+        sent = spark.sparkContext.broadcast((vector, means))
+
+        def run(batches, nth=nth, sent=sent):
+            for b in batches:
+                for i in range(b.num_rows):
+                    x, y = of_lot(b, i)
+                    lot = column(b, "lot")[i].as_py()
+                    own = CharCNN()
+                    own.p = own.named(sent.value[0])
+                    weight = np.where(y > 0, 0.5 / max(1, secrets), 0.5 / max(1, n - secrets)) * n
+                    after = own.epoch(x, y, weight, nth, sent.value[1], seed=7 + lot)
+                    values = np.concatenate([own.vector(), after]) * (len(y) / n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), lot, np.int32)), pa.array(np.arange(len(values), dtype=np.int32)),
+                                                      pa.array(values)], ["lot", "at", "value"])
+
+        # added in the order of the lots, so that a run gives the same network each time
+        parts = rows.mapInArrow(run, "lot int, at int, value double").groupBy("at").agg(F.sort_array(F.collect_list(F.struct("lot", "value"))).alias("parts"))
+        total = parts.select("at", F.aggregate("parts", F.lit(0.0), lambda t, x: t + x["value"]).alias("value"))
+        got = np.array([r.value for r in sorted(total.collect())])
+        vector, means = got[:len(vector)], got[len(vector):]
+    net.p = net.named(vector)
+
+
+def counted(net: CharCNN, rows: DataFrame, recall: float) -> None:
+    """Calibrate ``net`` on all lots of ``rows``; the driver sees counts by label and score."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                x, y = of_lot(b, i)
+                for k in range(0, len(x), CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array(y[k:k + CHUNK].astype(np.int32)), pa.array(sent.value.forward(x[k:k + CHUNK])[0])], ["y", "logit"])
+
+    few = rows.agg(F.sum("n")).first()[0] <= EXACT
+    # beyond 40 a score does not change
+    key = F.col("logit") if few else F.floor(F.least(F.greatest("logit", F.lit(-40.0)), F.lit(40.0)) * FINE)
+    got = (rows.mapInArrow(run, "y int, logit double").groupBy("y", key.alias("key"))
+           .agg(F.min("logit").alias("low"), F.max("logit").alias("high"), F.count("*").alias("count")).orderBy("y", "key").collect())
+    low, high, count, y = (np.array([r[k] for r in got], float) for k in ("low", "high", "count", "y"))
+    net.settle((low + high) / 2, low, high, count, y, recall)
+
+
 def _scan(src: DataFrame, net: CharCNN | None) -> DataFrame:
     """``src`` (text, ...) with ``found``: array of (start, end, kind, score) in code points, ordered."""
     spark = src.sparkSession

@@ -189,13 +189,10 @@ def test_search_small_tables(spark):
 
 def test_close_pairs_are_no_rows(spark, monkeypatch):
     """Of a group whose pairs are all close but mostly no links, no row is made of each pair, and no link is lost."""
-    r = random.Random(3)
-    base = [f"w{k}" for k in range(120)]
     texts = []
-    for k in range(700):
-        words = list(base)
-        for at in r.sample(range(120), 2):
-            words[at] = f"x{k}_{at}"
+    for k in range(310):        # any two at 75 of 95 shingles, but those that have a word in common
+        words = [f"w{n}" for n in range(89)]
+        words[20], words[60] = f"x{k % 300}", f"y{k}"
         texts.append(" ".join(words))
     sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
     parent = list(range(len(sets)))
@@ -211,10 +208,10 @@ def test_close_pairs_are_no_rows(spark, monkeypatch):
             if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
                 x, y = top(a), top(b)
                 parent[max(x, y)] = min(x, y)
-    made, confirm, lists = [], N.confirm, N.confirm_lists
+    made, confirm, lists = [], N.confirm, getattr(N, "confirm_lists", None)
     monkeypatch.setattr(N, "confirm", lambda pairs, *a: (made.append(pairs.count()), confirm(pairs, *a))[1])
     monkeypatch.setattr(N, "confirm_lists", lambda rows, *a: (made.append(rows.count()), lists(rows, *a))[1], raising=False)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in N.near_duplicates(docs, percent=80).collect()}
     assert got == {k: top(k) for k in range(len(sets))}
-    assert sum(made) < 40 * len(texts), made
+    assert sum(made) < 30 * len(texts), made
