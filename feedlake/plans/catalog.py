@@ -566,7 +566,7 @@ def q_cdc_stream_state(spark, d):
     work = scratch_path(spark, "silver-stream")
     lines = CF.order_changes_with_op(spark, d)
     layer = SilverStream(spark, f"{work}/state", {"orders": S.ORDER_ROW_SCHEMA})
-    lines.select("value", F.when(F.col("op") == "r", 0).otherwise(1).alias("drop")).write.partitionBy("drop").text(f"{work}/in")
+    lines.select("value", F.when(F.col("op") == "r", 0).otherwise(1).alias("drop")).write.options(**CF.LINE_FILES).partitionBy("drop").text(f"{work}/in")
     for path in (f"{work}/in/drop=0", f"{work}/in/drop=*"):
         layer.run(text_values(spark, path))
     return layer.state("orders")

@@ -57,14 +57,14 @@ def raw_records(values: DataFrame) -> DataFrame:
 
 
 def land(values: DataFrame, root: str, checkpoint: str, layout: str = "raw-cdc", table: str | None = None,
-         max_records_per_file: int = 0, available_now: bool = True, flush_seconds: int = 15):
+         max_records_per_file: int = 1_000_000, available_now: bool = True, flush_seconds: int = 15):
     """Start the lander.
 
     raw-cdc: ``<root>/raw-cdc/topic=<topic with . -> _>/date=/hour=`` (all tables);
     topics:  ``<root>/topics/postgres.public.<table>/year=/month=/day=/hour=`` (one table).
 
-    A micro-batch's size, which the source's trigger caps bound, sets the size of its files;
-    ``max_records_per_file`` rolls them over earlier (0: not)."""
+    Files are gzip-packed JSON lines.  A micro-batch's size, which the source's trigger caps bound, sets the size of its
+    files; ``max_records_per_file`` rolls them over earlier (0: not), since a packed file is read by one task."""
     recs = raw_records(values)
     if layout == "raw-cdc":
         df = recs.drop("year", "month", "day").withColumn("topic", F.regexp_replace("topic", r"\.", "_"))
@@ -77,7 +77,7 @@ def land(values: DataFrame, root: str, checkpoint: str, layout: str = "raw-cdc",
     else:
         raise ValueError(f"unknown layout {layout!r}")
     w = (df.writeStream.format("json").partitionBy(*parts).option("path", out)
-         .option("checkpointLocation", checkpoint).option("maxRecordsPerFile", str(max_records_per_file)))
+         .option("checkpointLocation", checkpoint).option("maxRecordsPerFile", str(max_records_per_file)).option("compression", "gzip"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{flush_seconds} seconds")
     q = w.start()
     if available_now:
