@@ -1,8 +1,8 @@
 """Change events -> current-state tables, incrementally (silver as a stream).
 
 One streaming query per table keeps each key's latest change in Spark's state
-store (``transformWithState``, a value per key): the row, its place in the total
-order of changes and whether it deletes.  The order is that of the batch current
+store (a streaming ``groupBy(key)`` with ``max_by``, so no Python runs per key): the
+row, its place in the total order of changes and whether it deletes.  The order is that of the batch current
 state (event time, source time, position in the log, deletes last), so neither
 the order of the lines nor the cut of the batches matters.  A delete stays as a
 tombstone, so a late, older change can never bring a deleted key back.  Reads
@@ -11,15 +11,13 @@ open the checkpoint and leave tombstones out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from feedlake import schemas as S
-from feedlake.session import ship, use_state_store
+from feedlake.session import use_state_store
 from feedlake.streaming import envelope as EN
 
 #: as the batch state orders changes (operators.cdc.change_order)
@@ -28,31 +26,6 @@ CHANGE = T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T
                        T.StructField("is_delete", T.BooleanType()), T.StructField("h", T.LongType())])
 
 
-def place(change) -> tuple:
-    """Place of a change in the total order; a missing part comes first."""
-    return tuple((change[c] is not None, change[c] if change[c] is not None else "" if c == "op" else 0) for c in ORDER)
-
-
-class CurrentState(StatefulProcessor):
-    """The latest change of a key.  Rows: the table's columns and those of CHANGE, all of them the value."""
-
-    def __init__(self, schema: T.StructType):
-        self.schema = schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", self.schema)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        latest = max(rows, key=place)
-        held = dict(zip(self.schema.fieldNames(), self.current.get())) if self.current.exists() else None
-        if held is None or place(latest) > place(held):
-            self.current.update(tuple(latest[c] for c in self.schema.fieldNames()))
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
 class SilverStream:
     def __init__(self, spark: SparkSession, root: str, row_schemas: dict[str, T.StructType],
                  keys: dict[str, list[str]] | None = None):
@@ -85,9 +58,9 @@ class SilverStream:
 
     def start(self, table: str, values: DataFrame, available_now: bool = True, processing_time: str = "15 seconds") -> StreamingQuery:
         use_state_store(self.spark)
-        ship(self.spark)
-        keyed = self.changes(values, table).groupBy(*self.keys[table])
-        out = keyed.transformWithState(CurrentState(self.value_schema(table)), "table string", "Update", "None").writeStream
+        # a missing part of a place comes first, as null does in Spark's order
+        latest = F.max_by(F.struct(*self.value_schema(table).fieldNames()), F.struct(*ORDER))
+        out = self.changes(values, table).groupBy(*self.keys[table]).agg(latest.alias("current")).writeStream
         out = out.format("noop").outputMode("update").option("checkpointLocation", f"{self.root}/{table}")
         return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=processing_time)).start()
 
@@ -99,5 +72,5 @@ class SilverStream:
     def state(self, table: str) -> DataFrame:
         """The table's rows as of the last batch."""
         use_state_store(self.spark)
-        held = self.spark.read.format("statestore").option("stateVarName", "current").load(f"{self.root}/{table}")
-        return held.select("value.*").filter(~F.col("is_delete")).drop("h", "lsn", "partition", "offset")
+        held = self.spark.read.format("statestore").load(f"{self.root}/{table}")
+        return held.select("value.valueWithExtremumOrdering.*").filter(~F.col("is_delete")).drop("h", "lsn", "partition", "offset")
