@@ -55,8 +55,9 @@ def event_ms(env: Column) -> Column:
 def parse_envelopes(values: DataFrame, allowed_ops: tuple[str, ...] = ("c",)) -> DataFrame:
     """Columns added: op, table, after (variant), ts_ms, user_id, post_id,
     event_ts_ms (ts_ms else source.ts_ms), outcome."""
-    root, env = unwrapped(F.col("value"))
-    df = values.select("*", root.alias("_root"), env.alias("_env"))
+    # step by step: each part is worked out once and then read by name
+    df = values.withColumn("_root", F.try_parse_json("value")).withColumn("_payload", _get(F.col("_root"), "$.payload", "variant"))
+    df = df.withColumn("_env", F.when(_present(F.col("_payload")), F.col("_payload")).otherwise(F.col("_root"))).drop("_payload")
     e = F.col("_env")
     after = _get(e, "$.after", "variant")
     df = df.select(

@@ -8,14 +8,16 @@ source, so serving needs no running stream.
 * trending: a streaming ``groupBy(post_id).count()``.
 * recent views: ``transformWithState`` with a list per user, newest first and
   cut to the limit, so a busy user costs as much as any other.
-* cold start: ``transformWithState`` with a map of fields and a score per post.
+* cold start: a streaming ``groupBy(post_id, field)`` that keeps the last value of
+  each field and, under no field, the last score; no Python runs per post.
 * outcomes: one pass whose ``observe`` metrics count the events per outcome
   while the malformed lines go to a file sink (the dead letters).  Every other
   stream observes the same metrics.
 
 Ordering ("arrival"): later micro-batches win; inside a batch the log's own
 order (record time, partition, offset) decides where the source has one, and
-the event time only where it has none (text files).
+the event time only where it has none (text files).  In the cold-start state a
+batch's place is the start time that Spark records with it in the checkpoint.
 """
 
 from __future__ import annotations
@@ -59,13 +61,18 @@ def text_values(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.load(path).select("value")
 
 
-def arrival(row: Row) -> tuple:
+def arrival(parts: tuple) -> tuple:
     """When a row arrived within its batch; a missing part comes first."""
-    return tuple((row[c] is not None, row[c] or 0) for c in ARRIVAL)
+    return tuple((x is not None, x or 0) for x in parts)
+
+
+def order_of(ev: DataFrame) -> list[str]:
+    """The parts of the arrival that the source has."""
+    return [c for c in ARRIVAL if c in ev.columns]
 
 
 class RecentViews(StatefulProcessor):
-    """A user's newest ``limit`` posts, newest first, duplicates kept."""
+    """A user's newest ``limit`` posts, newest first, duplicates kept.  Rows: user, post, parts of the arrival."""
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -74,8 +81,8 @@ class RecentViews(StatefulProcessor):
         self.views = handle.getListState("views", "post_id string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest = heapq.nlargest(self.limit, rows, key=lambda r: (arrival(r), r["post_id"]))
-        views = [(r["post_id"],) for r in newest]
+        newest = heapq.nlargest(self.limit, rows, key=lambda r: (arrival(r[2:]), r[1]))
+        views = [(r[1],) for r in newest]
         if len(views) < self.limit:
             views += [tuple(v) for v in self.views.get()][:self.limit - len(views)]
         self.views.put(views)
@@ -85,33 +92,6 @@ class RecentViews(StatefulProcessor):
         pass
 
 
-class ColdStart(StatefulProcessor):
-    """A post's fields (later values overwrite) and its score (the last one that came with a time)."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fields = handle.getMapState("fields", "field string", "value string")
-        self.score = handle.getValueState("score", "score double")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        latest: dict[str, tuple] = {}
-        score = None
-        for r in rows:
-            at = arrival(r)
-            for field, value in dict(r["fields"]).items():      # a map arrives as pairs
-                if field not in latest or (at, value) > latest[field]:
-                    latest[field] = (at, value)
-            if r["score"] is not None and (score is None or (at, r["score"]) > score):
-                score = (at, r["score"])
-        for field, (_, value) in latest.items():
-            self.fields.updateValue((field,), (value,))
-        if score:
-            self.score.update((score[1],))
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
 class SpeedLayer:
     """Owns the streams under ``root``: a checkpoint per state and the dead letters."""
 
@@ -130,7 +110,7 @@ class SpeedLayer:
         """The parsed events, counted by outcome on their way (T6).  The
         metrics also keep filters above from being pushed below the parsing,
         where each of their fields would parse the line anew."""
-        record = {k: (F.col(c) if c in values.columns else F.lit(None)).cast("long") for k, c in RECORD.items()}
+        record = {k: F.col(c).cast("long") for k, c in RECORD.items() if c in values.columns}
         seen = [F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES]
         return EN.parse_envelopes(values.withColumns(record), self.allowed_ops).withColumn("t", F.col("event_ts_ms")).observe("outcomes", *seen)
 
@@ -140,14 +120,22 @@ class SpeedLayer:
 
     def recent_views_stream(self, ev: DataFrame) -> DataFrame:
         """Newest-first list per user, duplicates kept, capped."""
-        views = ev.filter(F.col("outcome") == EN.INTERACTION).select("user_id", "post_id", *ARRIVAL)
+        views = ev.filter(F.col("outcome") == EN.INTERACTION).select("user_id", "post_id", *order_of(ev))
         return views.groupBy("user_id").transformWithState(RecentViews(self.limit), "user_id string", "Update", "None")
 
     def coldstart_stream(self, ev: DataFrame) -> DataFrame:
         """T4, T5: per-post field map; score = ts_ms else source.ts_ms, only when a time exists."""
+        at = F.current_timestamp()      # one for a batch, the same when it is run again
         posts = ev.filter(F.col("outcome").isin(EN.POST_WITH_SCORE, EN.POST_WITHOUT_SCORE)).select(
-            "post_id", *ARRIVAL, EN.field_map(F.col("after")).alias("fields"), F.col("event_ts_ms").cast("double").alias("score"))
-        return posts.groupBy("post_id").transformWithState(ColdStart(), "post_id string", "Update", "None")
+            "post_id", at.alias("at"), *order_of(ev), EN.field_map(F.col("after")).alias("fields"), F.col("event_ts_ms").cast("double").alias("score"))
+        item = lambda key, value, score: F.struct(key.alias("field"), value.alias("value"), score.alias("score"))
+        none = F.lit(None).cast("string")
+        fields = F.transform(F.map_entries("fields"), lambda e: item(e["key"], e["value"], F.lit(None).cast("double")))
+        items = F.concat(F.coalesce(fields, F.array().cast("array<struct<field:string,value:string,score:double>>")),
+                         F.when(F.col("score").isNotNull(), F.array(item(none, none, F.col("score"))))
+                         .otherwise(F.array().cast("array<struct<field:string,value:string,score:double>>")))
+        each = posts.select("post_id", "at", *order_of(ev), F.inline(items))
+        return each.groupBy("post_id", "field").agg(F.max(F.struct("at", *order_of(ev), "value", "score")).alias("last"))
 
     def outcomes_stream(self, ev: DataFrame) -> DataFrame:
         """The malformed lines; the others are only counted."""
@@ -202,11 +190,10 @@ class SpeedLayer:
         return self.recent_views(n)
 
     def coldstart_meta(self) -> DataFrame:
-        fields = self.state("coldstart", "fields").select("key.post_id", F.explode("map_value").alias("k", "v"))
-        return fields.select("post_id", "k.field", "v.value")
+        return self.state("coldstart").where("key.field is not null").select("key.post_id", "key.field", "value.max.value")
 
     def coldstart_scores(self) -> DataFrame:
-        return self.state("coldstart", "score").select("key.post_id", "value.score")
+        return self.state("coldstart").where("key.field is null").select("key.post_id", "value.max.score")
 
     def outcomes(self) -> DataFrame:
         """Events per outcome that this layer's runs have observed."""

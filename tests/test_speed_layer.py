@@ -203,3 +203,37 @@ def test_arrival_order_is_the_logs_order(spark):
         meta = {r.field: r.value for r in layer.coldstart_meta().collect()}
         states.append((meta["title"], [tuple(r) for r in layer.coldstart_scores().collect()]))
     assert states == [("v3", [("p1", 10.0)])] * 2
+
+
+def test_stream_state_runs_no_python(spark):
+    """The cold-start and silver states fold in Spark's own aggregates: no Python call for each key of a batch."""
+    from feedlake.streaming.silver import SilverStream
+    from pyspark.sql import types as T
+
+    root = scratch_path(spark, "test-plan")
+    spark.createDataFrame([(json.dumps(_post(ts_ms=1)),)], "value string").coalesce(1).write.text(f"{root}/in")
+    values = text_values(spark, f"{root}/in")
+    queries = [SpeedLayer(spark, f"{root}/speed").start("coldstart", values),
+               SilverStream(spark, f"{root}/silver", {"interactions": T.StructType([T.StructField("event_id", T.LongType())])}).start("interactions", values)]
+    for query in queries:
+        query.awaitTermination()
+        plan = query._jsq.explainInternal(False)
+        assert "StateStoreSave" in plan and "Python" not in plan and "TransformWithState" not in plan
+
+
+def test_lines_and_landed_files_are_packed(spark):
+    """Stream inputs and landed records are written packed; a landed row comes back as it was."""
+    import glob
+
+    from feedlake.sources import changefeed as CF
+    from feedlake.streaming import landing as LD
+
+    root = scratch_path(spark, "test-packed")
+    CF.land_all(spark, "/root/testdata/sf0.001", f"{root}/in")
+    LD.land(text_values(spark, f"{root}/in/drop*"), f"{root}/out", f"{root}/ckpt")
+    local = root.replace("file:", "")
+    named = lambda at: [f for f in glob.glob(f"{local}/{at}/**/part-*", recursive=True)]
+    assert named("in") and all(f.endswith(".lz4") for f in named("in"))
+    assert named("out") and all(f.endswith(".json.gz") for f in named("out"))
+    lines = spark.read.text(f"{root}/in").where("try_parse_json(value) is not null").count()
+    assert LD.read_landed(spark, f"{root}/out").count() == lines
